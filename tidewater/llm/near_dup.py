@@ -34,7 +34,7 @@ from tidewater.llm.common import as_bytes, forget, mix64, stored
 #: Rows an Arrow batch of signatures holds elements for, before they are computed together.
 _ELEMENTS = 60_000
 #: Members of smaller components that become pivots of a bucket in one later round.
-_PIVOTS = 8
+_PIVOTS = 48
 
 
 def superminhash(elements: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
@@ -202,13 +202,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     signed = stored(docs.select("doc_id", "text").mapInArrow(_signatures(shingle_words, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
     named = signed.filter("digest is not null and doc_id is not null")
     classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     members = classes.select("rep", "n", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep", "n")
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n")).filter("c > 1")
     star = stored(members.join(crowded, "bucket").select("bucket", "rep", "n", "pivot", "pivot_n"), "star")
+    # Only texts that share a bucket are ever compared; they are set apart once.
+    texts = stored(_only(docs.select("doc_id", "text").filter("doc_id is not null and text is not null"), star.select(F.col("rep").alias("doc_id"))), "texts")
     near = F.least("n", "pivot_n") * den >= F.greatest("n", "pivot_n") * num
+    linked = F.col("both") * den >= F.col("either") * num
     tested = stored(_verified(star.filter((F.col("rep") != F.col("pivot")) & near).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), texts, shingle_words), "tested")
-    linked = (F.col("both") * den >= F.col("either") * num).alias("linked")
     comps = connected_components(tested.filter(linked))
 
     # What each member of a bucket knows of the pivot: bounds of its similarity, which the sizes give where none was measured.
@@ -218,7 +219,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     members = star.filter(F.col("rep") != F.col("pivot")).join(jaccard, ["pivot", "rep"], "left").select("bucket", "rep", "n", F.coalesce("j", F.lit(0.0)).alias("j_low"), F.coalesce("j", by_size).alias("j_high"))
     unsettled = stored(_mixed(members, comps), "unsettled")
     forget(star)
-    links = tested.filter(linked).select("a", "b")
+    refuted = tested.filter(~linked).select("a", "b")
     slack = 1 - threshold + 1e-9
     while unsettled.limit(1).count():
         sizes = unsettled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("in_comp"))
@@ -234,11 +235,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
             .select(F.least("p_rep", "rep").alias("a"), F.greatest("p_rep", "rep").alias("b"))
             .distinct()
         )
-        new = stored(_verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts, shingle_words), "tested")
+        pairs = stored(pairs.join(refuted, ["a", "b"], "left_anti"), "pairs")
+        needed = _only(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+        new = stored(_verified(pairs, stored(needed, "texts"), shingle_words), "tested")
         if new.filter(linked).limit(1).count():
-            links = links.union(new.filter(linked).select("a", "b"))
-            comps = connected_components(links)
-        tested = tested.union(new)
+            comps = stored(_united(comps, new.filter(linked).select("a", "b")), "comp")
+        refuted = refuted.union(new.filter(~linked).select("a", "b"))
         left = stored(_mixed(unsettled.drop("comp").join(pivots.select("bucket", "rep"), ["bucket", "rep"], "left_anti"), comps), "unsettled")
         forget(unsettled)
         unsettled = left
@@ -248,6 +250,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    return texts.join(ids.distinct(), "doc_id", "left_semi")
+
+
+def _united(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps after further links. Only the components that they touch are united, as nodes of a smaller graph."""
+    a = links.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").select("b", F.coalesce("ca", "a").alias("a"))
+    edges = a.join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left").select("a", F.coalesce("cb", "b").alias("b"))
+    moved = connected_components(edges.filter("a != b"))
+    old = comps.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    return old.union(moved.join(comps.select("node"), "node", "left_anti").select("node", "comp"))
+
+
 def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Members, with their components, of the buckets that lie in more than one component."""
     with_comp = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
