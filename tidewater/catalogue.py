@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of tidewater.plans; each has QUERIES and ORACLE.
-PLANS = ("signatures", "aggregates")
+PLANS = ("signatures", "aggregates", "joined")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
