@@ -7,9 +7,11 @@ on the full sets of both texts; linked documents are grouped by connected compon
 
 Documents with equal sets are one class and meet as one representative, so copies are never paired. In a bucket, one
 pivot is compared with all members (a star, never all pairs). Stars may miss a link between two members that are both
-unlike the pivot. Therefore buckets whose members still lie in different components go through further rounds, with
-members of the smaller components as pivots, until every pair that shares a bucket is confirmed, refuted, within one
-component, or too far apart by the triangle inequality of Jaccard distance. No bucket is capped.
+unlike the pivot. Therefore buckets whose other members still lie in different components are settled in full: members
+outside the bucket's largest component are held against those of other components, first by their signatures (a pair
+goes whose estimate is 4.7 standard deviations below the threshold), then, within the task, on their full sets, until
+they are linked or no partner is left. Only links leave the task. Large buckets are cut into blocks that meet two by
+two, so a task holds at most two blocks; no bucket is capped.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is kept, as is a row
 without doc_id (its component is null). Rows with equal sets (repeated rows too) are one group. Ties: the smallest
@@ -26,15 +28,15 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import as_bytes, forget, mix64, stored
 
 #: Rows an Arrow batch of signatures holds elements for, before they are computed together.
 _ELEMENTS = 60_000
-#: Members of smaller components that become pivots of a bucket in one later round.
-_PIVOTS = 48
+#: Members of a block of a bucket.
+_BLOCK = 4000
 
 
 def superminhash(elements: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
@@ -93,19 +95,22 @@ def shingle_set(text: bytes, k: int) -> frozenset:
 
 
 def _signatures(k: int, bands: int, rows: int):
-    """Batches of (doc_id, text) to doc_id, n_shingles, digest of the set (null if empty), and a hash for each band."""
+    """Batches of (doc_id, text) to doc_id, n_shingles, digest of the set (null if empty), a hash for each band, and 16 bits of each place."""
     m = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), as_bytes(batch.column(1))
             sizes, digests, keys = [], [], []
+            places: list[bytes] = []
             held: list[np.ndarray] = []
 
             def flush() -> None:
                 if held:
                     n = np.array([len(x) for x in held])
-                    sig = superminhash(np.concatenate(held), n, m).reshape(len(held), bands, rows)
+                    sig = superminhash(np.concatenate(held), n, m)
+                    places.extend(x.tobytes() for x in (mix64(sig) & np.uint64(0xFFFF)).astype("<u2"))
+                    sig = sig.reshape(len(held), bands, rows)
                     key = np.full((len(held), bands), 0, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)
                     for i in range(rows):
                         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, i])
@@ -124,10 +129,10 @@ def _signatures(k: int, bands: int, rows: int):
                         flush()
                         count = 0
             flush()
-            it = iter(keys)
+            it, sig_it = iter(keys), iter(places)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([next(it).tolist() if n else [] for n in sizes], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([next(it).tolist() if n else [] for n in sizes], pa.list_(pa.int64())), pa.array([next(sig_it) if n else b"" for n in sizes], pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "bands", "places"],
             )
 
     return run
@@ -158,6 +163,71 @@ def _overlaps(k: int):
     return run
 
 
+def _partners(table: pa.Table, num: int, den: int, floor: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member outside the largest component of a block: members of other components that it may be linked with, likeliest first."""
+    comp, n = table.column("comp").to_numpy(), table.column("n").to_numpy()
+    sig = np.frombuffer(b"".join(table.column("places").to_pylist()), "<u2").reshape(len(comp), -1)
+    names, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return
+    largest = counts.argmax()
+    for i in np.flatnonzero(inverse != largest):
+        # Of two members outside, the later one asks.
+        other = np.flatnonzero((comp != comp[i]) & (np.minimum(n, n[i]) * den >= np.maximum(n, n[i]) * num) & ((inverse == largest) | (np.arange(len(comp)) < i)))
+        if len(other):
+            alike = (sig[other] == sig[i]).mean(axis=1)
+            keep = alike >= floor
+            if keep.any():
+                yield int(i), other[keep][np.argsort(-alike[keep], kind="stable")]
+
+
+def _possible(num: int, den: int, floor: float):
+    """The members of a block that have a possible partner, or are one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        used = np.zeros(table.num_rows, dtype=bool)
+        for i, others in _partners(table, num, den, floor):
+            used[i] = True
+            used[others] = True
+        return table.select(["bucket", "block", "rep", "n", "comp", "places"]).filter(pa.array(used))
+
+    return run
+
+
+def _links(k: int, num: int, den: int, floor: float):
+    """Links, confirmed on full sets, that join the components of a block: no pair within what is joined already."""
+
+    def run(table: pa.Table) -> pa.Table:
+        texts, reps = as_bytes(table.column("text")), table.column("rep").to_pylist()
+        comp = table.column("comp").to_pylist()
+        sets: dict[int, frozenset] = {}
+        parent: dict[int, int] = {c: c for c in comp}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        def of(i: int) -> frozenset:
+            if i not in sets:
+                sets[i] = shingle_set(texts[i], k)
+            return sets[i]
+
+        found = []
+        for i, others in _partners(table, num, den, floor):
+            for j in others.tolist():
+                if root(comp[i]) == root(comp[j]):
+                    continue
+                both = len(of(i) & of(j))
+                if both * den >= (len(of(i)) + len(of(j)) - both) * num:
+                    parent[root(comp[i])] = root(comp[j])
+                    found.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return run
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Union-find over pairs (a, b) of longs: (node, comp), comp the smallest node reachable. Nodes without an edge have no row.
 
@@ -198,10 +268,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     """
     least = Fraction(threshold).limit_denominator(10_000)
     num, den = least.numerator, least.denominator
-    spark = docs.sparkSession
-    signed = stored(docs.select("doc_id", "text").mapInArrow(_signatures(shingle_words, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    signed = stored(docs.select("doc_id", "text").mapInArrow(_signatures(shingle_words, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>, places binary"), "signatures")
     named = signed.filter("digest is not null and doc_id is not null")
-    classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("places").alias("places")), "classes")
     members = classes.select("rep", "n", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep", "n")
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n")).filter("c > 1")
     star = stored(members.join(crowded, "bucket").select("bucket", "rep", "n", "pivot", "pivot_n"), "star")
@@ -212,44 +281,32 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     tested = stored(_verified(star.filter((F.col("rep") != F.col("pivot")) & near).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), texts, shingle_words), "tested")
     comps = connected_components(tested.filter(linked))
 
-    # What each member of a bucket knows of the pivot: bounds of its similarity, which the sizes give where none was measured.
-    # The pivot itself has met everyone and leaves.
-    jaccard = tested.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (F.col("both") / F.col("either")).alias("j"))
-    by_size = F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-    members = star.filter(F.col("rep") != F.col("pivot")).join(jaccard, ["pivot", "rep"], "left").select("bucket", "rep", "n", F.coalesce("j", F.lit(0.0)).alias("j_low"), F.coalesce("j", by_size).alias("j_high"))
-    unsettled = stored(_mixed(members, comps), "unsettled")
-    forget(star)
-    refuted = tested.filter(~linked).select("a", "b")
-    slack = 1 - threshold + 1e-9
-    while unsettled.limit(1).count():
-        sizes = unsettled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("in_comp"))
-        largest = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("in_comp", "comp")).alias("largest"))
-        order = Window.partitionBy("bucket").orderBy("in_comp", "rep")
-        others = unsettled.join(sizes.join(largest, "bucket").filter(F.col("comp") != F.col("largest")).drop("largest"), ["bucket", "comp"])
-        pivots = stored(others.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= _PIVOTS).drop("turn", "in_comp"), "pivots")
-        p = pivots.select("bucket", *(F.col(c).alias(f"p_{c}") for c in ("rep", "comp", "n", "j_low", "j_high")))
-        pairs = (
-            unsettled.join(p, "bucket")
-            .filter((F.col("comp") != F.col("p_comp")) & (F.least("n", "p_n") * den >= F.greatest("n", "p_n") * num))
-            .filter((F.col("j_low") <= F.col("p_j_high") + slack) & (F.col("p_j_low") <= F.col("j_high") + slack))
-            .select(F.least("p_rep", "rep").alias("a"), F.greatest("p_rep", "rep").alias("b"))
-            .distinct()
-        )
-        pairs = stored(pairs.join(refuted, ["a", "b"], "left_anti"), "pairs")
-        needed = _only(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-        new = stored(_verified(pairs, stored(needed, "texts"), shingle_words), "tested")
-        if new.filter(linked).limit(1).count():
-            comps = stored(_united(comps, new.filter(linked).select("a", "b")), "comp")
-        refuted = refuted.union(new.filter(~linked).select("a", "b"))
-        left = stored(_mixed(unsettled.drop("comp").join(pivots.select("bucket", "rep"), ["bucket", "rep"], "left_anti"), comps), "unsettled")
-        forget(unsettled)
-        unsettled = left
+    # The pivot has met everyone and leaves.
+    unsettled = _mixed(star.filter(F.col("rep") != F.col("pivot")).select("bucket", "rep", "n"), comps)
+    unsettled = _in_blocks(stored(unsettled, "unsettled")).join(classes.select("rep", "places"), "rep")
+    floor = threshold - 4.7 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
+    possible = stored(unsettled.groupBy("bucket", "block").applyInArrow(_possible(num, den, floor), "bucket long, block long, rep long, n long, comp long, places binary"), "possible")
+    settled = possible.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy("bucket", "block").applyInArrow(_links(shingle_words, num, den, floor), "a long, b long")
+    links = stored(settled, "links")
+    if links.limit(1).count():
+        comps = _united(comps, links)
     found = classes.select("digest", "rep").join(comps, classes.rep == comps.node, "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("comp")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Members with the blocks they belong to: a bucket of up to _BLOCK members is one, a larger one has a block for each two of its parts."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("long").alias("parts"))
+    part = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least(j, part) * F.col("parts") + F.greatest(j, part))
+    one, many = sizes.filter("parts = 1").select("bucket"), sizes.filter("parts > 1")
+    small = members.join(one, "bucket", "left_semi").withColumn("block", F.lit(0).cast("long"))
+    large = members.join(many, "bucket").withColumn("block", F.explode(pair)).select(*members.columns, "block")
+    return small.unionByName(large)
+
+
 def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(ids.distinct(), "doc_id", "left_semi")
 
