@@ -115,11 +115,11 @@ def pattern_reinforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_r.add(
     "pattern_maintenance",
     """WITH p AS (SELECT user_id AS id, CAST(max(ts) AS DATE) AS last_seen, count(*) AS seen, (user_id % 100) / 100.0::DOUBLE AS c0 FROM events GROUP BY user_id), d AS (SELECT id, seen, c0 * power(0.95, floor(greatest(0, DATE '2024-03-15' - last_seen - 14) / 7)) AS c FROM p)
-    SELECT id, round(c, 6) AS confidence, CASE WHEN c >= 0.85 AND seen >= 5 THEN 'promoted' WHEN c < 0.1 THEN 'inactive' ELSE 'active' END AS state FROM d""",
+    SELECT id, round(c, 4) AS confidence, CASE WHEN c >= 0.85 AND seen >= 5 THEN 'promoted' WHEN c < 0.1 THEN 'inactive' ELSE 'active' END AS state FROM d""",
 )
 def pattern_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.to_date(F.max("ts")).alias("last_seen"), F.count(F.lit(1)).alias("seen")).withColumn("confidence", F.col("id") % 100 / 100.0)
-    return resolve.pattern_maintenance(p, F.lit("2024-03-15").cast("date")).select("id", F.round("confidence", 6).alias("confidence"), "state")
+    return resolve.pattern_maintenance(p, F.lit("2024-03-15").cast("date")).select("id", F.round("confidence", 4).alias("confidence"), "state")
 
 
 @_r.add("stale_summaries", "WITH s AS (SELECT l_suppkey, list(DISTINCT l_partkey) AS members FROM lineitem GROUP BY 1) SELECT l_suppkey, list_has_any(members, [1, 2, 3]) AS stale FROM s")
