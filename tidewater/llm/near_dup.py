@@ -164,9 +164,14 @@ def _overlaps(k: int):
 
 
 def _partners(table: pa.Table, num: int, den: int, floor: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member outside the largest component of a block: members of other components that it may be linked with, likeliest first."""
+    """For each member outside the largest component of a block: members of other components that it may be linked with, likeliest first.
+
+    A pair belongs to the first band in which both share a bucket, so that it is looked at once.
+    """
     comp, n = table.column("comp").to_numpy(), table.column("n").to_numpy()
     sig = np.frombuffer(b"".join(table.column("places").to_pylist()), "<u2").reshape(len(comp), -1)
+    keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(comp), -1)
+    band = table.column("band")[0].as_py() if len(comp) else 0
     names, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return
@@ -174,6 +179,7 @@ def _partners(table: pa.Table, num: int, den: int, floor: float) -> Iterator[tup
     for i in np.flatnonzero(inverse != largest):
         # Of two members outside, the later one asks.
         other = np.flatnonzero((comp != comp[i]) & (np.minimum(n, n[i]) * den >= np.maximum(n, n[i]) * num) & ((inverse == largest) | (np.arange(len(comp)) < i)))
+        other = other[(keys[other] == keys[i]).argmax(axis=1) == band] if len(other) else other
         if len(other):
             alike = (sig[other] == sig[i]).mean(axis=1)
             keep = alike >= floor
@@ -189,7 +195,7 @@ def _possible(num: int, den: int, floor: float):
         for i, others in _partners(table, num, den, floor):
             used[i] = True
             used[others] = True
-        return table.select(["bucket", "block", "rep", "n", "comp", "places"]).filter(pa.array(used))
+        return table.select(["bucket", "block", "band", "rep", "n", "comp", "bands", "places"]).filter(pa.array(used))
 
     return run
 
@@ -271,9 +277,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     signed = stored(docs.select("doc_id", "text").mapInArrow(_signatures(shingle_words, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>, places binary"), "signatures")
     named = signed.filter("digest is not null and doc_id is not null")
     classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("places").alias("places")), "classes")
-    members = classes.select("rep", "n", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep", "n")
+    members = classes.select("rep", "n", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "band", "rep", "n")
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n")).filter("c > 1")
-    star = stored(members.join(crowded, "bucket").select("bucket", "rep", "n", "pivot", "pivot_n"), "star")
+    star = stored(members.join(crowded, "bucket").select("bucket", "band", "rep", "n", "pivot", "pivot_n"), "star")
     # Only texts that share a bucket are ever compared; they are set apart once.
     texts = stored(_only(docs.select("doc_id", "text").filter("doc_id is not null and text is not null"), star.select(F.col("rep").alias("doc_id"))), "texts")
     near = F.least("n", "pivot_n") * den >= F.greatest("n", "pivot_n") * num
@@ -282,10 +288,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     comps = connected_components(tested.filter(linked))
 
     # The pivot has met everyone and leaves.
-    unsettled = _mixed(star.filter(F.col("rep") != F.col("pivot")).select("bucket", "rep", "n"), comps)
-    unsettled = _in_blocks(stored(unsettled, "unsettled")).join(classes.select("rep", "places"), "rep")
+    unsettled = _mixed(star.filter(F.col("rep") != F.col("pivot")).select("bucket", "band", "rep", "n"), comps)
+    unsettled = _in_blocks(stored(unsettled, "unsettled")).join(classes.select("rep", "bands", "places"), "rep")
     floor = threshold - 4.7 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
-    possible = stored(unsettled.groupBy("bucket", "block").applyInArrow(_possible(num, den, floor), "bucket long, block long, rep long, n long, comp long, places binary"), "possible")
+    possible = stored(unsettled.groupBy("bucket", "block").applyInArrow(_possible(num, den, floor), "bucket long, block long, band int, rep long, n long, comp long, bands array<long>, places binary"), "possible")
     settled = possible.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy("bucket", "block").applyInArrow(_links(shingle_words, num, den, floor), "a long, b long")
     links = stored(settled, "links")
     if links.limit(1).count():
