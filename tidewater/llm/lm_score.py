@@ -211,7 +211,7 @@ def score(docs: DataFrame, vocabulary: str, head_share: int = 200_000) -> DataFr
     del head_rows
     parts = texts.mapInArrow(_score_docs(head), "row long, doc_id long, word binary, times long, known long, base double, log_p0 double")
     tail = scored.filter(~((F.col("n") > 0) & (F.col("n") * head_share >= n))).select("word", "n", "log_p")
-    own = F.col("word").startswith(F.lit(b" "))
+    own = F.col("word").startswith(F.lit(b" ")) & (F.length("word") > 1)  # not the end
     joined = parts.join(tail, "word", "left").select(
         "row",
         "doc_id",
