@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
 from math import asin, cos, radians, sin, sqrt
 
 import pandas as pd
@@ -38,7 +37,7 @@ def _frame(rule: Rule, rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=rule.names)
 
 
-def _run(rule: Rule, key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _run(rule: Rule, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     pdf = pd.concat(list(pdfs)).sort_values(list(rule.order))
     now, out = (state.get if state.exists else rule.start), []
     for row in pdf.itertuples(index=False):
@@ -57,11 +56,17 @@ def _fold(rule: Rule, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def on_stream(df: DataFrame, rule: Rule) -> DataFrame:
-    return df.groupBy(rule.key).applyInPandasWithState(partial(_run, rule), rule.out, rule.state, "append", GroupStateTimeout.NoTimeout)
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _run(rule, pdfs, state)
+
+    return df.groupBy(rule.key).applyInPandasWithState(run, rule.out, rule.state, "append", GroupStateTimeout.NoTimeout)
 
 
 def on_batch(df: DataFrame, rule: Rule) -> DataFrame:
-    return df.groupBy(rule.key).applyInPandas(partial(_fold, rule), rule.out)
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _fold(rule, pdf)
+
+    return df.groupBy(rule.key).applyInPandas(fold, rule.out)
 
 
 # --- rules
