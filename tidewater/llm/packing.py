@@ -168,14 +168,14 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end: int = 1, row
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tokens = stored(texts.mapInArrow(_tokenise(vocabulary, end), "doc_id long, ids binary, x0 double, x1 double, x2 double"), "tokens")
+    tokens = stored(texts.mapInArrow(_tokenise(vocabulary, end), "doc_id long, ids binary, x0 double, x1 double, x2 double"), "tokens", "zstd")
     m = tokens.agg(F.count(F.lit(1)).alias("n"), *(f(f"x{d}").alias(f"{k}{d}") for d in range(DIMS) for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     if not m["n"]:
         return spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     keyed = tokens.mapInArrow(_keyed([(m[f"m{d}"], m[f"s{d}"]) for d in range(DIMS)]), "doc_id long, ids binary, key long")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-m["n"] // rows_per_part))
     ordered = keyed.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id")
-    placed = stored(ordered.mapInArrow(_placed, "doc_id long, ids binary, part long, before long, n long"), "placed")
+    placed = stored(ordered.mapInArrow(_placed, "doc_id long, ids binary, part long, before long, n long"), "placed", "zstd")
     forget(tokens)
     sums = placed.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # one row for each partition
     starts, at = {}, 0
