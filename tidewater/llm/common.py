@@ -4,16 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes between words: the space and the five ASCII control blanks. bytes.split() splits at exactly these.
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Only where it is unset (tests) a folder of this machine."""
@@ -58,11 +54,6 @@ def as_texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def rows_of(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, elementwise over uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -73,11 +64,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def schema_with(df: DataFrame, extra: str) -> str:
     """DDL of df's columns and then of extra."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), extra])
-
-
-def private_name(df: DataFrame, name: str) -> str:
-    """name, with underscores in front until no column of df has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
