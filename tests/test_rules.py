@@ -145,7 +145,7 @@ def test_proximity_join_equals_all_pairs(spark):
 def test_similar_names_lose_no_pair(spark):
     names = ["annabel lee", "annabel leigh", "anabel lee", "robert smith", "roberta smith", "bob", "rob smith", "lee annabel"]
     df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
-    got = {(r["name"], r["other"]) for r in joins.similar_names(df, "id", "name", 0.5).collect()}
+    got = {(r["name"], r["other"]) for r in joins.similar_names(df, "name", 0.5).collect()}
     pairs = spark.createDataFrame([(a, b) for a in names for b in names if a < b], "a string, b string")
     want = {(r["a"], r["b"]) for r in pairs.filter(similarity.trigram_similarity(F.col("a"), F.col("b")) > 0.5).collect()}
     assert got == want and want

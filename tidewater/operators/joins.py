@@ -48,11 +48,11 @@ def around_events(series: DataFrame, events: DataFrame, date: str, event_date: s
     return series.join(spread, date)
 
 
-def similar_names(df: DataFrame, id_: str, name: str, least: float, most_common: float = 0.2) -> DataFrame:
-    """a < b, sim: pairs of names with trigram similarity above `least`.
+def similar_names(df: DataFrame, name: str, least: float) -> DataFrame:
+    """name < other, sim: pairs of distinct names with trigram similarity above `least`.
 
     Distinct names meet by shared trigrams (prefix filtering: a pair above `least` shares one of the rarest
-    trigrams of each name), then the similarity is computed; ids come back at the end, so equal names are not paired here.
+    trigrams of each name), then the similarity is computed.
     """
     names = df.select(F.col(name).alias("name")).filter("name is not null").distinct()
     grams = names.select("name", F.explode(similarity.trigrams(F.col("name"))).alias("g"))

@@ -84,11 +84,9 @@ def temporal_proximity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.near_in_time(table(spark, sf_dir, "events"), "user_id", "ts", 300).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).filter("times >= 3")
 
 
-@_r.add(
-    "near_dup_trigram",
-)
+@_r.add("near_dup_trigram")
 def near_dup_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.similar_names(table(spark, sf_dir, "part"), "p_partkey", "p_name", 0.6).withColumn("sim", F.round("sim", 6))
+    return joins.similar_names(table(spark, sf_dir, "part"), "p_name", 0.6).withColumn("sim", F.round("sim", 6))
 
 
 @_r.add(
@@ -232,9 +230,7 @@ def next_present_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.join(later, "idx").drop("idx")
 
 
-@_r.add(
-    "name_pair_similarity",
-)
+@_r.add("name_pair_similarity")
 def name_pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     n = table(spark, sf_dir, "nation").select("n_name")
