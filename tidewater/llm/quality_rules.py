@@ -2,7 +2,9 @@
 
 References are learned from the whole corpus: for each language, the histogram of character classes and the counts of
 its common words. A document's two histograms (character classes; common words and 'other') are compared with the
-reference by Jensen-Shannon distance. Documents below the minimum length get no verdict from a histogram.
+reference by Jensen-Shannon distance. As a sample of n falls away from its own distribution by about 1/sqrt(n), the most
+that passes is a floor plus a noise term over sqrt(n), with n the document's characters or words. Documents below the
+minimum length get no verdict from a histogram.
 
 Languages with at least 1/1000 of all words have a reference of their own (so there are 1,000 at most), the others
 share one; a word is common with at least 1/2000 of its language's words (2,000 a language at most). These bounds are
@@ -168,7 +170,7 @@ def _distances(text: bytes, chars: np.ndarray, ref: tuple) -> tuple[float, float
     return js_distance(chars.astype(float), hist), js_distance(n, words)
 
 
-def _judge(refs, most_chars: float, most_words: float):
+def _judge(refs, chars_most: tuple[float, float], words_most: tuple[float, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = refs.value
         for batch in batches:
@@ -185,8 +187,9 @@ def _judge(refs, most_chars: float, most_words: float):
                     fits = False
                     for key in order:
                         c, w = _distances(text, chars, known[key])
-                        c_ok = c <= most_chars or int(chars.sum()) < LEAST_CHARS
-                        w_ok = w <= most_words or counts[0] < LEAST_WORDS
+                        n_chars = int(chars.sum())
+                        c_ok = n_chars < LEAST_CHARS or c <= chars_most[0] + chars_most[1] / n_chars**0.5
+                        w_ok = counts[0] < LEAST_WORDS or w <= words_most[0] + words_most[1] / counts[0] ** 0.5
                         if best[0] is None or c_ok and w_ok:
                             best = (c, w)
                         if c_ok and w_ok:
@@ -203,8 +206,8 @@ def _judge(refs, most_chars: float, most_words: float):
     return run
 
 
-def judge(docs: DataFrame, most_chars: float = 0.25, most_words: float = 0.62) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, and the two distances, one row for each row of docs."""
+def judge(docs: DataFrame, chars_most: tuple[float, float] = (0.2, 2.0), words_most: tuple[float, float] = (0.3, 2.6)) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept, and the two distances, one row for each row of docs. The bounds are (floor, noise)."""
     refs = docs.sparkSession.sparkContext.broadcast(references(docs))
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
-    return docs.select("doc_id", "lang", "text").mapInArrow(_judge(refs, most_chars, most_words), schema)
+    return docs.select("doc_id", "lang", "text").mapInArrow(_judge(refs, chars_most, words_most), schema)
