@@ -11,8 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewater.functions import classify, identifiers, similarity, stats
-from tidewater.operators import baselines, joins, network, resolve, statistics, vectors, windows
+from tidewater.operators import baselines, chapters, joins, network, resolve, statistics, vectors, windows
 from tidewater.session import ensure_checkpoint_dir
+from tidewater.sql import read_only
 from tidewater.sources import files, normalise, sinks
 from tidewater.streaming import flows, stateful
 
@@ -247,3 +248,26 @@ def test_suppression_spaces_what_passes(minutes):
         state, out = rule.step(state, row("s", base + pd.Timedelta(minutes=m), "error"))
         passed += [m] * len(out)
     assert passed[0] == min(minutes) and all(b - a >= 30 for a, b in zip(passed, passed[1:])) and all(any(0 <= m - p < 30 for p in passed) for m in minutes)
+
+
+def test_chapter_types_and_bounds(spark):
+    d = dt.date
+    points = [("health/steps", d(2024, 1, 1), 3.0), ("photos/n", d(2024, 1, 15), -2.0), ("health/sleep", d(2024, 1, 16), -2.0), ("communication/n", d(2024, 2, 12), 2.5), ("motion/a", d(2024, 4, 1), -2.0), ("motion/b", d(2024, 4, 8), -2.0)]
+    df = spark.createDataFrame([(m, w, 1.0, 2.0, z) for m, w, z in points], "metric string, week date, old double, new double, z double")
+    out = chapters.chapters(df).orderBy("begins").collect()
+    assert [(r["begins"], r["type"], r["shifts"]) for r in out] == [(d(2024, 1, 1), "health_focus", 2), (d(2024, 1, 16), "low_activity", 1), (d(2024, 2, 12), "social_expansion", 1), (d(2024, 4, 1), "transition", 2)]
+    assert [r["ends"] for r in out] == [d(2024, 1, 16), d(2024, 2, 12), d(2024, 4, 1), None] and out[0]["confidence"] == 0.85
+
+
+def test_read_only_sql(spark):
+    spark.range(30).createOrReplaceTempView("numbers")
+    assert read_only(spark, "select * from numbers;").count() == 20 and read_only(spark, " WITH x AS (SELECT 1 AS a) SELECT * FROM x").count() == 1
+    for bad in ("drop table numbers", "select 1; select 2", "select * from secrets"):
+        with pytest.raises(ValueError):
+            read_only(spark, bad, ("secrets",))
+
+
+def test_human_names(spark):
+    names = {"Ann Lee": True, "Ann.Lee": True, "ann.lee": True, "Ann_lee": True, "Ann B. Lee": True, "ACME": False, "shop@x": False, "x": False}
+    out = spark.createDataFrame([(n,) for n in names], "c string").select("c", classify.human_name(F.col("c")).alias("h")).collect()
+    assert {r["c"]: r["h"] for r in out} == names

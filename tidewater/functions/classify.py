@@ -67,3 +67,11 @@ def threshold(category: Column, levels: dict[str, float], default: float) -> Col
         return F.lit(default)
     table = F.create_map(*[F.lit(x) for kv in levels.items() for x in kv])
     return F.coalesce(F.element_at(table, category), F.lit(default))
+
+
+#: Shapes of human names and user names.
+HUMAN_NAMES = (r"^[A-Z][a-z]+\s+[A-Z][a-z]+", r"^[A-Z][a-z]+\.[A-Z]?[a-z]+$", r"^[a-z][a-z]+\.[a-z]+$", r"^[A-Z][a-z]+_[A-Z]?[a-z]+$", r"^[A-Z][a-z]+\s+[A-Z]\.\s+[A-Z][a-z]+$")
+
+
+def human_name(c: Column) -> Column:
+    return matches_any(c, list(HUMAN_NAMES))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.operators import statistics, windows
+from tidewater.operators import chapters, statistics, windows
 from tidewater.plans.base import Registry, table
 
 _r = Registry()
@@ -237,3 +237,30 @@ def dimension_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily order totals, with an area for each priority."""
+    areas = {"1-URGENT": "health/urgent", "2-HIGH": "communication/high", "3-MEDIUM": "photos/medium", "4-NOT SPECIFIED": "search_behavior/other", "5-LOW": "motion/low"}
+    names = F.create_map(*[F.lit(x) for kv in areas.items() for x in kv])
+    return _orders(spark, sf_dir).withColumn("metric", F.coalesce(F.element_at(names, F.col("metric")), F.col("metric")))
+
+
+@_r.add("life_chapters")
+def life_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chapters.chapters(chapters.change_points(_areas(spark, sf_dir)))
+    return found.select("begins", "ends", "type", "shifts", "confidence")
+
+
+@_r.add("similar_chapters")
+def similar_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chapters.similar_chapters(chapters.chapters(chapters.change_points(_areas(spark, sf_dir))))
+
+
+@_r.add(
+    "metric_change_points",
+    """WITH s AS (SELECT o_orderpriority AS metric, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2), k AS (SELECT metric FROM s GROUP BY 1 HAVING count(*) >= 84), w AS (SELECT metric, CAST(date_trunc('week', date) AS DATE) AS week, avg(value) AS v FROM s WHERE metric IN (SELECT metric FROM k) GROUP BY 1, 2),
+    z AS (SELECT metric, week, v, avg(v) OVER x AS m, stddev_pop(v) OVER x AS sd, count(*) OVER x AS n FROM w WINDOW x AS (PARTITION BY metric ORDER BY week ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)) SELECT metric, week, round((v - m) / sd, 4) AS z FROM z WHERE n = 8 AND sd > 0 AND abs((v - m) / sd) >= 2""",
+)
+def metric_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chapters.change_points(_orders(spark, sf_dir)).select("metric", "week", F.round("z", 4).alias("z"))
