@@ -24,10 +24,10 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct(F.when(F.col("l_quantity") > 25, F.col("l_suppkey"))).alias("bulk_suppliers"), F.count_distinct(F.struct("l_partkey", "l_suppkey")).alias("offers"))
 
 
-@_r.add("daily_event_mix", "SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 4) AS mean_value, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1, 2")
+@_r.add("daily_event_mix", "SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 8) AS mean_value, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1, 2")
 def daily_event_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.to_date("ts").alias("date"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("mean_value"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return e.groupBy(F.to_date("ts").alias("date"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 8).alias("mean_value"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 @_r.add("spread_by_kind", "SELECT o_orderpriority, round(stddev_pop(o_totalprice), 2) AS sd_pop, round(stddev_samp(o_totalprice), 2) AS sd_samp, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY 1")

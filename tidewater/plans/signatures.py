@@ -61,6 +61,6 @@ def compound_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baselines.compound_anomalies(_scored(spark, sf_dir).filter(F.abs("z") >= 1.2)).withColumn("max_abs_z", F.round("max_abs_z", 4))
 
 
-@_r.add("type_dependent_fold", "SELECT CAST(ts AS DATE) AS date, event_type AS kind, round(CASE WHEN event_type IN ('purchase') THEN sum(value) ELSE avg(value) END, 4) AS value FROM events GROUP BY 1, 2")
+@_r.add("type_dependent_fold", "SELECT CAST(ts AS DATE) AS date, event_type AS kind, round(CASE WHEN event_type IN ('purchase') THEN sum(value) ELSE avg(value) END, 8) AS value FROM events GROUP BY 1, 2")
 def type_dependent_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.type_dependent_fold(table(spark, sf_dir, "events"), "ts", F.col("event_type"), F.col("value"), ["purchase"]).withColumn("value", F.round("value", 4))
+    return metrics.type_dependent_fold(table(spark, sf_dir, "events"), "ts", F.col("event_type"), F.col("value"), ["purchase"]).withColumn("value", F.round("value", 8))
