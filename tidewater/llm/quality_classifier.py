@@ -163,7 +163,7 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without those that the classifier rejects."""
-    narrow = docs.select("doc_id", "source", "lang", "text")
-    features = described(narrow.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")).drop("text")
-    model = fit(stored(features, "statistics"), labels, F.col("source"), F.col("lang"), **options)
+    # Statistics meet the labels, not texts: so no text is shuffled, whatever the size of labels.
+    features = described(docs.select("doc_id", "source", "lang", "text")).drop("text")
+    model = fit(features, labels, F.col("source"), F.col("lang"), **options)
     return model(described(docs), F.col("source"), F.col("lang")).filter("qc_kept").select(docs.columns)
