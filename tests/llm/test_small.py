@@ -78,6 +78,12 @@ def test_near_duplicates_equal_brute_force(spark):
         assert all(r["kept"] == (i == r["component_id"]) for i, r in out.items())
 
 
+def test_salted_buckets_and_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "_HOT", 2)
+    monkeypatch.setattr(near_dup, "_BLOCK", 3)
+    test_near_duplicates_equal_brute_force(spark)
+
+
 def test_near_duplicates_odd_rows(spark):
     out = near_dup.near_duplicates(odd_docs(spark).withColumn("band", F.lit(1)), 2, 0.8).collect()
     assert len(out) == 10
@@ -108,7 +114,7 @@ def test_connected_components_of_a_chain(spark):
 
 def test_blocks_of_a_large_bucket_meet(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "_BLOCK", 3)
-    members = spark.createDataFrame([(1, i) for i in range(10)] + [(2, 1)], "bucket long, rep long")
+    members = spark.createDataFrame([(1, i, 10) for i in range(10)] + [(2, 1, 1)], "bucket long, rep long, c long")
     rows = near_dup._in_blocks(members).collect()
     together = {(r["bucket"], r["block"]): set() for r in rows}
     for r in rows:

@@ -37,6 +37,8 @@ from tidewater.llm.common import as_bytes, forget, mix64, stored
 _ELEMENTS = 60_000
 #: Members of a block of a bucket.
 _BLOCK = 4000
+#: Members of one bucket that a task takes at most in joins by bucket; larger buckets are salted.
+_HOT = 1000
 
 
 def superminhash(elements: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
@@ -279,7 +281,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("places").alias("places")), "classes")
     members = classes.select("rep", "n", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "band", "rep", "n")
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n")).filter("c > 1")
-    star = stored(members.join(crowded, "bucket").select("bucket", "band", "rep", "n", "pivot", "pivot_n"), "star")
+    star = stored(_with_pivots(members, stored(crowded, "crowded"), bands * classes.count()), "star")
     # Only texts that share a bucket are ever compared; they are set apart once.
     texts = stored(_only(docs.select("doc_id", "text").filter("doc_id is not null and text is not null"), star.select(F.col("rep").alias("doc_id"))), "texts")
     near = F.least("n", "pivot_n") * den >= F.greatest("n", "pivot_n") * num
@@ -288,7 +290,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     comps = connected_components(tested.filter(linked))
 
     # The pivot has met everyone and leaves.
-    unsettled = _mixed(star.filter(F.col("rep") != F.col("pivot")).select("bucket", "band", "rep", "n"), comps)
+    unsettled = _mixed(star.filter(F.col("rep") != F.col("pivot")).select("bucket", "band", "rep", "n", (F.col("c") - 1).alias("c")), comps)
     unsettled = _in_blocks(stored(unsettled, "unsettled")).join(classes.select("rep", "bands", "places"), "rep")
     floor = threshold - 4.7 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     possible = stored(unsettled.groupBy("bucket", "block").applyInArrow(_possible(num, den, floor), "bucket long, block long, band int, rep long, n long, comp long, bands array<long>, places binary"), "possible")
@@ -302,15 +304,26 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _with_pivots(members: DataFrame, crowded: DataFrame, total: int, hot_share: int = 50_000) -> DataFrame:
+    """The members of crowded buckets with their bucket's size c, pivot and pivot_n.
+
+    Hot buckets (over _HOT members, and over 1/hot_share of all `total` members, so hot_share buckets at most, which are
+    broadcast) are dealt over salted parts, to each of which their pivot goes.
+    """
+    least = max(_HOT, -(-total // hot_share))
+    parts = F.ceil(F.col("c") / least).cast("long")
+    hot = crowded.filter(F.col("c") > least).select("bucket", parts.alias("parts"))
+    dealt = members.join(F.broadcast(hot), "bucket", "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    pivots = crowded.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.join(pivots, ["bucket", "part"]).select("bucket", "band", "rep", "n", "c", "pivot", "pivot_n")
+
+
 def _in_blocks(members: DataFrame) -> DataFrame:
-    """Members with the blocks they belong to: a bucket of up to _BLOCK members is one, a larger one has a block for each two of its parts."""
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("long").alias("parts"))
-    part = F.pmod(F.xxhash64("rep"), F.col("parts"))
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least(j, part) * F.col("parts") + F.greatest(j, part))
-    one, many = sizes.filter("parts = 1").select("bucket"), sizes.filter("parts > 1")
-    small = members.join(one, "bucket", "left_semi").withColumn("block", F.lit(0).cast("long"))
-    large = members.join(many, "bucket").withColumn("block", F.explode(pair)).select(*members.columns, "block")
-    return small.unionByName(large)
+    """Members with the blocks they belong to: a bucket of up to _BLOCK members (c) is one, a larger one has a block for each two of its parts."""
+    parts = F.ceil(F.col("c") / _BLOCK).cast("long")
+    part = F.pmod(F.xxhash64("rep"), parts)
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: F.least(j, part) * parts + F.greatest(j, part))
+    return members.withColumn("block", F.explode(pair)).drop("c")
 
 
 def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -327,10 +340,12 @@ def _united(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members, with their components, of the buckets that lie in more than one component."""
-    with_comp = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = with_comp.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    return with_comp.join(mixed, "bucket", "left_semi")
+    """Members, with their components, of the buckets that lie in more than one component. Large buckets (c) are salted."""
+    parts = F.ceil(F.col("c") / _HOT).cast("long")
+    with_comp = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumns({"comp": F.coalesce("comp", "rep"), "part": F.pmod(F.xxhash64("rep"), parts)})
+    mixed = with_comp.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("c").alias("c")).filter("lo < hi")
+    mixed = mixed.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    return with_comp.join(mixed, ["bucket", "part"], "left_semi").drop("part")
 
 
 def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, threshold: float = 0.8) -> DataFrame:
