@@ -224,7 +224,7 @@ def test_packing_round_trip(spark):
         assert sum(r["length"] for r in mine) == len(ids[i]) * (2 if i == 8 else 1)
         for r in mine:
             piece = np.array(ids[i][r["start"] : r["start"] + r["length"]], dtype="<u4")
-            assert zlib.crc32(piece.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids[i])
+            assert zlib.crc32(piece.tobytes()) == r["ids_crc32"] and r["ids"] == piece.tolist() and r["doc_tokens"] == len(ids[i])
     for s in {r["sequence_id"] for r in out}:
         mine = sorted((r for r in out if r["sequence_id"] == s), key=lambda r: r["offset"])
         assert [r["offset"] for r in mine] == [0, *np.cumsum([r["length"] for r in mine])[:-1].tolist()] and sum(r["length"] for r in mine) <= 2048

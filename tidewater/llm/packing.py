@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import as_texts, forget, stored
 
 BUCKETS, DIMS, BITS = 512, 3, 10
+#: Columns of a piece; its ids follow.
+PIECES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 _CACHE = 300_000
+_FLUSH = 1_000_000
 #: A space beside other white space, or at an end: chunks aren't independent there.
 _RUNS = re.compile(r"\s\s|^\s|\s$")
 _encoders: dict[str, tuple] = {}
@@ -147,31 +150,50 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(starts, length: int):
+    """Sorted rows to pieces, in batches of about _FLUSH ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        ids: list[np.ndarray] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 7
+            ends = np.cumsum([0, *(len(x) for x in ids)]).astype(np.int32)
+            values = np.concatenate(ids).view(np.int32) if ids else np.empty(0, np.int32)
+            rows.clear()
+            ids.clear()
+            return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=[*PIECES, "ids"])
+
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, ids, part, before in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                wide = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
-                n, place, done = len(ids) // 2, starts.value[part] + before, 0
+            for doc_id, packed, part, before in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                wide = np.frombuffer(packed, "<u2").astype("<u4")
+                n, place, done = len(wide), starts.value[part] + before, 0
                 while done < n:
                     seq, offset = divmod(place + done, length)
                     take = min(n - done, length - offset)
-                    out.append((doc_id, done, take, zlib.crc32(wide[4 * done : 4 * (done + take)]), n, seq, offset))
+                    piece = wide[done : done + take]
+                    rows.append((doc_id, done, take, zlib.crc32(piece), n, seq, offset))
+                    ids.append(piece)
                     done += take
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                    held += take
+                    if held >= _FLUSH:
+                        yield out()
+                        held = 0
+        yield out()
 
     return run
 
 
 def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end: int = 1, rows_per_part: int = 20_000) -> DataFrame:
-    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (longs) and ids (array<int>)."""
     spark = docs.sparkSession
+    schema = ", ".join(f"{c} long" for c in PIECES) + ", ids array<int>"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tokens = stored(texts.mapInArrow(_tokenise(vocabulary, end), "doc_id long, ids binary, x0 double, x1 double, x2 double"), "tokens", "zstd")
     m = tokens.agg(F.count(F.lit(1)).alias("n"), *(f(f"x{d}").alias(f"{k}{d}") for d in range(DIMS) for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     if not m["n"]:
-        return spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+        return spark.createDataFrame([], schema)
     keyed = tokens.mapInArrow(_keyed([(m[f"m{d}"], m[f"s{d}"]) for d in range(DIMS)]), "doc_id long, ids binary, key long")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-m["n"] // rows_per_part))
     ordered = keyed.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id")
@@ -182,4 +204,4 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end: int = 1, row
     for r in sums:
         starts[r["part"]] = at
         at += r["n"]
-    return placed.select("doc_id", "ids", "part", "before").mapInArrow(_cut(spark.sparkContext.broadcast(starts), length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.select("doc_id", "ids", "part", "before").mapInArrow(_cut(spark.sparkContext.broadcast(starts), length), schema)
