@@ -243,6 +243,13 @@ def test_chunks_give_the_tokenizers_ids(text):
     assert np.frombuffer(packing.encoder(RANKS)(text), "<u2").tolist() == _T.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_of_one_character_are_encoded():
+    encode = packing.encoder(RANKS)
+    for c, n in ((" ", 500_000), ("\n", 19_999), ("\n", 20_000), ("a", 500_000)):
+        ids = np.frombuffer(encode("x" + c * n + "y"), "<u2")
+        assert 0 < len(ids) <= n + 2
+
+
 def test_hilbert_key_is_a_curve():
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     key = packing.hilbert_key(cells, 3)

@@ -6,9 +6,7 @@ range-sorted by the key, so that neighbours on the curve (documents of similar w
 partition then knows its number of tokens, sums of these give each partition its place in one long stream, and the
 stream is cut at every `length` tokens. Only the last sequence is padded.
 
-Ids come from the public byte-level BPE vocabulary. Between two single spaces a chunk's ids depend on nothing else (the
-tokenizer's pattern lets a space only lead a token), so chunks are cached; texts with other runs of white space are
-encoded whole.
+Ids come from the public byte-level BPE vocabulary.
 
 Defined results: a null text is empty: its end token alone. Rows that repeat a document are packed each. Ties on the
 curve go by doc_id. An empty table gives no pieces.
@@ -19,6 +17,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from math import erf
 
@@ -33,40 +32,33 @@ from tidewater.llm.common import as_texts, forget, stored
 BUCKETS, DIMS, BITS = 512, 3, 10
 #: Columns of a piece; its ids follow.
 PIECES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-_CACHE = 300_000
+#: Ids of a batch of pieces.
 _FLUSH = 1_000_000
-#: A space beside other white space, or at an end: chunks aren't independent there.
-_RUNS = re.compile(r"\s\s|^\s|\s$")
-_encoders: dict[str, tuple] = {}
+#: The rank file's library overflows its stack on much longer runs of white space; such texts go to the JSON tokenizer.
+_LONG_BLANK = 20_000
+_BLANKS = re.compile(rf"\s{{{_LONG_BLANK}}}")
+_encoders: dict = {}
 
 
 def encoder(vocabulary: str):
-    """texts -> ids as arrays of uint32, equal to those of the public tokenizer file beside the ranks of the same vocabulary."""
+    """texts -> ids as bytes of uint16, equal to those of the public tokenizer file beside the ranks of the same vocabulary."""
     if vocabulary not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _encoders[vocabulary] = (own, {})
-    own, chunks = _encoders[vocabulary]
+        _encoders[vocabulary] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    by_ranks = _encoders[vocabulary]
 
     def encode(text: str) -> bytes:
-        if not text:
-            return b""
-        if _RUNS.search(text):
-            return np.array(own.encode_ordinary(text), dtype="<u2").tobytes()
-        first, *rest = text.split(" ")
-        if len(chunks) > _CACHE:
-            chunks.clear()
-        parts = [np.array(own.encode_ordinary(first), dtype="<u2").tobytes()]
-        for w in rest:
-            ids = chunks.get(w)
-            if ids is None:
-                ids = chunks[w] = np.array(own.encode_ordinary(" " + w), dtype="<u2").tobytes()
-            parts.append(ids)
-        return b"".join(parts)
+        if len(text) < _LONG_BLANK or not _BLANKS.search(text):
+            return array("H", by_ranks(text)).tobytes()
+        from tokenizers import Tokenizer
+
+        same = Tokenizer.from_file(vocabulary.removesuffix(".tiktoken") + ".json")
+        same.encode_special_tokens = True
+        return array("H", same.encode(text, add_special_tokens=False).ids).tobytes()
 
     return encode
 
