@@ -37,7 +37,7 @@ from tidewater.llm.common import as_bytes, forget, mix64, stored
 _ELEMENTS = 60_000
 #: Members of a block of a bucket.
 _BLOCK = 4000
-#: Members of one bucket that a task takes at most in joins by bucket; larger buckets are salted.
+#: Members of one bucket that a part takes on average where buckets of mixed components are sought; larger buckets are salted.
 _HOT = 1000
 
 
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("places").alias("places")), "classes")
     members = classes.select("rep", "n", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "band", "rep", "n")
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n")).filter("c > 1")
-    star = stored(_with_pivots(members, stored(crowded, "crowded"), bands * classes.count()), "star")
+    star = stored(members.join(crowded, "bucket").select("bucket", "band", "rep", "n", "c", "pivot", "pivot_n"), "star")
     # Only texts that share a bucket are ever compared; they are set apart once.
     texts = stored(_only(docs.select("doc_id", "text").filter("doc_id is not null and text is not null"), star.select(F.col("rep").alias("doc_id"))), "texts")
     near = F.least("n", "pivot_n") * den >= F.greatest("n", "pivot_n") * num
@@ -304,20 +304,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _with_pivots(members: DataFrame, crowded: DataFrame, total: int, hot_share: int = 50_000) -> DataFrame:
-    """The members of crowded buckets with their bucket's size c, pivot and pivot_n.
-
-    Hot buckets (over _HOT members, and over 1/hot_share of all `total` members, so hot_share buckets at most, which are
-    broadcast) are dealt over salted parts, to each of which their pivot goes.
-    """
-    least = max(_HOT, -(-total // hot_share))
-    parts = F.ceil(F.col("c") / least).cast("long")
-    hot = crowded.filter(F.col("c") > least).select("bucket", parts.alias("parts"))
-    dealt = members.join(F.broadcast(hot), "bucket", "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))).drop("parts")
-    pivots = crowded.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    return dealt.join(pivots, ["bucket", "part"]).select("bucket", "band", "rep", "n", "c", "pivot", "pivot_n")
-
-
 def _in_blocks(members: DataFrame) -> DataFrame:
     """Members with the blocks they belong to: a bucket of up to _BLOCK members (c) is one, a larger one has a block for each two of its parts."""
     parts = F.ceil(F.col("c") / _BLOCK).cast("long")
