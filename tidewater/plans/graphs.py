@@ -153,15 +153,16 @@ def style_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES = "e AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) * 3 AS w FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 7 = 0) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 7 = 0) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 3)"
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "lineitem").filter("l_orderkey % 7 = 0").select("l_orderkey", "l_suppkey").distinct()
+def _edges(spark: SparkSession, sf_dir: str, orders: str = "true") -> DataFrame:
+    m = table(spark, sf_dir, "lineitem").filter(orders).select("l_orderkey", "l_suppkey").distinct()
     a, b = (m.select("l_orderkey", F.col("l_suppkey").alias(x)) for x in "ab")
     return a.join(b, "l_orderkey").filter("a < b").groupBy("a", "b").agg((F.count(F.lit(1)) * 3).alias("w")).filter("w >= 9")
 
 
 @_r.add("graph_edges", f"WITH {_EDGES} SELECT a, b, w FROM e")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir)
+    """Over the orders that its SQL takes; label_propagation and bridges take all."""
+    return _edges(spark, sf_dir, "l_orderkey % 7 = 0")
 
 
 @_r.add("label_propagation")
