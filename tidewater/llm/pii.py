@@ -9,8 +9,8 @@
    threshold support further patterns in the next round.
 5. Candidates behind patterns of high confidence are added as spans.
 
-Patterns need support from at least 1/50,000 of all instances (and two). As an instance supports two contexts, there
-are at most 100,000 patterns whatever the corpus, which is what is broadcast; everything else is aggregated by key.
+Patterns need two supporting instances, whatever the corpus. Up to `most_broadcast` contexts are counted, and patterns
+applied, by a broadcast; beyond it, the same by joins on context, with the same results.
 
 Defined results: a null text is empty and has no spans; rows are never dropped or merged.
 """
@@ -18,6 +18,7 @@ Defined results: a null text is empty and has no spans; rows are never dropped o
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -142,19 +143,43 @@ def _occurrences(wanted):
     return run
 
 
-def learn_patterns(docs: DataFrame, trust: float = 0.5, doubt: float = 1.0, rounds: int = 3, share: int = 50_000) -> DataFrame:
+def _all_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to (context, n), as _occurrences does, of all words and pairs of words."""
+    counts: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        some = list(counts.items())
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], names=["context", "n"])
+
+    for batch in batches:
+        for text in as_texts(batch.column(0)):
+            words = _WORDS.findall(text.lower())
+            counts.update(words)
+            counts.update(f"{a} {b}" for a, b in zip(words, words[1:]))
+            if len(counts) > 150_000:
+                yield out()
+    yield out()
+
+
+def learn_patterns(docs: DataFrame, trust: float = 0.5, doubt: float = 1.0, rounds: int = 3, most_broadcast: int = 100_000) -> DataFrame:
     """(kind, context, confidence) of the patterns that reach trust."""
     spark = docs.sparkSession
     seen = docs.select("text").mapInArrow(_observe, "kind int, context string, instance long, seed boolean")
     edges = stored(seen.groupBy("kind", "context", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("times")), "edges")
-    instances = edges.select(F.count_distinct("kind", "instance").alias("n")).first()["n"]
-    least = max(2, -(-2 * instances // (2 * share)))
-    frequent = [r[0] for r in edges.groupBy("kind", "context").agg(F.count_distinct("instance").alias("n")).filter((F.col("n") >= least) & ~F.col("context").startswith("^")).select("context").distinct().collect()]
+    least = 2
+    often = stored(edges.groupBy("kind", "context").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least) & ~F.col("context").startswith("^")).select("context").distinct(), "often")
+    frequent = [r[0] for r in often.limit(most_broadcast + 1).collect()]
     empty = spark.createDataFrame([], "kind int, context string, confidence double")
     if not frequent:
         return empty
-    wanted = spark.sparkContext.broadcast((frozenset(c for c in frequent if " " not in c), frozenset(c for c in frequent if " " in c)))
-    total = stored(docs.select("text").mapInArrow(_occurrences(wanted), "context string, n long").groupBy("context").agg(F.sum("n").alias("n")), "contexts")
+    texts = docs.select("text")
+    if len(frequent) <= most_broadcast:
+        wanted = spark.sparkContext.broadcast((frozenset(c for c in frequent if " " not in c), frozenset(c for c in frequent if " " in c)))
+        counts = texts.mapInArrow(_occurrences(wanted), "context string, n long")
+    else:
+        counts = texts.mapInArrow(_all_occurrences, "context string, n long")
+    total = stored(counts.groupBy("context").agg(F.sum("n").alias("n")).join(often, "context", "left_semi"), "contexts")
     graph = stored(edges.join(total, "context"), "graph")
     scores = graph.select("kind", "instance", F.col("seed").cast("double").alias("score")).distinct()
     scores = scores.groupBy("kind", "instance").agg(F.max("score").alias("score"))
@@ -194,13 +219,40 @@ def _find(trusted, trust: float, at: int):
     return run
 
 
-def find_spans(docs: DataFrame, trust: float = 0.5, base: str = "base_spans", added: str = "added_spans") -> DataFrame:
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_key, text) to (text_key, kind, start, end, one, two): candidates and their two contexts."""
+    for batch in batches:
+        rows = [(key, k, s, e, *contexts(text, s)) for key, text in zip(batch.column(0).to_pylist(), as_texts(batch.column(1)), strict=True) if _ANY.search(text) for k, s, e in loose_spans(text, base_spans(text))]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["text_key", "kind", "start", "end", "one", "two"])
+
+
+def _trusted_spans(docs: DataFrame, patterns: DataFrame, trust: float) -> DataFrame:
+    """text_key, trusted: the candidates that patterns reach, one row for each text that has some."""
+    found = docs.select(F.sha2(F.col("text").cast("binary"), 256).alias("text_key"), "text").filter("text is not null")
+    found = found.mapInArrow(_candidates, "text_key string, kind int, start long, end long, one string, two string").dropDuplicates(["text_key", "kind", "start", "end"])
+    for c in ("one", "two"):
+        found = found.join(patterns.select("kind", F.col("context").alias(c), F.col("confidence").alias(f"by_{c}")), ["kind", c], "left")
+    doubt = (1 - F.coalesce("by_one", F.lit(0.0))) * (1 - F.coalesce("by_two", F.lit(0.0)))
+    spans = F.array_sort(F.collect_list(F.struct("start", "kind", "end")))
+    return found.filter(1 - doubt >= trust).groupBy("text_key").agg(F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("trusted"))
+
+
+def find_spans(docs: DataFrame, trust: float = 0.5, base: str = "base_spans", added: str = "added_spans", most_broadcast: int = 100_000) -> DataFrame:
     """docs with two columns more: spans (kind's number, start, end in code points) of the fixed patterns and of the method."""
-    patterns = {(r["kind"], r["context"]): r["confidence"] for r in learn_patterns(docs, trust).collect()}  # 100,000 at most
-    trusted = docs.sparkSession.sparkContext.broadcast(patterns)
     kind = "array<struct<kind:int,start:bigint,end:bigint>>"
     docs = docs.drop(base, added)
-    return docs.mapInArrow(_find(trusted, trust, docs.columns.index("text")), schema_with(docs, f"`{base}` {kind}, `{added}` {kind}"))
+    patterns = learn_patterns(docs, trust, most_broadcast=most_broadcast)
+    rows = patterns.limit(most_broadcast + 1).collect()
+    few = len(rows) <= most_broadcast
+    trusted = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["context"]): r["confidence"] for r in rows} if few else {})
+    out = docs.mapInArrow(_find(trusted, trust, docs.columns.index("text")), schema_with(docs, f"`{base}` {kind}, `{added}` {kind}"))
+    if few:
+        return out
+    spans = _trusted_spans(docs, patterns, trust).withColumnsRenamed({"text_key": f"{added}_key", "trusted": f"{added}_trusted"})
+    out = out.join(spans, F.sha2(F.col("text").cast("binary"), 256) == F.col(f"{added}_key"), "left")
+    return out.select(*(f"`{c}`" for c in docs.columns), base, F.coalesce(f"{added}_trusted", added).alias(added))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -223,15 +275,12 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, trust: float = 0.5) -> DataFrame:
+def redact(docs: DataFrame, trust: float = 0.5, most_broadcast: int = 100_000) -> DataFrame:
     """docs with every span replaced by its kind in brackets; n_chars (if there) follows the new text. A null text stays null."""
-    patterns = {(r["kind"], r["context"]): r["confidence"] for r in learn_patterns(docs, trust).collect()}
-    trusted = docs.sparkSession.sparkContext.broadcast(patterns)
     at = docs.columns.index("text")
-    find = _find(trusted, trust, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in find(batches):
+        for batch in batches:
             texts = []
             for text, base, added in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if base or added:
@@ -246,7 +295,7 @@ def redact(docs: DataFrame, trust: float = 0.5) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-2])]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2])
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = find_spans(docs, trust, "pii_base_spans", "pii_added_spans", most_broadcast).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
