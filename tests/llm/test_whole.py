@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tests.llm.test_small import docs, words
-from tidewater.llm import pii
+from tidewater.llm import pii, url_filter
 
 
 def test_two_instances_support_a_pattern_in_a_large_corpus(spark):
@@ -21,3 +21,22 @@ def test_joined_patterns_equal_broadcast_ones(spark):
     assert few == many and sum("n_added=2" in r for r in few) == 3
     few, many = (sorted(map(str, pii.redact(docs(spark, rows), most_broadcast=n).collect())) for n in (100_000, 0))
     assert few == many
+
+
+def test_sampled_urls_bound_the_training_only(spark):
+    rules = (url_filter.Rule("allow", "info/"), url_filter.Rule("block", "xyz/bad"))
+    rows = [(i, f"http://b{i % 40}.info/story{i}") for i in range(3000)] + [(5000 + i, f"http://s{i}.xyz/bad{i}") for i in range(6)] + [(6000, "http://s.xyz/else"), (6001, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    out = {r["page_id"]: r for r in url_filter.judge(pages, rules, most_labelled=60).collect()}
+    assert len(out) == len(rows) and out[6000]["score"] is not None and out[6000]["rule"] is None
+    joined = {r["page_id"]: r["score"] for r in url_filter.judge(pages, rules, most_labelled=60, most_broadcast=0).collect()}
+    assert joined == {i: r["score"] for i, r in out.items()}
+
+
+def test_suffix_statistics_cover_all_labelled_urls(spark, monkeypatch):
+    kept = {}
+    plain = url_filter.stored
+    monkeypatch.setattr(url_filter, "stored", lambda df, name: kept.setdefault(name, plain(df, name)))
+    rows = [(i, f"http://b{i}.{'info' if i % 2 else 'xyz'}/") for i in range(2000)]
+    url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), (url_filter.Rule("allow", "info/"), url_filter.Rule("block", "xyz/")), most_labelled=50)
+    assert kept["suffix1"].count() == 2 and kept["suffix2"].count() == 2000 and kept["labelled"].count() <= 50

@@ -4,8 +4,8 @@ The trees learn from labelled URLs: those that a rule decides. Features are lexi
 entropy, parameters, ...) and statistics of the host's suffixes (smoothed share of allowed URLs among labelled ones of
 the same last label and last two labels). Everything runs in Spark's own expressions and pyspark.ml.
 
-At most `most_labelled` labelled URLs train the trees (a seeded hash of the page_id and url picks them), so the suffix
-table, one row for each suffix of those, has at most twice as many rows, which bounds the broadcast.
+At most `most_labelled` labelled URLs train the trees (a seeded hash of the page_id and url picks them, by label, so that a
+rare label stays). The suffix statistics and the mean cover all labelled URLs.
 
 Defined results: a null url, or one without '://', has an empty host and path; where no URL is labelled, or all labels
 agree, the verdict of the others is that label, or allow. Rows are never dropped or merged.
@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import stored
+from tidewater.llm.common import join_checked, stored
 
 # A-Z and a-z.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,39 +93,54 @@ def _suffix(host: Column, labels: int) -> Column:
     return F.substring_index(host, ".", -labels)
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, most_labelled: int = 20_000, trees: int = 12, depth: int = 4, seed: int = 7) -> DataFrame:
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """suffix2, allowed, n: over all labelled rows (host, label)."""
+    return labelled.groupBy(_suffix(F.col("host"), 2).alias("suffix2")).agg(F.sum("label").alias("allowed"), F.count(F.lit(1)).alias("n"))
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, most_labelled: int = 20_000, trees: int = 12, depth: int = 4, seed: int = 7, most_broadcast: int = 50_000) -> DataFrame:
     """page_id, host, path, rule, verdict and score (the trees' probability of allow; null where a rule decides)."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("by_rule"))
-    labelled = rows.filter("rule is not null")
-    n = labelled.count()
-    steps = 1 << 20
-    share = min(steps, -(-steps * most_labelled // max(n, 1)))
-    picked = labelled.filter(F.pmod(F.xxhash64("page_id", "url", F.lit(seed)), F.lit(steps)) < share).limit(most_labelled)
-    picked = stored(picked.select("url", "host", "path", (F.col("by_rule") == "allow").cast("double").alias("label")), "labelled")
-    seen = picked.groupBy("label").count().collect()
-    if len(seen) < 2:
-        only = "block" if seen and seen[0]["label"] == 0.0 else "allow"
+    labelled = rows.filter("rule is not null").select("page_id", "url", "host", "path", (F.col("by_rule") == "allow").cast("double").alias("label"))
+    counted = stored(suffix_counts(labelled), "suffix")
+    all_ = counted.agg(F.coalesce(F.sum("allowed"), F.lit(0.0)).alias("allowed"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    n, by_label = all_["n"], {0.0: all_["n"] - int(all_["allowed"]), 1.0: int(all_["allowed"])}
+    if 0 in by_label.values():
+        only = "block" if by_label[0.0] else "allow"
         return rows.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    mean = sum(r["label"] * r["count"] for r in seen) / sum(r["count"] for r in seen)
+    mean = by_label[1.0] / n
+    steps = 1 << 20
+
+    def sample(label: float, most: int) -> DataFrame:
+        share = min(steps, -(-steps * most // by_label[label]))
+        return labelled.filter((F.col("label") == label) & (F.pmod(F.xxhash64("page_id", "url", F.lit(seed)), F.lit(steps)) < share)).limit(most)
+
+    # In proportion; a rare label gets a tenth, or all it has.
+    rare = min(by_label, key=by_label.get)
+    few = min(by_label[rare], max(most_labelled // 10, most_labelled * by_label[rare] // n))
+    picked = stored(sample(rare, few).union(sample(1.0 - rare, most_labelled - few)), "labelled")
+    taken = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
+    weight = F.when(F.col("label") == 1.0, by_label[1.0] / taken.get(1.0, 1)).otherwise(by_label[0.0] / taken.get(0.0, 1))
 
     def suffixes(labels: int) -> DataFrame:
-        return picked.groupBy(_suffix(F.col("host"), labels).alias(f"suffix{labels}")).agg(((F.sum("label") + 20 * mean) / (F.count(F.lit(1)) + 20)).alias(f"f_suffix{labels}"), F.log1p(F.count(F.lit(1))).alias(f"f_seen{labels}"))
+        g = counted.groupBy(_suffix(F.col("suffix2"), labels).alias(f"suffix{labels}")).agg(F.sum("allowed").alias("allowed"), F.sum("n").alias("n"))
+        return g.select(f"suffix{labels}", ((F.col("allowed") + 20 * mean) / (F.col("n") + 20)).alias(f"f_suffix{labels}"), F.log1p("n").alias(f"f_seen{labels}"))
 
     tables = [stored(suffixes(k), f"suffix{k}") for k in (1, 2)]
 
     def featured(df: DataFrame) -> DataFrame:
         df = df.withColumns(lexical_features(F.col("url"), F.col("host"), F.col("path")))
         for k, t in enumerate(tables, 1):
-            df = df.withColumn(f"suffix{k}", _suffix(F.col("host"), k)).join(F.broadcast(t), f"suffix{k}", "left")
+            df = join_checked(df.withColumn(f"suffix{k}", _suffix(F.col("host"), k)), t, [f"suffix{k}"], most_broadcast)
             df = df.withColumns({f"f_suffix{k}": F.coalesce(f"f_suffix{k}", F.lit(mean)), f"f_seen{k}": F.coalesce(f"f_seen{k}", F.lit(0.0))})
         return df
 
     names = [*lexical_features(F.col("url"), F.col("host"), F.col("path")), "f_suffix1", "f_seen1", "f_suffix2", "f_seen2"]
-    train = stored(featured(picked).select("label", *names), "features").coalesce(4)
-    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, maxBins=32, subsamplingRate=0.8)]).fit(train)
+    train = stored(featured(picked).select("label", weight.alias("weight"), *names), "features").coalesce(4)
+    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), GBTClassifier(weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, maxBins=32, subsamplingRate=0.8)]).fit(train)
     scored = model.transform(featured(rows))
     score = vector_to_array("probability")[1]
     return scored.select(
