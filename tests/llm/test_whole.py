@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tests.llm.test_small import docs, words
-from tidewater.llm import pii, url_filter
+from tidewater.llm import html_text, pii, url_filter
 
 
 def test_two_instances_support_a_pattern_in_a_large_corpus(spark):
@@ -40,3 +40,19 @@ def test_suffix_statistics_cover_all_labelled_urls(spark, monkeypatch):
     rows = [(i, f"http://b{i}.{'info' if i % 2 else 'xyz'}/") for i in range(2000)]
     url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), (url_filter.Rule("allow", "info/"), url_filter.Rule("block", "xyz/")), most_labelled=50)
     assert kept["suffix1"].count() == 2 and kept["suffix2"].count() == 2000 and kept["labelled"].count() <= 50
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def test_one_off_blocks_stay_and_boilerplate_goes(spark):
+    def page(host: str, i: int, extra: str = "") -> tuple:
+        return i, f"http://{host}/{i}", f"<body><div class=box><p>Printed with care by us</p>{extra}<p>{words(60, i)}</p><p>{words(50, 500 + i)}</p></div></body>"
+
+    once = "<h2>Only here</h2><blockquote>A single quote of this page</blockquote>"
+    rows = [page("large.net", i, once if i == 3 else "") for i in range(8)] + [page("small.net", 100 + i) for i in range(4)] + [page("pair.net", 200 + i) for i in range(2)]
+    out = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert out[3] == f"Only here\nA single quote of this page\n{words(60, 3)}\n{words(50, 503)}"
+    assert out[100] == f"{words(60, 100)}\n{words(50, 600)}" and out[200].startswith("Printed with care")
+    joined = html_text.main_text(spark.createDataFrame(rows, PAGES), most_broadcast=0)
+    assert {r["page_id"]: r["text"] for r in joined.collect()} == out

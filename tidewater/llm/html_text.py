@@ -1,14 +1,9 @@
 """Main text of web pages by union-free regular expressions (wrappers) inferred for each host.
 
-A page becomes a well-nested stream of block tags and texts. Neighbouring segments of the same shape fold into a
-repeated group. Streams of one host are aligned with the wrapper so far: equal tags match, differing texts become a
-slot, a segment that occurs on one side only becomes optional (or joins a repeated group of that shape). The wrapper
-then shows where a host's varying text lies: the container with most of the slots' text is the region of the articles,
-and texts that never vary are boilerplate. A page's text is that of the blocks in its host's region, without menus,
-headers, footers, sidebars, notices, adverts, forms and comments within it.
-
-Each task folds its pages into one wrapper for each host; wrappers of a host are then merged, first in salted groups,
-so that no task sees all pages of a host. Wrappers hold at most `_MOST_NODES` nodes: what doesn't fit stays unaligned.
+A page becomes a well-nested stream of block tags and texts. For each host, texts are counted by their path of block tags
+and by how many pages show them there. Texts that several and most pages of the host show are boilerplate; the container
+with most of the other text is the region of the articles. A page's text is that of the blocks in its host's region,
+without boilerplate, menus, headers, footers, sidebars, notices, adverts, forms and comments within it.
 
 Defined results: null html has the text ''; pages of null or odd URLs share the host ''; a page outside its host's region
 is its own wrapper; rows are never dropped or merged.
@@ -48,6 +43,9 @@ _HINTS = frozenset(
     "nav navbar navigation menu menubar masthead topbar footer contentinfo sidebar aside complementary ad ads adv advert adverts advertisement adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login comment comments commentlist discussion respond response responses reply replies feedback disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager popup modal overlay dialog search toolbar widget skip hidden".split()
 )
 _MAIN = frozenset(["article", "main"])
+_LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 pre blockquote td th dd dt".split())
+#: A text is boilerplate if so many pages of the host, and more than half of them, show it at the same place.
+_SEVERAL = 3
 
 _TAG = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?")
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|aria-hidden|hidden|itemprop|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -258,10 +256,15 @@ def region(wrapper: list[list]) -> tuple[str, set[int]]:
     named = [p for p in mass if tag(p) in _MAIN and mass[p] >= 0.3 * most]
     if named:
         return max(named, key=lambda p: (tag(p) == "article", mass[p], -len(p))), fixed
-    inner = [p for p in mass if mass[p] >= 0.8 * most and tag(p) not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "td", "th", "dd", "dt")]
+    inner = [p for p in mass if mass[p] >= 0.8 * most and tag(p) not in _LEAVES]
     return (max(inner, key=lambda p: (p.count(">"), p)) if inner else ""), fixed
 
 
+def text_key(path: list[tuple[str, bool]], text: str) -> int:
+    """A text at its place in the page."""
+    return xxhash.xxh3_64_intdigest(f"{'>'.join(x for x, _ in path)}\0{text}".encode()) >> 1
+
+
 def extract(events: list[tuple], where: str, fixed: set[int]) -> str | None:
     """Blocks inside the region, joined by line ends; None where the page has no such region."""
     path: list[tuple[str, bool]] = []
@@ -279,7 +282,7 @@ def extract(events: list[tuple], where: str, fixed: set[int]) -> str | None:
             path.pop()
             if where and len(path) < depth:
                 inside = False
-        elif inside and not any(s for _, s in path) and (by_name or xxhash.xxh3_64_intdigest(e[1].encode()) >> 1 not in fixed):
+        elif inside and not any(s for _, s in path) and (by_name or not fixed or text_key(path, e[1]) not in fixed):
             blocks.append(e[1])
     return "\n".join(blocks) if found else None
 
@@ -331,6 +334,64 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return each.groupBy("host", "salt").applyInArrow(_merge_wrappers, schema).groupBy("host").applyInArrow(_merge_wrappers, schema).select("host", "wrapper", "pages")
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html) to (host, path, text, chars, pages): texts outside of menus and the like; a row of null path counts pages."""
+    known: dict[tuple, list[int]] = {}
+
+    def out() -> pa.RecordBatch:
+        rows = [(*k, *v) for k, v in known.items()]
+        known.clear()
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "path", "text", "chars", "pages"])
+
+    for batch in batches:
+        for host, html in zip(batch.column(0).to_pylist(), as_texts(batch.column(1)), strict=True):
+            path: list[tuple[str, bool]] = []
+            mine: dict[tuple, int] = {(host, None, None): 0}
+            for e in stream(html):
+                if e[0] == "<":
+                    path.append((e[1], e[2]))
+                elif e[0] == ">":
+                    path.pop()
+                elif not any(skipped for _, skipped in path):
+                    k = (host, ">".join(x for x, _ in path), text_key(path, e[1]))
+                    mine[k] = mine.get(k, 0) + len(e[1])
+            for k, chars in mine.items():
+                sums = known.setdefault(k, [0, 0])
+                sums[0] += chars
+                sums[1] += 1
+            if len(known) > 50_000:
+                yield out()
+    yield out()
+
+
+def host_regions(pages: DataFrame, most_broadcast: int = 50_000) -> DataFrame:
+    """host, region, fixed: the path with most of the host's varying text, and the keys of its boilerplate."""
+    host, _ = host_and_path(F.col("url"))
+    counted = pages.select(host.alias("host"), "html").mapInArrow(_count, "host string, path string, text long, chars long, pages long")
+    counted = stored(counted.groupBy("host", "path", "text").agg(F.sum("chars").alias("chars"), F.sum("pages").alias("pages")), "texts")
+    hosts = counted.filter("path is null").select("host", F.col("pages").alias("of"))
+    texts = counted.filter("path is not null")
+    fixed = stored(join_checked(texts.filter(F.col("pages") >= _SEVERAL), hosts, ["host"], most_broadcast, "inner").filter("2 * pages > of").drop("of"), "fixed")
+    # Weights of 10 and 2, so that sums are whole numbers.
+    by_path = texts.groupBy("host", "path").agg(F.sum(10 * F.col("chars")).alias("mass")).union(fixed.groupBy("host", "path").agg(F.sum(-8 * F.col("chars")).alias("mass")))
+    by_path = by_path.groupBy("host", "path").agg(F.sum("mass").alias("mass")).filter("path != ''")
+    labels = F.split("path", ">")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, 1, i), ">"))
+    mass = stored(by_path.select("host", F.explode(prefixes).alias("p"), "mass").groupBy("host", "p").agg(F.sum("mass").alias("mass")), "mass")
+    rated = join_checked(mass, mass.groupBy("host").agg(F.max("mass").alias("most")), ["host"], most_broadcast, "inner")
+    tag = F.substring_index(F.substring_index("p", ">", -1), ".", 1)
+    named = tag.isin(*_MAIN) & (10 * F.col("mass") >= 3 * F.col("most"))
+    inner = ~tag.isin(*_LEAVES) & (10 * F.col("mass") >= 8 * F.col("most"))
+    chosen = rated.groupBy("host").agg(
+        F.max(F.when(named, F.struct((tag == "article").alias("article"), "mass", (-F.char_length("p")).alias("n"), "p"))).alias("named"),
+        F.max(F.when(inner, F.struct(F.size(F.split("p", ">")).alias("depth"), "p"))).alias("inner"),
+    )
+    where = hosts.join(chosen, "host", "left").join(fixed.groupBy("host").agg(F.collect_list("text").alias("fixed")), "host", "left")
+    return where.select("host", F.coalesce("named.p", "inner.p", F.lit("")).alias("region"), "fixed")
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
@@ -345,7 +406,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_text(pages: DataFrame, most_broadcast: int = 50_000) -> DataFrame:
     """page_id, url, text, n_chars, one row for each page."""
-    where = stored(wrappers(pages).mapInArrow(_regions, "host string, region string, fixed array<long>"), "regions")
+    where = stored(host_regions(pages, most_broadcast), "regions")
     host, _ = host_and_path(F.col("url"))
     rows = join_checked(pages.select("page_id", "url", "html", host.alias("host")), where, ["host"], most_broadcast)
     return rows.select("page_id", "url", "html", "region", "fixed").mapInArrow(_read, "page_id long, url string, text string, n_chars long")
