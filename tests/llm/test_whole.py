@@ -56,3 +56,12 @@ def test_one_off_blocks_stay_and_boilerplate_goes(spark):
     assert out[100] == f"{words(60, 100)}\n{words(50, 600)}" and out[200].startswith("Printed with care")
     joined = html_text.main_text(spark.createDataFrame(rows, PAGES), most_broadcast=0)
     assert {r["page_id"]: r["text"] for r in joined.collect()} == out
+
+
+def test_many_templates_hide_no_boilerplate(spark):
+    """The first page alone has 1,200 nodes; the others' template comes after it."""
+    names = ["".join("abcdefghij"[int(d)] for d in str(k)) for k in range(1000, 1400)]
+    rows = [(0, "http://many.net/0", "<body>" + "".join(f"<div class={n}>{n} text</div>" for n in names) + "</body>")]
+    rows += [(i, f"http://many.net/{i}", f"<body><section class=story><p>Printed with care by us</p><p>{words(2000, i)}</p></section></body>") for i in range(1, 7)]
+    out = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, PAGES).coalesce(1)).collect()}
+    assert all(out[i] == words(2000, i) for i in range(1, 7)) and len(out[0].splitlines()) == 400

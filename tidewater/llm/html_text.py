@@ -1,17 +1,20 @@
-"""Main text of web pages by union-free regular expressions (wrappers) inferred for each host.
+"""Main text of web pages by counts of the texts that the pages of a host show.
 
 A page becomes a well-nested stream of block tags and texts. For each host, texts are counted by their path of block tags
 and by how many pages show them there. Texts that several and most pages of the host show are boilerplate; the container
 with most of the other text is the region of the articles. A page's text is that of the blocks in its host's region,
 without boilerplate, menus, headers, footers, sidebars, notices, adverts, forms and comments within it.
 
+A page without its host's region is folded into a union-free regular expression (wrapper) of its own: neighbouring segments
+of the same shape fold into a repeated group; `align` merges two wrappers, in which differing texts become a slot and a
+segment that occurs on one side only becomes optional. Nothing is cut by the number of nodes, texts or pages.
+
 Defined results: null html has the text ''; pages of null or odd URLs share the host ''; a page outside its host's region
 is its own wrapper; rows are never dropped or merged.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -19,16 +22,12 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import as_texts, join_checked, stored
 from tidewater.llm.url_filter import host_and_path
 
-_MOST_NODES = 300
-_SALTS = 64
-
 # Element names of HTML.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br img picture source".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -210,9 +209,7 @@ def align(a: list[list], b: list[list]) -> list[list]:
                     out.append(["?", [_merge(optional[1][0], other)] if len(optional[1]) == 1 else optional[1]])
         else:
             for part in (a[i:j], b[k:m]):
-                for x in part:
-                    if len(out) < _MOST_NODES:
-                        out.append(x if x[0] == "?" else ["?", [x]])
+                out += [x if x[0] == "?" else ["?", [x]] for x in part]
     return out
 
 
@@ -287,53 +284,6 @@ def extract(events: list[tuple], where: str, fixed: set[int]) -> str | None:
     return "\n".join(blocks) if found else None
 
 
-def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) to (host, salt, wrapper, pages)."""
-    known: dict[str, tuple[list, int]] = {}
-    salt = TaskContext.get().partitionId() % _SALTS
-
-    def out() -> pa.RecordBatch:
-        rows = list(known.items())
-        known.clear()
-        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([salt] * len(rows), pa.int32()), pa.array([json.dumps(w) for _, (w, _) in rows], pa.string()), pa.array([n for _, (_, n) in rows], pa.int64())], names=["host", "salt", "wrapper", "pages"])
-
-    for batch in batches:
-        for host, html in zip(batch.column(0).to_pylist(), as_texts(batch.column(1)), strict=True):
-            mine = page_wrapper(stream(html))
-            if host in known:
-                before, n = known[host]
-                known[host] = (align(before, mine), n + 1)
-            else:
-                known[host] = (mine, 1)
-        if len(known) > 2000:
-            yield out()
-    yield out()
-
-
-def _merge_wrappers(table: pa.Table) -> pa.Table:
-    wrapper: list | None = None
-    for text in table.column("wrapper").to_pylist():
-        one = json.loads(text)
-        wrapper = one if wrapper is None else align(wrapper, one)
-    return pa.table({"host": table.column("host")[:1], "salt": table.column("salt")[:1], "wrapper": pa.array([json.dumps(wrapper)]), "pages": pa.array([sum(table.column("pages").to_pylist())], pa.int64())})
-
-
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [region(json.loads(w)) for w in batch.column(1).to_pylist()]
-        # With few pages a text may be equal by chance, or copied: only hosts with several pages have boilerplate.
-        fixed = [sorted(f) if n >= 5 else [] for (_, f), n in zip(found, batch.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in found], pa.string()), pa.array(fixed, pa.list_(pa.int64()))], names=["host", "region", "fixed"])
-
-
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON), pages: one wrapper for each host."""
-    host, _ = host_and_path(F.col("url"))
-    schema = "host string, salt int, wrapper string, pages long"
-    each = pages.select(host.alias("host"), "html").mapInArrow(_infer, schema)
-    return each.groupBy("host", "salt").applyInArrow(_merge_wrappers, schema).groupBy("host").applyInArrow(_merge_wrappers, schema).select("host", "wrapper", "pages")
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, html) to (host, path, text, chars, pages): texts outside of menus and the like; a row of null path counts pages."""
     known: dict[tuple, list[int]] = {}
