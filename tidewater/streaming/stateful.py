@@ -6,6 +6,7 @@ each key (applyInPandasWithState); in batch, a key's rows are folded in one go.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import asin, cos, radians, sin, sqrt
@@ -99,19 +100,23 @@ def debounce(seconds: int, urgent: int = 3, key: str = "source") -> Rule:
 
 
 def promotion(least: int = 3, days: int = 7, keep: int = 5, key: str = "source") -> Rule:
-    """When a key has `least` notable rows within `days`, its last `keep` are promoted, each once."""
+    """When a key has `least` notable rows within `days`, its last `keep` are promoted, each once; seen counts all rows within `days`.
+
+    The state is the times within `days`, which an exact count needs, and which of the last `keep` are done.
+    """
 
     def step(state: tuple, r) -> tuple[tuple, list[tuple]]:
-        recent, done = list(state[0]), set(state[1])
         at = r.ts.value // 1_000_000
-        recent = [x for x in recent if at - x <= days * 86_400_000] + [at]
-        out = []
+        recent = list(state[0])
+        recent = recent[bisect_left(recent, at - days * 86_400_000) :]
+        insort(recent, at)
+        last, done, out = recent[-keep:], set(state[1]), []
         if len(recent) >= least:
-            for x in recent[-keep:]:
+            for x in last:
                 if x not in done:
                     done.add(x)
                     out.append((getattr(r, key), pd.Timestamp(x, unit="ms"), len(recent)))
-        return (recent[-50:], sorted(d for d in done if at - d <= days * 86_400_000)), out
+        return (recent, sorted(done.intersection(last))), out
 
     return Rule(key, ("ts", "id"), "recent array<long>, done array<long>", ([], []), f"{key} string, ts timestamp, seen long", step)
 
