@@ -80,6 +80,8 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_salted_buckets_and_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "_HOT", 2)
+    monkeypatch.setattr(near_dup, "_STAR", 2)
+    monkeypatch.setattr(near_dup, "_MOST_BROADCAST", 0)
     monkeypatch.setattr(near_dup, "_BLOCK", 3)
     test_near_duplicates_equal_brute_force(spark)
 
@@ -114,11 +116,11 @@ def test_connected_components_of_a_chain(spark):
 
 def test_blocks_of_a_large_bucket_meet(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "_BLOCK", 3)
-    members = spark.createDataFrame([(1, i, 10) for i in range(10)] + [(2, 1, 1)], "bucket long, rep long, c long")
+    members = spark.createDataFrame([(1, i, 10, 50) for i in range(10)] + [(2, 1, 1, 5)], "bucket long, cls long, c long, all_n long")
     rows = near_dup._in_blocks(members).collect()
     together = {(r["bucket"], r["block"]): set() for r in rows}
     for r in rows:
-        together[r["bucket"], r["block"]].add(r["rep"])
+        together[r["bucket"], r["block"]].add(r["cls"])
     assert all(any({a, b} <= s for (k, _), s in together.items() if k == 1) for a in range(10) for b in range(10))
 
 
