@@ -62,6 +62,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Sets Arrow batches of at most so many rows where the session has Spark's own 10,000: texts are long, and batches lie outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

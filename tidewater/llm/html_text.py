@@ -1,23 +1,31 @@
-"""Main text of web pages by counts of the texts that the pages of a host show.
-
-A page becomes a well-nested stream of block tags and texts. For each host, texts are counted by their path of block tags
-and by how many pages show them there. Texts that several and most pages of the host show are boilerplate; the container
-with most of the other text is the region of the articles. A page's text is that of the blocks in its host's region,
-without boilerplate, menus, headers, footers, sidebars, notices, adverts, forms and comments within it.
-
-A page without its host's region is folded into a union-free regular expression (wrapper) of its own: neighbouring segments
-of the same shape fold into a repeated group; `align` merges two wrappers, in which differing texts become a slot and a
-segment that occurs on one side only becomes optional. Nothing is cut by the number of nodes, texts or pages.
-
-Defined results: null html has the text ''; pages of null or odd URLs share the host ''; a page outside its host's region
-is its own wrapper; rows are never dropped or merged.
+"""Main text of web pages by union-free wrappers of their hosts.
+
+1. A page becomes a well-nested stream of block tags and texts, and this a tree: runs of headings, paragraphs and lists
+   are one flow, a repeated group of optional parts (h2? p? ul?)+; containers keep their order. Its tags are the page's
+   shape; texts are counted by host, shape, place and hash.
+2. The shapes of a host are aligned one after the other into its wrapper. Lists of children are aligned by label and
+   likeness; what both have is merged, texts that differ become slots, a child that occurs on one side only becomes
+   optional, or joins a neighbour of its kind as a repeated group. Hosts with many shapes are merged in rounds.
+3. Each place of a shape has a slot of the wrapper. A text that several and most pages of the host show in one slot is
+   boilerplate. The container of the wrapper with most of the other text is the region of the articles.
+4. A page's text is that of its blocks in slots of the region, without boilerplate, without elements that by their name
+   are no text, and without containers whose class says so and that the wrapper shows to be part of the template (on
+   several pages, if the host has several, and on a fifth of them).
+
+A page without its host's region has a region of its own by the same rule over its tree, weighted by its slots.
+
+Wrappers stay small: lists of over 64 children, and wrappers of over 4,000 nodes, fold by label, then by depth. Texts of
+what is folded belong to the element that holds it. Elements deeper than 100 levels count as their ancestor there.
+
+Defined results: null html has the text ''; pages of null or odd URLs share the host ''; rows are never dropped or merged.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from html import unescape
 
 import pyarrow as pa
@@ -25,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import as_texts, join_checked, stored
+from tidewater.llm.common import as_texts, bound_batches, join_checked, slices, stored
 from tidewater.llm.url_filter import host_and_path
 
 # Element names of HTML.
@@ -37,42 +45,52 @@ _CLOSES = {
     "p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"]),
 }
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
-#: Parts of class, id and role names that mark what isn't the article.
+#: Parts of class and role names of containers that say, where the wrapper agrees, that they aren't the article.
 _HINTS = frozenset(
     "nav navbar navigation menu menubar masthead topbar footer contentinfo sidebar aside complementary ad ads adv advert adverts advertisement adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login comment comments commentlist discussion respond response responses reply replies feedback disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager popup modal overlay dialog search toolbar widget skip hidden".split()
 )
 _MAIN = frozenset(["article", "main"])
-_LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 pre blockquote td th dd dt".split())
+#: Parts of a flow.
+_FLOW = frozenset("# p li h1 h2 h3 h4 h5 h6 pre blockquote td th dd dt dl ul ol table thead tbody tfoot tr caption figure figcaption hr address details summary".split())
 #: A text is boilerplate if so many pages of the host, and more than half of them, show it at the same place.
 _SEVERAL = 3
 
 _TAG = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?")
-_ATTR = re.compile(r"""(?<![\w-])(class|id|role|aria-hidden|hidden|itemprop|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
+#: Elements whose names aren't read.
+_TEXT_TAGS = frozenset("html body article main p h1 h2 h3 h4 h5 h6 li pre blockquote td th dd dt".split())
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """The tag with its class and id (without digits), and whether names say that it isn't the article."""
-    names, out = [], tag in _NOT_TEXT
+_DEPTH, _WIDE, _LABELS, _NODES = 100, 64, 256, 4000
+#: Two elements of one label are of a kind if their descendants' labels overlap so much.
+_OF_A_KIND = 0.75
+
+
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The tag with its class and id (without digits); whether it is no text; whether its class says that it isn't the article."""
+    names, skipped, named = [], tag in _NOT_TEXT, False
     if attributes:
         for m in _ATTR.finditer(attributes):
             kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if "hidden" in kind or kind == "style":
-                out |= kind == "hidden" or value.strip().lower() == "true" or re.search(r"display\s*:\s*none", value, re.I) is not None
+                skipped |= kind == "hidden" or value.strip().lower() == "true" or re.search(r"display\s*:\s*none", value, re.I) is not None
                 continue
+            if kind != "id" and tag not in _TEXT_TAGS:
+                parts = {w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", value) if w}
+                named |= bool(parts & _HINTS)
             words = _NAME.findall(value)
-            parts = {w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", value) if w}
-            out |= bool(parts & _HINTS) and tag not in ("html", "body")
-            if words:
+            if words and kind != "role":
                 names.append(".".join(w.lower() for w in words[:4]))
-    return (tag + "." + ".".join(names) if names else tag), out
+    return (tag + "." + ".".join(names) if names else tag), skipped, named
 
 
 def stream(html: str) -> list[tuple]:
-    """Well-nested events: ('<', label, skipped), ('>', label), ('#', text). Text is decoded, with single spaces."""
+    """Well-nested events: ('<', label, skipped, named), ('>',), ('#', text). Text is decoded, with single spaces."""
     events: list[tuple] = []
-    open_: list[tuple[str, str]] = []  # (tag, label) of block elements
+    open_: list[str] = []  # tags of block elements
+    inside: Counter = Counter()
     words: list[str] = []
 
     def flush() -> None:
@@ -84,7 +102,8 @@ def stream(html: str) -> list[tuple]:
 
     def close(down_to: int) -> None:
         while len(open_) > down_to:
-            events.append((">", open_.pop()[1]))
+            inside[open_.pop()] -= 1
+            events.append((">",))
 
     at, n = 0, len(html)
     while at < n:
@@ -110,253 +129,478 @@ def stream(html: str) -> list[tuple]:
             continue
         flush()
         if m[1]:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == tag:
-                    close(i)
-                    break
+            if inside[tag]:
+                close(len(open_) - 1 - open_[::-1].index(tag))
             continue
         closing = _CLOSES.get(tag, frozenset())
         if tag in _ENDS_P:
             closing |= {"p"}
-        while open_ and open_[-1][0] in closing:
+        while open_ and open_[-1] in closing:
             close(len(open_) - 1)
-        label, skipped = _label(tag, m[3])
         if tag in _VOID or m[3].endswith("/"):
             continue
-        events.append(("<", label, skipped or tag == "header" and not any(t in _MAIN for t, _ in open_)))
-        open_.append((tag, label))
+        label, skipped, named = _label(tag, m[3])
+        events.append(("<", label, skipped or tag == "header" and not (inside["article"] or inside["main"]), named))
+        open_.append(tag)
+        inside[tag] += 1
     flush()
     close(0)
     return events
 
 
-# --- wrappers: nodes are ["<", label, skipped], [">", label], ["#", fixed text's hash or None, characters], ["?", nodes], ["+", nodes]
+# --- trees and wrappers: nodes are [label, loose, kids, pages]. Labels begin with '!' for no text and '?' for a doubtful name.
+# The flow '~', its parts and other loose nodes have each label once, in any order and number.
+
 
+def _tag(label: str) -> str:
+    return label.lstrip("!?").partition(".")[0]
 
-def key(node: list) -> str:
-    if node[0] in "?+":
-        return node[0] + "(" + " ".join(key(x) for x in node[1]) + ")"
-    return node[0] if node[0] == "#" else node[0] + node[1]
 
+def page_tree(events: list[tuple]) -> tuple[list, list[tuple[list, str]]]:
+    """The page's tree, and its texts with the nodes that hold them (none of those that are no text)."""
+    root: list = ["", 0, [], 1]
+    path, deeper, hidden = [root], 0, 0
+    texts: list[tuple[list, str]] = []
 
-def _merge(a: list, b: list) -> list:
-    """Two nodes of one key as one."""
-    if a[0] == "#":
-        return ["#", a[1] if a[1] == b[1] else None, a[2] + b[2]]
-    if a[0] in "?+":
-        return [a[0], [_merge(x, y) for x, y in zip(a[1], b[1], strict=True)]]
-    return a
+    def kid(label: str, flow: bool) -> list:
+        parent = path[-1]
+        if flow and not parent[1]:
+            if not (parent[2] and parent[2][-1][0] == "~"):
+                parent[2].append(["~", 1, [], 1])
+            parent = parent[2][-1]
+        if parent[1] or len(parent[2]) >= _WIDE:
+            for x in parent[2]:
+                if x[0] == label:
+                    x[1] = 1
+                    return x
+        node = [label, int(flow), [], 1]
+        parent[2].append(node)
+        return node
 
+    for e in events:
+        if e[0] == "<":
+            if hidden or len(path) > _DEPTH:
+                hidden += bool(hidden) or e[2]
+                deeper += not hidden
+                continue
+            node = kid(("!" if e[2] else "?" if e[3] else "") + e[1], e[1].partition(".")[0] in _FLOW)
+            if e[2]:
+                hidden = 1
+            else:
+                path.append(node)
+        elif e[0] == ">":
+            if hidden:
+                hidden -= 1
+            elif deeper:
+                deeper -= 1
+            else:
+                path.pop()
+        elif not hidden:
+            texts.append((path[-1] if _tag(path[-1][0]) in _FLOW else kid("#", True), e[1]))
+    return root, texts
 
-def fold(nodes: list[list]) -> list[list]:
-    """Neighbouring segments (element with its content) of one shape become a repeated group."""
-    out: list[list] = []
-    keys: list[str] = []
-    begins: list[int] = []
-    for node in nodes:
-        if node[0] == "<":
-            begins.append(len(out))
+
+def numbered(root: list) -> list[list]:
+    """Nodes in order: a node before what it holds."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
         out.append(node)
-        keys.append(key(node))
-        if node[0] == ">" and begins:
-            i = begins.pop()
-            seg, seg_keys = out[i:], keys[i:]
-            if i and out[i - 1][0] == "+" and [key(x) for x in out[i - 1][1]] == seg_keys:
-                out[i - 1] = ["+", [_merge(x, y) for x, y in zip(out[i - 1][1], seg, strict=True)]]
-                del out[i:], keys[i:]
-            elif i >= len(seg) and keys[i - len(seg) : i] == seg_keys:
-                group = ["+", [_merge(x, y) for x, y in zip(out[i - len(seg) : i], seg, strict=True)]]
-                del out[i - len(seg) :], keys[i - len(seg) :]
-                out.append(group)
-                keys.append(key(group))
+        todo.extend(reversed(node[2]))
     return out
 
 
-def _join_groups(nodes: list[list], groups: list[list[str]]) -> list[list]:
-    """Single occurrences of a repeated group's shape become a group."""
-    for shape in groups:
-        keys, i, out = [key(x) for x in nodes], 0, []
-        while i < len(nodes):
-            if keys[i] == shape[0] and keys[i : i + len(shape)] == shape:
-                out.append(["+", nodes[i : i + len(shape)]])
-                i += len(shape)
-            else:
-                out.append(nodes[i])
-                i += 1
-        nodes = out
-    return nodes
-
-
-def align(a: list[list], b: list[list]) -> list[list]:
-    """One wrapper for what both describe."""
-    ka, kb = [key(x) for x in a], [key(x) for x in b]
-    if ka == kb:
-        return [_merge(x, y) for x, y in zip(a, b, strict=True)]
-    groups = {g: [key(x) for x in n[1]] for nodes in (a, b) for n in nodes if n[0] == "+" for g in [key(n)]}
-    if groups:
-        a, b = _join_groups(a, list(groups.values())), _join_groups(b, list(groups.values()))
-        ka, kb = [key(x) for x in a], [key(x) for x in b]
-    bare = lambda k: k[2:-1] if k.startswith("?(") else k  # noqa: E731  an optional part meets what it stands for
-    ka, kb = [bare(k) for k in ka], [bare(k) for k in kb]
-    out: list[list] = []
-    for op, i, j, k, m in SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
-        if op == "equal":
-            for x, y in zip(a[i:j], b[k:m], strict=True):
-                if x[0] == y[0]:
-                    out.append(_merge(x, y))
-                else:
-                    optional, other = (x, y) if x[0] == "?" else (y, x)
-                    out.append(["?", [_merge(optional[1][0], other)] if len(optional[1]) == 1 else optional[1]])
+def kinds(node: list, depth: int = 3) -> dict[str, float]:
+    """Labels below a node (flows count as what they hold), by how often they occur where the node does."""
+    out: dict[str, float] = {}
+    for x in node[2]:
+        share = min(1.0, x[3] / node[3])
+        own = "" if x[0] == "~" else x[0]
+        if own:
+            out[own] = max(out.get(own, 0.0), share)
+        for k, v in (kinds(x, depth - 1) if depth else {}).items():
+            k = f"{own}>{k}" if own else k
+            out[k] = max(out.get(k, 0.0), share * v)
+    return out
+
+
+def likeness(a: list, b: list) -> float:
+    """Weighted Jaccard similarity of what two nodes hold."""
+    x, y = kinds(a), kinds(b)
+    both = sum(min(v, y[k]) for k, v in x.items() if k in y)
+    either = sum(x.values()) + sum(y.values()) - both
+    return both / either if either else 1.0
+
+
+def align(a: list[list], b: list[list]) -> list[tuple[int, int]]:
+    """Pairs of places of two lists of children that stand for each other, in order: the alignment with most likeness."""
+    la, lb = [x[0] for x in a], [x[0] for x in b]
+    if la == lb:
+        return [(i, i) for i in range(len(a))]
+    best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    like: dict[tuple[int, int], float] = {}
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1])
+            if la[i] == lb[j]:
+                like[i, j] = 0.2 + likeness(a[i], b[j])
+                best[i][j] = max(best[i][j], best[i + 1][j + 1] + like[i, j])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if (i, j) in like and best[i][j] == best[i + 1][j + 1] + like[i, j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i][j] == best[i + 1][j]:
+            i += 1
         else:
-            for part in (a[i:j], b[k:m]):
-                out += [x if x[0] == "?" else ["?", [x]] for x in part]
+            j += 1
     return out
 
 
-def page_wrapper(events: list[tuple]) -> list[list]:
-    return fold([["#", xxhash.xxh3_64_intdigest(e[1].encode()) >> 1, len(e[1])] if e[0] == "#" else list(e) for e in events])
-
-
-def region(wrapper: list[list]) -> tuple[str, set[int]]:
-    """The path (labels) of the container with most of the varying text, and the hashes of texts that never vary."""
-    mass: dict[str, float] = {}
-    fixed: set[int] = set()
-    path: list[tuple[str, bool]] = []
-
-    def walk(nodes: list[list]) -> None:
-        for x in nodes:
-            if x[0] in "?+":
-                walk(x[1])
-            elif x[0] == "<":
-                path.append((x[1], x[2]))
-            elif x[0] == ">":
-                for i in range(len(path) - 1, -1, -1):
-                    if path[i][0] == x[1]:
-                        del path[i:]
-                        break
-            elif not any(s for _, s in path):
-                weight = x[2] if x[1] is None else 0.2 * x[2]
-                if x[1] is not None:
-                    fixed.add(x[1])
-                for i in range(1, len(path) + 1):
-                    p = ">".join(label for label, _ in path[:i])
-                    mass[p] = mass.get(p, 0.0) + weight
-
-    walk(wrapper)
-    if not mass:
-        return "", fixed
-    most = max(mass.values())
-
-    def tag(p: str) -> str:
-        return p.rpartition(">")[2].partition(".")[0]
-
-    named = [p for p in mass if tag(p) in _MAIN and mass[p] >= 0.3 * most]
-    if named:
-        return max(named, key=lambda p: (tag(p) == "article", mass[p], -len(p))), fixed
-    inner = [p for p in mass if mass[p] >= 0.8 * most and tag(p) not in _LEAVES]
-    return (max(inner, key=lambda p: (p.count(">"), p)) if inner else ""), fixed
-
-
-def text_key(path: list[tuple[str, bool]], text: str) -> int:
-    """A text at its place in the page."""
-    return xxhash.xxh3_64_intdigest(f"{'>'.join(x for x, _ in path)}\0{text}".encode()) >> 1
-
-
-def extract(events: list[tuple], where: str, fixed: set[int]) -> str | None:
-    """Blocks inside the region, joined by line ends; None where the page has no such region."""
-    path: list[tuple[str, bool]] = []
-    depth = where.count(">") + 1 if where else 0
-    blocks: list[str] = []
-    inside = not where
-    found = inside
-    by_name = where.rpartition(">")[2].partition(".")[0] in _MAIN
-    for e in events:
-        if e[0] == "<":
-            path.append((e[1], e[2]))
-            if where and len(path) == depth and ">".join(x for x, _ in path) == where:
-                inside = found = True
-        elif e[0] == ">":
-            path.pop()
-            if where and len(path) < depth:
-                inside = False
-        elif inside and not any(s for _, s in path) and (by_name or not fixed or text_key(path, e[1]) not in fixed):
-            blocks.append(e[1])
-    return "\n".join(blocks) if found else None
+def merge(a: list, b: list, same_page: bool = False) -> list:
+    """One node for what two nodes of one label describe."""
+    loose = a[1] or b[1]
+    out = [a[0], loose, _merged(a[2], b[2], bool(loose), same_page), max(a[3], b[3]) if same_page else a[3] + b[3]]
+    if not loose and len(out[2]) > _WIDE:
+        out[1], out[2] = 1, _merged(out[2], [], True, False)
+    return out
+
+
+def _merged(a: list[list], b: list[list], loose: bool, same_page: bool) -> list[list]:
+    if loose:
+        out: dict[str, list] = {}
+        for side in (a, b):
+            mine: set[str] = set()
+            for x in side:
+                out[x[0]] = merge(out[x[0]], x, same_page or x[0] in mine) if x[0] in out else x
+                mine.add(x[0])
+        return list(out.values())
+    pairs, rows = align(a, b), []
+    i = j = 0
+    for p, q in [*pairs, (len(a), len(b))]:
+        rows += [(x, 1) for x in a[i:p]] + [(x, 2) for x in b[j:q]]
+        if p < len(a):
+            rows.append((merge(a[p], b[q], same_page), 3))
+        i, j = p + 1, q + 1
+    done: list[tuple[list, int]] = []
+    for x, sides in rows:
+        last = done[-1] if done else None
+        # What one side has more of joins its neighbour as a repeated group.
+        if last and last[0][0] == x[0] and 3 in (sides, last[1]) and sides != last[1] and likeness(last[0], x) >= _OF_A_KIND:
+            done[-1] = (merge(last[0], x, True), 3)
+        else:
+            done.append((x, sides))
+    return [x for x, _ in done]
+
+
+def squeeze(root: list) -> list:
+    """A wrapper of at most _NODES nodes: lists fold by label, then parts are left to the elements that hold them."""
+
+    def loosened(node: list) -> list:
+        kids = _merged([loosened(x) for x in node[2]], [], True, False)
+        return [node[0], 1, kids if len(kids) <= _LABELS else [], node[3]]
+
+    def cut(node: list, depth: int) -> list:
+        return [node[0], node[1], [cut(x, depth - 1) for x in node[2]] if depth else [], node[3]]
+
+    if len(numbered(root)) > _NODES:
+        root = loosened(root)
+    depth = _DEPTH
+    while len(numbered(root)) > _NODES:
+        depth //= 2
+        root = cut(root, depth)
+    return root
+
+
+def slots(page: list, wrapper: list) -> list[int]:
+    """For each node of a page's tree, in order, its number in the wrapper: its own, or that of the element that holds it."""
+    number = {id(x): i for i, x in enumerate(numbered(wrapper))}
+    found: dict[int, int] = {}
+
+    def rest(node: list, at: int) -> None:
+        for x in numbered(node):
+            found[id(x)] = at
+
+    def walk(node: list, w: list) -> None:
+        found[id(node)] = number[id(w)]
+        kids, there = node[2], w[2]
+        place: dict[int, list] = {}
+        if w[1]:
+            by_label = {x[0]: x for x in there}
+            place = {i: by_label[x[0]] for i, x in enumerate(kids) if x[0] in by_label}
+        elif kids:
+            place = {i: there[j] for i, j in align(kids, there)}
+            for order in (range(1, len(kids)), range(len(kids) - 2, -1, -1)):
+                for i in order:
+                    by = place.get(i - 1 if order.step > 0 else i + 1)
+                    if i not in place and by is not None and by[0] == kids[i][0] and likeness(kids[i], by) >= _OF_A_KIND:
+                        place[i] = by
+        for i, x in enumerate(kids):
+            if i in place:
+                walk(x, place[i])
+            else:
+                rest(x, number[id(w)])
+
+    walk(page, wrapper)
+    return [found[id(x)] for x in numbered(page)]
+
+
+def region(root: list, mass: list[float], no_article: set[int]) -> int:
+    """The number of the container with most of the mass (given for each node's own texts), without that in no_article."""
+    nodes = numbered(root)
+    number = {id(x): i for i, x in enumerate(nodes)}
+    total = [0.0 if i in no_article else m for i, m in enumerate(mass)]
+    up: dict[int, int] = {}
+    for i in range(len(nodes) - 1, -1, -1):
+        for x in nodes[i][2]:
+            k = number[id(x)]
+            up[k] = i
+            total[i] += total[k]
+    most = total[0]
+    if most <= 0:
+        return 0
+    box = [x[0] == "" or x[0] != "~" and _tag(x[0]) not in _FLOW for x in nodes]
+    in_flow = [False] * len(nodes)
+    for i in range(1, len(nodes)):
+        in_flow[i] = nodes[up[i]][0] == "~" or in_flow[up[i]]
+    best = 0
+    # Down to the innermost container that holds four fifths, and up again where its neighbours are bare headings and paragraphs.
+    down = True
+    while down:
+        down = False
+        for x in nodes[best][2]:
+            k = number[id(x)]
+            if box[k] and not in_flow[k] and total[k] >= 0.8 * most:
+                best, down = k, True
+    while best in up and (extra := total[up[best]] - total[best]) > 0 and sum(total[number[id(x)]] for x in nodes[up[best]][2] if x[0] == "~") >= 0.9 * extra:
+        best = up[best]
+    named = [i for i in range(len(nodes)) if _tag(nodes[i][0]) in _MAIN and total[i] >= 0.5 * total[best]]
+    return max(named, key=lambda i: (_tag(nodes[i][0]) == "article", total[i], i)) if named else best
+
+
+def template_parts(root: list) -> set[int]:
+    """Nodes at or under a container of doubtful name that the wrapper shows on several pages."""
+    out: set[int] = set()
+    todo = [(root, False)]
+    number = {id(x): i for i, x in enumerate(numbered(root))}
+    pages = root[3]
+    while todo:
+        node, drop = todo.pop()
+        drop = drop or node[0].startswith("!") or node[0].startswith("?") and node[3] >= min(2, pages) and 5 * node[3] >= pages
+        if drop:
+            out.add(number[id(node)])
+        todo += [(x, drop) for x in node[2]]
+    return out
+
+
+def end_of(nodes: list[list], at: int) -> int:
+    """The number after the last node that the one at `at` holds."""
+    return at + len(numbered(nodes[at]))
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode()) >> 1
+
+
+def _shape(root: list) -> str:
+    return json.dumps(root, ensure_ascii=False, separators=(",", ":"))
+
+
+_COUNTED = "host string, shape long, tree string, leaf int, text long, chars long, pages long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) to (host, path, text, chars, pages): texts outside of menus and the like; a row of null path counts pages."""
+    """(host, html) to counts by host, shape, place and text; a row of null place has the shape's tree and counts pages."""
+    trees: dict[tuple, list] = {}
     known: dict[tuple, list[int]] = {}
 
     def out() -> pa.RecordBatch:
-        rows = [(*k, *v) for k, v in known.items()]
+        rows = [(h, s, tree, None, None, 0, n) for (h, s), (tree, n) in trees.items()] + [(*k[:2], None, *k[2:], *v) for k, v in known.items()]
+        trees.clear()
         known.clear()
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "path", "text", "chars", "pages"])
+        types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in _COUNTED.split(", ")])
 
-    for batch in batches:
+    for batch in slices(batches):
         for host, html in zip(batch.column(0).to_pylist(), as_texts(batch.column(1)), strict=True):
-            path: list[tuple[str, bool]] = []
-            mine: dict[tuple, int] = {(host, None, None): 0}
-            for e in stream(html):
-                if e[0] == "<":
-                    path.append((e[1], e[2]))
-                elif e[0] == ">":
-                    path.pop()
-                elif not any(skipped for _, skipped in path):
-                    k = (host, ">".join(x for x, _ in path), text_key(path, e[1]))
-                    mine[k] = mine.get(k, 0) + len(e[1])
+            root, texts = page_tree(stream(html))
+            number = {id(x): i for i, x in enumerate(numbered(root))}
+            tree = _shape(root)
+            shape = _hash(tree)
+            trees.setdefault((host, shape), [tree, 0])[1] += 1
+            mine: dict[tuple, int] = {}
+            for node, text in texts:
+                k = (host, shape, number[id(node)], _hash(text))
+                mine[k] = mine.get(k, 0) + len(text)
             for k, chars in mine.items():
                 sums = known.setdefault(k, [0, 0])
                 sums[0] += chars
                 sums[1] += 1
-            if len(known) > 50_000:
+        if len(known) > 50_000:
+            yield out()
+    yield out()
+
+
+def _weighted(tree: str, pages: int) -> list:
+    root = json.loads(tree)
+    for x in numbered(root):
+        x[3] = pages
+    return root
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, salt, tree, pages, whole), sorted by host and salt, to one wrapper for each. `whole` trees are wrappers already."""
+    now, wrapper, first = None, None, 0
+
+    def out() -> pa.RecordBatch:
+        rows = [] if now is None else [(now[0], first, _shape(squeeze(wrapper)), wrapper[3], True)]
+        types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "shape", "tree", "pages", "whole"])
+
+    for batch in slices(batches, 100):
+        for host, salt, shape, tree, pages, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            root = json.loads(tree) if whole else _weighted(tree, pages)
+            if now == (host, salt):
+                wrapper = squeeze(merge(wrapper, root))
+            else:
                 yield out()
+                now, wrapper, first = (host, salt), root, shape
     yield out()
 
 
-def host_regions(pages: DataFrame, most_broadcast: int = 50_000) -> DataFrame:
-    """host, region, fixed: the path with most of the host's varying text, and the keys of its boilerplate."""
+def host_wrappers(shapes: DataFrame, together: int = 64) -> DataFrame:
+    """host, tree, pages: one wrapper for each host. In a round, a task aligns about `together` trees of a host at a time."""
+    left = stored(shapes.select("host", "shape", "tree", "pages", F.lit(False).alias("whole")), "wrappers")
+    while True:
+        salts = F.ceil(F.col("c") / together).cast("long")
+        salted = left.join(left.groupBy("host").agg(F.count(F.lit(1)).alias("c")), "host").withColumn("salt", F.pmod("shape", salts))
+        ordered = salted.repartition("host", "salt").sortWithinPartitions("host", "salt", F.desc("pages"), "shape")
+        left = stored(ordered.select("host", "salt", "shape", "tree", "pages", "whole").mapInArrow(_unite, "host string, shape long, tree string, pages long, whole boolean"), "wrappers")
+        if not left.groupBy("host").count().filter("count > 1").limit(1).count():
+            return left.select("host", "tree", "pages")
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, shape, tree, wrapper) to (host, shape, leaf, slot): the places of a shape in its host's wrapper."""
+    for batch in slices(batches, 100):
+        rows = []
+        for host, shape, tree, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows += [(host, shape, i, s) for i, s in enumerate(slots(json.loads(tree), json.loads(wrapper)))]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["host", "shape", "leaf", "slot"])
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, tree, slots of (slot, mass, chars)) to (host, tree, region, share): share is that of varying text in each slot, in thousandths."""
+    for batch in slices(batches, 100):
+        regions, shares = [], []
+        for tree, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            root = json.loads(tree)
+            n = len(numbered(root))
+            mass, share = [0.0] * n, [1000] * n
+            for s in found or ():
+                mass[s["slot"]], share[s["slot"]] = s["mass"], max(0, 100 * s["mass"] // max(1, s["chars"]))
+            regions.append(region(root, mass, template_parts(root)))
+            shares.append(share)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(regions, pa.int32()), pa.array(shares, pa.list_(pa.int32()))], names=["host", "tree", "region", "share"])
+
+
+def host_plans(pages: DataFrame, most_broadcast: int = 50_000) -> DataFrame:
+    """host, tree (the wrapper), region (a node's number), share, fixed (slots and text hashes of its boilerplate)."""
     host, _ = host_and_path(F.col("url"))
-    counted = pages.select(host.alias("host"), "html").mapInArrow(_count, "host string, path string, text long, chars long, pages long")
-    counted = stored(counted.groupBy("host", "path", "text").agg(F.sum("chars").alias("chars"), F.sum("pages").alias("pages")), "texts")
-    hosts = counted.filter("path is null").select("host", F.col("pages").alias("of"))
-    texts = counted.filter("path is not null")
-    fixed = stored(join_checked(texts.filter(F.col("pages") >= _SEVERAL), hosts, ["host"], most_broadcast, "inner").filter("2 * pages > of").drop("of"), "fixed")
+    counted = stored(pages.select(host.alias("host"), "html").mapInArrow(_count, _COUNTED), "counts")
+    shapes = stored(counted.filter("leaf is null").groupBy("host", "shape").agg(F.max("tree").alias("tree"), F.sum("pages").alias("pages")), "shapes")
+    wrappers = host_wrappers(shapes)
+    places = stored(join_checked(shapes.select("host", "shape", "tree"), wrappers.select("host", F.col("tree").alias("wrapper")), ["host"], most_broadcast // 50, "inner").mapInArrow(_place, "host string, shape long, leaf int, slot int"), "places")
+    texts = counted.filter("leaf is not null").groupBy("host", "shape", "leaf", "text").agg(F.sum("chars").alias("chars"), F.sum("pages").alias("pages"))
+    texts = join_checked(texts, places, ["host", "shape", "leaf"], most_broadcast, "inner").groupBy("host", "slot", "text").agg(F.sum("chars").alias("chars"), F.sum("pages").alias("pages"))
+    texts = stored(join_checked(texts, wrappers.select("host", F.col("pages").alias("of")), ["host"], most_broadcast, "inner").withColumn("fixed", (F.col("pages") >= _SEVERAL) & (2 * F.col("pages") > F.col("of"))), "texts")
     # Weights of 10 and 2, so that sums are whole numbers.
-    by_path = texts.groupBy("host", "path").agg(F.sum(10 * F.col("chars")).alias("mass")).union(fixed.groupBy("host", "path").agg(F.sum(-8 * F.col("chars")).alias("mass")))
-    by_path = by_path.groupBy("host", "path").agg(F.sum("mass").alias("mass")).filter("path != ''")
-    labels = F.split("path", ">")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, 1, i), ">"))
-    mass = stored(by_path.select("host", F.explode(prefixes).alias("p"), "mass").groupBy("host", "p").agg(F.sum("mass").alias("mass")), "mass")
-    rated = join_checked(mass, mass.groupBy("host").agg(F.max("mass").alias("most")), ["host"], most_broadcast, "inner")
-    tag = F.substring_index(F.substring_index("p", ">", -1), ".", 1)
-    named = tag.isin(*_MAIN) & (10 * F.col("mass") >= 3 * F.col("most"))
-    inner = ~tag.isin(*_LEAVES) & (10 * F.col("mass") >= 8 * F.col("most"))
-    chosen = rated.groupBy("host").agg(
-        F.max(F.when(named, F.struct((tag == "article").alias("article"), "mass", (-F.char_length("p")).alias("n"), "p"))).alias("named"),
-        F.max(F.when(inner, F.struct(F.size(F.split("p", ">")).alias("depth"), "p"))).alias("inner"),
-    )
-    where = hosts.join(chosen, "host", "left").join(fixed.groupBy("host").agg(F.collect_list("text").alias("fixed")), "host", "left")
-    return where.select("host", F.coalesce("named.p", "inner.p", F.lit("")).alias("region"), "fixed")
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for html, where, fixed in zip(as_texts(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            events = stream(html)
-            text = extract(events, where or "", set(fixed or ()))
-            if text is None:
-                text = extract(events, region(page_wrapper(events))[0], set()) if events else ""
-            texts.append(text or "")
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-
-def main_text(pages: DataFrame, most_broadcast: int = 50_000) -> DataFrame:
-    """page_id, url, text, n_chars, one row for each page."""
-    where = stored(host_regions(pages, most_broadcast), "regions")
+    mass = texts.groupBy("host", "slot").agg(F.sum(F.col("chars") * F.when(F.col("fixed"), 2).otherwise(10)).alias("mass"), F.sum("chars").alias("chars"))
+    mass = mass.groupBy("host").agg(F.collect_list(F.struct("slot", "mass", "chars")).alias("slots"))  # as many as nodes of a wrapper
+    chosen = wrappers.join(mass, "host", "left").select("host", "tree", "slots").mapInArrow(_choose, "host string, tree string, region int, share array<int>")
+    fixed = texts.filter("fixed").groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("fixed"))
+    return chosen.join(fixed, "host", "left")
+
+
+class Host:
+    """What a host's pages are read by."""
+
+    def __init__(self, tree: str, where: int, share: list[int], fixed: list[dict] | None):
+        self.wrapper = json.loads(tree)
+        self.nodes = numbered(self.wrapper)
+        self.inside = range(where, end_of(self.nodes, where))
+        self.share, self.fixed = share, {(x["slot"], x["text"]) for x in fixed or ()}
+        self.dropped = template_parts(self.wrapper)
+        self.known: dict[int, list[int]] = {}
+
+    def read(self, html: str) -> str:
+        root, texts = page_tree(stream(html))
+        if not texts:
+            return ""
+        nodes = numbered(root)
+        number = {id(x): i for i, x in enumerate(nodes)}
+        shape = _hash(_shape(root))
+        if shape not in self.known:
+            if len(self.known) > 1000:
+                self.known.clear()
+            self.known[shape] = slots(root, self.wrapper)
+        slot = self.known[shape]
+        if self.inside.start in slot:
+            keep = [slot[number[id(node)]] in self.inside for node, _ in texts]
+        else:
+            mass = [0.0] * len(nodes)
+            out = {i for i, s in enumerate(slot) if s in self.dropped}
+            for node, text in texts:
+                i = number[id(node)]
+                mass[i] += len(text) * (0.2 if (slot[i], _hash(text)) in self.fixed else self.share[slot[i]] / 1000)
+            where = region(root, mass, out)
+            mine = range(where, end_of(nodes, where))
+            keep = [number[id(node)] in mine for node, _ in texts]
+        blocks = []
+        for (node, text), ours in zip(texts, keep, strict=True):
+            s = slot[number[id(node)]]
+            if ours and s not in self.dropped and not (self.fixed and (s, _hash(text)) in self.fixed):
+                blocks.append(text)
+        return "\n".join(blocks)
+
+
+_READ = "page_id long, url string, text string, n_chars long"
+
+
+def _out(ids: pa.Array, urls: pa.Array, texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+
+def _read(plans):
+    """(page_id, url, html, host), or with broadcast plans missing, also the plan's columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Host] = {}
+        for batch in slices(batches):
+            texts = []
+            hosts = batch.column(3).to_pylist()
+            for i, (host, html) in enumerate(zip(hosts, as_texts(batch.column(2)), strict=True)):
+                if host not in known:
+                    if len(known) > 200:
+                        known.clear()
+                    known[host] = Host(*(plans.value[host] if plans else (batch.column(c)[i].as_py() for c in range(4, 8))))
+                texts.append(known[host].read(html))
+            yield _out(batch.column(0), batch.column(1), texts)
+
+    return run
+
+
+def main_text(pages: DataFrame, most_broadcast: int = 50_000, most_bytes: int = 50_000_000) -> DataFrame:
+    """page_id, url, text, n_chars, one row for each page. Plans of up to most_bytes in all are broadcast; beyond, pages are joined with them."""
+    bound_batches(pages.sparkSession)
+    plans = stored(host_plans(pages, most_broadcast), "plans")
     host, _ = host_and_path(F.col("url"))
-    rows = join_checked(pages.select("page_id", "url", "html", host.alias("host")), where, ["host"], most_broadcast)
-    return rows.select("page_id", "url", "html", "region", "fixed").mapInArrow(_read, "page_id long, url string, text string, n_chars long")
+    rows = pages.select("page_id", "url", "html", host.alias("host"))
+    bulk = plans.agg(F.coalesce(F.sum(F.octet_length("tree") + 4 * F.size("share") + 16 * F.coalesce(F.size("fixed"), F.lit(0))), F.lit(0))).first()[0]
+    if bulk <= most_bytes:
+        known = {r["host"]: (r["tree"], r["region"], r["share"], [x.asDict() for x in r["fixed"] or ()]) for r in plans.collect()}
+        return rows.mapInArrow(_read(pages.sparkSession.sparkContext.broadcast(known)), _READ)
+    return rows.join(plans.hint("merge"), "host").select("page_id", "url", "html", "host", "tree", "region", "share", "fixed").mapInArrow(_read(None), _READ)
