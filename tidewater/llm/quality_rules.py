@@ -1,17 +1,17 @@
 """Quality rules: fixed counts, and divergence of a document's histograms from those of its language.
 
 References are learned from the whole corpus: for each language, the histogram of character classes and the counts of
-its common words. A document's two histograms (character classes; common words and 'other') are compared with the
-reference by Jensen-Shannon distance. As a sample of n falls away from its own distribution by about 1/sqrt(n), the most
-that passes is a floor plus a noise term over sqrt(n), with n the document's characters or words. Documents below the
-minimum length get no verdict from a histogram.
+its common words. A document's two histograms (character classes; common words and 'other') are compared with its
+language's reference by Jensen-Shannon distance. As a sample of n falls away from its own distribution by about
+1/sqrt(n), the most that passes is a floor plus a noise term over sqrt(n), with n the document's characters or words.
+Documents below the minimum length get no verdict from a histogram.
 
-Languages with at least 1/1000 of all words have a reference of their own (so there are 1,000 at most), the others
-share one; a word is common with at least 1/2000 of its language's words (2,000 a language at most). These bounds are
-what is collected and broadcast. A document is held against its own language's reference and, if that fails, against
-each other one with at least 1/50 of all words, as its language column may be wrong.
+Every language of at least `least_words` words has a reference, whatever its share of the corpus; documents of smaller
+ones get no verdict from histograms, as so few words are none. A word is common with at least 1/2000 of its language's
+words, so a reference has 2,000 at most. References are aggregated in Spark. Up to `most_bytes` in all they are
+broadcast; beyond, documents are joined with them by language.
 
-Defined results: a null text has no words and fails the base rules; a null language counts as a language of its own.
+Defined results: a null text has no words and fails the base rules; a null language is a language of its own.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import as_bytes, stored
+from tidewater.llm.common import as_bytes, bound_batches, join_checked, slices, stored
 
 # The characters between words, and the symbols.
 _BLANK, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
@@ -130,24 +130,33 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def references(docs: DataFrame, word_share: int = 2000, lang_share: int = 1000) -> dict:
-    """lang -> (class histogram, {word: place}, word histogram with 'other' last, share of all words); key '' serves all others."""
+def references(docs: DataFrame, word_share: int = 2000, least_words: int = 2000, most_broadcast: int = 100_000) -> DataFrame:
+    """lang, total (words), words (common ones and their counts), classes (and their counts), one row for each language of enough words."""
     counted = stored(docs.select("lang", "text").mapInArrow(_learn, "lang string, word binary, class int, n long").groupBy("lang", "word", "class").agg(F.sum("n").alias("n")), "words")
-    by_lang = counted.filter("word is not null").groupBy("lang").agg(F.sum("n").alias("total"))
-    total = by_lang.agg(F.sum("total")).first()[0] or 0
-    large = {r["lang"]: r["total"] for r in by_lang.filter(F.col("total") * lang_share >= total).collect()}  # at most lang_share
-    out = {}
-    for key, rows, n in [*((k, counted.filter(F.col("lang").eqNullSafe(F.lit(k))), v) for k, v in large.items()), ("", counted, total)]:
-        if not n:
-            continue
-        per_word = rows.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
-        common = sorted(((bytes(r["word"]), r["n"]) for r in per_word.filter(F.col("n") * word_share >= n).collect()), key=lambda x: (-x[1], x[0]))
-        hist = np.zeros(len(CLASSES))
-        for r in rows.filter("class is not null").groupBy("class").agg(F.sum("n").alias("n")).collect():
-            hist[r["class"]] = r["n"]
-        counts = np.array([c for _, c in common] + [n - sum(c for _, c in common)], dtype=float)
-        out[key] = (hist / max(hist.sum(), 1), {w: i for i, (w, _) in enumerate(common)}, counts / n, n / total)
-    return out
+    words = counted.filter("word is not null").select("lang", "word", "n")
+    total = stored(words.groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= least_words), "totals")
+    common = join_checked(words, total, ["lang"], most_broadcast, "inner").filter(F.col("n") * word_share >= F.col("total"))
+    common = common.groupBy("lang").agg(F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("word", "n"))).alias("words"))
+    classes = counted.filter("class is not null").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("class", "n"))).alias("classes"))
+    return common.join(classes, "lang")
+
+
+class Reference:
+    """Histograms of a language."""
+
+    def __init__(self, total: int, words: list, classes: list):
+        self.places = {bytes(w["word"]): i for i, w in enumerate(words)}
+        self.words = np.array([*(w["n"] for w in words), total - sum(w["n"] for w in words)], dtype=float)
+        self.classes = np.zeros(len(CLASSES))
+        for c in classes:
+            self.classes[c["class"]] = c["n"]
+
+    def distances(self, text: bytes, chars: np.ndarray) -> tuple[float, float]:
+        """Jensen-Shannon distances of the text's classes and words."""
+        n, last = np.zeros(len(self.words)), len(self.words) - 1
+        for w, c in Counter(text.split()).items():
+            n[self.places.get(w, last)] += c
+        return js_distance(chars.astype(float), self.classes), js_distance(n, self.words)
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -160,54 +169,49 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (a + b) / 2)))
 
 
-def _distances(text: bytes, chars: np.ndarray, ref: tuple) -> tuple[float, float]:
-    hist, places, words, _ = ref
-    n = np.zeros(len(words))
-    last = len(words) - 1
-    counts = Counter(text.split())
-    for w, c in counts.items():
-        n[places.get(w, last)] += c
-    return js_distance(chars.astype(float), hist), js_distance(n, words)
+_JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
 def _judge(refs, chars_most: tuple[float, float], words_most: tuple[float, float]):
+    """(doc_id, lang, text), and without broadcast references also total, words and classes, to _JUDGED."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = refs.value
-        for batch in batches:
+        known: dict[str, Reference | None] = {}
+        for batch in slices(batches):
             cols: list[list] = [[] for _ in range(9)]
-            for lang, text in zip(batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
+            for i, (lang, text) in enumerate(zip(batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True)):
+                if lang not in known:
+                    if len(known) > 500:
+                        known.clear()
+                    found = refs.value.get(lang) if refs else tuple(batch.column(c)[i].as_py() for c in range(3, 6))
+                    known[lang] = Reference(*found) if found and found[0] else None
                 counts = base_counts(text)
                 failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
-                chars = char_classes(text)
-                own = lang if lang in known else ""
-                best = (None, None)
+                c = w = None
                 fits = True
-                if own in known:
-                    order = [own, *(k for k, r in known.items() if k != own and r[3] >= 0.02)]
-                    fits = False
-                    for key in order:
-                        c, w = _distances(text, chars, known[key])
-                        n_chars = int(chars.sum())
-                        c_ok = n_chars < LEAST_CHARS or c <= chars_most[0] + chars_most[1] / n_chars**0.5
-                        w_ok = counts[0] < LEAST_WORDS or w <= words_most[0] + words_most[1] / counts[0] ** 0.5
-                        if best[0] is None or c_ok and w_ok:
-                            best = (c, w)
-                        if c_ok and w_ok:
-                            fits = True
-                            break
-                for i, x in enumerate((*counts, failed, not failed and fits, *best)):
-                    cols[i].append(x)
+                if known[lang]:
+                    chars = char_classes(text)
+                    n_chars = int(chars.sum())
+                    c, w = known[lang].distances(text, chars)
+                    fits = n_chars < LEAST_CHARS or c <= chars_most[0] + chars_most[1] / n_chars**0.5
+                    fits &= counts[0] < LEAST_WORDS or w <= words_most[0] + words_most[1] / counts[0] ** 0.5
+                for col, x in zip(cols, (*counts, failed, not failed and fits, c, w), strict=True):
+                    col.append(x)
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[c.split()[0] for c in _JUDGED.split(", ")])
 
     return run
 
 
-def judge(docs: DataFrame, chars_most: tuple[float, float] = (0.2, 2.0), words_most: tuple[float, float] = (0.3, 2.6)) -> DataFrame:
+def judge(docs: DataFrame, chars_most: tuple[float, float] = (0.2, 2.0), words_most: tuple[float, float] = (0.3, 2.6), least_words: int = 2000, most_bytes: int = 50_000_000) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the two distances, one row for each row of docs. The bounds are (floor, noise)."""
-    refs = docs.sparkSession.sparkContext.broadcast(references(docs))
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
-    return docs.select("doc_id", "lang", "text").mapInArrow(_judge(refs, chars_most, words_most), schema)
+    bound_batches(docs.sparkSession)
+    # A null language and one of the name '' stay apart.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("lang"), "text")
+    refs = stored(references(rows, least_words=least_words), "references")
+    bulk = refs.agg(F.coalesce(F.sum(40 * (F.size("words") + F.size("classes"))), F.lit(0))).first()[0]
+    if bulk <= most_bytes:
+        known = {r["lang"]: (r["total"], r["words"], r["classes"]) for r in refs.collect()}
+        return rows.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(known), chars_most, words_most), _JUDGED)
+    rows = rows.join(refs.hint("merge"), "lang", "left").select("doc_id", "lang", "text", "total", "words", "classes")
+    return rows.mapInArrow(_judge(None, chars_most, words_most), _JUDGED)
