@@ -18,15 +18,17 @@ Defined results: a null text is empty and has no spans; rows are never dropped o
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import as_texts, forget, schema_with, stored
+from tidewater.llm.common import as_texts, bound_batches, forget, fresh, schema_with, slices, stored
 
 # Kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -41,10 +43,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 
 _LOOSE_NUMBER = re.compile(r"(?<![\w+.])\(?[0-9][0-9 ().-]{5,}[0-9](?!\w)")
-_LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:@| ?\(at\) ?| ?\[at\] ?)[A-Za-z0-9-]{1,63}(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]{1,63})*")
+_LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@| ?\(at\) ?| ?\[at\] ?)[A-Za-z0-9-]++(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]++)*+")
 _LOOSE_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _WORDS = re.compile(r"\w+|[:=#]")
-_WINDOW = 64
 
 
 def _luhn(digits: str) -> bool:
@@ -92,23 +93,32 @@ def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             found.append((3 if n <= 12 else 2, m.start(), m.end()))
     if not found:
         return found
-    ends = sorted((s, e) for _, s, e in taken)
-    out = []
+    ordered = sorted((s, e) for _, s, e in taken)
+    begins, ends = [s for s, _ in ordered], list(accumulate((e for _, e in ordered), max))
+    out: list[tuple[int, int, int]] = []
     for kind, s, e in sorted(found, key=lambda x: (x[1], x[0])):
-        if not any(a < e and s < b for a, b in ends) and not any(a < e and s < b for _, a, b in out[-3:]):
+        before = bisect_left(begins, e)  # those that begin before the end; the furthest of them mustn't reach beyond the start
+        if (not before or ends[before - 1] <= s) and (not out or out[-1][2] <= s):
             out.append((kind, s, e))
     return out
 
 
 def contexts(text: str, start: int) -> tuple[str, str]:
     """The last word, and the last two words, before start ('^' where there are none)."""
-    words = _WORDS.findall(text[max(0, start - _WINDOW) : start].lower())
+    width = 64
+    while True:
+        at = max(0, start - width)
+        found = [m[0] for m in _WORDS.finditer(text, at, start)]
+        if at == 0 or len(found) > 2:  # the first one may be cut, the last two aren't
+            break
+        width *= 8
+    words = " ".join(found[-2:]).lower().split()
     return words[-1] if words else "^", " ".join(words[-2:]) if len(words) > 1 else "^ ^"
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to rows (kind, context, instance, seed)."""
-    for batch in batches:
+    for batch in slices(batches):
         rows: list[tuple[int, str, int, bool]] = []
         for text in as_texts(batch.column(0)):
             if not _ANY.search(text):
@@ -165,6 +175,7 @@ def _all_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def learn_patterns(docs: DataFrame, trust: float = 0.5, doubt: float = 1.0, rounds: int = 3, most_broadcast: int = 100_000) -> DataFrame:
     """(kind, context, confidence) of the patterns that reach trust."""
     spark = docs.sparkSession
+    bound_batches(spark)
     seen = docs.select("text").mapInArrow(_observe, "kind int, context string, instance long, seed boolean")
     edges = stored(seen.groupBy("kind", "context", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("times")), "edges")
     least = 2
@@ -193,32 +204,44 @@ def learn_patterns(docs: DataFrame, trust: float = 0.5, doubt: float = 1.0, roun
     return patterns
 
 
+def _spans(text: str, confidence: dict, trust: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and the candidates that patterns reach."""
+    if not _ANY.search(text):
+        return [], []
+    base, added = base_spans(text), []
+    if confidence:
+        for kind, s, e in loose_spans(text, base):
+            doubt = 1.0
+            for c in contexts(text, s):
+                doubt *= 1 - confidence.get((kind, c), 0.0)
+            if 1 - doubt >= trust:
+                added.append((kind, s, e))
+    return base, added
+
+
 def _find(trusted, trust: float, at: int):
     """Adds base and added spans to each row; `at` is the text's column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        confidence = trusted.value
         span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            base, added = [], []
-            for text in as_texts(batch.column(at)):
-                mine, more = [], []
-                if _ANY.search(text):
-                    mine = base_spans(text)
-                    if confidence:
-                        for kind, s, e in loose_spans(text, mine):
-                            doubt = 1.0
-                            for c in contexts(text, s):
-                                doubt *= 1 - confidence.get((kind, c), 0.0)
-                            if 1 - doubt >= trust:
-                                more.append((kind, s, e))
-                base.append([{"kind": k, "start": s, "end": e} for k, s, e in mine])
-                added.append([{"kind": k, "start": s, "end": e} for k, s, e in more])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, span), pa.array(added, span)], names=[*batch.schema.names, "b", "a"])
+        for batch in slices(batches):
+            found = [_spans(text, trusted.value, trust) for text in as_texts(batch.column(at))]
+            both = [pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in f[i]] for f in found], span) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *both], names=[*batch.schema.names, "b", "a"])
 
     return run
 
 
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with each span replaced by its kind in brackets; of spans that overlap, the first and longest."""
+    parts, last = [], 0
+    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if e > last:
+            parts += [text[last : max(last, s)], f"[{KINDS[kind].upper()}]"]
+            last = e
+    return "".join([*parts, text[last:]])
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text_key, text) to (text_key, kind, start, end, one, two): candidates and their two contexts."""
     for batch in batches:
@@ -239,16 +262,28 @@ def _trusted_spans(docs: DataFrame, patterns: DataFrame, trust: float) -> DataFr
     return found.filter(1 - doubt >= trust).groupBy("text_key").agg(F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("trusted"))
 
 
-def find_spans(docs: DataFrame, trust: float = 0.5, base: str = "base_spans", added: str = "added_spans", most_broadcast: int = 100_000) -> DataFrame:
-    """docs with two columns more: spans (kind's number, start, end in code points) of the fixed patterns and of the method."""
-    kind = "array<struct<kind:int,start:bigint,end:bigint>>"
-    docs = docs.drop(base, added)
+def _trusted(docs: DataFrame, trust: float, most_broadcast: int):
+    """The patterns, and their confidences as a broadcast, or None where they are too many."""
     patterns = learn_patterns(docs, trust, most_broadcast=most_broadcast)
     rows = patterns.limit(most_broadcast + 1).collect()
     few = len(rows) <= most_broadcast
-    trusted = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["context"]): r["confidence"] for r in rows} if few else {})
-    out = docs.mapInArrow(_find(trusted, trust, docs.columns.index("text")), schema_with(docs, f"`{base}` {kind}, `{added}` {kind}"))
-    if few:
+    return patterns, docs.sparkSession.sparkContext.broadcast({(r["kind"], r["context"]): r["confidence"] for r in rows}) if few else None
+
+
+def find_spans(docs: DataFrame, trust: float = 0.5, base: str = "base_spans", added: str = "added_spans", most_broadcast: int = 100_000) -> DataFrame:
+    """docs with two columns more: spans (kind's number, start, end in code points) of the fixed patterns and of the method.
+
+    Columns of docs of these two names give way.
+    """
+    docs = docs.drop(base, added)
+    return _with_spans(docs, *_trusted(docs, trust, most_broadcast), trust, base, added)
+
+
+def _with_spans(docs: DataFrame, patterns: DataFrame, trusted, trust: float, base: str, added: str) -> DataFrame:
+    kind = "array<struct<kind:int,start:bigint,end:bigint>>"
+    few = trusted or docs.sparkSession.sparkContext.broadcast({})
+    out = docs.mapInArrow(_find(few, trust, docs.columns.index("text")), schema_with(docs, f"`{base}` {kind}, `{added}` {kind}"))
+    if trusted:
         return out
     spans = _trusted_spans(docs, patterns, trust).withColumnsRenamed({"text_key": f"{added}_key", "trusted": f"{added}_trusted"})
     out = out.join(spans, F.sha2(F.col("text").cast("binary"), 256) == F.col(f"{added}_key"), "left")
@@ -256,7 +291,7 @@ def find_spans(docs: DataFrame, trust: float = 0.5, base: str = "base_spans", ad
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts, the base digest and the spans as strings, from find_spans."""
+    """Counts and digest of the base spans, and all spans as a string, from find_spans. What the method adds is counted by n_added and listed in spans only."""
 
     def joined(spans):
         ordered = F.array_sort(spans)
@@ -278,24 +313,22 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, trust: float = 0.5, most_broadcast: int = 100_000) -> DataFrame:
     """docs with every span replaced by its kind in brackets; n_chars (if there) follows the new text. A null text stays null."""
     at = docs.columns.index("text")
+    patterns, trusted = _trusted(docs, trust, most_broadcast)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, base, added in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if base or added:
-                    parts, last = [], 0
-                    for s in sorted(base + added, key=lambda x: (x["start"], -x["end"])):
-                        if s["end"] <= last:
-                            continue
-                        parts += [text[last : max(last, s["start"])], f"[{KINDS[s['kind']].upper()}]"]
-                        last = s["end"]
-                    text = "".join([*parts, text[last:]])
-                texts.append(text)
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-2])]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2])
-
-    out = find_spans(docs, trust, "pii_base_spans", "pii_added_spans", most_broadcast).mapInArrow(run, docs.schema)
+        for batch in slices(batches):
+            texts = batch.column(at).to_pylist()
+            if trusted:
+                found = [sum(_spans(t or "", trusted.value, trust), []) for t in texts]
+            else:
+                found = [[(s["kind"], s["start"], s["end"]) for s in a + b] for a, b in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            texts = [masked(t, f) if f else t for t, f in zip(texts, found, strict=True)]
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(width)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
+
+    width = len(docs.columns)
+    rows = docs if trusted else _with_spans(docs, patterns, None, trust, fresh(docs, "pii_base_spans"), fresh(docs, "pii_added_spans"))
+    out = rows.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
