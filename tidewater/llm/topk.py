@@ -1,13 +1,15 @@
 """Exact top-k by inner product: a ball tree on each shard, searched by branch and bound.
 
-Rows are dealt over shards. A shard builds its ball tree in one task of bounded size; a query visits the tree's nodes
-in the order of their upper bound (q.c + |q| r) and stops when the bound falls below its k-th best score so far.
+Rows are dealt over shards. A shard builds its ball tree once, in one task of bounded size, and stores it; a query visits
+the tree's nodes in the order of their upper bound (q.c + |q| r) and stops when the bound falls below its k-th best score
+so far.
 
 The k-th score is shared twice: along the nodes of one shard, and among shards. A first pass takes, from each shard,
 the scores of the few balls with the highest bounds; the k-th best of them all is a true lower bound for the answer,
 and the second pass starts with it, so that most shards are left after a look at their roots.
 
-Queries are worked off in blocks of at most `block` rows, each sent to all shards; vectors are never paired by a join.
+Queries are worked off in blocks of at most `block` rows, each sent to all shards; vectors are never paired by a join. A
+block's answers are stored, so the plan doesn't grow with the number of blocks.
 Identical vectors share a leaf, of which the k+1 smallest ids are enough, as ties go to the smaller id.
 
 Defined results: vectors that are null, or hold null or non-finite parts, take no part; vectors of different lengths
@@ -18,6 +20,7 @@ vec_id takes no part. Fewer than k candidates: all of them.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from math import floor as floor_
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import stored
+from tidewater.llm.common import slices, stored
 
 _LEAF = 96
 
@@ -137,15 +140,21 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, n
     return {int(d): (i[n == d], x[begins[n == d][:, None] + np.arange(d)] if d else np.zeros(((n == d).sum(), 0))) for d in np.unique(n)}
 
 
+def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vec_id, parts) of a shard to its trees, one for each length of vectors."""
+    trees = [(d, pickle.dumps(BallTree(*x), protocol=5)) for d, x in _vectors(batches).items()]
+    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in trees], pa.int64()), pa.array([t for _, t in trees], pa.binary())], names=["length", "tree"])
+
+
 def _search(queries, k: int, balls: int | None):
+    """(length, tree) to (query_id, vec_id, score)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = {d: BallTree(*x) for d, x in _vectors(batches).items()}
-        out: list[tuple[int, int, int]] = []
-        for qid, d, q, floor in queries.value:
-            if d in trees:
-                out += [(qid, i, s) for s, i in trees[d].search(q, qid, k, floor, balls)]
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+        for batch in slices(batches, 1):
+            length, tree = batch.column(0)[0].as_py(), pickle.loads(batch.column(1)[0].as_py())
+            out = [(qid, i, s) for qid, d, q, floor in queries.value if d == length for s, i in tree.search(q, qid, k, floor, balls)]
+            cols = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -162,9 +171,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     rows = stored(rows, "vectors")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
     shards = max(1, -(-total["n"] // shard_rows), min(total["n"] // 1000, spark.sparkContext.defaultParallelism))
-    dealt = rows.repartition(int(shards))  # round robin: a shard has no more rows than shard_rows
+    # Round robin: a shard has no more rows than shard_rows.
+    trees = stored(rows.repartition(int(shards)).mapInArrow(_grow, "length long, tree binary"), "trees").repartition(int(shards))
     blocks = max(1, -(-2 * total["q"] // block))  # half full on average, so that a block stays under its bound
-    found: DataFrame | None = None
+    found: list[str] = []
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     for b in range(blocks):
         mine = rows.filter(is_query & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).collect()
@@ -172,15 +182,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
             continue
         asked = {(r["vec_id"], len(r["x"]), tuple(r["x"])) for r in mine}
         first = spark.sparkContext.broadcast([(i, d, np.array(x), -np.inf) for i, d, x in asked])
-        probe = dealt.mapInArrow(_search(first, k, 2), "query_id long, vec_id long, score long")
+        probe = trees.mapInArrow(_search(first, k, 2), "query_id long, vec_id long, score long")
         kth = probe.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("query_id", "score").collect()
         floors = {r["query_id"]: float(r["score"]) for r in kth}
         if len({i for i, _, _ in asked}) < len(asked):  # an id with several vectors: its probes are mixed
             floors = {}
         second = spark.sparkContext.broadcast([(i, d, np.array(x), floors.get(i, -np.inf)) for i, d, x in asked])
-        hits = dealt.mapInArrow(_search(second, k, None), "query_id long, vec_id long, score long")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        hits = trees.mapInArrow(_search(second, k, None), "query_id long, vec_id long, score long")
+        ranked = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        found.append(stored(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "answers")._scratch_path)
+        first.unpersist()
+        second.unpersist()
+    schema = "query_id long, rank int, vec_id long, score long"
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
