@@ -115,8 +115,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, most_labelled: int
     steps = 1 << 20
 
     def sample(label: float, most: int) -> DataFrame:
-        share = min(steps, -(-steps * most // by_label[label]))
-        return labelled.filter((F.col("label") == label) & (F.pmod(F.xxhash64("page_id", "url", F.lit(seed)), F.lit(steps)) < share)).limit(most)
+        share = min(steps, -(-steps * 11 * most // (10 * by_label[label])))  # a tenth more, of which the first by hash are taken
+        drawn = F.xxhash64("page_id", "url", F.lit(seed))
+        return labelled.filter((F.col("label") == label) & (F.pmod(drawn, F.lit(steps)) < share)).orderBy(drawn, "page_id", "url").limit(most)
 
     # In proportion; a rare label gets a tenth, or all it has.
     rare = min(by_label, key=by_label.get)
