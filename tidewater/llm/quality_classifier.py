@@ -29,7 +29,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import as_bytes, join_checked, schema_with, stored
+from tidewater.llm.common import as_bytes, bound_batches, join_checked, schema_with, slices, stored
 
 _SYMBOLS = b"#*$%&|<>~^_=@\\{}[]"
 _BANG = b"!?"
@@ -71,7 +71,7 @@ def _compressed(text: bytes) -> float:
 
 def _describe(at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             f = [text_statistics(t) for t in as_bytes(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f, pa.list_(pa.float64()))], names=[*batch.schema.names, "qc_features"])
 
@@ -79,6 +79,7 @@ def _describe(at: int):
 
 
 def described(docs: DataFrame) -> DataFrame:
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(_describe(docs.columns.index("text")), schema_with(docs, "qc_features array<double>"))
 
 
@@ -134,8 +135,9 @@ def fit(features: DataFrame, labels: DataFrame, host: Column, path: Column, most
     if not 0 < k < n:
         return Fitted(np.zeros(len(FEATURES)), 0.0, rate, None, None, 0, 0, weight, reject_below, most_broadcast)
     steps = 1 << 20
-    share = min(steps, -(-steps * most_labelled // n))
-    sample = seen.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(steps)) < share).limit(most_labelled)
+    share = min(steps, -(-steps * 11 * most_labelled // (10 * n)))  # a tenth more, of which the first by hash are taken
+    drawn = F.xxhash64("doc_id", F.lit(seed))
+    sample = seen.filter(F.pmod(drawn, F.lit(steps)) < share).orderBy(drawn, "doc_id", "qc_label").limit(most_labelled)
     sample = stored(sample.select(F.col("qc_label").cast("double").alias("label"), array_to_vector("qc_features").alias("raw")), "sample").coalesce(4)
     scaler = StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="features").fit(sample)
     model = LogisticRegression(maxIter=60, regParam=1e-3, standardization=False).fit(scaler.transform(sample))
@@ -161,9 +163,13 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", F.col("qc_good").alias("good"), site.alias("site"), F.col("qc_kept").alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without those that the classifier rejects."""
-    # Statistics meet the labels, not texts: so no text is shuffled, whatever the size of labels.
-    features = described(docs.select("doc_id", "source", "lang", "text")).drop("text")
-    model = fit(features, labels, F.col("source"), F.col("lang"), **options)
-    return model(described(docs), F.col("source"), F.col("lang")).filter("qc_kept").select(docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, most_ids: int = 500_000, **options) -> DataFrame:
+    """docs without those that the classifier rejects. Its columns, whatever their names, stay."""
+    # No text is shuffled, whatever the size of labels: few labelled ids are broadcast to the texts, many meet statistics instead.
+    rows = docs.select("doc_id", "source", "lang", "text")
+    ids = labels.select("doc_id").filter("doc_id is not null").distinct()
+    if ids.limit(most_ids + 1).count() <= most_ids:
+        rows = rows.join(F.broadcast(ids), "doc_id", "left_semi").select(rows.columns)
+    model = fit(described(rows).drop("text"), labels, F.col("source"), F.col("lang"), **options)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("text").alias("text"), F.col("source").alias("source"), F.col("lang").alias("lang"))
+    return model(described(whole), F.col("source"), F.col("lang")).filter("qc_kept").select("doc.*")
