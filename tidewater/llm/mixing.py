@@ -7,9 +7,15 @@ says how many words each (pattern, source) takes at which repetition. Within a (
 the documents, and those before a cut are taken: the cut's bucket comes from a histogram of hashes, the few documents
 within that bucket are ordered by a window, and the document on the cut is taken in part.
 
-Patterns and sources are metadata (names and sums); documents never pass through the driver.
+Patterns and sources are metadata (names and sums), of which the driver takes `most_patterns` at most; documents never
+pass through it. Only sources that share a pattern are nodes of the flow: what a pattern of a source that shares none
+gives is the least of the quota and its words times `repeats`, which is what the flow would route.
 
-Defined results: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in order. Rows that repeat a document are documents each. An empty table gives an empty mix.
+Where each document has one source, as in `documents`, patterns are sources, and the flow is that minimum throughout.
+
+Defined results: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in order. Rows that
+repeat a document are documents each; those of one doc_id are ordered by size. An empty table gives an empty mix. The
+caller's columns, whatever their names, stay.
 """
 
 from __future__ import annotations
@@ -22,12 +28,15 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import join_checked, stored
 
-#: The name of the null source: the last code point, which sorts after every other name.
-NULL_SOURCE = "\U0010ffff"
 #: Rows of the plan (one for each pattern) up to which it is broadcast; beyond, it is joined by a shuffle.
 _MOST_BROADCAST = 100_000
 
 
+def source_key(source: Column) -> Column:
+    """A name of each source that is never null; those of null sources sort last."""
+    return F.coalesce(F.concat(F.lit("0"), source), F.lit("1"))
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than the six blanks: starts of words, counted without building them."""
     blank = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -104,7 +113,9 @@ class MinCostFlow:
 
 def route(patterns: dict[tuple, int], targets: dict, repeats: int = 2) -> dict[tuple[tuple, object], int]:
     """(pattern, source) -> words taken there, all repetitions together."""
-    names, sets = list(targets), list(patterns)
+    shared = {s for p in patterns if len(p) > 1 for s in p}
+    alone = {(p, p[0]): min(round(targets[p[0]]), repeats * n) for p, n in patterns.items() if len(p) == 1 and p[0] not in shared}
+    names, sets = [s for s in targets if s in shared], [p for p in patterns if shared.intersection(p)]
     flow = MinCostFlow(2 + len(sets) + len(names))
     place = {s: 2 + len(sets) + i for i, s in enumerate(names)}
     arcs = {}
@@ -116,20 +127,23 @@ def route(patterns: dict[tuple, int], targets: dict, repeats: int = 2) -> dict[t
     for s in names:
         flow.arc(place[s], 1, round(targets[s]), 0)
     flow.run(0, 1)
-    return {k: flow.out[flow.out[u][i].to][flow.out[u][i].back].room for k, (u, i) in arcs.items()}
+    return alone | {k: flow.out[flow.out[u][i].to][flow.out[u][i].back].room for k, (u, i) in arcs.items()}
 
 
-def mix(docs: DataFrame, sources: Column, size: Column, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 5) -> tuple[DataFrame, dict, dict]:
-    """Adds to docs: mix_size, and mix_taken (words taken, repeats counted); also the sources' sizes and targets.
+def mix(docs: DataFrame, sources: Column, size: Column, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 5, most_patterns: int = 1_000_000) -> tuple[DataFrame, dict, dict]:
+    """doc (a struct of docs' columns), size, taken (words taken, repeats counted); and the sizes and targets of the sources, by source_key.
 
     A pattern's words are dealt to its sources one after the other along the hash order, so a document may serve two.
     """
-    work = docs.withColumns({"mix_size": size.cast("long"), "mix_pattern": F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.coalesce(s, F.lit(NULL_SOURCE)))))})
-    work = work.withColumn("mix_hash", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), -F.col("mix_size") - 1), F.lit(seed)))
-    work = work.withColumn("mix_bucket", F.shiftrightunsigned("mix_hash", 52).cast("int"))  # 4,096 buckets
-    narrow = stored(work.select("mix_pattern", "mix_bucket", "mix_size"), "sizes")
-    grouped = narrow.groupBy("mix_pattern").agg(F.sum("mix_size").alias("n")).collect()
-    patterns = {tuple(r["mix_pattern"]): r["n"] for r in grouped if r["mix_pattern"]}
+    keys = F.array_sort(F.array_distinct(F.transform(sources, source_key)))
+    work = docs.select(size.cast("long").alias("size"), keys.alias("pattern"), F.col("doc_id").cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    work = work.withColumn("hash", F.xxhash64(F.coalesce(F.col("id"), -F.col("size") - 1), F.lit(seed)))
+    work = work.withColumn("bucket", F.shiftrightunsigned("hash", 52).cast("int"))  # 4,096 buckets
+    sums = stored(work.groupBy("pattern", "bucket").agg(F.sum("size").alias("words")), "sizes")
+    grouped = sums.groupBy("pattern").agg(F.sum("words").alias("n")).limit(most_patterns + 1).collect()
+    if len(grouped) > most_patterns:
+        raise ValueError(f"more than {most_patterns} membership patterns")
+    patterns = {tuple(r["pattern"]): r["n"] for r in grouped if r["pattern"]}
     sizes: dict = {}
     for p, n in patterns.items():
         for s in p:
@@ -139,54 +153,46 @@ def mix(docs: DataFrame, sources: Column, size: Column, weights: tuple[float, ..
     taken: dict[tuple, int] = {}
     for (p, _), words in route(patterns, targets, repeats).items():
         taken[p] = taken.get(p, 0) + words
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(list(p), taken[p] // n if n else 0, taken[p] % n if n else 0) for p, n in patterns.items()] or [], "mix_pattern array<string>, mix_whole long, mix_rest long")
+    plan = docs.sparkSession.createDataFrame([(list(p), taken[p] // n if n else 0, taken[p] % n if n else 0) for p, n in patterns.items()], "pattern array<string>, whole long, rest long")
     # The bucket in which the words before it stay below the rest and those through it reach it.
-    sums = narrow.groupBy("mix_pattern", "mix_bucket").agg(F.sum("mix_size").alias("words"))
-    along = Window.partitionBy("mix_pattern").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = sums.withColumn("mix_before", F.coalesce(F.sum("words").over(along), F.lit(0))).join(plan, "mix_pattern")
-    cuts = cuts.filter((F.col("mix_before") < F.col("mix_rest")) & (F.col("mix_before") + F.col("words") >= F.col("mix_rest"))).select("mix_pattern", F.col("mix_bucket").alias("mix_cut"), "mix_before")
-    plan = stored(plan.join(cuts, "mix_pattern", "left").withColumns({"mix_cut": F.coalesce("mix_cut", F.lit(-1)), "mix_before": F.coalesce("mix_before", F.lit(0))}), "plan")
-    dealt = join_checked(work, plan, ["mix_pattern"], _MOST_BROADCAST)
-    return dealt, sizes, targets
-
-
-def with_taken(dealt: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, mix_size and mix_taken. Only documents in a cut's bucket (one in 4,096) go through a window."""
-    whole = F.coalesce("mix_whole", F.lit(0)) * F.col("mix_size")
-    order = Window.partitionBy("mix_pattern").orderBy("mix_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    on_cut = F.col("mix_bucket") == F.coalesce("mix_cut", F.lit(-1))
-    clear = dealt.filter(~on_cut).withColumn("mix_taken", whole + F.when(F.col("mix_bucket") < F.col("mix_cut"), F.col("mix_size")).otherwise(0))
-    cut = dealt.filter(on_cut).withColumn("mix_so_far", F.col("mix_before") + F.coalesce(F.sum("mix_size").over(order), F.lit(0)))
-    cut = cut.withColumn("mix_taken", whole + F.greatest(F.lit(0), F.least(F.col("mix_size"), F.col("mix_rest") - F.col("mix_so_far"))))
-    return clear.select(*keep, "mix_size", "mix_taken").unionByName(cut.select(*keep, "mix_size", "mix_taken"))
+    along = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = sums.withColumn("before", F.coalesce(F.sum("words").over(along), F.lit(0))).join(plan, "pattern")
+    cuts = cuts.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))).select("pattern", F.col("bucket").alias("cut"), "before")
+    plan = stored(plan.join(cuts, "pattern", "left").withColumns({"cut": F.coalesce("cut", F.lit(-1)), "before": F.coalesce("before", F.lit(0))}), "plan")
+    return _with_taken(join_checked(work, plan, ["pattern"], _MOST_BROADCAST)), sizes, targets
+
+
+def _with_taken(dealt: DataFrame) -> DataFrame:
+    """doc, size and taken. Only documents in a cut's bucket (one in 4,096) go through a window."""
+    whole = F.coalesce("whole", F.lit(0)) * F.col("size")
+    order = Window.partitionBy("pattern").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    on_cut = F.col("bucket") == F.coalesce("cut", F.lit(-1))
+    clear = dealt.filter(~on_cut).withColumn("taken", whole + F.when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(0))
+    cut = dealt.filter(on_cut).withColumn("so_far", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    cut = cut.withColumn("taken", whole + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("so_far"))))
+    return clear.select("doc", "size", "taken").unionByName(cut.select("doc", "size", "taken"))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken for docs of doc_id, source and size (one source each)."""
-    rows = stored(docs, "documents")
+    rows = stored(docs.select("doc_id", "source", "size"), "documents")
     dealt, sizes, targets = mix(rows, F.array("source"), F.col("size"), **options)
-    spark = docs.sparkSession
-    known = [(s, int(sizes[s]), float(targets[s])) for s in sizes]
-    table = spark.createDataFrame(known, "mix_source string, source_size long, target double")
-    out = with_taken(dealt, ["doc_id", "source"]).withColumn("mix_source", F.coalesce("source", F.lit(NULL_SOURCE)))
-    out = join_checked(out, table, ["mix_source"], _MOST_BROADCAST)
-    return out.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", F.col("mix_taken").cast("long").alias("taken"))
+    table = docs.sparkSession.createDataFrame([(s, int(sizes[s]), float(targets[s])) for s in sizes], "key string, source_size long, target double")
+    out = dealt.select("doc.doc_id", "size", "taken", source_key(F.col("doc.source")).alias("key"))
+    return join_checked(out, table, ["key"], _MOST_BROADCAST).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: a document taken in part keeps its first words, one taken twice comes twice. Columns stay."""
-    columns = docs.columns
-    work = docs.withColumn("mix_words", word_count(F.col("text")))
-    dealt, _, _ = mix(work, F.array("source"), F.col("mix_words"), **options)
-    rows = with_taken(dealt, columns)
+    dealt, _, _ = mix(docs, F.array("source"), word_count(F.col("text")), **options)
     # Whole copies, and one more for a rest; words and the blanks between them stay as they are.
-    copies = F.ceil(F.col("mix_taken") / F.greatest(F.col("mix_size"), F.lit(1))).cast("int")
-    rows = rows.filter("mix_taken > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), copies)))
-    words = F.least(F.col("mix_size"), F.col("mix_taken") - (F.col("mix_copy") - 1) * F.col("mix_size"))
+    copies = F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
+    rows = dealt.filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
     # A piece is a word with the blanks before it.
-    head = F.array_join(F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), words.cast("int")), "")
-    rows = rows.withColumn("text", F.when(words >= F.col("mix_size"), F.col("text")).otherwise(head))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(columns)
+    head = F.array_join(F.slice(F.split("doc.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), words.cast("int")), "")
+    text = F.when(words >= F.col("size"), F.col("doc.text")).otherwise(head)
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
