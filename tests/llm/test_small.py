@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import html_text, lm_score, mixing, near_dup, packing, pii, quality_classifier, quality_rules, topk, url_filter
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -93,6 +93,8 @@ def test_near_duplicates_odd_rows(spark):
     assert by[1]["n_shingles"] == 0 and by[1]["kept"] and by[6]["component_id"] == 5 and not by[6]["kept"]
     assert by[None]["component_id"] is None and by[None]["kept"]
     assert near_dup.near_duplicates(empty(spark)).count() == 0
+    twice = docs(spark, [(1, words(60, 1), "en", "a"), (1, words(60, 2), "en", "a"), (1, words(60, 2), "en", "b"), (2, words(60, 2), "en", "a"), (3, words(60, 3), "en", "a")])
+    assert sorted((r["doc_id"], r["text"]) for r in near_dup.keep_one_of_each(twice.withColumn("text_hash", F.lit(1))).collect()) == sorted([(1, words(60, 1)), (1, words(60, 2)), (3, words(60, 3))])
     kept = near_dup.keep_one_of_each(odd_docs(spark))
     assert kept.columns == odd_docs(spark).columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 7, 8]
 
@@ -151,6 +153,15 @@ def test_long_runs_take_linear_time():
     for t in ("1" * 200_000, "a" * 200_000, "1." * 100_000, "+1" + "-" * 200_000, "@" * 100_000):
         pii.base_spans(t)
         pii.loose_spans(t, [])
+    many = "+1 555 555 1234, 555-0199-77; " * 20_000
+    taken = pii.base_spans(many)
+    assert len(taken) == 20_000 and len(pii.loose_spans(many, taken)) == 20_000
+
+
+def test_contexts_are_whole_words():
+    t = "x" * 5000 + " " * 100 + "y" * 70 + " badge" + " " * 500 + "1"
+    assert pii.contexts(t, len(t) - 1) == ("badge", "y" * 70 + " badge")
+    assert pii.contexts("1", 0) == ("^", "^ ^") and pii.contexts("a 1", 2) == ("a", "^ ^")
 
 
 def test_patterns_find_unseen_identifiers(spark):
@@ -161,7 +172,7 @@ def test_patterns_find_unseen_identifiers(spark):
     assert out[100]["n_added"] == 1 and out[100]["spans"] == f"phone:{at}:{at + 11}" and out[100]["n_phone"] == 0
     assert out[101]["spans"] == "" and out[102]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert out[3]["n_phone"] == 1 and len(out) == 34
-    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs(spark, rows)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs(spark, rows).withColumn("pii_base_spans", F.lit(1))).collect()}
     assert "[PHONE]" in clean[3] and "555" not in clean[3] and "[PHONE]" in clean[100] and clean[101] == rows[31][1] and clean[102] is None
     assert pii.digest(pii.find_spans(empty(spark))).count() == 0
 
@@ -180,6 +191,34 @@ def test_url_parts_rules_and_verdicts(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def brute_url(url):
+    """Host, path and rule by the words of the contract."""
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = []
+    for rule in ("org/", "example.org/es/", "example.org/en/1", "com/fr/", "com/de/"):
+        name, _, start = rule.partition("/")
+        if (host == name or host.endswith("." + name)) and path.startswith("/" + start):
+            fits.append(rule)
+    return host, path, max(fits, key=len, default=None)
+
+
+def test_url_parts_equal_brute_force(spark):
+    rng = random.Random(11)
+    parts = ["http", "://", "Example", ".", "org", "com", "/", "es/", "en/1", "fr/", "de/", "?", "#", "É", "a", " "]
+    urls = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    urls += [f"{rng.choice(['http://', 'x://', ''])}{rng.choice(['', 'a.', 'A.B.'])}{rng.choice(['example.org', 'Example.ORG', 'x.com', 'org', 'com', 'myorg'])}{rng.choice(['/', '/es/', '/es', '/en/12', '/en/2', '/fr/', '/de/?', '#/fr/', ''])}" for _ in range(400)]
+    rows = list(enumerate([*urls, None]))
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    verdict = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"]) for r in out} == {i: brute_url(u) for i, u in rows}
+    assert all(r["verdict"] == verdict[r["rule"]] for r in out if r["rule"]) and all(r["verdict"] in ("allow", "block") for r in out)
+
+
 def test_trees_learn_held_out_urls(spark):
     rng = random.Random(2)
     rows = [(i, f"http://{'spam' if i % 2 else 'blog'}{rng.randrange(50)}.{'xyz' if i % 2 else 'info'}/{'9' * rng.randint(5, 20) if i % 2 else 'story'}") for i in range(400)]
@@ -217,9 +256,8 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = [(1, None), (2, ""), (3, "a  b\n\n c\t"), (4, words(3000, 1)), (5, " lead"), (6, "trail "), (7, "it's 5 o'clock <|endoftext|> é漢🙂"), (8, "a" * 3000), (8, "a" * 3000), (9, "x y")]
-    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(0)), RANKS).collect()
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(0)), VOCABULARY).collect()
     ids = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in rows}
     for i in ids:
         mine = sorted((r for r in out if r["doc_id"] == i), key=lambda r: r["start"])
@@ -230,23 +268,34 @@ def test_packing_round_trip(spark):
     for s in {r["sequence_id"] for r in out}:
         mine = sorted((r for r in out if r["sequence_id"] == s), key=lambda r: r["offset"])
         assert [r["offset"] for r in mine] == [0, *np.cumsum([r["length"] for r in mine])[:-1].tolist()] and sum(r["length"] for r in mine) <= 2048
-    assert packing.pack(empty(spark), RANKS).count() == 0
+    assert packing.pack(empty(spark), VOCABULARY).count() == 0
+
+
+_PARTS = ["a", "b", " ", "1", ".", "'", ",", "\n", "\t", "\x0b", "\u00a0", "\u2003", "\x85", "\x1c", "\x00", "\ufffd", "\ud7ff", "\u0301", "é", "!", "🙂", "A", "<|", "endoftext", "|>", "<|endoftext|>", " <|endoftext|>"]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab 1.,'\n\t\x0b\u00a0\u2003\x85\x1cé!🙂A"), max_size=40))
-def test_chunks_give_the_tokenizers_ids(text):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(_PARTS), max_size=40).map("".join) | st.text(max_size=40).filter(lambda t: t.isprintable() or t.encode("utf-8", "ignore").decode() == t))
+def test_ids_are_the_tokenizers(text):
     from tokenizers import Tokenizer
 
     global _T
     if "_T" not in globals():
-        _T = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        _T.encode_special_tokens = True
-    assert np.frombuffer(packing.encoder(RANKS)(text), "<u2").tolist() == _T.encode(text, add_special_tokens=False).ids
+        _T = Tokenizer.from_file(VOCABULARY)
+    assert np.frombuffer(packing.encoder(VOCABULARY)(text), "<u2").tolist() == _T.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_and_long_blanks():
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(VOCABULARY), packing.encoder(VOCABULARY)
+    assert np.frombuffer(encode("a<|endoftext|>b"), "<u2").tolist() == [64, 50256, 65]
+    for text in (" " * 20_001 + "<|endoftext|>x", "y" + "\n" * 30_000):
+        assert np.frombuffer(encode(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_long_runs_of_one_character_are_encoded():
-    encode = packing.encoder(RANKS)
+    encode = packing.encoder(VOCABULARY)
     for c, n in ((" ", 500_000), ("\n", 19_999), ("\n", 20_000), ("a", 500_000)):
         ids = np.frombuffer(encode("x" + c * n + "y"), "<u2")
         assert 0 < len(ids) <= n + 2
@@ -274,15 +323,60 @@ def test_main_text(spark):
     assert out[102]["text"] == words(30, 2) + "\n" + words(20, 52)
     assert out[200]["text"] == "" and out[201]["text"] == "" and out[202]["text"] == "plain text" and out[203]["text"] == "odd" and len(out) == 21
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    joined = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), most_broadcast=0, most_bytes=0)
+    assert {r["page_id"]: r["text"] for r in joined.collect()} == {i: r["text"] for i, r in out.items()}
+
+
+def plain_page(i: int, notice: bool, extra: str = "") -> tuple[str, str]:
+    """A page of nameless divs and its article."""
+    heading, one, two = words(4, 900 + i), words(60 if i != 7 else 3, i), words(50 if i != 7 else 3, 500 + i)
+    html = f"<body><div><ul><li>Home</li><li>News</li></ul></div>{'<div><p>We use little files</p><p>Fine</p></div>' if notice else ''}<div><h1>{heading}</h1><p>{one}</p><p>{two}</p>{extra}</div><div><p>{words(12, 7000 + i)}</p><p>Ask us</p></div></body>"
+    return html, f"{heading}\n{one}\n{two}"
+
+
+@pytest.mark.parametrize("together", [64, 2])
+def test_nameless_parts_are_told_apart_by_the_wrapper(spark, monkeypatch, together):
+    monkeypatch.setattr(html_text.host_wrappers, "__defaults__", (together,))
+    extra = "<h2 id=search>Search</h2><p class=response>The response was 5 ms.</p><section id=related-work><p>Related</p></section>"
+    pages = {i: plain_page(i, i % 3 == 0, extra if i == 5 else "") for i in range(12)}
+    df = spark.createDataFrame([(i, f"http://plain.net/{i}", html) for i, (html, _) in pages.items()], "page_id long, url string, html string").repartition(5)
+    out = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    want = {i: article + ("\nSearch\nThe response was 5 ms.\nRelated" if i == 5 else "") for i, (_, article) in pages.items()}
+    assert out == want
+    # Without the other pages of its host, page 7 is read by its longest part, the sidebar.
+    alone = html_text.main_text(df.filter("page_id = 7")).first()["text"]
+    assert alone != want[7]
 
 
 def test_wrapper_inference():
     def page(items, note):
-        return html_text.page_wrapper(html_text.stream("<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>" + (f"<aside>{note}</aside>" if note else "") + "<h2>Fixed</h2>"))
+        notice = f"<div><p>{note}</p></div>" if note else ""
+        return html_text.page_tree(html_text.stream(f"<div><ul><li>Home</li></ul></div>{notice}<div><h1>T</h1>{'<p>x</p>' * items}</div><div><p>side</p></div>"))[0]
+
+    w = html_text.merge(html_text.merge(page(2, ""), page(1, "n")), page(3, ""))
+    assert [(x[0], x[3], sorted(k[0] for f in x[2] for k in f[2])) for x in w[2]] == [("div", 3, ["ul"]), ("div", 1, ["p"]), ("div", 3, ["h1", "p"]), ("div", 3, ["p"])]
+    # Each part of a page without the notice finds its own place, not that of the notice.
+    places = html_text.slots(page(5, ""), w)
+    number = {id(x): i for i, x in enumerate(html_text.numbered(w))}
+    assert {number[id(w[2][i])] for i in (0, 2, 3)} <= set(places) and number[id(w[2][1])] not in places
+
+
+def test_repeated_elements_become_a_group():
+    def page(n):
+        return html_text.page_tree(html_text.stream("".join(f"<section class=post><div><h3>{i}</h3></div></section>" for i in range(n)) + "<div><p>end</p></div>"))[0]
+
+    w = html_text.merge(page(2), page(5))
+    assert [(x[0], x[3]) for x in w[2]] == [("section.post", 2), ("section.post", 2), ("div", 2)]
 
-    w = html_text.align(html_text.align(page("abc", "n"), page("de", "")), page("f", "m"))
-    shape = " ".join(html_text.key(x) for x in w)
-    assert "+(<li # >li)" in shape and "?(<aside)" in shape and [x for x in w if x[0] == "#"][-1][1] is not None
+
+def test_deep_and_wide_pages_keep_their_text():
+    import time
+
+    t = time.time()
+    root, texts = html_text.page_tree(html_text.stream("<div>" * 10_000 + "deep" + "</x>" * 10_000 + "</div>" * 10_000))
+    assert [x for _, x in texts] == ["deep"] and time.time() - t < 2
+    wide = html_text.page_tree(html_text.stream("".join(f"<div class=c{'abcdefghij'[i % 10] * (1 + i // 10)}><p>{i}</p></div>" for i in range(3000))))[0]
+    assert len(html_text.numbered(html_text.squeeze(html_text.merge(wide, root)))) <= html_text._NODES
 
 
 # --- language model
@@ -357,6 +451,44 @@ def test_quality_rules(spark):
     out = {r["doc_id"]: r for r in quality_rules.judge(docs(spark, good + bad).withColumn("kept", F.lit(1))).collect()}
     assert all(out[i]["kept"] for i, *_ in good) and not any(out[i]["kept"] for i in range(100, 105)) and not out[100]["base_failed"] and out[104]["base_failed"]
     assert quality_rules.judge(empty(spark)).count() == 0
+    joined = {r["doc_id"]: r for r in quality_rules.judge(docs(spark, good + bad), most_bytes=0).collect()}
+    assert joined == out
+
+
+def test_small_languages_are_judged_by_themselves_at_every_size(spark):
+    small = [(i, words(300, i), "xx", "a") for i in range(10)] + [(50, " ".join(w.upper() + "##" for w in words(300, 1).split()), "xx", "a"), (51, words(90, 5).upper(), "yy", "a"), (52, words(90, 5), "", "a"), (53, words(90, 6), None, "a")]
+    large = [(1000 + i, " ".join("".join(random.Random(1000 * i + j).choice("klmnopqr") for _ in range(4)) for j in range(200)), "en", "a") for i in range(600)]
+    one = {r["doc_id"]: tuple(r)[7:] for r in quality_rules.judge(docs(spark, small)).collect()}
+    two = {r["doc_id"]: tuple(r)[7:] for r in quality_rules.judge(docs(spark, small + large)).collect()}
+    assert all(two[i] == v for i, v in one.items()) and all(one[i][0] for i in range(10)) and not one[50][0]
+    assert all(one[i] == (True, None, None) for i in (51, 52, 53))  # too few words for a reference
+
+
+def brute_js(p, q):
+    from math import log2, sqrt
+
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    return sqrt(max(0, sum(a * log2(a / c) for a, c in zip(p, m, strict=True) if a) / 2 + sum(b * log2(b / c) for b, c in zip(q, m, strict=True) if b) / 2))
+
+
+def test_verdicts_equal_brute_force(spark):
+    rows = [(i, words(100 + 40 * (i % 5), i) + (" THE AND" * (i * 3) if i % 4 == 0 else ""), ("en", "fr")[i % 2], "a") for i in range(60)]
+    out = {r["doc_id"]: r for r in quality_rules.judge(docs(spark, rows)).collect()}
+    for lang in ("en", "fr"):
+        mine = [(i, t) for i, t, la, _ in rows if la == lang]
+        count = Counter(w for _, t in mine for w in t.split())
+        total = sum(count.values())
+        common = sorted(w for w in count if 2000 * count[w] >= total)
+        bins = [*(count[w] for w in common), total - sum(count[w] for w in common)]
+        classes = sum(quality_rules.char_classes(t.encode()) for _, t in mine)
+        for i, t in mine:
+            n = Counter(t.split())
+            w = brute_js([*(n[x] for x in common), sum(n.values()) - sum(n[x] for x in common)], bins)
+            c = brute_js(quality_rules.char_classes(t.encode()).tolist(), classes.tolist())
+            assert out[i]["word_distance"] == pytest.approx(w, abs=1e-6) and out[i]["char_distance"] == pytest.approx(c, abs=1e-6)
+            fits = c <= 0.2 + 2 / len(t) ** 0.5 and w <= 0.3 + 2.6 / len(t.split()) ** 0.5
+            assert out[i]["kept"] == (fits and not out[i]["base_failed"])
 
 
 # --- quality classifier
@@ -384,6 +516,44 @@ def test_classifier_held_out_accuracy_and_shrinkage(spark):
     none = quality_classifier.classify(docs(spark, rows), lab.limit(0)).collect()
     assert all(r["kept"] for r in none)
     assert quality_classifier.classify(empty(spark), lab).count() == 0
+    many = quality_classifier.keep_good(docs(spark, rows).withColumn("qc_logit", F.lit(1)), lab, most_ids=0)
+    assert many.columns[-1] == "qc_logit" and many.count() == kept.count()
+
+
+def test_posteriors_equal_brute_force(spark):
+    rng, rows, labels = random.Random(9), [], []
+    for i in range(600):
+        s, la = f"s{rng.randrange(6)}", rng.choice(["en", "fr", None])
+        good = rng.random() < (0.2 + 0.1 * int(s[1]))
+        rows.append((i, words(40, i) + (" ###" * 9 if not good else ""), la, s if i % 50 else None))
+        if i % 3:
+            labels.append((i, int(good), 0))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r for r in quality_classifier.classify(docs(spark, rows), lab).collect()}
+    known = [(rows[i][3], rows[i][2], q) for i, q, _ in labels]
+    rate = sum(q for *_, q in known) / len(known)
+
+    def counts(key):
+        c = {}
+        for r in known:
+            n, k = c.get(key(r), (0, 0))
+            c[key(r)] = (n + 1, k + r[2])
+        return c
+
+    def strength(groups, prior):
+        some = [(n, k, prior(g)) for g, (n, k) in groups.items() if n > 1]
+        between, chance = sum(n * (k / n - p) ** 2 for n, k, p in some), sum(p * (1 - p) for *_, p in some)
+        rho = (between - chance) / (chance / len(some) * (sum(n for n, *_ in some) - len(some)))
+        return min(1e6, max(2.0, 1 / rho - 1)) if rho > 1e-6 else 1e6
+
+    hosts, paths = counts(lambda r: r[0]), counts(lambda r: r[:2])
+    mh = strength(hosts, lambda g: rate)
+    of_host = {h: (hosts.get(h, (0, 0))[1] + mh * rate) / (hosts.get(h, (0, 0))[0] + mh) for h in {r[3] for r in rows}}
+    mp = strength(paths, lambda g: of_host[g[0]])
+    for i, _, la, s in rows:
+        n, k = paths.get((s, la), (0, 0))
+        assert out[i]["site"] == pytest.approx((k + mp * of_host[s]) / (n + mp), abs=1e-9)
+        assert out[i]["kept"] == (out[i]["good"] >= 0.5)
 
 
 # --- mixing
@@ -400,9 +570,49 @@ def test_flow_prefers_cheap_copies():
     assert sum(v for (p, s), v in out.items() if p == ("a", "b")) == 100  # nothing is taken twice where once is enough
 
 
+def brute_targets(sizes):
+    """Targets by the words of the contract: 5, 2, 1 repeating share 150%; caps of twice the size; the excess goes on by weight."""
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sizes)}
+    target = {s: 1.5 * sum(sizes.values()) * weight[s] / sum(weight.values()) for s in sizes}
+    stopped = set()
+    while any(target[s] > 2 * sizes[s] + 1e-9 for s in sizes if s not in stopped):
+        excess = 0.0
+        for s in sizes:
+            if s not in stopped and target[s] > 2 * sizes[s] + 1e-9:
+                excess += target[s] - 2 * sizes[s]
+                target[s] = 2.0 * sizes[s]
+                stopped.add(s)
+        rest = [s for s in sizes if s not in stopped]
+        for s in rest:
+            target[s] += excess * weight[s] / sum(weight[x] for x in rest)
+    return target
+
+
+def test_flow_costs_least(spark):
+    """Against all integer flows of small cases."""
+    from itertools import product
+
+    rng = random.Random(3)
+    for _ in range(25):
+        names = ["a", "b", "c"]
+        patterns = {p: rng.randint(0, 3) for p in rng.sample([("a",), ("b",), ("c",), ("a", "b"), ("b", "c"), ("a", "b", "c")], 3)}
+        targets = {s: rng.randint(0, 4) for s in names if any(s in p for p in patterns)}
+        arcs = [(p, s) for p in patterns for s in p]
+        best = None
+        for flow in product(*(range(2 * patterns[p] + 1) for p, _ in arcs)):
+            out = {p: sum(f for f, (q, _) in zip(flow, arcs, strict=True) if q == p) for p in patterns}
+            into = {s: sum(f for f, (_, t) in zip(flow, arcs, strict=True) if t == s) for s in targets}
+            if all(out[p] <= 2 * patterns[p] for p in patterns) and all(into[s] <= targets[s] for s in targets):
+                key = (-sum(flow), sum(max(0, out[p] - patterns[p]) for p in patterns))
+                best = key if best is None or key < best else best
+        got = mixing.route(patterns, targets)
+        out = {p: sum(f for (q, _), f in got.items() if q == p) for p in patterns}
+        assert (-sum(got.values()), sum(max(0, out[p] - patterns[p]) for p in patterns)) == best
+
+
 def test_mixing(spark):
     rng = random.Random(7)
-    rows = [(i, words(rng.randint(1, 40), i), "en", rng.choice(["a", "b", "c", None, ""])) for i in range(300)] + [(300, None, None, "a"), (301, "", "en", "z"), (5, "again here", "en", "a"), (None, "no id", "en", "a")]
+    rows = [(i, words(rng.randint(1, 40), i), "en", rng.choice(["a", "b", "c", None, "", "\U0010ffff"])) for i in range(300)] + [(300, None, None, "a"), (301, "", "en", "z"), (5, "again here", "en", "a"), (None, "no id", "en", "a")]
     d = docs(spark, rows)
     narrow = d.select("doc_id", "source", mixing.word_count(F.col("text")).cast("long").alias("size"))
     one, two = (sorted(map(str, mixing.mix_sources(narrow).collect())) for _ in range(2))
@@ -412,7 +622,7 @@ def test_mixing(spark):
     for _, t, _, s in rows:
         sizes[s] += len((t or "").split())
     names = sorted((s for s in sizes if s is not None), key=str.encode) + [None]
-    want = mixing.quotas({s: sizes[s] for s in names})
+    want = brute_targets({s: sizes[s] for s in names})
     got = Counter()
     for r in mixing.mix_sources(narrow).collect():
         assert 0 <= r["taken"] <= 2 * r["size"]
@@ -421,8 +631,9 @@ def test_mixing(spark):
         assert abs(got[want[s], sizes[s]] - want[s]) <= 1, s
     assert out
     assert mixing.mix_sources(narrow.limit(0)).count() == 0
-    taken = mixing.take(d.withColumn("size", F.lit(1)))
-    assert taken.columns == [*d.columns, "size"]
+    clash = {"size": F.lit(1), "mix_size": F.lit(2), "pattern": F.lit(3), "hash": F.lit(4), "copy": F.lit(5), "taken": F.lit(6)}
+    taken = mixing.take(d.withColumns(clash))
+    assert taken.columns == [*d.columns, *clash]
     total = sum(len(r["text"].split()) for r in taken.collect())
     assert abs(total - sum(want.values())) <= len(names)
 

@@ -54,7 +54,7 @@ def test_one_off_blocks_stay_and_boilerplate_goes(spark):
     out = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, PAGES)).collect()}
     assert out[3] == f"Only here\nA single quote of this page\n{words(60, 3)}\n{words(50, 503)}"
     assert out[100] == f"{words(60, 100)}\n{words(50, 600)}" and out[200].startswith("Printed with care")
-    joined = html_text.main_text(spark.createDataFrame(rows, PAGES), most_broadcast=0)
+    joined = html_text.main_text(spark.createDataFrame(rows, PAGES), most_broadcast=0, most_bytes=0)
     assert {r["page_id"]: r["text"] for r in joined.collect()} == out
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import as_bytes, stored
+from tidewater.llm.common import as_bytes, bound_batches, stored
 
 _LOG10 = math.log(10)
 _END = b" "  # no word holds a blank
@@ -195,6 +195,7 @@ def _score_docs(head):
 def score(docs: DataFrame, vocabulary: str, head_share: int = 200_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), one row for each row of docs."""
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted = stored(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     stats = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import as_bytes, forget, fresh, join_checked, mix64, slices, stored
+from tidewater.llm.common import as_bytes, bound_batches, forget, fresh, join_checked, mix64, slices, stored
 
 #: Elements of sets whose signatures are computed together.
 _ELEMENTS = 60_000
@@ -313,6 +313,7 @@ def _verified(pairs: DataFrame, keyed: DataFrame, k: int, most_broadcast: int =
 
 def _groups(docs: DataFrame, shingle_words: int, threshold: float, bands: int, rows: int) -> DataFrame:
     """One row for each row of docs: doc_id, th (hash of the text), n_shingles, and the smallest doc_id (first_id) and th (first_th) of its group."""
+    bound_batches(docs.sparkSession)
     least = Fraction(threshold).limit_denominator(10_000)
     num, den = least.numerator, least.denominator
     floor = threshold - 4.7 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
