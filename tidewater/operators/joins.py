@@ -66,6 +66,23 @@ def similar_names(df: DataFrame, name: str, least: float) -> DataFrame:
     return pairs.withColumn("sim", similarity.trigram_similarity(F.col("name"), F.col("other"))).filter(F.col("sim") > least)
 
 
+def best_match(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """name, match, sim: for each distinct name of left the most similar of right (trigrams, above `least`; ties to the smaller).
+
+    Names meet by a shared trigram among the rarest ones of both (prefix filtering, as in similar_names), so no pair above
+    `least` is missed and no nested loop is needed.
+    """
+    grams = left.select(F.col("name"), F.lit(0).alias("side")).union(right.select("match", F.lit(1))).filter("name is not null").distinct()
+    grams = grams.select("name", "side", F.explode(similarity.trigrams(F.col("name"))).alias("g"))
+    rarity = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    mine = Window.partitionBy("side", "name")
+    ranked = grams.join(rarity, "g").withColumns({"place": F.row_number().over(mine.orderBy("df", "g")), "size": F.count(F.lit(1)).over(mine)})
+    prefix = ranked.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + 1)
+    a, b = prefix.filter("side = 0").select("g", "name"), prefix.filter("side = 1").select("g", F.col("name").alias("match"))
+    scored = a.join(b, "g").select("name", "match").distinct().withColumn("sim", similarity.trigram_similarity(F.col("name"), F.col("match"))).filter(F.col("sim") > least)
+    return scored.groupBy("name").agg(F.min(F.struct((-F.round("sim", 9)).alias("k"), "match", "sim")).alias("m")).select("name", "m.match", "m.sim")
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
     """The last row of each key by `order` (max of a struct: one aggregation with map-side combine, no window)."""
     s = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), *(F.col(c) for c in columns))

@@ -48,6 +48,16 @@ def contact_pairs(contacts: DataFrame, most_shared: int | None = None) -> DataFr
     return s.filter("score >= 0.6").select("a", "b", "score", F.when(F.col("score") >= 0.95, "auto").otherwise("review").alias("action"))
 
 
+def hints(said: DataFrame, entities: DataFrame) -> DataFrame:
+    """said's key columns, entity_id, via: written names, without suffixes and remarks, found among entities (name, entity_id) by the
+    whole name or, for a single word, by the first name (the smallest id that has it)."""
+    name = F.trim(F.regexp_replace(F.lower("name"), r" *(\(.*\)|jr\.?|sr\.?|iii?)$", ""))
+    whole = entities.select("name", F.col("entity_id").alias("by_name"))
+    first = entities.groupBy(F.split_part("name", F.lit(" "), F.lit(1)).alias("name")).agg(F.min("entity_id").alias("by_first"))
+    out = said.withColumn("name", name).join(whole, "name", "left").join(first, "name", "left").withColumn("entity_id", F.coalesce("by_name", "by_first")).filter("entity_id is not null")
+    return out.withColumn("via", F.when(F.col("by_name").isNotNull(), "name").otherwise("first")).drop("name", "by_name", "by_first")
+
+
 def auto_apply(candidates: DataFrame, levels: dict[str, float]) -> DataFrame:
     """Candidates whose kind's threshold their confidence reaches."""
     table = F.create_map(*[F.lit(x) for kv in levels.items() for x in kv])

@@ -150,31 +150,40 @@ def style_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.filter("messages >= 3")
 
 
-_EDGES = "e AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) * 3 AS w FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 7 = 0) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 7 = 0) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 3)"
+_EDGES = "e AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) * 3 AS w FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 3)"
 
 
-def _edges(spark: SparkSession, sf_dir: str, orders: str = "true") -> DataFrame:
-    m = table(spark, sf_dir, "lineitem").filter(orders).select("l_orderkey", "l_suppkey").distinct()
-    a, b = (m.select("l_orderkey", F.col("l_suppkey").alias(x)) for x in "ab")
-    return a.join(b, "l_orderkey").filter("a < b").groupBy("a", "b").agg((F.count(F.lit(1)) * 3).alias("w")).filter("w >= 9")
+_PART_EDGES = "p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) * 3 AS w FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2)"
+
+
+def _edges(spark: SparkSession, sf_dir: str, member: str = "l_suppkey", least: int = 3) -> DataFrame:
+    m = table(spark, sf_dir, "lineitem").select("l_orderkey", member).distinct()
+    a, b = (m.select("l_orderkey", F.col(member).alias(x)) for x in "ab")
+    return a.join(b, "l_orderkey").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("a", "b", (F.col("n") * 3).alias("w"))
+
+
+#: Synchronous rounds: in each, every node takes the label of most weight among its neighbours and itself.
+_PROPAGATED = """k AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e), o AS (SELECT a, b, w FROM k UNION ALL SELECT a, a, max(w) FROM k GROUP BY a),
+    l AS (SELECT DISTINCT a AS node, a AS c, 0 AS i FROM k UNION ALL SELECT a, c, i + 1 FROM (SELECT a, i, c, row_number() OVER (PARTITION BY a, i ORDER BY w DESC, c) AS best FROM (SELECT o.a, l.i, l.c, sum(o.w) AS w FROM o JOIN l ON l.node = o.b WHERE l.i < 20 GROUP BY ALL)) WHERE best = 1),
+    c AS (SELECT node, c AS community FROM l WHERE i = 20)"""
 
 
 @_r.add("graph_edges", f"WITH {_EDGES} SELECT a, b, w FROM e")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the orders that its SQL takes; label_propagation and bridges take all."""
-    return _edges(spark, sf_dir, "l_orderkey % 7 = 0")
+    return _edges(spark, sf_dir)
 
 
-@_r.add("label_propagation")
+@_r.add("label_propagation", f"WITH RECURSIVE {_EDGES}, {_PROPAGATED} SELECT node, community FROM c")
 def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     return network.label_propagation(_edges(spark, sf_dir))
 
 
-@_r.add("bridges")
+@_r.add("bridges", f"WITH RECURSIVE {_PART_EDGES}, {_PROPAGATED} SELECT k.a AS node, count(DISTINCT community) AS communities FROM k JOIN c ON c.node = k.b GROUP BY 1 HAVING count(DISTINCT community) > 1")
 def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that are ordered together at least twice: a sparse graph of many communities."""
     ensure_checkpoint_dir(spark)
-    edges = _edges(spark, sf_dir)
+    edges = _edges(spark, sf_dir, "l_partkey", 2)
     return network.bridges(edges, network.label_propagation(edges))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import similarity
 from tidewater.operators import joins
-from tidewater.plans.base import Registry, table
+from tidewater.plans.base import Registry, grams_sql, jaccard_sql, name_similarity_sql, table
 
 _r = Registry()
 QUERIES, ORACLE = _r.queries, _r.oracle
@@ -50,9 +50,9 @@ def anti_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
 
 
-@_r.add("anti_not_exists", "SELECT s_suppkey, s_name FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_returnflag = 'R' AND l.l_discount > 0.09)")
+@_r.add("anti_not_exists", "SELECT s_suppkey, s_name FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_returnflag = 'R' AND l.l_discount > 0.09 AND l.l_quantity > 48)")
 def anti_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_discount > 0.09").select(F.col("l_suppkey").alias("s_suppkey"))
+    bad = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_discount > 0.09 and l_quantity > 48").select(F.col("l_suppkey").alias("s_suppkey"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").join(bad, "s_suppkey", "left_anti")
 
 
@@ -84,21 +84,22 @@ def temporal_proximity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.near_in_time(table(spark, sf_dir, "events"), "user_id", "ts", 300).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).filter("times >= 3")
 
 
-@_r.add("near_dup_trigram")
+@_r.add(
+    "near_dup_trigram",
+    f"""WITH n AS (SELECT DISTINCT p_name AS name, {grams_sql("p_name")} AS g FROM part), s AS (SELECT a.name, b.name AS other, {jaccard_sql("a.g", "b.g")} AS sim FROM n a JOIN n b ON a.name < b.name) SELECT name, other, round(sim, 6) AS sim FROM s WHERE sim > 0.6""",
+)
 def near_dup_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.similar_names(table(spark, sf_dir, "part"), "p_name", 0.6).withColumn("sim", F.round("sim", 6))
 
 
 @_r.add(
     "top1_fuzzy_match",
-    """WITH s AS (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey <= 20), c AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 100),
-    m AS (SELECT s_suppkey, c_custkey, levenshtein(lower(s_name), lower(c_name)) AS dist FROM s, c) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY dist, c_custkey) = 1""",
+    f"""WITH a AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS name FROM part), b AS (SELECT DISTINCT p_name AS match FROM part), x AS (SELECT name, {grams_sql("name")} AS g FROM a), y AS (SELECT match, {grams_sql("match")} AS g FROM b),
+    s AS (SELECT name, match, {jaccard_sql("x.g", "y.g")} AS sim FROM x, y) SELECT name, match, round(sim, 6) AS sim FROM s WHERE sim > 0.4 QUALIFY row_number() OVER (PARTITION BY name ORDER BY round(sim, 9) DESC, match) = 1""",
 )
 def top1_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey <= 20").select("s_suppkey", "s_name")
-    c = table(spark, sf_dir, "customer").filter("c_custkey <= 100").select("c_custkey", "c_name")
-    m = s.join(F.broadcast(c), F.lit(True)).select("s_suppkey", "c_custkey", F.levenshtein(F.lower("s_name"), F.lower("c_name")).cast("long").alias("dist"))
-    return m.groupBy("s_suppkey").agg(F.min(F.struct("dist", "c_custkey")).alias("m")).select("s_suppkey", "m.c_custkey", "m.dist")
+    p = table(spark, sf_dir, "part")
+    return joins.best_match(p.select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("name")), p.select(F.col("p_name").alias("match")), 0.4).withColumn("sim", F.round("sim", 6))
 
 
 @_r.add(
@@ -115,12 +116,12 @@ def shared_identifier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_r.add(
     "interval_top5",
-    """WITH i AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) - INTERVAL 0 DAY AS b FROM orders WHERE o_orderkey % 100 = 0), s AS (SELECT o_orderkey, CAST(DATE '2024-01-01' + CAST(o_orderkey % 25 AS INT) AS DATE) AS b0 FROM i),
+    """WITH i AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) - INTERVAL 0 DAY AS b FROM orders), s AS (SELECT o_orderkey, CAST(DATE '2024-01-01' + CAST(o_orderkey % 25 AS INT) AS DATE) AS b0 FROM i),
     n AS (SELECT o_orderkey, event_type, count(*) AS n FROM s JOIN events ON CAST(ts AS DATE) BETWEEN b0 AND b0 + 3 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY n DESC, event_type) AS k FROM n)
     SELECT s.o_orderkey, coalesce(sum(n), 0)::BIGINT AS total, string_agg(event_type, ',' ORDER BY k) FILTER (WHERE k <= 5) AS top5 FROM s LEFT JOIN r ON r.o_orderkey = s.o_orderkey GROUP BY 1""",
 )
 def interval_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    span = table(spark, sf_dir, "orders").filter("o_orderkey % 100 = 0").select("o_orderkey", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 25).cast("int")).alias("b"))
+    span = table(spark, sf_dir, "orders").select("o_orderkey", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 25).cast("int")).alias("b"))
     span = span.withColumn("e", F.date_add("b", 3))
     daily = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("date"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     n = joins.inside_intervals(daily, span, "date", "b", "e", "o_orderkey").groupBy("o_orderkey", "event_type").agg(F.sum("n").alias("n"))
@@ -171,19 +172,21 @@ def spike_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(F.broadcast(s)).filter("n > m + 1.5 * sd").select("date", "n", F.round((F.col("n") - F.col("m")) / F.col("sd"), 4).alias("z"))
 
 
-@_r.add("either_key_join", "WITH p AS (SELECT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem WHERE l_orderkey % 50 = 0), q AS (SELECT s_suppkey AS x, (s_suppkey * 7) % 100 AS y FROM supplier) SELECT x, y, count(*) AS n FROM p JOIN q ON (a = x AND b = y) OR (a = y AND b = x) GROUP BY 1, 2")
+@_r.add("either_key_join", "WITH p AS (SELECT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem), q AS (SELECT s_suppkey AS x, (s_suppkey * 7) % 100 AS y FROM supplier) SELECT x, y, count(*) AS n FROM p JOIN q ON (a = x AND b = y) OR (a = y AND b = x) GROUP BY 1, 2")
 def either_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0").select(F.least("l_suppkey", F.col("l_partkey") % 100).alias("lo"), F.greatest("l_suppkey", F.col("l_partkey") % 100).alias("hi"))
+    p = table(spark, sf_dir, "lineitem").select(F.least("l_suppkey", F.col("l_partkey") % 100).alias("lo"), F.greatest("l_suppkey", F.col("l_partkey") % 100).alias("hi"))
     q = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("x"), (F.col("s_suppkey") * 7 % 100).alias("y"))
     q = q.withColumns({"lo": F.least("x", "y"), "hi": F.greatest("x", "y")})
     return p.join(q, ["lo", "hi"]).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_r.add("containment_join", "SELECT n_name, count(*) AS parts FROM part JOIN (SELECT n_nationkey, n_name, lower(left(n_name, 2)) AS bit FROM nation) ON p_name LIKE '%' || bit || '%' GROUP BY 1")
+@_r.add("containment_join", "SELECT bit, count(*) AS parts FROM part JOIN (SELECT DISTINCT right(split_part(p_name, ' ', 2), 3) AS bit FROM part) ON contains(p_name, bit) GROUP BY 1")
 def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("c"))
-    n = table(spark, sf_dir, "nation").select("n_name", F.lower(F.left("n_name", F.lit(2))).alias("bit"))  # 25 rows
-    return names.join(F.broadcast(n), F.col("p_name").contains(F.col("bit"))).groupBy("n_name").agg(F.sum("c").alias("parts"))
+    """Names that hold the last three letters of a second word: they meet by their three-letter parts, not in a nested loop."""
+    p = table(spark, sf_dir, "part")
+    bits = p.select(F.right(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(3)).alias("bit")).distinct()
+    names = p.groupBy("p_name").agg(F.count(F.lit(1)).alias("c"))
+    return names.select("c", F.explode(similarity.grams(F.col("p_name"), 3)).alias("bit")).join(bits, "bit").groupBy("bit").agg(F.sum("c").alias("parts"))
 
 
 @_r.add("local_keys_join", "SELECT k, tag, count(*) AS n FROM (VALUES (1, 'a'), (2, 'b'), (3, 'a')) v(k, tag) JOIN orders ON o_custkey = k GROUP BY 1, 2")
@@ -221,17 +224,25 @@ def staged_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_r.add(
     "next_present_day",
-    """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 40 = 0 GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY date) AS k FROM d) SELECT a.date, b.date AS next_date, a.n AS n, b.n AS next_n FROM i a JOIN i b ON b.k = a.k + 1""",
+    """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY date) AS k FROM d) SELECT a.date, b.date AS next_date, a.n AS n, b.n AS next_n FROM i a JOIN i b ON b.k = a.k + 1""",
 )
 def next_present_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' and o_orderkey % 40 = 0").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    d = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("n"))
     i = d.join(joins.day_index(d, "date"), "date")
     later = i.select((F.col("idx") - 1).alias("idx"), F.col("date").alias("next_date"), F.col("n").alias("next_n"))
     return i.join(later, "idx").drop("idx")
 
 
-@_r.add("name_pair_similarity")
+@_r.add(
+    "name_pair_similarity",
+    f"""WITH n AS (SELECT p_name AS name FROM part UNION SELECT split_part(p_name, ' ', 1) FROM part UNION SELECT split_part(p_name, ' ', 2) || ' ' || lower(p_type) FROM part), w AS (SELECT DISTINCT name, unnest(string_split(name, ' ')) AS word FROM n),
+    p AS (SELECT DISTINCT a.name AS a, b.name AS b FROM w a JOIN w b ON a.word = b.word AND a.name < b.name) SELECT a, b, round({name_similarity_sql("a", "b")}, 6) AS sim FROM p""",
+)
 def name_pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    n = table(spark, sf_dir, "nation").select("n_name")
-    return s.join(F.broadcast(n), F.col("s_suppkey") % 25 == F.col("n_name").substr(-1, 1).try_cast("int")).select("s_suppkey", "n_name", F.round(similarity.name_similarity(F.col("s_name"), F.col("n_name")), 6).alias("sim"))
+    """Distinct names (whole, first word only, second word and kind) that share a word."""
+    p = table(spark, sf_dir, "part")
+    first, second = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
+    names = p.select(F.explode(F.array(F.col("p_name"), first, F.concat(second, F.lit(" "), F.lower("p_type")))).alias("name")).distinct()
+    words = names.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
+    a, b = (words.select("word", F.col("name").alias(x)) for x in "ab")
+    return a.join(b, "word").filter("a < b").select("a", "b").distinct().withColumn("sim", F.round(similarity.name_similarity(F.col("a"), F.col("b")), 6))

@@ -121,9 +121,14 @@ def look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter(F.col("ts").between(at + F.expr("interval 60 minutes"), at + F.expr("interval 90 minutes"))).select("event_id")
 
 
-@_r.add("keyword_alerts", "SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '(?i)\\b911\\b') OR regexp_matches(text, '\\bSOS\\b') OR regexp_matches(text, '(?i)\\bemergency\\b') OR regexp_matches(text, '(?i)\\burgent\\b')")
+@_r.add(
+    "keyword_alerts",
+    "SELECT conv_id, turn FROM (SELECT conv_id, turn, text || CASE conv_id % 9 WHEN 0 THEN ' this is Urgent.' WHEN 1 THEN ' sos' WHEN 2 THEN ' call 911' WHEN 3 THEN ' 9112' WHEN 4 THEN ' insurgent' ELSE '' END AS text FROM conversations) WHERE regexp_matches(text, '(?i)\\b911\\b') OR regexp_matches(text, '\\bSOS\\b') OR regexp_matches(text, '(?i)\\bemergency\\b') OR regexp_matches(text, '(?i)\\burgent\\b')",
+)
 def keyword_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").filter(classify.matches_any(F.col("text"), list(classify.URGENT))).select("conv_id", "turn")
+    k = F.col("conv_id") % 9
+    said = F.when(k == 0, " this is Urgent.").when(k == 1, " sos").when(k == 2, " call 911").when(k == 3, " 9112").when(k == 4, " insurgent").otherwise("")
+    return table(spark, sf_dir, "conversations").filter(classify.matches_any(F.concat("text", said), list(classify.URGENT))).select("conv_id", "turn")
 
 
 # --- scalar functions
@@ -188,7 +193,11 @@ def record_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- import readers, de-duplication, normalisers, upserts
 
 
-@_r.add("html_records")
+@_r.add(
+    "html_records",
+    """WITH b AS (SELECT page_id, string_split_regex(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?i)</?(?:p|div|li|tr|h[1-6]|article|section|ul|ol|table|br)\\b[^>]*>') AS parts FROM pages),
+    t AS (SELECT page_id, list_filter(list_transform(parts, lambda p: left(trim(regexp_replace(regexp_replace(p, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), 2000)), lambda t: length(t) > 20) AS texts FROM b) SELECT page_id, CAST(generate_subscripts(texts, 1) - 1 AS INT) AS place, unnest(texts) AS text FROM t""",
+)
 def html_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(files.html_blocks(F.col("html"))).alias("place", "text"))
 
@@ -204,11 +213,11 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h")).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@_r.add("ingested_records", "SELECT 'message' AS source_key, conv_id || ':' || turn AS source_id, 'message' AS category, left(text, 120) AS summary, length(text)::BIGINT AS chars FROM conversations UNION ALL SELECT 'social', event_id::VARCHAR, 'social', CASE WHEN event_type = 'click' THEN 'Comment in c' || user_id ELSE 'post ' || event_id END, 0 FROM events WHERE event_id % 50 = 0")
+@_r.add("ingested_records", "SELECT 'message' AS source_key, conv_id || ':' || turn AS source_id, 'message' AS category, left(text, 120) AS summary, length(text)::BIGINT AS chars FROM conversations UNION ALL SELECT 'social', event_id::VARCHAR, 'social', CASE WHEN event_type = 'click' THEN 'Comment in c' || user_id ELSE 'post ' || event_id END, 0 FROM events")
 def ingested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     messages = c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.lit("2024-01-01").cast("timestamp").alias("ts"), F.col("role").alias("sender"), F.col("conv_id").cast("string").alias("chat"), "text")
-    e = table(spark, sf_dir, "events").filter("event_id % 50 = 0")
+    e = table(spark, sf_dir, "events")
     posts = e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "comment").otherwise("post").alias("tag"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created_utc"), F.concat(F.lit("post "), "event_id").alias("title"), F.lit(None).cast("string").alias("body"), F.col("user_id").cast("string").alias("author"), F.concat(F.lit("c"), "user_id").alias("community"))
     r = normalise.ingest({"message": messages.union(messages.limit(20)), "social": posts})  # twenty come twice
     return r.select("source_key", "source_id", "category", "summary", F.char_length("content").cast("long").alias("chars"))
@@ -244,10 +253,10 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.retain(table(spark, sf_dir, "events"), "ts", F.lit("2024-01-30").cast("timestamp_ntz"), 7).groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@_r.add("bulk_update_join", "SELECT c_custkey, coalesce(v.s, c_mktsegment) AS segment FROM customer LEFT JOIN (VALUES (1, 'A'), (2, 'B')) v(k, s) ON k = c_custkey WHERE c_custkey <= 10")
+@_r.add("bulk_update_join", "SELECT c_custkey, coalesce(v.s, c_mktsegment) AS segment FROM customer LEFT JOIN (VALUES (1, 'A'), (2, 'B')) v(k, s) ON k = c_custkey")
 def bulk_update_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.createDataFrame([(1, "A"), (2, "B")], "c_custkey long, s string")
-    return table(spark, sf_dir, "customer").filter("c_custkey <= 10").join(F.broadcast(v), "c_custkey", "left").select("c_custkey", F.coalesce("s", "c_mktsegment").alias("segment"))
+    return table(spark, sf_dir, "customer").join(F.broadcast(v), "c_custkey", "left").select("c_custkey", F.coalesce("s", "c_mktsegment").alias("segment"))
 
 
 @_r.add("group_batches", "SELECT CASE WHEN l_linenumber > 3 THEN 'group:' || l_suppkey ELSE 'dm:' || l_partkey % 100 END AS batch, count(*) AS n, max(l_orderkey) AS watermark FROM lineitem WHERE l_orderkey > 1000 GROUP BY 1")

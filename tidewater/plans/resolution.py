@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import similarity
 from tidewater.operators import resolve
-from tidewater.plans.base import Registry, table
+from tidewater.plans.base import Registry, grams_sql, jaccard_sql, name_similarity_sql, table
 
 _r = Registry()
 QUERIES, ORACLE = _r.queries, _r.oracle
@@ -15,16 +15,21 @@ QUERIES, ORACLE = _r.queries, _r.oracle
 
 @_r.add(
     "staged_resolution",
-    """WITH r AS (SELECT user_id AS record_id, min(event_id) % 500 AS k1, user_id % 40 AS k2 FROM events GROUP BY user_id), e1 AS (SELECT c_custkey % 500 AS k1, min(c_custkey) AS e FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1), e2 AS (SELECT c_nationkey AS k2, min(c_custkey) AS e FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1)
+    """WITH r AS (SELECT user_id AS record_id, min(event_id) % 500 AS k1, user_id % 40 AS k2 FROM events GROUP BY user_id), e1 AS (SELECT c_custkey % 500 AS k1, min(c_custkey) AS e FROM customer GROUP BY 1), e2 AS (SELECT c_nationkey AS k2, min(c_custkey) AS e FROM customer GROUP BY 1)
     SELECT record_id, coalesce(e1.e, e2.e) AS entity_id, CASE WHEN e1.e IS NOT NULL THEN 'k1' WHEN e2.e IS NOT NULL THEN 'k2' ELSE 'new' END AS stage FROM r LEFT JOIN e1 ON e1.k1 = r.k1 LEFT JOIN e2 ON e2.k2 = r.k2""",
 )
 def staged_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("m")).select(F.col("user_id").alias("record_id"), (F.col("m") % 500).alias("k1"), (F.col("user_id") % 40).alias("k2"))
-    e = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("entity_id"), (F.col("c_custkey") % 500).alias("k1"), F.col("c_nationkey").cast("long").alias("k2"))
+    e = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), (F.col("c_custkey") % 500).alias("k1"), F.col("c_nationkey").cast("long").alias("k2"))
     return resolve.staged_match(r, e, ["k1", "k2"])
 
 
-@_r.add("fuzzy_resolution")
+@_r.add(
+    "fuzzy_resolution",
+    f"""WITH e AS (SELECT split_part(p_name, ' ', 1) || ' ' || p_brand AS entity_name, count(*) AS facts, min(p_partkey) AS entity_id FROM part GROUP BY 1 ORDER BY facts DESC, entity_id LIMIT 200),
+    d AS (SELECT DISTINCT p_name AS name FROM part), s AS (SELECT name, entity_id, {name_similarity_sql("lower(name)", "lower(entity_name)")} AS sim FROM d, e), m AS (SELECT name, entity_id, sim FROM s QUALIFY row_number() OVER (PARTITION BY name ORDER BY sim DESC, entity_id) = 1)
+    SELECT p_partkey AS record_id, entity_id, round(sim, 6) AS sim, CASE WHEN sim >= 0.85 THEN 'merge' WHEN sim >= 0.55 THEN 'review' ELSE 'create' END AS action FROM part JOIN m ON m.name = p_name""",
+)
 def fuzzy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     records = p.select(F.col("p_partkey").alias("record_id"), F.col("p_name").alias("name"))
@@ -75,7 +80,14 @@ def threshold_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.auto_apply(c, {"contact": 0.9, "person": 0.95})
 
 
-@_r.add("fact_supersession")
+@_r.add(
+    "fact_supersession",
+    """WITH RECURSIVE f AS (SELECT user_id AS entity, event_type AS key, CAST(CAST(floor(value / 25) AS BIGINT) AS VARCHAR) AS value, round(value / 100, 3) AS confidence, 's' || event_id % 4 AS source, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL),
+    r AS (SELECT entity, key, k, value, confidence, CAST(1 AS BIGINT) AS evidence, [source] AS sources, CAST(0 AS BIGINT) AS supersedes FROM f WHERE k = 1 UNION ALL
+    SELECT f.entity, f.key, f.k, CASE WHEN f.value = r.value OR f.confidence < r.confidence THEN r.value ELSE f.value END, greatest(r.confidence, f.confidence), CASE WHEN f.value = r.value OR f.confidence < r.confidence THEN evidence + 1 ELSE 1 END,
+    CASE WHEN f.value = r.value THEN list_append(sources, f.source) WHEN f.confidence < r.confidence THEN sources ELSE [f.source] END, supersedes + CASE WHEN f.value <> r.value AND f.confidence >= r.confidence THEN 1 ELSE 0 END FROM r JOIN f ON f.entity = r.entity AND f.key = r.key AND f.k = r.k + 1)
+    SELECT entity, key, value, confidence, evidence, array_to_string(list_sort(list_distinct(sources)), ',') AS sources, supersedes FROM r QUALIFY row_number() OVER (PARTITION BY entity, key ORDER BY k DESC) = 1""",
+)
 def fact_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").filter("value is not null")
     facts = e.select(F.col("user_id").alias("entity"), F.col("event_type").alias("key"), F.floor(F.col("value") / 25).cast("string").alias("value"), F.round(F.col("value") / 100, 3).alias("confidence"), F.col("ts").alias("at"), F.col("event_id").alias("id"), F.concat(F.lit("s"), F.col("event_id") % 4).alias("source"))
@@ -94,10 +106,18 @@ def reliable_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_values(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_suppkey", 2, 2).drop("place")
 
 
-@_r.add("entity_hints", "SELECT p_partkey, n_name FROM part JOIN nation ON contains(lower(p_name), lower(substr(n_name, 2, 3)))")
+@_r.add(
+    "entity_hints",
+    """WITH t AS (SELECT p_partkey, trim(regexp_replace(lower(CASE p_partkey % 3 WHEN 0 THEN p_name || ' Jr.' WHEN 1 THEN split_part(p_name, ' ', 1) ELSE p_name || ' (work)' END), ' *(\\(.*\\)|jr\\.?|sr\\.?|iii?)$', '')) AS name FROM part),
+    e AS (SELECT p_name AS name, min(p_partkey) AS entity_id FROM part GROUP BY 1), f AS (SELECT split_part(name, ' ', 1) AS name, min(entity_id) AS entity_id FROM e GROUP BY 1)
+    SELECT p_partkey, coalesce(e.entity_id, f.entity_id) AS entity_id, CASE WHEN e.entity_id IS NOT NULL THEN 'name' ELSE 'first' END AS via FROM t LEFT JOIN e ON e.name = t.name LEFT JOIN f ON f.name = t.name WHERE coalesce(e.entity_id, f.entity_id) IS NOT NULL""",
+)
 def entity_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select("n_name", F.lower(F.substring("n_name", 2, 3)).alias("bit"))  # 25 rows
-    return table(spark, sf_dir, "part").join(F.broadcast(n), F.lower("p_name").contains(F.col("bit"))).select("p_partkey", "n_name")
+    """Names as people write them: suffixes and remarks go; a whole name finds its entity, a first name the smallest id of those that have it."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 3
+    said = F.when(k == 0, F.concat("p_name", F.lit(" Jr."))).when(k == 1, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise(F.concat("p_name", F.lit(" (work)")))
+    return resolve.hints(p.select("p_partkey", said.alias("name")), p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity_id")))
 
 
 @_r.add("keep_first", "SELECT DISTINCT ON (p_brand, p_size) p_brand, p_size, p_partkey FROM part ORDER BY p_brand, p_size, p_partkey")
@@ -134,10 +154,17 @@ def knowledge_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy(F.col("p_brand").alias("domain")).agg(F.sum("n").alias("facts"), F.count(F.lit(1)).alias("categories"), F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 2).alias("mean_confidence"), F.max_by("p_type", F.struct("n", "p_type")).alias("largest"))
 
 
-@_r.add("trigram_scores", None)
+@_r.add(
+    "trigram_scores",
+    f"""WITH x AS (SELECT DISTINCT p_name AS a, {grams_sql("p_name")} AS g FROM part), y AS (SELECT DISTINCT p_brand || ' ' || p_type AS b, {grams_sql("p_brand || ' ' || p_type")} AS g FROM part), w AS (SELECT a, unnest(g) AS t FROM x), v AS (SELECT b, unnest(g) AS t FROM y),
+    p AS (SELECT DISTINCT a, b FROM w JOIN v ON w.t = v.t) SELECT a, b, round({jaccard_sql("x.g", "y.g")}, 6) AS sim FROM p JOIN x USING (a) JOIN y USING (b)""",
+)
 def trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
-    return p.join(F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_name").alias("b"))), F.lit(True)).select("a", "b", F.round(similarity.trigram_similarity(F.col("a"), F.col("b")), 6).alias("sim"))
+    """Names against kinds, of those that share a trigram (all others score 0)."""
+    p = table(spark, sf_dir, "part")
+    x, y = p.select(F.col("p_name").alias("a")).distinct(), p.select(F.concat_ws(" ", "p_brand", "p_type").alias("b")).distinct()
+    met = x.select("a", F.explode(similarity.trigrams(F.col("a"))).alias("g")).join(y.select("b", F.explode(similarity.trigrams(F.col("b"))).alias("g")), "g").select("a", "b").distinct()
+    return met.select("a", "b", F.round(similarity.trigram_similarity(F.col("a"), F.col("b")), 6).alias("sim"))
 
 
 # --- queue and source telemetry

@@ -45,7 +45,15 @@ def pearson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.pearson_pairs(_daily(spark, sf_dir)).select("metric_a", "metric_b", "n", F.round("r", 6).alias("r"), "strength", F.round("confidence", 6).alias("confidence"))
 
 
-@_r.add("pearson_significance")
+def _p_sql(r: str, n: str) -> str:
+    """The two-sided p-value, as functions.stats.p_value has it."""
+    t = f"abs({r} * sqrt(({n} - 2) / greatest(1e-12, 1 - {r} * {r})))"
+    u = f"(1 / (1 + 0.3275911 * {t} / sqrt(2)))"
+    tail = f"((((1.061405429 * {u} - 1.453152027) * {u} + 1.421413741) * {u} - 0.284496736) * {u} + 0.254829592) * {u} * exp(-{t} * {t} / 2)"
+    return f"CASE WHEN {n} > 30 THEN {tail} ELSE least(1.0, 2 * exp(-0.717 * {t} - 0.416 * {t} * {t})) END"
+
+
+@_r.add("pearson_significance", f"WITH {_ORDERS}, r AS (SELECT a.metric AS metric_a, b.metric AS metric_b, count(*) AS n, {_r_sql()} AS r FROM s a JOIN s b ON a.date = b.date AND a.metric < b.metric GROUP BY 1, 2) SELECT metric_a, metric_b, n, round(r, 6) AS r, round({_p_sql('r', 'n')}, 6) AS p FROM r WHERE n >= 30")
 def pearson_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.pearson_pairs(_orders(spark, sf_dir), 30).select("metric_a", "metric_b", "n", F.round("r", 6).alias("r"), F.round("p", 6).alias("p"))
 
@@ -81,13 +89,24 @@ def _dimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by[0].union(by[1])
 
 
-@_r.add("discovered_pairs")
+_DIMENSIONAL = "s AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, 'status.' || lower(regexp_replace(o_orderstatus, '[^A-Za-z0-9]+', '_', 'g')) AS metric, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2 UNION ALL SELECT CAST(date_trunc('month', o_orderdate) AS DATE), 'priority.' || lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '_', 'g')), sum(o_totalprice) FROM orders GROUP BY 1, 2)"
+
+
+@_r.add(
+    "discovered_pairs",
+    f"""WITH {_DIMENSIONAL}, k AS (SELECT metric FROM s GROUP BY 1 HAVING count(*) >= 30), r AS (SELECT a.metric AS metric_a, b.metric AS metric_b, count(*) AS n, {_r_sql()} AS r FROM s a JOIN s b ON a.date = b.date AND a.metric < b.metric WHERE a.metric IN (SELECT metric FROM k) AND b.metric IN (SELECT metric FROM k) GROUP BY 1, 2)
+    SELECT metric_a, metric_b, n, round(r, 6) AS r FROM r WHERE n >= 30 AND split_part(metric_a, '.', 1) <> split_part(metric_b, '.', 1) AND NOT (metric_a = 'priority.1_urgent' AND metric_b = 'status.f') AND abs(r) >= 0.4 AND {_p_sql('r', 'n')} < 0.01 ORDER BY 1, 2 LIMIT 20""",
+)
 def discovered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame([("priority.1_urgent", "status.f")], "metric_a string, metric_b string")
     return statistics.discovered_pairs(_dimensional(spark, sf_dir), known).select("metric_a", "metric_b", "n", F.round("r", 6).alias("r"))
 
 
-@_r.add("pair_confirmations")
+@_r.add(
+    "pair_confirmations",
+    f"""WITH {_LONG}, h AS (SELECT *, date >= DATE '2024-01-16' AS late FROM s), r AS (SELECT a.late, a.metric AS metric_a, b.metric AS metric_b, count(*) AS n, {_r_sql()} AS r FROM h a JOIN h b ON a.date = b.date AND a.metric < b.metric GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+    c AS (SELECT x.metric_a, x.metric_b, CASE WHEN sign(y.r) = sign(x.r) THEN 1 ELSE 0 END AS hit FROM r x LEFT JOIN r y ON y.late AND y.metric_a = x.metric_a AND y.metric_b = x.metric_b WHERE NOT x.late) SELECT metric_a, metric_b, hit AS confirmed, 1 - hit AS exceptions, CASE WHEN hit = 0 THEN 'rejected' ELSE 'active' END AS status FROM c""",
+)
 def pair_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _daily(spark, sf_dir)
     prior = statistics.pearson_pairs(s.filter("date < date'2024-01-16'"), 10).withColumns({"confirmed": F.lit(0), "exceptions": F.lit(0)})

@@ -125,7 +125,12 @@ def gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.gap_clusters(p, ["one"], "week", "z", 14).drop("one").withColumn("best", F.round("best", 4))
 
 
-@_r.add("anchored_groups")
+@_r.add(
+    "anchored_groups",
+    """WITH RECURSIVE d AS (SELECT o_custkey, day, row_number() OVER (PARTITION BY o_custkey ORDER BY day) AS k FROM (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders)),
+    r AS (SELECT o_custkey, k, day, day AS first, CAST(1 AS BIGINT) AS g FROM d WHERE k = 1 UNION ALL SELECT d.o_custkey, d.k, d.day, CASE WHEN d.day - r.first > 14 THEN d.day ELSE r.first END, g + CASE WHEN d.day - r.first > 14 THEN 1 ELSE 0 END FROM r JOIN d ON d.o_custkey = r.o_custkey AND d.k = r.k + 1)
+    SELECT o_custkey, g AS "group", min(day) AS first_day, max(day) AS last_day FROM r GROUP BY 1, 2""",
+)
 def anchored_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day")).distinct()
     return windows.anchored_groups(days, "o_custkey", "day", 14).groupBy("o_custkey", "group").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
@@ -170,7 +175,13 @@ def bookends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("date")).agg(F.min_by("event_type", at).alias("first_kind"), F.max_by("event_type", at).alias("last_kind"))
 
 
-@_r.add("photo_day_clusters")
+@_r.add(
+    "photo_day_clusters",
+    """WITH RECURSIVE p AS (SELECT CAST(ts AS DATE) AS day, event_id, CASE WHEN event_type <> 'error' THEN 40 + value / 50 END AS lat, CASE WHEN event_type <> 'error' AND value IS NOT NULL THEN -74 + event_id % 7 / 5.0::DOUBLE END AS lon, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS k FROM events),
+    r AS (SELECT day, k, event_id, [{'x': lat, 'y': lon}] AS seeds, CAST(1 AS BIGINT) AS cluster FROM p WHERE k = 1 UNION ALL SELECT day, k, event_id, CASE WHEN hit IS NULL THEN list_append(seeds, {'x': lat, 'y': lon}) ELSE seeds END, coalesce(hit, len(seeds) + 1) FROM
+    (SELECT p.*, r.seeds, list_min(list_filter(range(1, len(r.seeds) + 1), lambda i: p.lat IS NULL OR r.seeds[i].x IS NULL OR 12742 * asin(sqrt(least(1.0, pow(sin(radians(p.lat - r.seeds[i].x) / 2), 2) + cos(radians(r.seeds[i].x)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - r.seeds[i].y) / 2), 2)))) <= 50)) AS hit FROM r JOIN p ON p.day = r.day AND p.k = r.k + 1))
+    SELECT day, event_id, cluster FROM r""",
+)
 def photo_day_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_id", F.when(F.col("event_type") != "error", 40 + F.col("value") / 50).alias("lat"), (-74 + F.col("event_id") % 7 / 5.0).alias("lon"))
     return windows.day_radius_clusters(e, "day", "lat", "lon", "event_id")
