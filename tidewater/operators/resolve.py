@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions import similarity
+from tidewater.functions import identifiers, similarity
+from tidewater.operators import joins
 
 
 def staged_match(records: DataFrame, entities: DataFrame, stages: list[str], id_: str = "record_id", entity: str = "entity_id") -> DataFrame:
@@ -122,3 +123,93 @@ def pattern_maintenance(patterns: DataFrame, as_of, decay: float = 0.95, idle_da
     weeks = F.floor(F.greatest(F.lit(0), F.datediff(as_of, "last_seen") - idle_days) / 7)
     c = F.col("confidence") * F.pow(F.lit(decay), weeks)
     return patterns.withColumns({"confidence": c, "state": F.when((c >= 0.85) & (F.col("seen") >= 5), "promoted").when(c < 0.1, "inactive").otherwise("active")})
+
+
+def identity_key(c: Column) -> Column:
+    """An identifier without the blanks, dashes, brackets and points of phone numbers; US numbers get +1; mail in lower case. Null below two characters."""
+    t = F.regexp_replace(c, r"[\s\-\(\)\.]", "")
+    t = F.when(t.rlike("^[2-9][0-9]{9}$"), F.concat(F.lit("+1"), t)).when(t.rlike("^1[2-9][0-9]{9}$"), F.concat(F.lit("+"), t)).otherwise(t)
+    return F.when(F.char_length(c) >= 2, F.when(t.contains("@"), F.lower(t)).otherwise(t))
+
+
+def identify(records: DataFrame, links: DataFrame) -> DataFrame:
+    """record_id, key, kind, identity_id, via for records (record_id, platform, identifier, name) against links (identity_id, platform, key).
+
+    A link of the same platform comes first (via 'platform'), then one of any platform ('other', the smallest identity); records with a
+    name and no link open an identity ('new'), the records of one key together, named by the smallest record_id, negated; the rest have none.
+    """
+    key = identity_key(F.col("identifier"))
+    kind = F.when(F.col("key").contains("@"), "email").when(F.col("key").rlike(r"^\+?[0-9]{7,15}$"), "phone").when(F.col("key").isNotNull(), "handle")
+    rows = records.select("record_id", "platform", "name", key.alias("key")).withColumn("kind", kind)
+    same = links.groupBy("platform", "key").agg(F.min("identity_id").alias("same"))
+    other = links.groupBy("key").agg(F.min("identity_id").alias("other"))
+    named = F.char_length(F.trim("name")) > 1
+    fresh = rows.filter(F.col("key").isNotNull() & named).groupBy("key").agg((-F.min("record_id")).alias("fresh"))
+    out = rows.join(same, ["platform", "key"], "left").join(other, "key", "left").join(fresh, "key", "left")
+    return out.select(
+        "record_id", "key", "kind",
+        F.coalesce("same", "other", F.when(named, F.col("fresh"))).alias("identity_id"),
+        F.when(F.col("same").isNotNull(), "platform").when(F.col("other").isNotNull(), "other").when(named & F.col("fresh").isNotNull(), "new").alias("via"),
+    )
+
+
+def aliases(c: Column) -> Column:
+    """Distinct aliases in lower case: phones as national digits, others trimmed."""
+    one = lambda a: F.when(a.rlike(r"^\+?\d[\d\s()\-\.]+$") & (F.char_length(identifiers.digits(a)) >= 7), identifiers.phone_national(a)).otherwise(F.lower(F.trim(a)))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), one), lambda a: a.isNotNull() & (a != "")))
+
+
+def cascade(hints_: DataFrame, entities: DataFrame, merge: float = 0.85, review: float = 0.55, top: int = 200) -> DataFrame:
+    """record_id, entity_id, stage, review_id, sim: hints (record_id, name, aliases, contact) resolved among entities (entity_id, name, aliases, contact, fact_count).
+
+    Stages, the first that finds an entity (the smallest id) wins: a phone among the aliases, the contact, the name in any case, another alias, and the
+    most similar of the `top` entities with the most facts (by name or alias), if it reaches `merge`. Else the hint is new; a similarity of
+    `review` or more names the entity to look at. Stages meet by equi-joins; the `top` entities are a bounded broadcast.
+    """
+    h = hints_.select("record_id", F.lower(F.trim("name")).alias("name"), aliases(F.col("aliases")).alias("aliases"), "contact")
+    e = entities.select("entity_id", F.lower(F.trim("name")).alias("name"), aliases(F.col("aliases")).alias("aliases"), "contact", "fact_count")
+
+    def keyed(df: DataFrame, id_: str) -> DataFrame:
+        is_phone = lambda a: a.rlike(r"^\d{7,}$")
+        keys = F.array(F.struct(F.lit(2).alias("stage"), F.col("contact").alias("k")), F.struct(F.lit(3).alias("stage"), F.col("name").alias("k")))
+        more = F.transform("aliases", lambda a: F.struct(F.when(is_phone(a), 1).otherwise(4).alias("stage"), a.alias("k")))
+        return df.select(id_, F.explode(F.concat(keys, more)).alias("x")).select(id_, "x.*").filter("k is not null and k <> ''")
+
+    by_key = keyed(e, "entity_id").groupBy("stage", "k").agg(F.min("entity_id").alias("entity_id"))
+    hits = keyed(h, "record_id").join(by_key, ["stage", "k"]).groupBy("record_id").agg(F.min(F.struct("stage", "entity_id")).alias("hit"))
+    left = h.join(hits, "record_id", "left")
+    best = e.orderBy(F.desc("fact_count"), "entity_id").limit(top).select("entity_id", F.explode(F.concat(F.array("name"), "aliases")).alias("known"))
+    names = left.filter("hit is null").select("name").distinct().join(F.broadcast(best), F.lit(True))
+    sims = names.withColumn("sim", similarity.name_similarity(F.col("name"), F.col("known"))).groupBy("name").agg(F.max(F.struct(F.round("sim", 9).alias("sim"), (-F.col("entity_id")).alias("e"))).alias("near")).filter("near.sim > 0")
+    out = left.join(sims, "name", "left")
+    sim, near = F.when(F.col("hit").isNull(), F.col("near.sim")), -F.col("near.e")
+    stage = F.col("hit.stage")
+    stages = F.when(F.col("hit").isNotNull(), F.when(stage == 1, "phone").when(stage == 2, "contact").when(stage == 3, "name").otherwise("alias"))
+    return out.select(
+        "record_id",
+        F.coalesce("hit.entity_id", F.when(sim >= merge, near)).alias("entity_id"),
+        F.coalesce(stages, F.when(sim >= merge, "fuzzy").otherwise("new")).alias("stage"),
+        F.when((sim >= review) & (sim < merge), near).alias("review_id"),
+        sim.alias("sim"),
+    )
+
+
+def merge_candidates(people: DataFrame, links: DataFrame, entities: DataFrame, seen: DataFrame, least: float = 0.6) -> DataFrame:
+    """kind, a, b, confidence (strings a, b), at least `least`: pairs to merge.
+
+    'person': names of people (id, name) with trigram similarity above .6, by .8 of it; identities that share a key of links (id, key), .95,
+    each with the smallest one of its key (a star, so a key of many makes no square). 'entity': entities (id, name, fact_count) of one
+    name, each with the one of most facts, 1. 'photo': names seen (name) that no person has, with the most similar person above .5, by .9 of it.
+    """
+    first = people.groupBy("name").agg(F.min("id").alias("id"))
+    similar = joins.similar_names(people, "name", 0.6).join(first.select("name", F.col("id").alias("x")), "name").join(first.select(F.col("name").alias("other"), F.col("id").alias("y")), "other")
+    named = similar.select(F.lit("person").alias("kind"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("sim") * 0.8).alias("confidence"))
+    one = links.select("id", "key").distinct()
+    shared = one.join(one.groupBy("key").agg(F.min("id").alias("a")), "key").filter("id != a").select(F.lit("person").alias("kind"), "a", F.col("id").alias("b"), F.lit(0.95).alias("confidence"))
+    most = entities.groupBy("name").agg(F.max(F.struct("fact_count", (-F.col("id")).alias("m"))).alias("m")).select("name", (-F.col("m.m")).alias("a"))
+    equal = entities.join(most, "name").filter("id != a").select(F.lit("entity").alias("kind"), "a", F.col("id").alias("b"), F.lit(1.0).alias("confidence"))
+    pairs = named.unionByName(shared).unionByName(equal).select("kind", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "confidence")
+    unknown = seen.select("name").distinct().join(people.select("name"), "name", "left_anti")
+    photo = joins.best_match(unknown, people.select(F.col("name").alias("match")), 0.5).join(first.withColumnRenamed("name", "match"), "match")
+    photo = photo.select(F.lit("photo").alias("kind"), F.col("id").cast("string").alias("a"), F.col("name").alias("b"), (F.col("sim") * 0.9).alias("confidence"))
+    return pairs.unionByName(photo).groupBy("kind", "a", "b").agg(F.max("confidence").alias("confidence")).filter(F.col("confidence") >= least)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,3 +135,39 @@ def transition_signals(events: DataFrame, ts: str, kind: str, as_of: Column, rec
     g = rows.groupBy(kind).agg((F.count_if(now) / recent).alias("recent_rate"), (F.count_if(~now) / before).alias("baseline_rate"))
     change = F.try_divide(F.col("recent_rate") - F.col("baseline_rate"), F.col("baseline_rate"))
     return g.withColumn("change", change).withColumn("strength", F.least(F.lit(1.0), F.abs("change"))).filter(F.col("strength") >= least)
+
+
+def life_transitions(contacts: DataFrame, places: DataFrame, moods: DataFrame, meetings: DataFrame, mails: DataFrame, as_of: Column, recent: int = 30, before: int = 90, least: float = 0.3) -> DataFrame:
+    """test, type, strength, together: the six tests of a changed life over the last `recent` days against the `before` days before them.
+
+    All tables have at (date); contacts: who; places: cell; moods: score; mails: domain; meetings count alone. `together` tells whether two
+    tests at least reach `least`. Distinct values are reduced to one row each first, so every test is an aggregation that combines early.
+    """
+    start, base = F.date_sub(as_of, recent), F.date_sub(as_of, recent + before)
+    now, then, ago = F.col("at") >= start, (F.col("at") >= base) & (F.col("at") < start), F.col("at") < base
+
+    def seen(df: DataFrame, key: str) -> DataFrame:
+        return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.bool_or(now).alias("now"), F.bool_or(then).alias("then"), F.bool_or(ago).alias("ago"))
+
+    def signal(test: str, type_: Column, strength: Column, where: Column) -> list[Column]:
+        return [F.lit(test).alias("test"), type_.alias("type"), F.least(F.lit(1.0), strength).alias("strength"), F.coalesce(where, F.lit(False)).alias("ok")]
+
+    c = seen(contacts, "who").agg(F.count_if("now").alias("rt"), F.count_if(F.col("now") & ~F.col("then")).alias("rn"), F.count_if("then").alias("bt"), F.count_if(F.col("then") & ~F.col("ago")).alias("bn"))
+    r, b = F.try_divide("rn", "rt"), F.try_divide("bn", "bt")
+    new = c.select(*signal("contacts", F.lit("social_shift"), r / F.greatest(F.lit(0.01), b) / 3, (r > 2 * b) & (F.col("rn") >= 3)))
+    p = seen(places, "cell").agg(F.count_if("now").alias("r"), F.count_if("then").alias("b")).withColumn("q", F.try_divide("r", "b"))
+    where = p.select(*signal("places", F.when(F.col("q") > 2, "relocation").otherwise("routine_break"), F.when(F.col("q") > 2, (F.col("q") - 1) / 3).otherwise(1 - F.col("q")), (F.col("q") > 2) | (F.col("q") < 0.3) & (F.col("b") >= 5)))
+
+    def rate(df: DataFrame) -> DataFrame:
+        return df.agg((F.count_if(now) / recent).alias("r"), (F.count_if(then) / before).alias("b")).withColumn("q", F.try_divide("r", "b"))
+
+    q = F.col("q")
+    volume = rate(contacts).select(*signal("volume", F.when(q > 1, "social_shift").otherwise("stress_period"), F.abs(q - 1) / 1.5, (q > 1.5) | (q < 0.5)))
+    m = moods.agg((F.avg(F.when(now, F.col("score"))) - F.avg(F.when(then, F.col("score")))).alias("d"))
+    mood = m.select(*signal("moods", F.when(F.col("d") < 0, "stress_period").otherwise("social_shift"), F.abs("d") / 0.3, F.abs("d") > 0.1))
+    busy = rate(meetings).select(*signal("meetings", F.lit("routine_break"), F.abs(q - 1) / 2, (q > 1.8) | (q < 0.4)))
+    d = seen(mails, "domain").agg(F.count_if(F.col("now") & ~F.col("then")).alias("n"))
+    work = d.select(*signal("mails", F.lit("career_change"), F.col("n") / 15, F.col("n") >= 5))
+    rows = reduce(DataFrame.unionByName, [new, where, volume, mood, busy, work]).filter("ok").drop("ok")
+    strong = F.sum((F.col("strength") >= least).cast("int")).over(Window.partitionBy(F.lit(0)))  # six rows at most
+    return rows.withColumn("together", strong >= 2)

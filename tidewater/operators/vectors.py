@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
@@ -105,3 +107,17 @@ def unique_labels(centres: list[dict[str, float]], labels: dict[str, dict[str, f
         if -i not in out and name not in out.values():
             out[-i] = name
     return out
+
+
+def containing(rows: DataFrame, columns: list[str], text: str, order: list[Column], limit: int) -> DataFrame:
+    """Rows one of whose columns holds the text in any case, in the given order: the search without an embedding."""
+    hit = F.lower(F.lit(text))
+    found = reduce(lambda x, y: x | y, [F.coalesce(F.lower(c).contains(hit), F.lit(False)) for c in columns])
+    return rows.filter(found).orderBy(*order).limit(limit)
+
+
+def cluster_profile(members: DataFrame, cluster: str, ts: str, source: str) -> DataFrame:
+    """cluster, members, begins, ends, sources (name and count, most first, then by name) of each cluster."""
+    per = members.groupBy(cluster, source).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi"))
+    mix = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col(source).alias("s")))), lambda x: F.concat_ws(":", x["s"], -x["k"]))
+    return per.groupBy(cluster).agg(F.sum("n").alias("members"), F.min("lo").alias("begins"), F.max("hi").alias("ends"), F.array_join(mix, ",").alias("sources"))

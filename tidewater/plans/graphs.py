@@ -61,6 +61,53 @@ def topic_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(vectors.norm(F.col("embedding"))), 4).alias("mean_norm"))
 
 
+@_r.add(
+    "topic_profile",
+    "WITH m AS (SELECT label, event_type, ts FROM embeddings JOIN events ON event_id = vec_id), n AS (SELECT label, event_type, count(*) AS n FROM m GROUP BY 1, 2), s AS (SELECT label, string_agg(event_type || ':' || n, ',' ORDER BY n DESC, event_type) AS sources FROM n GROUP BY 1) SELECT m.label, count(*) AS members, min(ts) AS begins, max(ts) AS ends, any_value(sources) AS sources FROM m JOIN s ON s.label = m.label GROUP BY 1",
+)
+def topic_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time range and source mix of each topic."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("event_id"), "label")
+    return vectors.cluster_profile(v.join(table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "event_id"), "label", "ts", "event_type")
+
+
+_FACTS = "f AS (SELECT vec_id AS id, 'd' || label % 3 AS domain, (vec_id % 100) / 100.0::DOUBLE AS confidence, vec_id % 13 = 0 AS superseded, embedding FROM embeddings)"
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(k, F.concat(F.lit("d"), F.col("label") % 3).alias("domain"), (k % 100 / 100.0).alias("confidence"), (k % 13 == 0).alias("superseded"), "embedding")
+
+
+@_r.add("fact_search", f"WITH {_FACTS} SELECT id, domain, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 4) AS similarity FROM f, {_Q} WHERE NOT superseded AND confidence >= 0.3 AND domain = 'd1' ORDER BY list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) DESC, id LIMIT 20")
+def fact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current facts of a domain and a least confidence, nearest to the query."""
+    f = _facts(spark, sf_dir).filter("not superseded and confidence >= 0.3 and domain = 'd1'")
+    return vectors.search(f, _query(spark, sf_dir), 20, -1.0).select(F.col("vec_id").alias("id"), "domain", F.round("similarity", 4).alias("similarity"))
+
+
+@_r.add("fact_text_search", "SELECT p_partkey AS id, p_name AS key, p_type AS value FROM part WHERE p_size % 7 > 0 AND (p_size % 10) / 10.0 >= 0.2 AND (p_name ILIKE '%RED%' OR p_type ILIKE '%RED%' OR p_brand ILIKE '%RED%') ORDER BY (p_size % 10) DESC, p_size DESC, p_partkey LIMIT 20")
+def fact_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without an embedding: facts that hold the text, by confidence, then evidence."""
+    p = table(spark, sf_dir, "part").filter("p_size % 7 > 0").withColumn("confidence", F.col("p_size") % 10 / 10.0).filter("confidence >= 0.2")
+    return vectors.containing(p, ["p_name", "p_type", "p_brand"], "RED", [F.desc("confidence"), F.desc("p_size"), F.col("p_partkey")], 20).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("key"), F.col("p_type").alias("value"))
+
+
+@_r.add("chunk_search", f"SELECT vec_id AS id, label AS entity, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 4) AS similarity FROM embeddings, {_Q} WHERE label IN (2, 4) ORDER BY list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) DESC, vec_id LIMIT 15")
+def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of given entities, nearest to the query."""
+    c = table(spark, sf_dir, "embeddings").filter("label in (2, 4)")
+    return vectors.search(c, _query(spark, sf_dir), 15, -1.0).select(F.col("vec_id").alias("id"), F.col("label").alias("entity"), F.round("similarity", 4).alias("similarity"))
+
+
+@_r.add("chunk_text_search", "SELECT event_id AS id, ts AS time_end FROM events WHERE props ILIKE '%\"K\": 6%' ORDER BY CASE WHEN event_type = 'error' THEN NULL ELSE ts END DESC NULLS LAST, event_id LIMIT 15")
+def chunk_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without an embedding: chunks that hold the text, the latest first, those without an end last."""
+    e = table(spark, sf_dir, "events")
+    end = F.when(F.col("event_type") != "error", F.col("ts"))
+    return vectors.containing(e, ["props"], '"K": 6', [end.desc_nulls_last(), F.col("event_id")], 15).select(F.col("event_id").alias("id"), F.col("ts").alias("time_end"))
+
+
 @_r.add("kmeans_two_level")
 def kmeans_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.two_level(table(spark, sf_dir, "embeddings"), 5).withColumn("distance", F.round("distance", 6))

@@ -213,13 +213,38 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h")).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@_r.add("ingested_records", "SELECT 'message' AS source_key, conv_id || ':' || turn AS source_id, 'message' AS category, left(text, 120) AS summary, length(text)::BIGINT AS chars FROM conversations UNION ALL SELECT 'social', event_id::VARCHAR, 'social', CASE WHEN event_type = 'click' THEN 'Comment in c' || user_id ELSE 'post ' || event_id END, 0 FROM events")
+@_r.add(
+    "ingested_records",
+    """SELECT 'message' AS source_key, conv_id || ':' || turn AS source_id, 'message' AS category, left(text, 120) AS summary, length(text)::BIGINT AS chars FROM conversations
+    UNION ALL SELECT 'social', event_id::VARCHAR, 'social', CASE WHEN event_type = 'click' THEN 'Comment in c' || user_id ELSE 'post ' || event_id END, 0 FROM events
+    UNION ALL SELECT 'email', 'o' || o_orderkey, 'email', coalesce(CASE WHEN o_orderkey % 7 > 0 THEN 'Order ' || o_orderkey END, '(no subject)'), 5 FROM orders WHERE o_orderkey % 5 > 0
+    UNION ALL SELECT 'calendar', 'p' || p_partkey, 'event', coalesce(CASE WHEN p_partkey % 4 > 0 THEN p_name END, '(untitled)'), length(p_type)::BIGINT FROM part
+    UNION ALL SELECT 'photo', 's' || s_suppkey, 'photo', 'Photo with ' || s_name || CASE WHEN s_suppkey % 2 = 0 THEN ' at n' || s_nationkey ELSE '' END, 0 FROM supplier
+    UNION ALL SELECT 'annotation', 'c' || c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'health' WHEN 1 THEN 'location' ELSE 'activity' END, c_name, length(c_name)::BIGINT FROM customer
+    UNION ALL SELECT 'location', 'l' || c_custkey, 'location', 'At ' || CASE WHEN c_custkey % 2 = 0 THEN 'n' || c_nationkey ELSE printf('%.4f,%.4f', (c_custkey % 120)::DOUBLE, (-c_custkey % 180)::DOUBLE) END, 0 FROM customer WHERE c_custkey % 120 <= 90 AND c_custkey % 700 <= 500
+    UNION ALL SELECT 'visit', 'v' || o_orderkey, 'location', 'Stayed at c' || o_custkey || CASE WHEN o_orderkey % 3 > 0 THEN ' for ' || (o_orderkey % 100) || ' min' ELSE '' END, 0 FROM orders
+    UNION ALL SELECT 'health', 'h' || p_partkey, 'health', 'steps ' || CAST(CAST(p_size AS DOUBLE) AS VARCHAR) || ' n', 0 FROM part""",
+)
 def ingested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    messages = c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.lit("2024-01-01").cast("timestamp").alias("ts"), F.col("role").alias("sender"), F.col("conv_id").cast("string").alias("chat"), "text")
+    c, o, p, s, k = (table(spark, sf_dir, t) for t in ("conversations", "orders", "part", "supplier", "customer"))
+    none = F.lit(None).cast("string")
+    day = F.lit("2024-01-01").cast("timestamp")
+    messages = c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), day.alias("ts"), F.col("role").alias("sender"), F.col("conv_id").cast("string").alias("chat"), "text")
     e = table(spark, sf_dir, "events")
-    posts = e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "comment").otherwise("post").alias("tag"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created_utc"), F.concat(F.lit("post "), "event_id").alias("title"), F.lit(None).cast("string").alias("body"), F.col("user_id").cast("string").alias("author"), F.concat(F.lit("c"), "user_id").alias("community"))
-    r = normalise.ingest({"message": messages.union(messages.limit(20)), "social": posts})  # twenty come twice
+    posts = e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "comment").otherwise("post").alias("tag"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created_utc"), F.concat(F.lit("post "), "event_id").alias("title"), none.alias("body"), F.col("user_id").cast("string").alias("author"), F.concat(F.lit("c"), "user_id").alias("community"))
+    key = F.col("o_orderkey")
+    mails = o.select(none.alias("id"), F.concat(F.lit("o"), key).alias("message_id"), F.when(key % 7 > 0, F.concat(F.lit("Order "), key)).alias("subject"), F.when(key % 5 == 0, "news@no-reply.org").otherwise("a@b.org").alias("sender"), F.array(F.lit("c@d.org")).alias("recipients"), F.col("o_orderdate").cast("timestamp").alias("date"), day.alias("received_at"), none.alias("body"), F.lit("short").alias("snippet"))
+    at = F.struct(F.lit("2024-01-01T10:00:00").alias("dateTime"), none.alias("date"))
+    meetings = p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.when(F.col("p_partkey") % 4 > 0, F.col("p_name")).alias("summary"), F.col("p_type").alias("description"), at.alias("start"), at.alias("end"), none.alias("location"), F.array(F.struct(F.lit("x@y.org").alias("email"), none.alias("displayName"))).alias("attendees"))
+    photos = s.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), day.alias("taken_at"), F.array(F.col("s_name"), F.lit("_UNKNOWN_1")).alias("persons"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("n"), "s_nationkey")).alias("place"), none.alias("description"))
+    number = F.col("c_custkey")
+    note = F.struct(F.when(number % 3 == 0, "health_note").when(number % 3 == 1, "location_note").otherwise("memo").alias("kind"), F.col("c_name").alias("note_text"), day.alias("recorded_at"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"), none.alias("place_label"), F.array(F.lit("t")).alias("tags"))
+    notes = k.select(F.concat(F.lit("c"), number).alias("id"), day.alias("produced_at"), note.alias("payload"))
+    places = k.select(F.concat(F.lit("l"), number).alias("id"), day.alias("recorded_at"), (number % 120).alias("latitude"), (-number % 180).alias("longitude"), (number % 700).alias("accuracy"), F.when(number % 2 == 0, F.concat(F.lit("n"), "c_nationkey")).alias("place"))
+    stays = o.select(F.concat(F.lit("v"), key).alias("id"), day.alias("arrived"), F.when(key % 3 > 0, F.timestamp_seconds(F.unix_timestamp(day) + 60 * (key % 100) + 30)).alias("departed"), F.concat(F.lit("c"), "o_custkey").alias("place"))
+    steps = p.select(F.concat(F.lit("h"), "p_partkey").alias("id"), F.lit("steps").alias("type"), F.lit("n").alias("unit"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.concat(F.lit('{"count": '), "p_size", F.lit(', "max": 99}'))).alias("value"), day.alias("start_date"))
+    twice = messages.union(messages.limit(20))  # twenty come twice
+    r = normalise.ingest({"message": twice, "social": posts, "email": mails, "calendar": meetings, "photo": photos, "annotation": notes, "location": places, "visit": stays, "health": steps})
     return r.select("source_key", "source_id", "category", "summary", F.char_length("content").cast("long").alias("chars"))
 
 

@@ -167,6 +167,75 @@ def trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("a", "b", F.round(similarity.trigram_similarity(F.col("a"), F.col("b")), 6).alias("sim"))
 
 
+# --- identities and merges
+
+
+@_r.add(
+    "identity_links",
+    r"""WITH l AS (SELECT c_custkey AS identity_id, CASE WHEN c_custkey % 2 = 0 THEN 'phone' ELSE 'mail' END AS platform, CASE WHEN c_custkey % 2 = 0 THEN '+1555' || lpad(CAST(2000000 + c_custkey AS VARCHAR), 7, '0') ELSE 'u' || c_custkey || '@x.org' END AS key FROM customer),
+    r AS (SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 4 = 0 THEN 'chat' WHEN k % 2 = 0 THEN 'phone' ELSE 'mail' END AS platform, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN '@' WHEN o_orderkey % 17 = 0 THEN 'Handle.' || o_custkey % 50 WHEN k % 2 = 0 THEN '(555) ' || substr(CAST(2000000 + k AS VARCHAR), 1, 3) || '-' || substr(CAST(2000000 + k AS VARCHAR), 4) ELSE 'U' || k || '@X.org' END AS identifier,
+    CASE WHEN o_orderkey % 3 > 0 THEN 'Name ' || k ELSE ' ' END AS name FROM (SELECT *, CASE WHEN o_orderkey % 6 = 0 THEN o_custkey + 500000 ELSE o_custkey END AS k FROM orders)),
+    t AS (SELECT *, regexp_replace(identifier, '[\s\-\(\)\.]', '', 'g') AS s FROM r), n AS (SELECT record_id, platform, name, CASE WHEN length(identifier) >= 2 THEN CASE WHEN regexp_matches(s, '^[2-9][0-9]{9}$') THEN '+1' || s WHEN regexp_matches(s, '^1[2-9][0-9]{9}$') THEN '+' || s WHEN contains(s, '@') THEN lower(s) ELSE s END END AS key FROM t),
+    f AS (SELECT key, -min(record_id) AS fresh FROM n WHERE key IS NOT NULL AND length(trim(name)) > 1 GROUP BY 1), a AS (SELECT platform, key, min(identity_id) AS same FROM l GROUP BY 1, 2), b AS (SELECT key, min(identity_id) AS other FROM l GROUP BY 1)
+    SELECT record_id, n.key, CASE WHEN contains(n.key, '@') THEN 'email' WHEN regexp_matches(n.key, '^\+?[0-9]{7,15}$') THEN 'phone' WHEN n.key IS NOT NULL THEN 'handle' END AS kind, coalesce(same, other, CASE WHEN length(trim(name)) > 1 THEN fresh END) AS identity_id,
+    CASE WHEN same IS NOT NULL THEN 'platform' WHEN other IS NOT NULL THEN 'other' WHEN fresh IS NOT NULL AND length(trim(name)) > 1 THEN 'new' END AS via FROM n LEFT JOIN a ON a.platform = n.platform AND a.key = n.key LEFT JOIN b ON b.key = n.key LEFT JOIN f ON f.key = n.key""".replace("\\\\", "\\"),
+)
+def identity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers as people write them, resolved to identities; unknown ones open new identities."""
+    c = F.col("c_custkey")
+    even = c % 2 == 0
+    links = table(spark, sf_dir, "customer").select(c.alias("identity_id"), F.when(even, "phone").otherwise("mail").alias("platform"), F.when(even, F.concat(F.lit("+1555"), (c + 2000000).cast("string"))).otherwise(F.concat(F.lit("u"), c, F.lit("@x.org"))).alias("key"))
+    o, k = F.col("o_orderkey"), F.col("k")
+    rows = table(spark, sf_dir, "orders").withColumn("k", F.when(o % 6 == 0, F.col("o_custkey") + 500000).otherwise(F.col("o_custkey")))
+    digits = (k + 2000000).cast("string")
+    phone = F.concat(F.lit("(555) "), digits.substr(1, 3), F.lit("-"), digits.substr(4, 9))
+    said = F.when(o % 11 == 0, None).when(o % 13 == 0, "@").when(o % 17 == 0, F.concat(F.lit("Handle."), F.col("o_custkey") % 50)).when(k % 2 == 0, phone).otherwise(F.concat(F.lit("U"), k, F.lit("@X.org")))
+    platform = F.when(o % 4 == 0, "chat").when(k % 2 == 0, "phone").otherwise("mail")
+    return resolve.identify(rows.select(o.alias("record_id"), platform.alias("platform"), said.alias("identifier"), F.when(o % 3 > 0, F.concat(F.lit("Name "), k)).otherwise(" ").alias("name")), links)
+
+
+_CASCADE = f"""WITH e AS (SELECT p_name || ' ' || p_brand AS name, min(p_partkey) AS entity_id, count(*) AS facts FROM part GROUP BY 1), q AS (SELECT *, '555' || lpad(CAST(entity_id AS VARCHAR), 7, '0') AS phone, 'nick' || entity_id AS nick, 'c' || entity_id AS contact FROM e),
+    h AS (SELECT p_partkey AS record_id, CASE p_partkey % 6 WHEN 2 THEN upper(p_name || ' ' || p_brand) WHEN 4 THEN split_part(p_name, ' ', 1) || ' x ' || p_brand ELSE p_name || ' someone' END AS name, CASE p_partkey % 6 WHEN 0 THEN '555' || lpad(CAST(p_partkey % 300 AS VARCHAR), 7, '0') WHEN 3 THEN 'nick' || p_partkey % 300 END AS alias, CASE WHEN p_partkey % 6 = 1 THEN 'c' || p_partkey % 300 END AS contact FROM part),
+    s AS (SELECT record_id, 1 AS stage, entity_id FROM h JOIN q ON alias = phone UNION ALL SELECT record_id, 2, entity_id FROM h JOIN q ON h.contact = q.contact UNION ALL SELECT record_id, 3, entity_id FROM h JOIN q ON lower(h.name) = lower(q.name) UNION ALL SELECT record_id, 4, entity_id FROM h JOIN q ON alias = nick),
+    m AS (SELECT record_id, stage, entity_id FROM s QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY stage, entity_id) = 1), t AS (SELECT * FROM q ORDER BY facts DESC, entity_id LIMIT 200), k AS (SELECT entity_id, lower(name) AS known FROM t UNION ALL SELECT entity_id, phone FROM t UNION ALL SELECT entity_id, nick FROM t),
+    d AS (SELECT DISTINCT lower(name) AS name FROM h), v AS (SELECT name, entity_id, round({name_similarity_sql("name", "known")}, 9) AS sim FROM d, k), n AS (SELECT name, entity_id, sim FROM v WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY name ORDER BY sim DESC, entity_id) = 1)
+    SELECT h.record_id, coalesce(m.entity_id, CASE WHEN n.sim >= 0.85 THEN n.entity_id END) AS entity_id, coalesce(['phone', 'contact', 'name', 'alias'][m.stage], CASE WHEN n.sim >= 0.85 THEN 'fuzzy' ELSE 'new' END) AS stage, CASE WHEN m.stage IS NULL AND n.sim >= 0.55 AND n.sim < 0.85 THEN n.entity_id END AS review_id, CASE WHEN m.stage IS NULL THEN n.sim END AS sim
+    FROM h LEFT JOIN m ON m.record_id = h.record_id LEFT JOIN n ON n.name = lower(h.name)"""
+
+
+@_r.add("resolution_cascade", _CASCADE)
+def resolution_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints through all stages: phone, contact, name, alias, similar name, new."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    whole = F.concat_ws(" ", "p_name", "p_brand")
+    e = p.groupBy(whole.alias("name")).agg(F.min(k).alias("entity_id"), F.count(F.lit(1)).alias("fact_count"))
+    phone = lambda x: F.concat(F.lit("555-"), F.lpad(x.cast("string"), 7, "0"))
+    e = e.select("entity_id", "name", "fact_count", F.array(phone(F.col("entity_id")), F.concat(F.lit("Nick"), "entity_id")).alias("aliases"), F.concat(F.lit("c"), "entity_id").alias("contact"))
+    name = F.when(k % 6 == 2, F.upper(whole)).when(k % 6 == 4, F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" x "), "p_brand")).otherwise(F.concat("p_name", F.lit(" someone")))
+    alias = F.when(k % 6 == 0, phone(k % 300)).when(k % 6 == 3, F.concat(F.lit("NICK"), k % 300))
+    h = p.select(k.alias("record_id"), name.alias("name"), F.array(alias).alias("aliases"), F.when(k % 6 == 1, F.concat(F.lit("c"), k % 300)).alias("contact"))
+    return resolve.cascade(h, e)
+
+
+@_r.add(
+    "merge_candidates",
+    f"""WITH u AS (SELECT DISTINCT p_name AS name, {grams_sql("p_name")} AS g, min(p_partkey) OVER (PARTITION BY p_name) AS id FROM part), n AS (SELECT 'person' AS kind, least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, {jaccard_sql("a.g", "b.g")} AS sim FROM u a JOIN u b ON a.name < b.name),
+    l AS (SELECT c_custkey AS id, 'p' || c_custkey % 211 AS key FROM customer), k AS (SELECT key, min(id) AS a FROM l GROUP BY 1), e AS (SELECT p_partkey AS id, p_name || p_brand AS name, p_size AS f FROM part), m AS (SELECT name, first(id ORDER BY f DESC, id) AS a FROM e GROUP BY 1),
+    w AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS name FROM part), x AS (SELECT name, {grams_sql("name")} AS g FROM w WHERE name NOT IN (SELECT name FROM u)), y AS (SELECT x.name, u.id, {jaccard_sql("x.g", "u.g")} AS sim, u.name AS un FROM x, u), z AS (SELECT * FROM y WHERE sim > 0.5 QUALIFY row_number() OVER (PARTITION BY name ORDER BY round(sim, 9) DESC, un) = 1),
+    r AS (SELECT kind, a::VARCHAR AS a, b::VARCHAR AS b, sim * 0.8 AS c FROM n WHERE sim > 0.6 UNION ALL SELECT 'person', k.a::VARCHAR, l.id::VARCHAR, 0.95 FROM l JOIN k ON k.key = l.key AND l.id <> k.a UNION ALL SELECT 'entity', m.a::VARCHAR, e.id::VARCHAR, 1.0 FROM e JOIN m ON m.name = e.name AND e.id <> m.a UNION ALL SELECT 'photo', id::VARCHAR, name, sim * 0.9 FROM z)
+    SELECT kind, a, b, round(max(c), 6)::DOUBLE AS confidence FROM r GROUP BY 1, 2, 3 HAVING max(c) >= 0.4""",
+)
+def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs to merge: similar names, shared keys, equal entities, names on photos."""
+    p, k = table(spark, sf_dir, "part"), F.col("c_custkey")
+    people = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    links = table(spark, sf_dir, "customer").select(k.alias("id"), F.concat(F.lit("p"), k % 211).alias("key"))
+    entities = p.select(F.col("p_partkey").alias("id"), F.concat("p_name", "p_brand").alias("name"), F.col("p_size").alias("fact_count"))
+    seen = p.select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("name"))
+    return resolve.merge_candidates(people, links, entities, seen, 0.4).withColumn("confidence", F.round("confidence", 6))
+
+
 # --- queue and source telemetry
 
 

@@ -219,13 +219,48 @@ def yearly_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.avg("o_totalprice"), 2).alias("mean_price"), F.count_distinct("o_custkey").alias("customers"), F.round(F.count(F.lit(1)) / F.count_distinct(F.to_date("o_orderdate")), 4).alias("per_active_day"))
 
 
+_MARKERS = r"(anniversary|birthday|\d+ years|since \d{4}|back in \d{4}|first met|known .+ for|remember when)"
+
+
 @_r.add(
     "timeline_markers",
-    "SELECT lang, count(*) AS docs, count(*) FILTER (WHERE regexp_matches(text, '[0-9]{4}')) AS dated, count(*) FILTER (WHERE regexp_matches(text, 'License|Version')) AS licensed FROM documents GROUP BY lang",
+    f"""WITH m AS (SELECT user_id AS person, ts AS sent_at, event_id, CASE event_id % 6 WHEN 0 THEN 'It is her Birthday today' WHEN 1 THEN 'friends for ' || event_id % 40 || ' years' WHEN 2 THEN 'back in 1' WHEN 3 THEN 'I remember when we met, back in 1999' WHEN 4 THEN 'nothing to see' ELSE event_type END AS content FROM events),
+    l AS (SELECT * FROM m WHERE regexp_matches(content, '(?i){_MARKERS}') AND sent_at > TIMESTAMP '2024-01-31' - INTERVAL 365 DAY ORDER BY sent_at DESC, event_id LIMIT 30) SELECT person, count(*) AS markers, CAST(min(sent_at) AS DATE) AS first_day, string_agg(content, ' / ' ORDER BY sent_at DESC, event_id) AS contents FROM l GROUP BY 1""",
 )
 def timeline_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("text").rlike("[0-9]{4}")).alias("dated"), F.count_if(F.col("text").rlike("License|Version")).alias("licensed"))
+    """The latest thirty messages with words of dates and milestones, by person."""
+    k = F.col("event_id") % 6
+    said = F.when(k == 0, "It is her Birthday today").when(k == 1, F.concat(F.lit("friends for "), F.col("event_id") % 40, F.lit(" years"))).when(k == 2, "back in 1").when(k == 3, "I remember when we met, back in 1999").when(k == 4, "nothing to see").otherwise(F.col("event_type"))
+    m = table(spark, sf_dir, "events").select(F.col("user_id").alias("person"), F.col("ts").alias("sent_at"), "event_id", F.left(said, F.lit(300)).alias("content"))
+    latest = m.filter(F.col("content").rlike(f"(?i){_MARKERS}") & (F.col("sent_at") > F.expr("timestamp_ntz'2023-01-31'"))).orderBy(F.desc("sent_at"), "event_id").limit(30)
+    contents = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("sent_at").cast("timestamp"))).alias("k"), "event_id", "content")))
+    return latest.groupBy("person").agg(F.count(F.lit(1)).alias("markers"), F.to_date(F.min("sent_at")).alias("first_day"), F.array_join(F.transform(contents, lambda x: x["content"]), " / ").alias("contents"))
+
+
+@_r.add(
+    "life_transitions",
+    """WITH e AS (SELECT CAST(ts AS DATE) AS at, user_id, event_type, value, CAST(ts AS DATE) >= DATE '2024-01-21' AS now, CAST(ts AS DATE) >= DATE '2024-01-06' AND CAST(ts AS DATE) < DATE '2024-01-21' AS thn, CAST(ts AS DATE) < DATE '2024-01-06' AS ago FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-31'),
+    c AS (SELECT count(*) FILTER (WHERE n) AS rt, count(*) FILTER (WHERE n AND NOT t) AS rn, count(*) FILTER (WHERE t) AS bt, count(*) FILTER (WHERE t AND NOT a) AS bn FROM (SELECT user_id, bool_or(now) AS n, bool_or(thn) AS t, bool_or(ago) AS a FROM e WHERE event_type = 'signup' GROUP BY 1)),
+    p AS (SELECT r / b AS q, b FROM (SELECT count(DISTINCT floor(value * 10)) FILTER (WHERE now AND event_type = 'click') AS r, count(DISTINCT floor(value * 10)) FILTER (WHERE thn AND event_type = 'click') AS b FROM e WHERE user_id % 3 = 0)),
+    v AS (SELECT (count(*) FILTER (WHERE now) / 10.0) / (count(*) FILTER (WHERE thn) / 15.0) AS q FROM e WHERE event_type = 'signup'), m AS (SELECT avg(value / 20) FILTER (WHERE now) - avg(value / 20) FILTER (WHERE thn) AS d FROM e WHERE event_type = 'error'),
+    b AS (SELECT (count(*) FILTER (WHERE now AND user_id % 4 = 0) / 10.0) / (count(*) FILTER (WHERE thn AND user_id % 16 = 0) / 15.0) AS q FROM e), w AS (SELECT count(*) AS n FROM (SELECT bool_or(now) AS n, bool_or(thn) AS t FROM e WHERE event_type = 'purchase' GROUP BY user_id, floor(value)) WHERE n AND NOT t),
+    s AS (SELECT 'contacts' AS test, 'social_shift' AS type, (rn / rt) / greatest(0.01, bn / bt) / 3 AS strength FROM c WHERE rn / rt > 2 * (bn / bt) AND rn >= 3 UNION ALL SELECT 'places', CASE WHEN q > 2 THEN 'relocation' ELSE 'routine_break' END, CASE WHEN q > 2 THEN (q - 1) / 3 ELSE 1 - q END FROM p WHERE q > 2 OR (q < 0.3 AND b >= 5)
+    UNION ALL SELECT 'volume', CASE WHEN q > 1 THEN 'social_shift' ELSE 'stress_period' END, abs(q - 1) / 1.5 FROM v WHERE q > 1.5 OR q < 0.5 UNION ALL SELECT 'moods', CASE WHEN d < 0 THEN 'stress_period' ELSE 'social_shift' END, abs(d) / 0.3 FROM m WHERE abs(d) > 0.1
+    UNION ALL SELECT 'meetings', 'routine_break', abs(q - 1) / 2 FROM b WHERE q > 1.8 OR q < 0.4 UNION ALL SELECT 'mails', 'career_change', n / 15 FROM w WHERE n >= 5)
+    SELECT test, type, round(least(1.0, strength), 6) AS strength, count(*) FILTER (WHERE least(1.0, strength) >= 0.3) OVER () >= 2 AS together FROM s""",
+)
+def life_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("at", F.to_date("ts")).filter("at < date'2024-01-31'")
+    kind, user, late = F.col("event_type"), F.col("user_id"), F.col("at") >= F.lit("2024-01-21").cast("date")
+    out = statistics.life_transitions(
+        e.filter(kind == "signup").select("at", user.alias("who")),
+        e.filter((kind == "click") & (user % 3 == 0)).select("at", F.floor(F.col("value") * 10).alias("cell")),
+        e.filter(kind == "error").select("at", (F.col("value") / 20).alias("score")),
+        e.filter(F.when(late, user % 4 == 0).otherwise(user % 16 == 0)).select("at"),  # four times as many of late
+        e.filter(kind == "purchase").select("at", F.concat_ws("-", user, F.floor("value")).alias("domain")),
+        F.lit("2024-01-31").cast("date"), 10, 15,
+    )
+    return out.withColumn("strength", F.round("strength", 6))
 
 
 @_r.add(

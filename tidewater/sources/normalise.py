@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The categories.
@@ -71,17 +71,43 @@ def annotation(df: DataFrame) -> DataFrame:
     return _record(df, "annotation", F.col("id"), F.coalesce(p["recorded_at"], F.col("produced_at")), category, F.left(p["note_text"], F.lit(120)), p["note_text"], None, {"place": p["place_label"], "lat": p["latitude"], "lon": p["longitude"], "tags": F.array_join(p["tags"], ",")})
 
 
-NORMALISERS: dict[str, Callable[[DataFrame], DataFrame]] = {"email": email, "calendar": calendar, "social": social, "photo": photo, "message": message, "annotation": annotation}
+def location(df: DataFrame) -> DataFrame:
+    """Columns: id, recorded_at, latitude, longitude, accuracy, place. Points outside the globe, or less exact than 500 m, go."""
+    lat, lon = F.col("latitude"), F.col("longitude")
+    good = df.filter(lat.between(-90, 90) & lon.between(-180, 180) & (F.coalesce("accuracy", F.lit(0)) <= 500))
+    at = F.concat_ws(",", F.format_string("%.4f", lat.cast("double")), F.format_string("%.4f", lon.cast("double")))
+    return _record(good, "location", F.col("id"), F.col("recorded_at"), F.lit("location"), F.concat(F.lit("At "), F.coalesce("place", at)), F.lit(""), None, {"lat": lat, "lon": lon, "accuracy": F.col("accuracy"), "place": F.col("place")})
+
+
+def visit(df: DataFrame) -> DataFrame:
+    """Columns: id, arrived, departed, place. A stay without an end has no minutes."""
+    minutes = F.floor((F.unix_timestamp("departed") - F.unix_timestamp("arrived")) / 60)
+    return _record(df, "visit", F.col("id"), F.col("arrived"), F.lit("location"), F.concat_ws(" ", F.lit("Stayed at"), F.coalesce("place", F.lit("?")), F.concat(F.lit("for "), minutes.cast("string"), F.lit(" min"))), F.lit(""), None, {"place": F.col("place"), "minutes": minutes})
+
+
+def health(df: DataFrame) -> DataFrame:
+    """Columns: id, type, unit, value (a number or JSON as text), start_date. The value of JSON is its first number."""
+    number = F.coalesce(F.col("value").try_cast("double"), F.regexp_extract("value", r":\s*(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double"))
+    return _record(df, "health", F.col("id"), F.col("start_date"), F.lit("health"), F.concat_ws(" ", F.col("type"), F.round(number, 2).cast("string"), F.col("unit")), F.lit(""), None, {"type": F.col("type"), "unit": F.col("unit"), "value": number, "detail": F.when(F.col("value").startswith("{"), F.col("value"))})
+
+
+NORMALISERS: dict[str, Callable[[DataFrame], DataFrame]] = {"email": email, "calendar": calendar, "social": social, "photo": photo, "message": message, "annotation": annotation, "location": location, "visit": visit, "health": health}
 
 _BULK = r"(?i)(no-?reply|newsletter|notifications?@|mailer-daemon|marketing|unsubscribe|donotreply|bounce)"
 
 
 def ingest(sources: dict[str, DataFrame], known: DataFrame | None = None) -> DataFrame:
-    """Normalises, unites and de-duplicates by (source_key, source_id); drops bulk mail and what `known` has already."""
+    """Normalises, unites and de-duplicates by (source_key, source_id); drops bulk mail and what `known` has already.
+
+    Of records of one id the earliest stays (then the smallest raw text); records without an id all stay.
+    """
     rows = reduce(DataFrame.unionByName, [NORMALISERS[k](df) for k, df in sources.items()])
     bulk = (F.col("category") == "email") & F.coalesce(F.col("metadata")["from"].rlike(_BULK), F.lit(False))
-    rows = rows.filter(~bulk).dropDuplicates(["source_key", "source_id"])
-    return rows if known is None else rows.join(known.select("source_key", "source_id"), ["source_key", "source_id"], "left_anti")
+    rows = rows.filter(~bulk)
+    place = F.row_number().over(Window.partitionBy("source_key", "source_id").orderBy(F.col("timestamp").asc_nulls_last(), "raw"))
+    named = rows.filter("source_id is not null").withColumn("place", place).filter("place = 1").drop("place")
+    rows = named.unionByName(rows.filter("source_id is null"))
+    return rows if known is None else rows.join(known.select("source_key", "source_id"), ["source_key", "source_id"], "left_anti").select(rows.columns)
 
 
 def valid_annotation(payload: Column) -> Column:
