@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import identifiers, similarity
-from tidewater.operators import joins
+from tidewater.operators import folds, joins
 
 
 def staged_match(records: DataFrame, entities: DataFrame, stages: list[str], id_: str = "record_id", entity: str = "entity_id") -> DataFrame:
@@ -33,18 +32,18 @@ def fuzzy_match(records: DataFrame, entities: DataFrame, merge: float = 0.85, re
 
 
 def contact_pairs(contacts: DataFrame, most_shared: int | None = None) -> DataFrame:
-    """a < b, score, action for contacts (id, name, phone, email) that share a phone or mail: .5 phone + .3 mail + .2 name.
+    """a < b, score, action for contacts (id, name, phone, email) by .5 phone + .3 mail + .2 name, of .6 at least.
 
-    Keys that more than most_shared contacts have (if given) say nothing and are left out.
+    No pair reaches .6 without a common phone, so contacts meet by phones alone; a mail is compared where they meet.
+    Phones that more than most_shared contacts have (if given) say nothing and are left out.
     """
-    keys = contacts.select("id", F.explode(F.array(F.struct(F.lit("p").alias("t"), F.col("phone").alias("k")), F.struct(F.lit("e").alias("t"), F.col("email").alias("k")))).alias("x")).select("id", "x.*").filter("k is not null and k <> ''").distinct()
+    keyed = contacts.filter("phone is not null and phone <> ''").select("id", "name", "phone", "email")
     if most_shared:
-        keys = keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("t", "k"))).filter(F.col("n") <= most_shared).drop("n")
-    a, b = (keys.select("t", "k", F.col("id").alias(x)) for x in "ab")
-    hits = a.join(b, ["t", "k"]).filter("a < b").groupBy("a", "b").agg(F.max(F.col("t") == "p").alias("phone"), F.max(F.col("t") == "e").alias("email"))
-    names = contacts.select("id", "name")
-    hits = hits.join(names.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(names.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b")
-    score = 0.5 * F.col("phone").cast("int") + 0.3 * F.col("email").cast("int") + 0.2 * similarity.edit_similarity(F.col("na"), F.col("nb"))
+        few = keyed.groupBy("phone").agg(F.count_distinct("id").alias("n")).filter(F.col("n") <= most_shared)
+        keyed = keyed.join(few.select("phone"), "phone", "left_semi")
+    a, b = (keyed.select("phone", F.col("id").alias(x), F.col("name").alias(f"n{x}"), F.col("email").alias(f"m{x}")) for x in "ab")
+    hits = a.join(b, "phone").filter("a < b").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.bool_or(F.coalesce((F.col("ma") == F.col("mb")) & (F.col("ma") != ""), F.lit(False))).alias("email"))
+    score = 0.5 + 0.3 * F.col("email").cast("int") + 0.2 * similarity.edit_similarity(F.col("na"), F.col("nb"))
     s = hits.withColumn("score", score)
     return s.filter("score >= 0.6").select("a", "b", "score", F.when(F.col("score") >= 0.95, "auto").otherwise("review").alias("action"))
 
@@ -81,25 +80,23 @@ def fold_facts(facts: DataFrame) -> DataFrame:
     """entity, key, value, confidence, evidence, sources, supersedes: the current fact of each key after all observations in order.
 
     The same value adds evidence, takes the larger confidence and unites sources; another value of at least the current
-    confidence supersedes it; a weaker one adds evidence only. The rule depends on the order, so a key is folded in
-    sequence; the rows of one (entity, key) bound the group.
+    confidence supersedes it; a weaker one adds evidence only. The rule depends on the order, so a key is folded in sequence.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        value, confidence, evidence, sources, replaced = None, 0.0, 0, set(), 0
-        for r in pdf.sort_values(["at", "id"]).itertuples():
-            if value is None:
-                value, confidence, evidence, sources = r.value, r.confidence, 1, {r.source}
-            elif r.value == value:
-                confidence, evidence = max(confidence, r.confidence), evidence + 1
-                sources.add(r.source)
-            elif r.confidence >= confidence:
-                value, confidence, evidence, sources, replaced = r.value, r.confidence, 1, {r.source}, replaced + 1
-            else:
-                evidence += 1
-        return pd.DataFrame({"entity": [pdf["entity"].iloc[0]], "key": [pdf["key"].iloc[0]], "value": [value], "confidence": [confidence], "evidence": [evidence], "sources": [",".join(sorted(sources))], "supersedes": [replaced]})
-
-    return facts.groupBy("entity", "key").applyInPandas(fold, "entity long, key string, value string, confidence double, evidence long, sources string, supersedes long")
+    def step(state: tuple, r) -> tuple[tuple, list[tuple]]:
+        value, confidence, evidence, sources, replaced = state
+        if value is None or r.value != value and r.confidence >= confidence:
+            return (r.value, r.confidence, 1, frozenset([r.source]), replaced + (value is not None)), []
+        if r.value == value:
+            return (value, max(confidence, r.confidence), evidence + 1, sources | {r.source}, replaced), []
+        return (value, confidence, evidence + 1, sources, replaced), []
+
+    def end(key: tuple, state: tuple) -> list[tuple]:
+        value, confidence, evidence, sources, replaced = state
+        return [(*key, value, confidence, evidence, ",".join(sorted(sources)), replaced)]
+
+    rows = facts.select("entity", "key", "at", "id", "value", "confidence", "source")
+    return folds.fold(rows, ["entity", "key"], ["at", "id"], lambda: (None, 0.0, 0, frozenset(), 0), step, "entity long, key string, value string, confidence double, evidence long, sources string, supersedes long", end)
 
 
 def reinforce(patterns: DataFrame, step: float = 0.1) -> DataFrame:

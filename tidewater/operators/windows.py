@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators import folds
+
 
 def seconds_of(ts: str | Column) -> Column:
     return F.unix_timestamp((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
@@ -56,17 +58,17 @@ def anchored_groups(df: DataFrame, key: str, day: str, most_days: int) -> DataFr
     The rule is sequential, so the days of a key are folded in order; a key has a row for each day at most.
     """
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(day)
-        number, first, out = 0, None, []
-        for d in pd.to_datetime(pdf[day]):
-            if first is None or (d - first).days > most_days:
-                number, first = number + 1, d
-            out.append(number)
-        return pdf.assign(group=out)
+    def step(state: tuple, r) -> tuple[tuple, list[tuple]]:
+        number, first = state
+        name, d = r
+        at = pd.Timestamp(d)
+        if first is None or (at - first).days > most_days:
+            number, first = number + 1, at
+        return (number, first), [(name, d, number)]
 
     days = df.select(key, day).distinct()
-    return df.join(days.groupBy(key).applyInPandas(group, f"{key} {days.schema[key].dataType.simpleString()}, {day} date, `group` long"), [key, day])
+    grouped = folds.fold(days, [key], [day], lambda: (0, None), step, f"{key} {days.schema[key].dataType.simpleString()}, {day} date, `group` long")
+    return df.join(grouped, [key, day])
 
 
 def turn_signals(df: DataFrame, conv: str, turn: str, role: str) -> DataFrame:
@@ -95,22 +97,19 @@ def chunks(df: DataFrame, conv: str, order: str, size: int = 50, step: int = 40)
 
 def day_radius_clusters(df: DataFrame, day: str, lat: str, lon: str, id_: str, km: float = 50.0) -> DataFrame:
     """day, id, cluster (from 1): a photo joins the day's first cluster whose first member is within km, or, without a
-    place, the day's first cluster. The order (by id) decides, so a day is folded in sequence; a day bounds the group."""
+    place, the day's first cluster. The order (by id) decides, so a day is folded in sequence; its clusters are the state."""
     from math import asin, cos, radians, sin, sqrt
 
     def far(a: tuple[float, float], b: tuple[float, float]) -> float:
         h = sin(radians(b[0] - a[0]) / 2) ** 2 + cos(radians(a[0])) * cos(radians(b[0])) * sin(radians(b[1] - a[1]) / 2) ** 2
         return 12742 * asin(sqrt(min(1.0, h)))
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, seeds, out = pdf.sort_values(id_), [], []
-        for x, y in zip(pdf[lat], pdf[lon], strict=True):
-            at = None if pd.isna(x) or pd.isna(y) else (x, y)
-            hit = next((i for i, s in enumerate(seeds) if at is None or s is None or far(s, at) <= km), None)
-            if hit is None:
-                seeds.append(at)
-                hit = len(seeds) - 1
-            out.append(hit + 1)
-        return pdf[[day, id_]].assign(cluster=out)
-
-    return df.select(day, id_, lat, lon).groupBy(day).applyInPandas(group, f"{day} date, {id_} long, cluster long")
+    def step(seeds: tuple, r) -> tuple[tuple, list[tuple]]:
+        d, number, x, y = r
+        at = None if pd.isna(x) or pd.isna(y) else (x, y)
+        hit = next((i for i, s in enumerate(seeds) if at is None or s is None or far(s, at) <= km), None)
+        if hit is None:
+            seeds, hit = (*seeds, at), len(seeds)
+        return seeds, [(d, number, hit + 1)]
+
+    return folds.fold(df.select(day, id_, lat, lon), [day], [id_], tuple, step, f"{day} date, {id_} long, cluster long")

@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines or one JSON array; records that don't fit the schema carry _corrupt_record."""
-    return spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path, multiLine=False)
+def json_records(spark: SparkSession, path: str, schema: str, lines: bool = True) -> DataFrame:
+    """JSON lines, or (lines=False) files of one array or object over any number of lines; records that don't fit the schema carry _corrupt_record."""
+    return spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path, multiLine=not lines)
 
 
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -44,8 +44,16 @@ def retain(df: DataFrame, ts: str, as_of: Column, days: int, expires: str | None
 
 
 def rewrite(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
-    """Writes beside the table and then over it, as a Parquet table can't be read and overwritten in one job."""
-    spark = df.sparkSession
-    side = path.rstrip("/") + ".next"
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(side)
-    spark.read.parquet(side).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Writes a table beside the old one and puts it in its place by renaming, as a Parquet table can't be read and overwritten in one job.
+
+    A run that dies before the renaming leaves the old table; one that dies within it leaves both, as .next and .before.
+    """
+    path = path.rstrip("/")
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}.next")
+    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    now, new, old = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".next", ".before"))
+    files = now.getFileSystem(conf)
+    files.delete(old, True)
+    if files.exists(now) and not files.rename(now, old) or not files.rename(new, now):
+        raise OSError(f"{path} couldn't be put in place")
+    files.delete(old, True)

@@ -1,7 +1,7 @@
 """Stateful rules over keyed events, each as a stream and as its batch twin.
 
 A rule is a step: (state, row) -> (state, rows out), with the rows of a key in order of time. On a stream, Spark keeps the state of
-each key (applyInPandasWithState); in batch, a key's rows are folded in one go. Both give the same rows.
+each key (applyInPandasWithState); in batch, a key's rows are folded in order, a batch at a time. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewater.operators import folds
+
 Step = Callable[[tuple, pd.Series], tuple[tuple, list[tuple]]]
 
 
@@ -48,14 +50,6 @@ def _run(rule: Rule, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterato
     yield _frame(rule, out)
 
 
-def _fold(rule: Rule, pdf: pd.DataFrame) -> pd.DataFrame:
-    now, out = rule.start, []
-    for row in pdf.sort_values(list(rule.order)).itertuples(index=False):
-        now, some = rule.step(now, row)
-        out += some
-    return _frame(rule, out)
-
-
 def on_stream(df: DataFrame, rule: Rule) -> DataFrame:
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         return _run(rule, pdfs, state)
@@ -64,10 +58,7 @@ def on_stream(df: DataFrame, rule: Rule) -> DataFrame:
 
 
 def on_batch(df: DataFrame, rule: Rule) -> DataFrame:
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _fold(rule, pdf)
-
-    return df.groupBy(rule.key).applyInPandas(fold, rule.out)
+    return folds.fold(df, [rule.key], list(rule.order), lambda: rule.start, rule.step, rule.out)
 
 
 # --- rules
