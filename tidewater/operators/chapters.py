@@ -47,6 +47,6 @@ def similar_chapters(found: DataFrame, most: int = 3) -> DataFrame:
     """begins, other, gap: for each chapter the `most` of its type with the nearest confidence."""
     a = found.select("type", F.col("begins"), F.col("confidence"))
     b = found.select("type", F.col("begins").alias("other"), F.col("confidence").alias("c"))
-    near = a.join(b, "type").filter("begins != other").withColumn("gap", F.abs(F.col("confidence") - F.col("c")))
+    near = a.join(b, "type").filter("begins != other").withColumn("gap", F.round(F.abs(F.col("confidence") - F.col("c")), 9))
     place = F.row_number().over(Window.partitionBy("begins").orderBy("gap", "other"))
     return near.withColumn("place", place).filter(F.col("place") <= most).select("begins", "other", F.round("gap", 4).alias("gap"))

@@ -123,7 +123,7 @@ def pattern_maintenance(patterns: DataFrame, as_of, decay: float = 0.95, idle_da
 
 
 def identity_key(c: Column) -> Column:
-    """An identifier without the blanks, dashes, brackets and points of phone numbers; US numbers get +1; mail in lower case. Null below two characters."""
+    """An identifier without blanks, dashes, brackets and points (those of mail addresses too); US numbers get +1; mail in lower case. Null below two characters."""
     t = F.regexp_replace(c, r"[\s\-\(\)\.]", "")
     t = F.when(t.rlike("^[2-9][0-9]{9}$"), F.concat(F.lit("+1"), t)).when(t.rlike("^1[2-9][0-9]{9}$"), F.concat(F.lit("+"), t)).otherwise(t)
     return F.when(F.char_length(c) >= 2, F.when(t.contains("@"), F.lower(t)).otherwise(t))

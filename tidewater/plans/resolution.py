@@ -172,7 +172,7 @@ def trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_r.add(
     "identity_links",
-    r"""WITH l AS (SELECT c_custkey AS identity_id, CASE WHEN c_custkey % 2 = 0 THEN 'phone' ELSE 'mail' END AS platform, CASE WHEN c_custkey % 2 = 0 THEN '+1555' || lpad(CAST(2000000 + c_custkey AS VARCHAR), 7, '0') ELSE 'u' || c_custkey || '@x.org' END AS key FROM customer),
+    r"""WITH l AS (SELECT c_custkey AS identity_id, CASE WHEN c_custkey % 2 = 0 THEN 'phone' ELSE 'mail' END AS platform, CASE WHEN c_custkey % 2 = 0 THEN '+1555' || lpad(CAST(2000000 + c_custkey AS VARCHAR), 7, '0') ELSE 'u' || c_custkey || '@xorg' END AS key FROM customer),
     r AS (SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 4 = 0 THEN 'chat' WHEN k % 2 = 0 THEN 'phone' ELSE 'mail' END AS platform, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN '@' WHEN o_orderkey % 17 = 0 THEN 'Handle.' || o_custkey % 50 WHEN k % 2 = 0 THEN '(555) ' || substr(CAST(2000000 + k AS VARCHAR), 1, 3) || '-' || substr(CAST(2000000 + k AS VARCHAR), 4) ELSE 'U' || k || '@X.org' END AS identifier,
     CASE WHEN o_orderkey % 3 > 0 THEN 'Name ' || k ELSE ' ' END AS name FROM (SELECT *, CASE WHEN o_orderkey % 6 = 0 THEN o_custkey + 500000 ELSE o_custkey END AS k FROM orders)),
     t AS (SELECT *, regexp_replace(identifier, '[\s\-\(\)\.]', '', 'g') AS s FROM r), n AS (SELECT record_id, platform, name, CASE WHEN length(identifier) >= 2 THEN CASE WHEN regexp_matches(s, '^[2-9][0-9]{9}$') THEN '+1' || s WHEN regexp_matches(s, '^1[2-9][0-9]{9}$') THEN '+' || s WHEN contains(s, '@') THEN lower(s) ELSE s END END AS key FROM t),
@@ -184,7 +184,7 @@ def identity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers as people write them, resolved to identities; unknown ones open new identities."""
     c = F.col("c_custkey")
     even = c % 2 == 0
-    links = table(spark, sf_dir, "customer").select(c.alias("identity_id"), F.when(even, "phone").otherwise("mail").alias("platform"), F.when(even, F.concat(F.lit("+1555"), (c + 2000000).cast("string"))).otherwise(F.concat(F.lit("u"), c, F.lit("@x.org"))).alias("key"))
+    links = table(spark, sf_dir, "customer").select(c.alias("identity_id"), F.when(even, "phone").otherwise("mail").alias("platform"), F.when(even, F.concat(F.lit("+1555"), (c + 2000000).cast("string"))).otherwise(F.concat(F.lit("u"), c, F.lit("@xorg"))).alias("key"))
     o, k = F.col("o_orderkey"), F.col("k")
     rows = table(spark, sf_dir, "orders").withColumn("k", F.when(o % 6 == 0, F.col("o_custkey") + 500000).otherwise(F.col("o_custkey")))
     digits = (k + 2000000).cast("string")
