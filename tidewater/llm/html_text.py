@@ -224,9 +224,8 @@ def kinds(node: list, depth: int = 3) -> dict[str, float]:
     return out
 
 
-def likeness(a: list, b: list) -> float:
-    """Weighted Jaccard similarity of what two nodes hold."""
-    x, y = kinds(a), kinds(b)
+def likeness(x: dict[str, float], y: dict[str, float]) -> float:
+    """Weighted Jaccard similarity of what two nodes hold, given as kinds."""
     both = sum(min(v, y[k]) for k, v in x.items() if k in y)
     either = sum(x.values()) + sum(y.values()) - both
     return both / either if either else 1.0
@@ -238,12 +237,13 @@ def align(a: list[list], b: list[list]) -> list[tuple[int, int]]:
     if la == lb:
         return [(i, i) for i in range(len(a))]
     best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    held_a, held_b = [kinds(x) for x in a], [kinds(x) for x in b]
     like: dict[tuple[int, int], float] = {}
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
             best[i][j] = max(best[i + 1][j], best[i][j + 1])
             if la[i] == lb[j]:
-                like[i, j] = 0.2 + likeness(a[i], b[j])
+                like[i, j] = 0.2 + likeness(held_a[i], held_b[j])
                 best[i][j] = max(best[i][j], best[i + 1][j + 1] + like[i, j])
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
@@ -286,7 +286,7 @@ def _merged(a: list[list], b: list[list], loose: bool, same_page: bool) -> list[
     for x, sides in rows:
         last = done[-1] if done else None
         # What one side has more of joins its neighbour as a repeated group.
-        if last and last[0][0] == x[0] and 3 in (sides, last[1]) and sides != last[1] and likeness(last[0], x) >= _OF_A_KIND:
+        if last and last[0][0] == x[0] and 3 in (sides, last[1]) and sides != last[1] and likeness(kinds(last[0]), kinds(x)) >= _OF_A_KIND:
             done[-1] = (merge(last[0], x, True), 3)
         else:
             done.append((x, sides))
@@ -333,7 +333,7 @@ def slots(page: list, wrapper: list) -> list[int]:
             for order in (range(1, len(kids)), range(len(kids) - 2, -1, -1)):
                 for i in order:
                     by = place.get(i - 1 if order.step > 0 else i + 1)
-                    if i not in place and by is not None and by[0] == kids[i][0] and likeness(kids[i], by) >= _OF_A_KIND:
+                    if i not in place and by is not None and by[0] == kids[i][0] and likeness(kinds(kids[i]), kinds(by)) >= _OF_A_KIND:
                         place[i] = by
         for i, x in enumerate(kids):
             if i in place:
