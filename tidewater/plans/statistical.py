@@ -300,13 +300,21 @@ def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).withColumn("metric", F.coalesce(F.element_at(names, F.col("metric")), F.col("metric")))
 
 
-@_r.add("life_chapters")
+_CHAPTERS = """s AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'health/urgent' WHEN '2-HIGH' THEN 'communication/high' WHEN '3-MEDIUM' THEN 'photos/medium' WHEN '4-NOT SPECIFIED' THEN 'search_behavior/other' WHEN '5-LOW' THEN 'motion/low' ELSE o_orderpriority END AS metric, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2),
+    k AS (SELECT metric FROM s GROUP BY 1 HAVING count(*) >= 84), w AS (SELECT metric, CAST(date_trunc('week', date) AS DATE) AS week, avg(value) AS v FROM s WHERE metric IN (SELECT metric FROM k) GROUP BY 1, 2), z AS (SELECT metric, week, (v - avg(v) OVER x) / nullif(stddev_pop(v) OVER x, 0) AS z, count(*) OVER x AS n FROM w WINDOW x AS (PARTITION BY metric ORDER BY week ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
+    p AS (SELECT split_part(metric, '/', 1) AS area, week, z FROM z WHERE n = 8 AND abs(z) >= 2), d AS (SELECT week, row_number() OVER (ORDER BY week) AS i FROM (SELECT DISTINCT week FROM p)),
+    r AS (SELECT week, i, week AS first, 1 AS g FROM d WHERE i = 1 UNION ALL SELECT d.week, d.i, CASE WHEN d.week - r.first > 14 THEN d.week ELSE r.first END, g + CASE WHEN d.week - r.first > 14 THEN 1 ELSE 0 END FROM r JOIN d ON d.i = r.i + 1),
+    c AS (SELECT g, min(p.week) AS begins, count(*) AS shifts, round(least(0.95, 0.3 + 0.15 * count(*) + 0.05 * sum(abs(z))), 2) AS confidence, CASE WHEN bool_or(area = 'health' AND z > 0) AND NOT bool_or(area = 'health' AND z <= 0) THEN 'health_focus' WHEN bool_or(area = 'health' AND z <= 0) AND NOT bool_or(area = 'health' AND z > 0) THEN 'low_activity'
+    WHEN bool_or(area = 'communication' AND z > 0) THEN 'social_expansion' WHEN bool_or(area = 'photos') AND bool_or(area = 'search_behavior') THEN 'exploration' WHEN bool_and(z <= 0) THEN 'transition' WHEN count(*) >= 3 THEN 'life_change' ELSE 'routine' END AS type FROM p JOIN r ON r.week = p.week GROUP BY g)"""
+
+
+@_r.add("life_chapters", f"WITH RECURSIVE {_CHAPTERS} SELECT begins, lead(begins) OVER (ORDER BY g) AS ends, type, shifts, confidence FROM c")
 def life_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chapters.chapters(chapters.change_points(_areas(spark, sf_dir)))
     return found.select("begins", "ends", "type", "shifts", "confidence")
 
 
-@_r.add("similar_chapters")
+@_r.add("similar_chapters", f"WITH RECURSIVE {_CHAPTERS}, a AS (SELECT x.begins, y.begins AS other, round(abs(x.confidence - y.confidence), 9) AS gap FROM c x JOIN c y ON x.type = y.type AND x.begins <> y.begins) SELECT begins, other, round(gap, 4) AS gap FROM a QUALIFY row_number() OVER (PARTITION BY begins ORDER BY gap, other) <= 3")
 def similar_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapters.similar_chapters(chapters.chapters(chapters.change_points(_areas(spark, sf_dir))))
 
