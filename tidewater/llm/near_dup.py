@@ -49,7 +49,7 @@ _HOT = 1000
 #: Members that meet a pivot in one task on average.
 _STAR = 500
 #: Rows of ids up to which they are broadcast to the texts that they name; beyond, both sides are shuffled.
-_MOST_BROADCAST = 500_000
+_MOST_BROADCAST = 200_000
 
 
 def superminhash(elements: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
@@ -354,7 +354,7 @@ def _groups(docs: DataFrame, shingle_words: int, threshold: float, bands: int, r
     unsettled = _in_blocks(stored(unsettled, "unsettled")).join(classes.select("cls", "rep", "th", "bands", "places"), "cls")
     possible = stored(unsettled.groupBy("bucket", "block").applyInArrow(_possible(num, den, floor), _MEMBER), "possible")
     if possible.limit(1).count():
-        settled = _texts_of(keyed, possible.withColumnRenamed("rep", "doc_id"), _MOST_BROADCAST // 10)
+        settled = _texts_of(keyed, possible.withColumnRenamed("rep", "doc_id"), _MOST_BROADCAST // 4)
         links = stored(settled.groupBy("bucket", "block").applyInArrow(_links(shingle_words, num, den, floor), "a long, b long"), "links")
         comps = stored(_united(comps, links), "comps")
     names = comps.join(classes.select(F.col("cls").alias("node"), "rep", "th"), "node").groupBy("comp").agg(F.min(F.struct("rep", "th")).alias("first"))
