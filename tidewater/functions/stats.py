@@ -68,3 +68,13 @@ def iso_week_monday(key: Column) -> Column:
     """The Monday of YYYY-Www."""
     jan4 = F.make_date(key.substr(1, 4).cast("int"), F.lit(1), F.lit(4))
     return F.date_add(F.date_sub(jan4, F.weekday(jan4)), (key.substr(7, 2).cast("int") - 1) * 7)
+
+
+def half_even(c: Column) -> Column:
+    """A floating number to an integer, halves to the even one."""
+    return F.rint(c).cast("long")
+
+
+def half_away(c: Column) -> Column:
+    """A decimal number to an integer, halves away from zero."""
+    return F.round(c).cast("long")

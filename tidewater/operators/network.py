@@ -55,3 +55,26 @@ def frequency_trend(df: DataFrame, person: str, ts: str, as_of: Column, days: in
     g = df.filter((d >= 0) & (d < 2 * days)).groupBy(person).agg(F.count_if(d < days).alias("recent"), F.count_if(d >= days).alias("before"))
     change = F.try_divide(F.col("recent") - F.col("before"), F.col("before"))
     return g.withColumn("trend", F.when(F.col("recent") == 0, "silent").when(F.col("before") == 0, "new").when(change > 0.3, "increasing").when(change < -0.3, "decreasing").otherwise("stable"))
+
+
+def style_features(df: DataFrame, person: str, ts: str, length: Column, emoji: Column, question: Column, sent: Column, mood: Column, least: int = 10) -> DataFrame:
+    """person, messages and nine features of persons with at least `least` messages."""
+    share = lambda c: F.avg(c.cast("double"))
+    g = df.groupBy(person).agg(
+        F.count(F.lit(1)).alias("messages"), F.avg(length).alias("mean_length"), F.stddev_pop(length).alias("length_spread"), share(emoji).alias("emoji"), share(question).alias("questions"),
+        F.avg(F.hour(ts)).alias("mean_hour"), F.stddev_pop(F.hour(ts)).alias("hour_spread"), share(F.dayofweek(ts).isin(1, 7)).alias("weekends"), share(sent).alias("initiated"), F.avg(mood).alias("mood"),
+    )
+    return g.filter(F.col("messages") >= least)
+
+
+def voice_metrics(segments: DataFrame) -> DataFrame:
+    """person, segments, speaking, mean_segment, conversations, dominance, most_active of segments (person, media, seconds, part).
+
+    Segments are summed by person and recording first; dominance is the mean share of a recording's seconds. Ties of the most active
+    part go to the smaller one.
+    """
+    per = segments.groupBy("person", "media").agg(F.sum("seconds").alias("s"), F.count(F.lit(1)).alias("n"))
+    total = per.groupBy("media").agg(F.sum("s").alias("t"))
+    talk = per.join(total, "media").groupBy("person").agg(F.sum("n").alias("segments"), F.sum("s").alias("speaking"), F.count(F.lit(1)).alias("conversations"), F.avg(F.when(F.col("t") > 0, F.col("s") / F.col("t"))).alias("dominance"))
+    parts = segments.groupBy("person", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("person").agg(F.max_by("part", F.struct("k", -F.col("part"))).alias("most_active"))
+    return talk.join(parts, "person").withColumn("mean_segment", F.col("speaking") / F.col("segments"))

@@ -210,3 +210,19 @@ def merge_candidates(people: DataFrame, links: DataFrame, entities: DataFrame, s
     photo = joins.best_match(unknown, people.select(F.col("name").alias("match")), 0.5).join(first.withColumnRenamed("name", "match"), "match")
     photo = photo.select(F.lit("photo").alias("kind"), F.col("id").cast("string").alias("a"), F.col("name").alias("b"), (F.col("sim") * 0.9).alias("confidence"))
     return pairs.unionByName(photo).groupBy("kind", "a", "b").agg(F.max("confidence").alias("confidence")).filter(F.col("confidence") >= least)
+
+
+def replace_in_arrays(rows: DataFrame, merges: DataFrame, key: str, members: str) -> DataFrame:
+    """key, members: arrays with merged ids replaced by surviving ones, each once. Arrays are unnested to meet the merges by a join."""
+    m = merges.select(F.col("merged").alias("_m"), "survivor")
+    one = rows.select(key, F.explode(members).alias("_m")).join(m, "_m", "left").select(key, F.coalesce("survivor", "_m").alias("_m"))
+    return one.groupBy(key).agg(F.collect_set("_m").alias(members))
+
+
+def merged_entities(entities: DataFrame, merges: DataFrame) -> DataFrame:
+    """survivor, aliases (distinct, sorted), merged (how many), fact_count (their sum) after the merges."""
+    m = merges.select(F.col("merged").alias("entity_id"), "survivor")
+    kept = entities.join(m, "entity_id", "left").withColumn("survivor", F.coalesce("survivor", "entity_id"))
+    known = kept.select("survivor", F.explode_outer("aliases").alias("a")).groupBy("survivor").agg(F.array_sort(F.collect_set("a")).alias("aliases"))
+    counts = kept.groupBy("survivor").agg((F.count(F.lit(1)) - 1).alias("merged"), F.sum("fact_count").alias("fact_count"))
+    return counts.join(known, "survivor")

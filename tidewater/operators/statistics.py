@@ -171,3 +171,16 @@ def life_transitions(contacts: DataFrame, places: DataFrame, moods: DataFrame, m
     rows = reduce(DataFrame.unionByName, [new, where, volume, mood, busy, work]).filter("ok").drop("ok")
     strong = F.sum((F.col("strength") >= least).cast("int")).over(Window.partitionBy(F.lit(0)))  # six rows at most
     return rows.withColumn("together", strong >= 2)
+
+
+def spikes(daily: DataFrame, keys: list[str], days: int = 30, times: float = 2.0) -> DataFrame:
+    """Rows (keys, date, value) whose value exceeds `times` the mean of the `days` days before, with that mean."""
+    w = Window.partitionBy(*keys).orderBy(F.datediff("date", F.lit("1970-01-01").cast("date"))).rangeBetween(-days, -1)
+    return daily.withColumn("mean", F.avg("value").over(w)).filter((F.col("mean") > 0) & (F.col("value") > times * F.col("mean")))
+
+
+def resolved(anomalies: DataFrame, as_of: Column, days: int = 3) -> DataFrame:
+    """Anomalies (metric, date) older than `days` days of metrics without one since."""
+    limit = F.date_sub(as_of, days)
+    recent = anomalies.filter(F.col("date") >= limit).select("metric").distinct()
+    return anomalies.filter(F.col("date") < limit).join(recent, "metric", "left_anti").select(anomalies.columns)
