@@ -41,12 +41,23 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(x == y, 1.0).when((x == "") | (y == ""), 0.0).when(x.contains(y) | y.contains(x), 0.8).otherwise(1 - F.try_divide(F.levenshtein(x, y).cast("double"), longer))
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """Rules on parts of a name: equal 1; same first and last .95; same last only .45; one is the other's first name .7;
-    containment .65; else Dice."""
-    x, y = tidy(a), tidy(b)
-    px, py = F.split(x, " "), F.split(y, " ")
+def name_key(c: Column) -> Column:
+    """What name_alike compares: computed once for each name, before names meet in pairs."""
+    t = tidy(c)
+    return F.struct(t.alias("t"), F.split(t, " ").alias("p"), grams(t, 2).alias("g"))
+
+
+def name_alike(x: Column, y: Column) -> Column:
+    """Rules on parts of names, given as name_key: equal 1; same first and last .95; same last only .45; one is the other's first
+    name .7; containment .65; else Dice."""
+    a, b, px, py = x["t"], y["t"], x["p"], y["p"]
     many = (F.size(px) > 1) & (F.size(py) > 1)
     first, last = F.get(px, F.lit(0)) == F.get(py, F.lit(0)), F.element_at(px, -1) == F.element_at(py, -1)
     one = (F.size(px) == 1) | (F.size(py) == 1)
-    return F.when(x == y, 1.0).when(many & first & last, 0.95).when(many & last, 0.45).when(one & first, 0.7).when(x.contains(y) | y.contains(x), 0.65).otherwise(dice(x, y))
+    shared = F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect(x["g"], y["g"])), F.size(x["g"]) + F.size(y["g"])), F.lit(0.0))
+    return F.when(a == b, 1.0).when(many & first & last, 0.95).when(many & last, 0.45).when(one & first, 0.7).when(a.contains(b) | b.contains(a), 0.65).otherwise(shared)
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """name_alike of two names."""
+    return name_alike(name_key(a), name_key(b))

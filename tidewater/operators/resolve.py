@@ -25,9 +25,11 @@ def staged_match(records: DataFrame, entities: DataFrame, stages: list[str], id_
 
 def fuzzy_match(records: DataFrame, entities: DataFrame, merge: float = 0.85, review: float = 0.55, top: int = 200) -> DataFrame:
     """record_id, entity_id, sim, action: against the `top` entities with the most facts (a bound for the broadcast)."""
-    best = entities.orderBy(F.desc("fact_count"), "entity_id").limit(top).select("entity_id", F.col("name").alias("entity_name"))
-    scored = records.join(F.broadcast(best), F.lit(True)).withColumn("sim", similarity.name_similarity(F.col("name"), F.col("entity_name")))
-    m = scored.groupBy("record_id").agg(F.max(F.struct("sim", (-F.col("entity_id")).alias("e"))).alias("m")).select("record_id", (-F.col("m.e")).alias("entity_id"), "m.sim")
+    best = entities.orderBy(F.desc("fact_count"), "entity_id").limit(top).select("entity_id", similarity.name_key(F.col("name")).alias("theirs"))
+    names = records.select("name").distinct().withColumn("ours", similarity.name_key(F.col("name")))  # each name is compared once, however many records have it
+    scored = names.join(F.broadcast(best), F.lit(True)).withColumn("sim", similarity.name_alike(F.col("ours"), F.col("theirs")))
+    near = scored.groupBy("name").agg(F.max(F.struct("sim", (-F.col("entity_id")).alias("e"))).alias("m"))
+    m = records.select("record_id", "name").join(near, "name", "left").select("record_id", (-F.col("m.e")).alias("entity_id"), "m.sim")
     return m.withColumn("action", F.when(F.col("sim") >= merge, "merge").when(F.col("sim") >= review, "review").otherwise("create"))
 
 
@@ -175,9 +177,9 @@ def cascade(hints_: DataFrame, entities: DataFrame, merge: float = 0.85, review:
     by_key = keyed(e, "entity_id").groupBy("stage", "k").agg(F.min("entity_id").alias("entity_id"))
     hits = keyed(h, "record_id").join(by_key, ["stage", "k"]).groupBy("record_id").agg(F.min(F.struct("stage", "entity_id")).alias("hit"))
     left = h.join(hits, "record_id", "left")
-    best = e.orderBy(F.desc("fact_count"), "entity_id").limit(top).select("entity_id", F.explode(F.concat(F.array("name"), "aliases")).alias("known"))
-    names = left.filter("hit is null").select("name").distinct().join(F.broadcast(best), F.lit(True))
-    sims = names.withColumn("sim", similarity.name_similarity(F.col("name"), F.col("known"))).groupBy("name").agg(F.max(F.struct(F.round("sim", 9).alias("sim"), (-F.col("entity_id")).alias("e"))).alias("near")).filter("near.sim > 0")
+    best = e.orderBy(F.desc("fact_count"), "entity_id").limit(top).select("entity_id", F.explode(F.concat(F.array("name"), "aliases")).alias("known")).select("entity_id", similarity.name_key(F.col("known")).alias("theirs"))
+    names = left.filter("hit is null").select("name").distinct().withColumn("ours", similarity.name_key(F.col("name"))).join(F.broadcast(best), F.lit(True))
+    sims = names.withColumn("sim", similarity.name_alike(F.col("ours"), F.col("theirs"))).groupBy("name").agg(F.max(F.struct(F.round("sim", 9).alias("sim"), (-F.col("entity_id")).alias("e"))).alias("near")).filter("near.sim > 0")
     out = left.join(sims, "name", "left")
     sim, near = F.when(F.col("hit").isNull(), F.col("near.sim")), -F.col("near.e")
     stage = F.col("hit.stage")
