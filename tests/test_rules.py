@@ -207,7 +207,7 @@ def test_sinks(spark):
 
 def test_delivery_windows_and_thresholds(spark):
     t = F.col("t")
-    assert one(spark, classify.delivery_window(t), t="Your package arrives between 2 pm and 4 pm") == "2 pm and 4 pm" and one(spark, classify.delivery_window(t), t="delivery by 5pm") == "5pm" and one(spark, classify.delivery_window(t), t="lunch 1-2 pm") is None
+    assert one(spark, classify.delivery_window(t), t="Your package comes between 2 pm and 4 pm") == "between 2 pm and 4 pm" and one(spark, classify.delivery_window(t), t="Delivery BY 5PM") == "BY 5PM" and one(spark, classify.delivery_window(t), t="lunch 1-2 pm") is None
     assert one(spark, classify.threshold(t, {"a": 0.9}, 0.5), t="b") == 0.5
 
 

@@ -46,16 +46,21 @@ def content_class(source: Column, mime: Column, length: Column, messages: Column
     )
 
 
+# Words that speak of a delivery, and the forms of its time.
+DELIVERY_WORDS = ("deliver", "arrival", "arriving", "shipped", "package", "order", "drop-off", "dropoff", "eta", "estimated time", "window", "scheduled for")
+DELIVERY_TIMES = (
+    r"between\s+(\d{1,2}(?::\d{2})?\s*(?:am|pm)?)\s+(?:and|&|-)\s+(\d{1,2}(?::\d{2})?\s*(?:am|pm))",
+    r"(\d{1,2}(?::\d{2})?\s*(?:am|pm))\s*[-–—to]+\s*(\d{1,2}(?::\d{2})?\s*(?:am|pm))",
+    r"(?:by|before|arriving|expected|eta)\s+(\d{1,2}(?::\d{2})?\s*(?:am|pm))",
+    r"window[:\s]+(\d{1,2}(?::\d{2})?\s*(?:am|pm))\s*[-–—to]+\s*(\d{1,2}(?::\d{2})?\s*(?:am|pm))",
+)
+
+
 def delivery_window(text: Column) -> Column:
-    """The first match of four forms of a delivery time, where a keyword speaks of a delivery; else null."""
-    forms = (
-        r"(?i)between\s+(\d{1,2}(?::\d{2})?\s*(?:am|pm)?\s+and\s+\d{1,2}(?::\d{2})?\s*(?:am|pm))",
-        r"(?i)(\d{1,2}(?::\d{2})?\s*(?:am|pm)?\s*-\s*\d{1,2}(?::\d{2})?\s*(?:am|pm))",
-        r"(?i)by\s+(\d{1,2}(?::\d{2})?\s*(?:am|pm))",
-        r"(?i)arriv\w*\s+(today|tomorrow)",
-    )
-    hits = [F.nullif(F.regexp_extract(text, f, 1), F.lit("")) for f in forms]
-    return F.when(text.rlike(r"(?i)deliver|package|shipment|arriv|courier"), F.coalesce(*hits))
+    """The time of a delivery: the first form that matches, where a word speaks of one; else null."""
+    hits = [F.nullif(F.trim(F.regexp_extract(text, f"(?i){f}", 0)), F.lit("")) for f in DELIVERY_TIMES]
+    spoken = F.lower(text)
+    return F.when(F.array_contains(F.transform(F.array(*map(F.lit, DELIVERY_WORDS)), lambda w: spoken.contains(w)), True), F.coalesce(*hits))
 
 
 def tokens_estimate(text: Column) -> Column:

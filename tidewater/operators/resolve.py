@@ -126,6 +126,7 @@ def pattern_maintenance(patterns: DataFrame, as_of, decay: float = 0.95, idle_da
 
 def identity_key(c: Column) -> Column:
     """An identifier without blanks, dashes, brackets and points (those of mail addresses too); US numbers get +1; mail in lower case. Null below two characters."""
+    # What falls away, and the two forms of US numbers.
     t = F.regexp_replace(c, r"[\s\-\(\)\.]", "")
     t = F.when(t.rlike("^[2-9][0-9]{9}$"), F.concat(F.lit("+1"), t)).when(t.rlike("^1[2-9][0-9]{9}$"), F.concat(F.lit("+"), t)).otherwise(t)
     return F.when(F.char_length(c) >= 2, F.when(t.contains("@"), F.lower(t)).otherwise(t))
@@ -154,6 +155,7 @@ def identify(records: DataFrame, links: DataFrame) -> DataFrame:
 
 def aliases(c: Column) -> Column:
     """Distinct aliases in lower case: phones as national digits, others trimmed."""
+    # Fixed value: the form of a phone.
     one = lambda a: F.when(a.rlike(r"^\+?\d[\d\s()\-\.]+$") & (F.char_length(identifiers.digits(a)) >= 7), identifiers.phone_national(a)).otherwise(F.lower(F.trim(a)))
     return F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), one), lambda a: a.isNotNull() & (a != "")))
 

@@ -143,6 +143,7 @@ def life_transitions(contacts: DataFrame, places: DataFrame, moods: DataFrame, m
     All tables have at (date); contacts: who; places: cell; moods: score; mails: domain; meetings count alone. `together` tells whether two
     tests at least reach `least`. Distinct values are reduced to one row each first, so every test is an aggregation that combines early.
     """
+    # The bounds and scales of the six tests.
     start, base = F.date_sub(as_of, recent), F.date_sub(as_of, recent + before)
     now, then, ago = F.col("at") >= start, (F.col("at") >= base) & (F.col("at") < start), F.col("at") < base
 

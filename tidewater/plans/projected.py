@@ -131,6 +131,24 @@ def keyword_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").filter(classify.matches_any(F.concat("text", said), list(classify.URGENT))).select("conv_id", "turn")
 
 
+_FORMS = ", ".join(f"nullif(trim(regexp_extract(text, '(?i){f}', 0)), '')" for f in classify.DELIVERY_TIMES)
+
+
+@_r.add(
+    "delivery_windows",
+    f"""WITH t AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Package today between ' || event_id % 12 || ' and 5 PM' WHEN 1 THEN 'your order: 1pm - ' || event_id % 12 || ':30 pm' WHEN 2 THEN 'Arriving by 3:00 PM' WHEN 3 THEN 'lunch by 3 pm' WHEN 4 THEN 'delivery window: 1am to 4am' WHEN 5 THEN 'shipped' END AS text FROM events)
+    SELECT event_id, CASE WHEN list_bool_or(list_transform({list(classify.DELIVERY_WORDS)}, lambda w: contains(lower(text), w))) THEN coalesce({_FORMS}) END AS delivery FROM t""",
+)
+def delivery_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    text = (
+        F.when(k % 7 == 0, F.concat(F.lit("Package today between "), k % 12, F.lit(" and 5 PM")))
+        .when(k % 7 == 1, F.concat(F.lit("your order: 1pm - "), k % 12, F.lit(":30 pm")))
+        .when(k % 7 == 2, "Arriving by 3:00 PM").when(k % 7 == 3, "lunch by 3 pm").when(k % 7 == 4, "delivery window: 1am to 4am").when(k % 7 == 5, "shipped")
+    )
+    return e.select("event_id", classify.delivery_window(text).alias("delivery"))
+
+
 # --- scalar functions
 
 

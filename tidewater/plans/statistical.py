@@ -219,6 +219,7 @@ def yearly_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.avg("o_totalprice"), 2).alias("mean_price"), F.count_distinct("o_custkey").alias("customers"), F.round(F.count(F.lit(1)) / F.count_distinct(F.to_date("o_orderdate")), 4).alias("per_active_day"))
 
 
+# Fixed value: words of dates and milestones.
 _MARKERS = r"(anniversary|birthday|\d+ years|since \d{4}|back in \d{4}|first met|known .+ for|remember when)"
 
 
