@@ -361,6 +361,17 @@ def test_wrapper_inference():
     assert {number[id(w[2][i])] for i in (0, 2, 3)} <= set(places) and number[id(w[2][1])] not in places
 
 
+def test_region_takes_in_a_title_beside_it_and_no_sidebar():
+    root = html_text.page_tree(html_text.stream("<body><div class=t><h1>Title</h1></div><div class=b><p>x</p></div></body>"))[0]
+    side = html_text.page_tree(html_text.stream("<body><div class=t><p>Title</p></div><div class=b><p>x</p></div></body>"))[0]
+    for tree, want in ((root, "body"), (side, "div.b")):
+        nodes = html_text.numbered(tree)
+        mass = [{"h1": 20.0, "p": 500.0}.get(x[0], 0.0) for x in nodes]
+        if want == "div.b":
+            mass[nodes.index(tree[2][0][2][0][2][0][2][0])] = 20.0
+        assert nodes[html_text.region(tree, mass, set())][0] == want
+
+
 def test_repeated_elements_become_a_group():
     def page(n):
         return html_text.page_tree(html_text.stream("".join(f"<section class=post><div><h3>{i}</h3></div></section>" for i in range(n)) + "<div><p>end</p></div>"))[0]

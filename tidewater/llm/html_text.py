@@ -350,12 +350,14 @@ def region(root: list, mass: list[float], no_article: set[int]) -> int:
     nodes = numbered(root)
     number = {id(x): i for i, x in enumerate(nodes)}
     total = [0.0 if i in no_article else m for i, m in enumerate(mass)]
+    titles = [t if _tag(x[0]) == "h1" else 0.0 for x, t in zip(nodes, total, strict=True)]
     up: dict[int, int] = {}
     for i in range(len(nodes) - 1, -1, -1):
         for x in nodes[i][2]:
             k = number[id(x)]
             up[k] = i
             total[i] += total[k]
+            titles[i] += titles[k]
     most = total[0]
     if most <= 0:
         return 0
@@ -364,7 +366,7 @@ def region(root: list, mass: list[float], no_article: set[int]) -> int:
     for i in range(1, len(nodes)):
         in_flow[i] = nodes[up[i]][0] == "~" or in_flow[up[i]]
     best = 0
-    # Down to the innermost container that holds four fifths, and up again where its neighbours are bare headings and paragraphs.
+    # Down to the innermost container that holds four fifths, and up again where its neighbours are titles, or headings and paragraphs in no container.
     down = True
     while down:
         down = False
@@ -372,7 +374,11 @@ def region(root: list, mass: list[float], no_article: set[int]) -> int:
             k = number[id(x)]
             if box[k] and not in_flow[k] and total[k] >= 0.8 * most:
                 best, down = k, True
-    while best in up and (extra := total[up[best]] - total[best]) > 0 and sum(total[number[id(x)]] for x in nodes[up[best]][2] if x[0] == "~") >= 0.9 * extra:
+    while best in up:
+        beside = [(x[0], number[id(x)]) for x in nodes[up[best]][2] if number[id(x)] != best]
+        extra = total[up[best]] - total[best]
+        if extra <= 0 or sum(total[k] if label == "~" else titles[k] for label, k in beside) < 0.9 * extra:
+            break
         best = up[best]
     named = [i for i in range(len(nodes)) if _tag(nodes[i][0]) in _MAIN and total[i] >= 0.5 * total[best]]
     return max(named, key=lambda i: (_tag(nodes[i][0]) == "article", total[i], i)) if named else best
