@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import html_text, lm_score, mixing, near_dup, packing, pii, quality_classifier, quality_rules, topk, url_filter
+from tidewater.llm import html_text, lm_score, mixing, near_dup, packing, periodic_runs, pii, quality_classifier, quality_rules, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,33 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
+def _planted(text: Column, key: Column) -> Column:
+    """Words of text; of every tenth document by the CRC of its key, the words from some word on repeat with some period."""
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    n, g = F.size(words).cast("long"), F.floor(F.crc32(key) / 10)
+    a = F.pmod(g, F.greatest(n, F.lit(1)))
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    root = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    rest = F.slice(F.flatten(F.array_repeat(root, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    planted = F.concat(F.slice(words, F.lit(1), a.cast("int")), rest)
+    return F.when((F.pmod(F.crc32(key), F.lit(10)) == 0) & (n > 0), F.array_join(planted, " ")).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = periodic_runs.periodic_runs(docs.select("doc_id", _planted(F.col("text"), F.col("doc_id").cast("string")).alias("text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(best[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -79,6 +106,26 @@ m AS (SELECT d, min(c) AS c FROM r GROUP BY 1)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, w.doc_id = m.c AS kept FROM w JOIN m ON m.d = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id"""
 
 
+#: CRC-32 of an ASCII text as DuckDB has none: a byte at a time, eight shifts a byte.
+_CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS BIGINT))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))"""
+
+#: Runs of a period up to 8 show at every distance tried; of a longer period q, at the distance q of equal 8-word windows.
+_RUNS = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws, xor({_CRC.format("CAST(doc_id AS VARCHAR)")}, 4294967295) AS h FROM documents),
+g AS (SELECT *, len(ws) AS n, h // 10 AS g, (h // 10) % greatest(len(ws), 1) AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+w AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE ws END AS ws FROM p),
+t AS (SELECT doc_id, n, i, ws[i + 1] AS w, hash(ws[i + 1 : i + 8]) AS eight, i + 8 <= n AS whole FROM (SELECT *, unnest(range(n)) AS i FROM w)),
+q AS (SELECT doc_id, q FROM (SELECT doc_id, n, unnest(range(1, 9)) AS q FROM w) WHERE 4 * q <= n
+  UNION SELECT x.doc_id, y.i - x.i FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.eight = y.eight AND x.whole AND y.whole AND y.i - x.i > 8 AND 4 * (y.i - x.i) <= x.n),
+m AS (SELECT q.doc_id, q.q, x.i, x.i - row_number() OVER (PARTITION BY q.doc_id, q.q ORDER BY x.i) AS island FROM q JOIN t x ON x.doc_id = q.doc_id JOIN t y ON y.doc_id = q.doc_id AND y.i = x.i + q.q AND y.w = x.w),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM m GROUP BY doc_id, q, island) WHERE length >= greatest(6, 4 * q) GROUP BY 1, 2, 3),
+s AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs, arg_min(struct_pack(start := start, length := length, period := period), struct_pack(e := -CAST(length AS DOUBLE) / period, start := start, period := period)) AS best FROM r GROUP BY 1),
+k AS (SELECT t.doc_id, string_agg(t.w, ' ' ORDER BY t.i) AS kept FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = t.doc_id AND t.i >= r.start + r.period AND t.i < r.start + r.length) GROUP BY 1)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM w LEFT JOIN s ON s.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the two whose results are exact joins; fitted models, hashes and tokenizers are beyond it."""
-    return {"op3_exact_top_k": _TOP_K, "op8_minhash_near_dedup": _NEAR_DUP}
+    """SQL for those whose results are exact joins, islands or paths; fitted models, hashes of 64 bits and tokenizers are beyond it."""
+    return {"op3_exact_top_k": _TOP_K, "op8_minhash_near_dedup": _NEAR_DUP, "op11_periodic_runs": _RUNS}
