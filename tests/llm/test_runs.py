@@ -39,7 +39,8 @@ def test_runs_equal_brute_force(w, a, p, least):
 
 def test_long_repeats_stay_cheap():
     """Quadratic work would take hours: one period of 40,000 words five times, and one word 200,000 times."""
-    root = [random.Random(1).randrange(30_000) for _ in range(40_000)]
+    rng = random.Random(1)
+    root = [rng.randrange(30_000) for _ in range(40_000)]
     assert periodic_runs.find_runs(root * 5) == [(0, 200_000, 40_000)]
     assert periodic_runs.find_runs(["a"] * 200_000) == [(0, 200_000, 1)]
     assert periodic_runs.find_runs(["a"] * 5) == [] and periodic_runs.find_runs(["a", "b"] * 4) == [(0, 8, 2)]
