@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import html_text, lm_score, mixing, near_dup, packing, periodic_runs, pii, quality_classifier, quality_rules, topk, url_filter
+from tidewater.llm import html_text, lm_score, mixing, near_dup, packing, periodic_runs, pii, quality_classifier, quality_rules, topk, turn_repair, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,24 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Turns with faults by the CRC of conversation and turn: dropped, emptied, without marks of a sentence's end, twice, or as the user's."""
+    key = F.concat(*(F.coalesce(c, F.lit(" ")) for c in (F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))))
+    fault, role, text = F.pmod(F.crc32(key), F.lit(20)), F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    return turns.filter(fault != 0).select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.when(fault == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return turn_repair.digest(turn_repair.repair(_damaged(turns)), turns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -126,6 +144,43 @@ SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length
 FROM w LEFT JOIN s ON s.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id"""
 
 
+_KEEP = "CASE WHEN fault IN ('blank', 'duplicate') OR NOT {test} THEN {never} ELSE struct_pack(c := {cost} + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END + f.{to}.c, a := '{edit}' || f.{to}.a, t := chr(10) || {role} || ':' || text || f.{to}.t) END"
+_NEVER = "struct_pack(c := CAST(1000000000 AS BIGINT), a := '', t := '')"
+
+
+def _stay(state: str) -> str:
+    """What a turn costs, with all that follows, from a state (the last role, or n for none) if nothing is inserted before it: least of Keep, Rerole, Delete."""
+    to = "a" if state == "u" else "u"
+    rerole = _KEEP.format(test="true", never=_NEVER, cost=1, to=to, edit="R", role="'assistant'" if to == "a" else "'user'")
+    keep = _KEEP.format(test=f"role[1] = '{to}'", never=_NEVER, cost=0, to=to, edit="K", role="role")
+    first = _KEEP.format(test="role[1] = 's'" if state == "n" else "false", never=_NEVER, cost=0, to="s", edit="K", role="role")
+    return f"list_sort([{rerole}, {keep}, {first}, struct_pack(c := 2 + f.{state}.c, a := 'D' || f.{state}.a, t := f.{state}.t)])[1]"
+
+
+def _inserted(state: str) -> str:
+    """The same with up to two insertions before it."""
+    one = "a" if state == "u" else "u"
+    two = "a" if one == "u" else "u"
+    line = {"u": "chr(10) || 'user:'", "a": "chr(10) || 'assistant:'"}
+    i = f"struct_pack(c := 5 + g.{one}.c, a := 'I' || g.{one}.a, t := {line[one]} || g.{one}.t)"
+    ii = f"struct_pack(c := 10 + g.{two}.c, a := 'II' || g.{two}.a, t := {line[one]} || {line[two]} || g.{two}.t)"
+    return f"{state} := list_sort([g.{state}, {i}, {ii}])[1]"
+
+
+_ENDS = {"n": (0, "", "''"), "s": (10, "II", "chr(10) || 'user:' || chr(10) || 'assistant:'"), "u": (5, "I", "chr(10) || 'assistant:'"), "a": (0, "", "''")}
+_REPAIR = f"""
+WITH RECURSIVE h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor({_CRC.format("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")}, 4294967295) % 20 AS h FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM d),
+r AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault,
+  lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair, i > 1 AS later, count(*) OVER (PARTITION BY conv_id) AS m FROM o),
+e AS (SELECT conv_id, m + 1 AS i, struct_pack({", ".join(f"{q} := struct_pack(c := CAST({c} AS BIGINT), a := '{a}', t := {t})" for q, (c, a, t) in _ENDS.items())}) AS f FROM (SELECT DISTINCT conv_id, m FROM r)
+  UNION ALL SELECT conv_id, i, struct_pack({", ".join(map(_inserted, "nsua"))}) FROM (SELECT e.conv_id, r.i, struct_pack({", ".join(f"{q} := {_stay(q)}" for q in "nsua")}) AS g FROM e JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.i - 1)),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (later AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1)
+SELECT c.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal, coalesce(e.f.n.c, 0) AS cost, coalesce(e.f.n.a, '') AS audit, sha256(coalesce(substr(e.f.n.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id AND e.i = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for those whose results are exact joins, islands or paths; fitted models, hashes of 64 bits and tokenizers are beyond it."""
-    return {"op3_exact_top_k": _TOP_K, "op8_minhash_near_dedup": _NEAR_DUP, "op11_periodic_runs": _RUNS}
+    return {"op3_exact_top_k": _TOP_K, "op8_minhash_near_dedup": _NEAR_DUP, "op11_periodic_runs": _RUNS, "op12_turn_repair": _REPAIR}
