@@ -271,7 +271,7 @@ def _links(k: int, num: int, den: int, floor: float):
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """Union-find over pairs (a, b) of longs: (node, comp), comp the smallest node reachable. Nodes without an edge have no row.
+    """Union-find over pairs (a, b) of longs, or other values with an order: (node, comp), comp the smallest node reachable. Nodes without an edge have no row.
 
     Every node hangs from the smallest neighbour known and from that one's parent (hooking and pointer jumping), by
     joins on node, so no component is ever in one task. Rounds grow with the logarithm of the longest chain.

@@ -212,9 +212,12 @@ def groups(docs: DataFrame, shingle_words: int = 3, most_bits: int = 3) -> DataF
     bound_batches(docs.sparkSession)
     signed = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prints(shingle_words), "doc_id long, print long"), "prints")
     classes = stored(signed.filter("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
-    comps = connected_components(stored(links(classes, most_bits), "links"))
-    named = classes.join(comps.withColumnRenamed("node", "print"), "print", "left")
-    first = named.filter("comp is not null").groupBy("comp").agg(F.min("rep").alias("first"))
-    named = named.join(first, "comp", "left").select("print", F.coalesce("first", "rep").alias("component_id"))
+    # Nodes are ordered by their smallest doc_id, so a component's smallest node names it, and no join is by component.
+    node = F.struct("rep", "print")
+    edges = links(classes, most_bits)
+    for end in ("a", "b"):
+        edges = edges.join(classes.select(F.col("print").alias(end), node.alias(f"node_{end}")), end)
+    comps = connected_components(stored(edges.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "links"))
+    named = classes.join(comps.select("node.print", F.col("comp.rep").alias("first")), "print", "left").select("print", F.coalesce("first", "rep").alias("component_id"))
     found = signed.join(named, "print", "left")
     return found.select("doc_id", "print", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
