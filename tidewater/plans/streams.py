@@ -1,4 +1,4 @@
-"""Streams over the events, run to their end; their results equal those of the batch twins."""
+"""Streams over the events, run to their end in micro-batches of one time slice each, so that state and watermarks are carried; their results equal those of the batch twins."""
 
 from __future__ import annotations
 
@@ -12,9 +12,13 @@ _r = Registry()
 QUERIES, ORACLE = _r.queries, _r.oracle
 
 
+#: Files, and so micro-batches, of a replay.
+SLICES = 12
+
+
 def _events(spark: SparkSession, sf_dir: str, stream: bool = True) -> DataFrame:
     batch = table(spark, sf_dir, "events")
-    df = flows.from_files(spark, batch, sf_dir, "events.parquet") if stream else batch
+    df = flows.from_files(spark, batch, flows.in_time_slices(batch, "ts", SLICES, "events")) if stream else batch
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -69,6 +73,34 @@ def batch_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(stateful.on_batch(_alerts(_events(spark, sf_dir, stream=False)), _SUPPRESS))
 
 
+_LIFE = {"error": 30, "purchase": 120, "click": 360, "view": 1440, "signup": 1440}
+_QUIET, _LATE = 240, 10
+_LIFECYCLE = f"""{_folded("user_id % 60", "event_type AS severity", "CAST(-1 AS BIGINT) AS last, false AS passed, CAST(NULL AS TIMESTAMP) AS at_ts, CAST(NULL AS VARCHAR) AS kind", "CASE WHEN {0} THEN ms ELSE last END, {0}, ts, severity".format("last < 0 OR ms - last >= 60000 * CASE severity WHEN 'error' THEN 30 WHEN 'purchase' THEN 120 WHEN 'click' THEN 360 ELSE 1440 END"))},
+    a AS (SELECT key AS fingerprint, at_ts AS raised, kind AS severity FROM r WHERE passed),
+    g AS (SELECT key, ms, lead(ms) OVER (PARTITION BY key ORDER BY k) AS next_ms FROM e WHERE k > 0),
+    q AS (SELECT key, ms + {_QUIET * 60000} AS due FROM g WHERE next_ms - ms >= {_QUIET * 60000} OR next_ms IS NULL AND ms + {_QUIET * 60000} < (SELECT max(epoch_us(ts) // 1000) - {_LATE * 60000} FROM events)),
+    x AS (SELECT fingerprint, raised, severity, min(due) AS due FROM a JOIN q ON q.key = a.fingerprint AND q.due > epoch_us(a.raised) // 1000 GROUP BY 1, 2, 3)
+    SELECT fingerprint, raised AS ts, severity, 'raised' AS change, raised FROM a UNION ALL SELECT fingerprint, make_timestamp(due * 1000), severity, 'resolved', raised FROM x WHERE epoch_us(raised) > (due - 604800000) * 1000"""
+
+
+def _findings(df: DataFrame) -> DataFrame:
+    return _keyed(df, "fingerprint", 60).withColumn("severity", F.col("event_type")).select("fingerprint", "id", "ts", "severity")
+
+
+@_r.add("stream_alert_lifecycle", _LIFECYCLE)
+def stream_alert_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _findings(_events(spark, sf_dir)).withWatermark("ts", f"{_LATE} minutes")
+    return _plain(flows.run_to_end(stateful.on_stream(e, stateful.alert_lifecycle(_LIFE, _QUIET)), "lifecycle"))
+
+
+@_r.add("batch_alert_lifecycle", _LIFECYCLE)
+def batch_alert_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silence counts up to the last event less the time for late ones, as on the stream."""
+    e = _findings(_events(spark, sf_dir, stream=False))
+    until = e.agg(F.unix_millis(F.max("ts"))).first()[0]
+    return _plain(stateful.on_batch(e, stateful.alert_lifecycle(_LIFE, _QUIET), None if until is None else until - _LATE * 60_000))
+
+
 _WAKES = "priority >= 4 OR last < 0 OR ms - last >= 3600000"
 
 

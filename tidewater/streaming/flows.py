@@ -20,6 +20,24 @@ def from_files(spark: SparkSession, schema_of: DataFrame, folder: str, names: st
     return spark.readStream.schema(schema_of.schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", names).parquet(folder)
 
 
+def in_time_slices(df: DataFrame, ts: str, slices: int, name: str = "slices") -> str:
+    """Writes a table as one file for each of `slices` stretches of time with about as many rows, the earliest first, as sources that land one file after the other.
+
+    The bounds are approximate quantiles (a fixed number of values on the driver); each slice is read with its bounds pushed down.
+    Rows without a time are in the first slice. Streams read files in order of their time of writing.
+    """
+    folder = scratch(df.sparkSession, name)
+    at = df.select(F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    cuts = sorted(set(at.approxQuantile("at", [k / slices for k in range(1, slices)], 0.001)))
+    bounds = [F.timestamp_micros(F.lit(int(c))).cast(df.schema[ts].dataType) for c in cuts]
+    for k in range(len(bounds) + 1):
+        part = F.lit(True) if k == 0 else F.col(ts) >= bounds[k - 1]
+        part = part & (F.col(ts) < bounds[k]) if k < len(bounds) else part
+        part = part | F.col(ts).isNull() if k == 0 else part
+        df.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}")
+    return folder
+
+
 def run_to_end(df: DataFrame, name: str, each_batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
     """Runs a stream over all that is available now. Without each_batch, rows go to Parquet and are read back."""
     spark = df.sparkSession

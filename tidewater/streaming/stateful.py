@@ -2,6 +2,10 @@
 
 A rule is a step: (state, row) -> (state, rows out), with the rows of a key in order of time. On a stream, Spark keeps the state of
 each key (applyInPandasWithState); in batch, a key's rows are folded in order, a batch at a time. Both give the same rows.
+
+A rule may also act on silence: `deadline` is the time (ms) at which a state acts if no row of its key comes before, and
+`expire` says how. On a stream that is a timer in event time, which fires once the watermark is past it; in batch, the next
+row of the key or, after the last one, the time `until` shows that it passed.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ class Rule:
     start: tuple
     out: str
     step: Step
+    deadline: Callable[[tuple], int | None] | None = None
+    expire: Callable[[tuple, tuple], tuple[tuple, list[tuple]]] | None = None  # (key, state) -> (state, rows out)
 
     @property
     def names(self) -> list[str]:
@@ -40,25 +46,51 @@ def _frame(rule: Rule, rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=rule.names)
 
 
-def _run(rule: Rule, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(pdfs)).sort_values(list(rule.order))
-    now, out = (state.get if state.exists else rule.start), []
-    for row in pdf.itertuples(index=False):
-        now, some = rule.step(now, row)
-        out += some
+def _run(rule: Rule, key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    now, out = (tuple(state.get) if state.exists else rule.start), []
+    if state.hasTimedOut:
+        now, out = rule.expire(key, now)
+    else:
+        for row in pd.concat(list(pdfs)).sort_values(list(rule.order)).itertuples(index=False):
+            now, some = _next(rule, key, now, row)
+            out += some
     state.update(now)
+    due = rule.deadline(now) if rule.deadline else None
+    if due is not None:
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
     yield _frame(rule, out)
 
 
+def _next(rule: Rule, key: tuple, state: tuple, row) -> tuple[tuple, list[tuple]]:
+    """The step of a row, after what its silence before brought."""
+    out: list[tuple] = []
+    due = rule.deadline(state) if rule.deadline else None
+    if due is not None and row.ts.value // 1_000_000 >= due:
+        state, out = rule.expire(key, state)
+    state, some = rule.step(state, row)
+    return state, [*out, *some]
+
+
 def on_stream(df: DataFrame, rule: Rule) -> DataFrame:
+    """df has a watermark on ts if the rule has a deadline."""
+
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        return _run(rule, pdfs, state)
+        return _run(rule, key, pdfs, state)
 
-    return df.groupBy(rule.key).applyInPandasWithState(run, rule.out, rule.state, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if rule.deadline else GroupStateTimeout.NoTimeout
+    return df.groupBy(rule.key).applyInPandasWithState(run, rule.out, rule.state, "append", timeout)
 
 
-def on_batch(df: DataFrame, rule: Rule) -> DataFrame:
-    return folds.fold(df, [rule.key], list(rule.order), lambda: rule.start, rule.step, rule.out)
+def on_batch(df: DataFrame, rule: Rule, until: int | None = None) -> DataFrame:
+    """until: the time (ms) up to which silence is known, as a stream's watermark at its end; None: until the last row of each key only."""
+
+    def end(key: tuple, state: tuple) -> list[tuple]:
+        due = rule.deadline(state)
+        return rule.expire(key, state)[1] if due is not None and due < until else []
+
+    if rule.deadline is None:
+        return folds.fold(df, [rule.key], list(rule.order), lambda: rule.start, rule.step, rule.out)
+    return folds.fold(df, [rule.key], list(rule.order), lambda: rule.start, lambda state, row: _next(rule, (getattr(row, rule.key),), state, row), rule.out, end if until is not None else None)
 
 
 # --- rules
@@ -77,6 +109,36 @@ def suppression(minutes: dict[str, int], key: str = "fingerprint") -> Rule:
     return Rule(key, ("ts", "id"), "last long", (-1,), f"{key} string, ts timestamp, severity string", step)
 
 
+def alert_lifecycle(minutes: dict[str, int], quiet: int, days: int = 7, key: str = "fingerprint") -> Rule:
+    """Findings to alerts that are raised and, after `quiet` minutes without a finding of their key, resolved.
+
+    A finding raises an alert unless one of its key was raised less than its severity's minutes ago, resolved or not. What is
+    resolved are the key's open alerts raised within `days`; older ones stay open. A raised alert is out at once, a resolved one
+    once the silence is certain, with the time (ms) at which it was. The state holds the alerts of `days` at most, by microseconds.
+    """
+    window = days * 86_400_000_000
+
+    def step(state: tuple, r) -> tuple[tuple, list[tuple]]:
+        _, last, since, kinds = state
+        at = r.ts.value // 1_000_000
+        if 0 <= last and at - last < minutes[r.severity] * 60_000:
+            return (at, last, since, kinds), []
+        micros = r.ts.value // 1000
+        young = [i for i, x in enumerate(since) if x > micros - window]
+        since, kinds = [*(since[i] for i in young), micros], [*(kinds[i] for i in young), r.severity]
+        return (at, at, since, kinds), [(getattr(r, key), r.ts, r.severity, "raised", r.ts)]
+
+    def deadline(state: tuple) -> int | None:
+        return state[0] + quiet * 60_000 if len(state[2]) else None
+
+    def expire(name: tuple, state: tuple) -> tuple[tuple, list[tuple]]:
+        due = deadline(state)
+        out = [(*name, pd.Timestamp(due, unit="ms"), kind, "resolved", pd.Timestamp(x, unit="us")) for x, kind in zip(state[2], state[3]) if x > due * 1000 - window]
+        return (state[0], state[1], [], []), out
+
+    return Rule(key, ("ts", "id"), "seen long, last long, since array<long>, kinds array<string>", (-1, -1, [], []), f"{key} string, ts timestamp, severity string, change string, raised timestamp", step, deadline, expire)
+
+
 def debounce(seconds: int, urgent: int = 3, key: str = "source") -> Rule:
     """A wake passes if none of its key passed within `seconds`; priorities from `urgent` always pass."""
 
