@@ -155,7 +155,6 @@ def test_similar_names_lose_no_pair(spark):
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None)], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], round(r["similarity"], 4)) for r in vectors.search(v, [2.0, 0.0], 5).collect()] == [(1, 1.0), (2, 0.7071)]
-    assert vectors.unique_labels([{"x": 1.0}, {"x": 0.9, "y": 0.5}], {"fast": {"x": 1.0}, "calm": {"y": 1.0}}) == {0: "fast", 1: "calm"}
     s = vectors.min_max(spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double"), ["a", "b"]).collect()
     assert [tuple(r) for r in s] == [(0.0, 0.0), (1.0, 0.0)]
 

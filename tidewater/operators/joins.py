@@ -36,12 +36,6 @@ def day_index(series: DataFrame, date: str) -> DataFrame:
     return days.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(date)))
 
 
-def inside_intervals(points: DataFrame, intervals: DataFrame, date: str, begin: str, end: str, id_: str) -> DataFrame:
-    """Points joined to the intervals that hold their date, by an equi-join on the days of the intervals."""
-    days = intervals.select(id_, F.explode(F.sequence(begin, end)).alias(date))
-    return points.join(days, date)
-
-
 def around_events(series: DataFrame, events: DataFrame, date: str, event_date: str, days: int) -> DataFrame:
     """Series rows within `days` days of an event, with offset (0 on the day), by an equi-join on the exploded days."""
     spread = events.withColumn("offset", F.explode(F.array(*map(F.lit, range(-days, days + 1))))).withColumn(date, F.expr(f"date_add({event_date}, `offset`)"))

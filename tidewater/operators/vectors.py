@@ -68,26 +68,6 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
     return out.select("vec_id", "topic", gap.alias("distance"))
 
 
-def two_level(vectors: DataFrame, k: int, least: int = 50, seed: int = 1) -> DataFrame:
-    """vec_id, topic, subtopic (-1 where the topic is too small), distance. Topics of more than `least` members split into
-    max(3, min(12, n / 200)) unless they have fewer than twice as many members. There are k topics, so the loop is short."""
-    top = kmeans(vectors, k, seed)
-    sizes = {r["topic"]: r["count"] for r in top.groupBy("topic").count().collect()}
-    out = []
-    for topic, n in sorted(sizes.items()):
-        mine = top.filter(F.col("topic") == topic)
-        sub = max(3, min(12, n // 200))
-        if n > least and n >= 2 * sub:
-            inner = kmeans(vectors.join(mine.select("vec_id"), "vec_id", "left_semi"), sub, seed).select("vec_id", F.col("topic").alias("subtopic"))
-            out.append(mine.join(inner, "vec_id").select("vec_id", "topic", "subtopic", "distance"))
-        else:
-            out.append(mine.select("vec_id", "topic", F.lit(-1).alias("subtopic"), "distance"))
-    result = out[0]
-    for df in out[1:]:
-        result = result.unionByName(df)
-    return result
-
-
 def nearest_members(assigned: DataFrame, k: int = 15) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("topic").orderBy("distance", "vec_id"))
     return assigned.withColumn("place", place).filter(F.col("place") <= k)
@@ -99,16 +79,6 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.join(F.broadcast(s)).withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.lit(0.0)) for c in columns}).drop(*s.columns)
 
 
-def unique_labels(centres: list[dict[str, float]], labels: dict[str, dict[str, float]]) -> dict[int, str]:
-    """Greedy: the highest score of any free (centre, label) first; labels weigh features. For a handful of centres."""
-    scores = sorted(((sum(w * c.get(f, 0.0) for f, w in ws.items()), -i, name) for i, c in enumerate(centres) for name, ws in labels.items()), reverse=True)
-    out: dict[int, str] = {}
-    for _, i, name in scores:
-        if -i not in out and name not in out.values():
-            out[-i] = name
-    return out
-
-
 def containing(rows: DataFrame, columns: list[str], text: str, order: list[Column], limit: int) -> DataFrame:
     """Rows one of whose columns holds the text in any case, in the given order: the search without an embedding."""
     hit = F.lower(F.lit(text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.operators import network, vectors
+from tidewater.operators import network, topics, vectors
 from tidewater.plans.base import Registry, table
 from tidewater.session import ensure_checkpoint_dir
 
@@ -110,7 +110,7 @@ def chunk_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_r.add("kmeans_two_level")
 def kmeans_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.two_level(table(spark, sf_dir, "embeddings"), 5).withColumn("distance", F.round("distance", 6))
+    return topics.two_level(table(spark, sf_dir, "embeddings"), 5).withColumn("distance", F.round("distance", 6))
 
 
 @_r.add("nearest_to_centroid")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import similarity
-from tidewater.operators import joins
+from tidewater.operators import intervals, joins
 from tidewater.plans.base import Registry, grams_sql, jaccard_sql, name_similarity_sql, table
 
 _r = Registry()
@@ -124,9 +124,10 @@ def interval_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = table(spark, sf_dir, "orders").select("o_orderkey", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 25).cast("int")).alias("b"))
     span = span.withColumn("e", F.date_add("b", 3))
     daily = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("date"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    n = joins.inside_intervals(daily, span, "date", "b", "e", "o_orderkey").groupBy("o_orderkey", "event_type").agg(F.sum("n").alias("n"))
-    top = n.groupBy("o_orderkey").agg(F.sum("n").alias("total"), F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "event_type"))), lambda s: s["event_type"]), 1, 5), ",").alias("top5"))
-    return span.select("o_orderkey").join(top, "o_orderkey", "left").select("o_orderkey", F.coalesce("total", F.lit(0)).alias("total"), "top5")
+    n = intervals.sums_within(daily, span, "b", "e", ["event_type"], ["n"])
+    bounds = ["begins", "ends"]
+    figures = n.groupBy(*bounds).agg(F.sum("n").alias("total")).join(intervals.top(n, bounds, "event_type", "n", 5, "top5"), bounds)
+    return intervals.read_back(span, "b", "e", figures).select("o_orderkey", F.coalesce("total", F.lit(0)).alias("total"), F.array_join("top5", ",").alias("top5"))
 
 
 @_r.add(
