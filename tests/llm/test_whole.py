@@ -47,13 +47,13 @@ PAGES = "page_id long, url string, html string"
 
 def test_one_off_blocks_stay_and_boilerplate_goes(spark):
     def page(host: str, i: int, extra: str = "") -> tuple:
-        return i, f"http://{host}/{i}", f"<body><div class=box><p>Printed with care by us</p>{extra}<p>{words(60, i)}</p><p>{words(50, 500 + i)}</p></div></body>"
+        return i, f"http://{host}/{i}", f"<body><div class=box><p class=imprint>Printed with care by us</p>{extra}<p>{words(60, i)}</p><p>{words(50, 500 + i)}</p></div></body>"
 
     once = "<h2>Only here</h2><blockquote>A single quote of this page</blockquote>"
     rows = [page("large.net", i, once if i == 3 else "") for i in range(8)] + [page("small.net", 100 + i) for i in range(4)] + [page("pair.net", 200 + i) for i in range(2)]
     out = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, PAGES)).collect()}
     assert out[3] == f"Only here\nA single quote of this page\n{words(60, 3)}\n{words(50, 503)}"
-    assert out[100] == f"{words(60, 100)}\n{words(50, 600)}" and out[200].startswith("Printed with care")
+    assert out[100] == f"{words(60, 100)}\n{words(50, 600)}" and out[200] == f"{words(60, 200)}\n{words(50, 700)}"
     joined = html_text.main_text(spark.createDataFrame(rows, PAGES), most_broadcast=0, most_bytes=0)
     assert {r["page_id"]: r["text"] for r in joined.collect()} == out
 
@@ -62,6 +62,6 @@ def test_many_templates_hide_no_boilerplate(spark):
     """The first page alone has 1,200 nodes; the others' template comes after it."""
     names = ["".join("abcdefghij"[int(d)] for d in str(k)) for k in range(1000, 1400)]
     rows = [(0, "http://many.net/0", "<body>" + "".join(f"<div class={n}>{n} text</div>" for n in names) + "</body>")]
-    rows += [(i, f"http://many.net/{i}", f"<body><section class=story><p>Printed with care by us</p><p>{words(2000, i)}</p></section></body>") for i in range(1, 7)]
+    rows += [(i, f"http://many.net/{i}", f"<body><section class=story><p class=imprint>Printed with care by us</p><p>{words(2000, i)}</p></section></body>") for i in range(1, 7)]
     out = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, PAGES).coalesce(1)).collect()}
     assert all(out[i] == words(2000, i) for i in range(1, 7)) and len(out[0].splitlines()) == 400

@@ -6,11 +6,16 @@
 2. The shapes of a host are aligned one after the other into its wrapper. Lists of children are aligned by label and
    likeness; what both have is merged, texts that differ become slots, a child that occurs on one side only becomes
    optional, or joins a neighbour of its kind as a repeated group. Hosts with many shapes are merged in rounds.
-3. Each place of a shape has a slot of the wrapper. A text that several and most pages of the host show in one slot is
-   boilerplate. The container of the wrapper with most of the other text is the region of the articles.
-4. A page's text is that of its blocks in slots of the region, without boilerplate, without elements that by their name
-   are no text, and without containers whose class says so and that the wrapper shows to be part of the template (on
-   several pages, if the host has several, and on a fifth of them).
+3. Each place of a shape has a slot of the wrapper. A text that several and most pages of the host show in one slot counts
+   as fixed. The container of the wrapper with most of the other text is the region of the articles.
+4. A page's text is that of its blocks in slots of the region, without elements that by their name are no text, without what
+   the slots show to be boilerplate (a container within the region, or a block with a name of its own that is no heading, of
+   whose text nine tenths are fixed; a paragraph among the article's own is none, however often it is repeated, and nothing is
+   where all the region is fixed, as in copies of one page), and without containers whose class says so.
+
+Names of the template (navigation, adverts, reader comments) tell by themselves, unless the container holds the title or main
+part. Names that articles use too (discussion, response, related, search, notice, promotion) tell where the container doesn't
+read like a section: a heading and paragraphs of its own, not links, with half of its text. Both hold for every number of pages.
 
 A page without its host's region has a region of its own by the same rule over its tree, weighted by its slots.
 
@@ -45,20 +50,25 @@ _CLOSES = {
     "p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"]),
 }
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
-#: Parts of class and role names of containers that say, where the wrapper agrees, that they aren't the article.
-_HINTS = frozenset(
-    "nav navbar navigation menu menubar masthead topbar footer contentinfo sidebar aside complementary ad ads adv advert adverts advertisement adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login comment comments commentlist discussion respond response responses reply replies feedback disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager popup modal overlay dialog search toolbar widget skip hidden".split()
+#: Parts of class and role names of containers that say that they aren't the article; and those that say so unless the container reads like a section.
+_HINTS = frozenset("nav navbar navigation menubar masthead topbar footer contentinfo sidebar aside ad ads adv advert adverts advertisement adsense cookie gdpr newsletter subscribe signup login comment comments commentlist disqus breadcrumb breadcrumbs pagination pager popup modal overlay toolbar widget".split())
+_DOUBTS = frozenset(
+    "menu complementary banner promo promotion sponsor sponsored cookies consent notice notices notification alert subscription discussion respond response responses reply replies feedback share sharing social related recommended dialog search skip hidden".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MAIN = frozenset(["article", "main"])
 #: Parts of a flow.
 _FLOW = frozenset("# p li h1 h2 h3 h4 h5 h6 pre blockquote td th dd dt dl ul ol table thead tbody tfoot tr caption figure figcaption hr address details summary".split())
-#: A text is boilerplate if so many pages of the host, and more than half of them, show it at the same place.
-_SEVERAL = 3
+#: A text is fixed if so many pages of the host, and more than half of them, show it at the same place.
+_SEVERAL = 2
+#: A slot or container is boilerplate if this share of its text is fixed.
+_FIXED = 0.9
 
 _TAG = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?")
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
+_SVG = re.compile(r"<(/?)svg\b((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.I)
 #: Elements whose names aren't read.
 _TEXT_TAGS = frozenset("html body article main p h1 h2 h3 h4 h5 h6 li pre blockquote td th dd dt".split())
 
@@ -68,9 +78,9 @@ _DEPTH, _WIDE, _LABELS, _NODES = 100, 64, 256, 4000
 _OF_A_KIND = 0.75
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The tag with its class and id (without digits); whether it is no text; whether its class says that it isn't the article."""
-    names, skipped, named = [], tag in _NOT_TEXT, False
+def _label(tag: str, attributes: str) -> tuple[str, bool, int]:
+    """The tag with its class and id (without digits); whether it is no text; whether its class says that it isn't the article (2), or may (1)."""
+    names, skipped, named = [], tag in _NOT_TEXT, 0
     if attributes:
         for m in _ATTR.finditer(attributes):
             kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -79,16 +89,62 @@ def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
                 continue
             if kind != "id" and tag not in _TEXT_TAGS:
                 parts = {w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", value) if w}
-                named |= bool(parts & _HINTS)
+                named = max(named, 2 if parts & _HINTS else int(bool(parts & _DOUBTS)))
             words = _NAME.findall(value)
             if words and kind != "role":
                 names.append(".".join(w.lower() for w in words[:4]))
     return (tag + "." + ".".join(names) if names else tag), skipped, named
 
 
+def _svg_end(html: str, at: int) -> int | None:
+    """Where the svg that was opened before `at` ends."""
+    depth = 1
+    for m in _SVG.finditer(html, at):
+        if m[1]:
+            depth -= 1
+        elif not m[2].rstrip().endswith("/"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return None
+
+
+def _sections(events: list[tuple]) -> list[tuple]:
+    """Events without the doubts about containers that hold the page's title or main part, and those (1) about containers that read like a section of an article."""
+    open_: list[list] = []  # [place, tag, of flow, chars, chars of paragraphs' own words, heading, main part]
+    kept: set[int] = set()
+    for i, e in enumerate(events):
+        if e[0] == "<":
+            tag = e[1].partition(".")[0]
+            open_.append([i, tag, tag in _FLOW, 0, 0, False, tag in ("h1", "main") or tag == "article" and not e[3]])
+        elif e[0] == ">":
+            at, _, flow, chars, own, headed, main = open_.pop()
+            if main or events[at][3] == 1 and headed and own and 2 * own >= chars:
+                kept.add(at)
+            if open_:
+                open_[-1][3] += chars
+                open_[-1][6] |= main
+                if flow:
+                    open_[-1][4] += own
+                    open_[-1][5] |= headed
+        elif open_:
+            top = open_[-1]
+            top[3] += len(e[1])
+            if any(x[1] in _HEADINGS for x in open_[-2:]):
+                top[5] = True
+            elif top[2] and top[1] not in ("li", "td", "th"):
+                top[4] += max(0, len(e[1]) - e[2])
+    return [(*e[:3], bool(e[3]) and i not in kept) if e[0] == "<" else e for i, e in enumerate(events)]
+
+
 def stream(html: str) -> list[tuple]:
-    """Well-nested events: ('<', label, skipped, named), ('>',), ('#', text). Text is decoded, with single spaces."""
+    """Well-nested events: ('<', label, skipped, named), ('>',), ('#', text, characters within links). Text is decoded, with single spaces.
+
+    Scripts and styles that aren't closed hold the rest of the page; other elements whose content is no text, and svg, hold nothing then.
+    """
     events: list[tuple] = []
+    endless: set[str] = set()
+    linked = [False, 0]  # whether a link is open, and the characters within links since the last text
     open_: list[str] = []  # tags of block elements
     inside: Counter = Counter()
     words: list[str] = []
@@ -98,7 +154,8 @@ def stream(html: str) -> list[tuple]:
             text = _SPACE.sub(" ", unescape("".join(words))).strip()
             words.clear()
             if text:
-                events.append(("#", text))
+                events.append(("#", text, min(len(text), linked[1])))
+        linked[:] = [False, 0]
 
     def close(down_to: int) -> None:
         while len(open_) > down_to:
@@ -113,17 +170,27 @@ def stream(html: str) -> list[tuple]:
             break
         if m.start() > at:
             words.append(html[at : m.start()])
+            linked[1] += (m.start() - at) * linked[0]
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if tag in _RAW and not m[1]:
-            end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(html, at)
-            at = end.end() if end else n
+            if tag == "svg" and m[3].rstrip().endswith("/"):
+                continue
+            end = None
+            if tag not in endless:
+                end = _svg_end(html, at) if tag == "svg" else next((x.end() for x in re.compile(rf"</{re.escape(tag)}\s*>?", re.I).finditer(html, at)), None)
+            if end is None and tag not in ("script", "style"):
+                endless.add(tag)  # whatever ends such an element, nothing does from here on
+                continue
+            at = n if end is None else end
             if tag != "svg":
                 flush()
             continue
         if tag in _INLINE:
+            if tag == "a":
+                linked[0] = not m[1]
             if tag in ("br", "img", "wbr"):
                 words.append(" " if tag != "wbr" else "")
             continue
@@ -145,10 +212,10 @@ def stream(html: str) -> list[tuple]:
         inside[tag] += 1
     flush()
     close(0)
-    return events
+    return _sections(events)
 
 
-# --- trees and wrappers: nodes are [label, loose, kids, pages]. Labels begin with '!' for no text and '?' for a doubtful name.
+# --- trees and wrappers: nodes are [label, loose, kids, pages]. Labels begin with '!' for no text and '?' for a name that isn't an article's.
 # The flow '~', its parts and other loose nodes have each label once, in any order and number.
 
 
@@ -385,20 +452,46 @@ def region(root: list, mass: list[float], no_article: set[int]) -> int:
 
 
 def template_parts(root: list) -> set[int]:
-    """Nodes at or under a container of doubtful name that the wrapper shows on several pages."""
+    """Nodes at or under one that is no text, or whose name isn't an article's."""
     out: set[int] = set()
-    todo = [(root, False)]
     number = {id(x): i for i, x in enumerate(numbered(root))}
-    pages = root[3]
+    todo = [(root, False)]
     while todo:
         node, drop = todo.pop()
-        drop = drop or node[0].startswith("!") or node[0].startswith("?") and node[3] >= min(2, pages) and 5 * node[3] >= pages
+        drop = drop or node[0][:1] in ("!", "?")
         if drop:
             out.add(number[id(node)])
         todo += [(x, drop) for x in node[2]]
     return out
 
 
+def boilerplate(root: list, where: int, chars: list[int], fixed: list[float]) -> set[int]:
+    """Slots within the region that are boilerplate, given the text of each and how much of it is fixed."""
+    nodes = numbered(root)
+    number = {id(x): i for i, x in enumerate(nodes)}
+    all_chars, all_fixed = list(chars), list(fixed)
+    for i in range(len(nodes) - 1, -1, -1):
+        for x in nodes[i][2]:
+            all_chars[i] += all_chars[number[id(x)]]
+            all_fixed[i] += all_fixed[number[id(x)]]
+    if all_fixed[where] >= _FIXED * all_chars[where]:
+        return set()
+    out: set[int] = set()
+    todo = [(x, False) for x in nodes[where][2]]
+    while todo:
+        node, drop = todo.pop()
+        i, tag = number[id(node)], _tag(node[0])
+        if tag in _FLOW or node[0] == "~":
+            here = "." in node[0] and tag not in _HEADINGS and chars[i] > 0 and fixed[i] >= _FIXED * chars[i]
+        else:
+            drop = drop or all_chars[i] > 0 and all_fixed[i] >= _FIXED * all_chars[i]
+            here = False
+        if drop or here:
+            out.add(i)
+        todo += [(x, drop) for x in node[2]]
+    return out
+
+
 def end_of(nodes: list[list], at: int) -> int:
     """The number after the last node that the one at `at` holds."""
     return at + len(numbered(nodes[at]))
@@ -499,22 +592,25 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, tree, slots of (slot, mass, chars)) to (host, tree, region, share): share is that of varying text in each slot, in thousandths."""
+    """(host, tree, slots of (slot, mass, chars)) to (host, tree, region, share, fixed): share is that of varying text in each slot, in thousandths; fixed are the slots of boilerplate."""
     for batch in slices(batches, 100):
-        regions, shares = [], []
+        regions, shares, dropped = [], [], []
         for tree, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             root = json.loads(tree)
             n = len(numbered(root))
-            mass, share = [0.0] * n, [1000] * n
+            mass, share, chars, same = [0.0] * n, [1000] * n, [0] * n, [0.0] * n
             for s in found or ():
-                mass[s["slot"]], share[s["slot"]] = s["mass"], max(0, 100 * s["mass"] // max(1, s["chars"]))
+                i = s["slot"]
+                mass[i], share[i] = s["mass"], max(0, 100 * s["mass"] // max(1, s["chars"]))
+                chars[i], same[i] = s["chars"], (10 * s["chars"] - s["mass"]) / 8
             regions.append(region(root, mass, template_parts(root)))
             shares.append(share)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(regions, pa.int32()), pa.array(shares, pa.list_(pa.int32()))], names=["host", "tree", "region", "share"])
+            dropped.append(sorted(boilerplate(root, regions[-1], chars, same)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(regions, pa.int32()), *(pa.array(x, pa.list_(pa.int32())) for x in (shares, dropped))], names=["host", "tree", "region", "share", "fixed"])
 
 
 def host_plans(pages: DataFrame, most_broadcast: int = 50_000) -> DataFrame:
-    """host, tree (the wrapper), region (a node's number), share, fixed (slots and text hashes of its boilerplate)."""
+    """host, tree (the wrapper), region (a node's number), share, fixed (its slots of boilerplate)."""
     host, _ = host_and_path(F.col("url"))
     counted = stored(pages.select(host.alias("host"), "html").mapInArrow(_count, _COUNTED), "counts")
     shapes = stored(counted.filter("leaf is null").groupBy("host", "shape").agg(F.max("tree").alias("tree"), F.sum("pages").alias("pages")), "shapes")
@@ -522,24 +618,23 @@ def host_plans(pages: DataFrame, most_broadcast: int = 50_000) -> DataFrame:
     places = stored(join_checked(shapes.select("host", "shape", "tree"), wrappers.select("host", F.col("tree").alias("wrapper")), ["host"], most_broadcast // 50, "inner").mapInArrow(_place, "host string, shape long, leaf int, slot int"), "places")
     texts = counted.filter("leaf is not null").groupBy("host", "shape", "leaf", "text").agg(F.sum("chars").alias("chars"), F.sum("pages").alias("pages"))
     texts = join_checked(texts, places, ["host", "shape", "leaf"], most_broadcast, "inner").groupBy("host", "slot", "text").agg(F.sum("chars").alias("chars"), F.sum("pages").alias("pages"))
-    texts = stored(join_checked(texts, wrappers.select("host", F.col("pages").alias("of")), ["host"], most_broadcast, "inner").withColumn("fixed", (F.col("pages") >= _SEVERAL) & (2 * F.col("pages") > F.col("of"))), "texts")
+    texts = join_checked(texts, wrappers.select("host", F.col("pages").alias("of")), ["host"], most_broadcast, "inner").withColumn("fixed", (F.col("pages") >= _SEVERAL) & (2 * F.col("pages") > F.col("of")))
     # Weights of 10 and 2, so that sums are whole numbers.
     mass = texts.groupBy("host", "slot").agg(F.sum(F.col("chars") * F.when(F.col("fixed"), 2).otherwise(10)).alias("mass"), F.sum("chars").alias("chars"))
     mass = mass.groupBy("host").agg(F.collect_list(F.struct("slot", "mass", "chars")).alias("slots"))  # as many as nodes of a wrapper
-    chosen = wrappers.join(mass, "host", "left").select("host", "tree", "slots").mapInArrow(_choose, "host string, tree string, region int, share array<int>")
-    fixed = texts.filter("fixed").groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("fixed"))
-    return chosen.join(fixed, "host", "left")
+    return wrappers.join(mass, "host", "left").select("host", "tree", "slots").mapInArrow(_choose, "host string, tree string, region int, share array<int>, fixed array<int>")
 
 
 class Host:
     """What a host's pages are read by."""
 
-    def __init__(self, tree: str, where: int, share: list[int], fixed: list[dict] | None):
+    def __init__(self, tree: str, where: int, share: list[int], fixed: list[int]):
         self.wrapper = json.loads(tree)
         self.nodes = numbered(self.wrapper)
         self.inside = range(where, end_of(self.nodes, where))
-        self.share, self.fixed = share, {(x["slot"], x["text"]) for x in fixed or ()}
-        self.dropped = template_parts(self.wrapper)
+        self.share = share
+        self.named = template_parts(self.wrapper)
+        self.dropped = self.named | set(fixed)
         self.known: dict[int, list[int]] = {}
 
     def read(self, html: str) -> str:
@@ -558,17 +653,16 @@ class Host:
             keep = [slot[number[id(node)]] in self.inside for node, _ in texts]
         else:
             mass = [0.0] * len(nodes)
-            out = {i for i, s in enumerate(slot) if s in self.dropped}
+            out = {i for i, s in enumerate(slot) if s in self.named}
             for node, text in texts:
                 i = number[id(node)]
-                mass[i] += len(text) * (0.2 if (slot[i], _hash(text)) in self.fixed else self.share[slot[i]] / 1000)
+                mass[i] += len(text) * self.share[slot[i]] / 1000
             where = region(root, mass, out)
             mine = range(where, end_of(nodes, where))
             keep = [number[id(node)] in mine for node, _ in texts]
         blocks = []
         for (node, text), ours in zip(texts, keep, strict=True):
-            s = slot[number[id(node)]]
-            if ours and s not in self.dropped and not (self.fixed and (s, _hash(text)) in self.fixed):
+            if ours and slot[number[id(node)]] not in self.dropped:
                 blocks.append(text)
         return "\n".join(blocks)
 
@@ -605,8 +699,8 @@ def main_text(pages: DataFrame, most_broadcast: int = 50_000, most_bytes: int =
     plans = stored(host_plans(pages, most_broadcast), "plans")
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    bulk = plans.agg(F.coalesce(F.sum(F.octet_length("tree") + 4 * F.size("share") + 16 * F.coalesce(F.size("fixed"), F.lit(0))), F.lit(0))).first()[0]
+    bulk = plans.agg(F.coalesce(F.sum(F.octet_length("tree") + 4 * F.size("share") + 4 * F.size("fixed")), F.lit(0))).first()[0]
     if bulk <= most_bytes:
-        known = {r["host"]: (r["tree"], r["region"], r["share"], [x.asDict() for x in r["fixed"] or ()]) for r in plans.collect()}
+        known = {r["host"]: (r["tree"], r["region"], r["share"], r["fixed"]) for r in plans.collect()}
         return rows.mapInArrow(_read(pages.sparkSession.sparkContext.broadcast(known)), _READ)
     return rows.join(plans.hint("merge"), "host").select("page_id", "url", "html", "host", "tree", "region", "share", "fixed").mapInArrow(_read(None), _READ)
