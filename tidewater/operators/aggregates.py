@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators import pairs
+
 
 def ordered_values(value: Column, order: list[Column]) -> Column:
     """Aggregate: values as an array in the given order."""
@@ -41,15 +43,13 @@ def duplicates(df: DataFrame, keys: list[str], id_: str) -> DataFrame:
 def co_members(df: DataFrame, group: str, member: str, ts: str, most_members: int | None = None) -> DataFrame:
     """a < b, together, first_seen, last_seen: pairs of members of the same group.
 
-    Members meet by a join on the group, whose cost is the square of its size; groups of more than most_members (if
-    given) are left out, as a group of everyone says nothing about pairs.
+    Large groups are cut into parts that meet two by two; groups of more than most_members (if given) are left out, as a
+    group of everyone says nothing about pairs.
     """
     rows = df.groupBy(group, member).agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
     if most_members:
         rows = rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(group))).filter(F.col("size") <= most_members).drop("size")
-    a = rows.select(group, F.col(member).alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    pairs = a.join(rows.select(group, F.col(member).alias("b")), group).filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"), F.to_date(F.min("lo_a")).alias("first_seen"), F.to_date(F.max("hi_a")).alias("last_seen"))
+    return pairs.within(rows, [group], member, ["lo", "hi"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"), F.to_date(F.min("lo_a")).alias("first_seen"), F.to_date(F.max("hi_a")).alias("last_seen"))
 
 
 def value_profile(df: DataFrame, columns: list[str], most: int) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import similarity
+from tidewater.operators import pairs
 
 
 def near_in_time(df: DataFrame, person: str, ts: str, seconds: int) -> DataFrame:
     """a < b, pairs of rows of different persons at most `seconds` apart, with both times.
 
-    Time is cut into buckets of `seconds`; a row meets its own and the next bucket by an equi-join, so no nested loop.
+    Time is cut into buckets of `seconds`; a row meets its own and the next bucket by an equi-join, so no nested loop. Buckets of many rows are cut into parts.
     """
     t = F.unix_timestamp(F.col(ts).cast("timestamp"))
     rows = df.select(F.col(person).alias("p"), t.alias("t"), F.floor(t / seconds).alias("bucket"))
@@ -21,8 +22,8 @@ def near_in_time(df: DataFrame, person: str, ts: str, seconds: int) -> DataFrame
     right = rows.select(F.col("p").alias("p2"), F.col("t").alias("t2"), "bucket")
     # In the same bucket each unordered pair comes twice: keep the one in order of time, then of person.
     same = (F.floor(F.col("t1") / seconds) < F.col("bucket")) | (F.struct("t1", "p1") < F.struct("t2", "p2"))
-    pairs = left.join(right, "bucket").filter(same & (F.col("p1") != F.col("p2")) & (F.abs(F.col("t1") - F.col("t2")) <= seconds))
-    return pairs.select(F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b"), "t1", "t2")
+    met = pairs.between(left, right, ["bucket"]).filter(same & (F.col("p1") != F.col("p2")) & (F.abs(F.col("t1") - F.col("t2")) <= seconds))
+    return met.select(F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b"), "t1", "t2")
 
 
 def with_lags(series: DataFrame, date: str, value: str, keys: Sequence[str], lags: Sequence[int]) -> DataFrame:

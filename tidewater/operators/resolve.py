@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import identifiers, similarity
-from tidewater.operators import folds, joins
+from tidewater.operators import folds, joins, pairs
 
 
 def staged_match(records: DataFrame, entities: DataFrame, stages: list[str], id_: str = "record_id", entity: str = "entity_id") -> DataFrame:
@@ -43,9 +43,10 @@ def contact_pairs(contacts: DataFrame, most_shared: int | None = None) -> DataFr
     if most_shared:
         few = keyed.groupBy("phone").agg(F.count_distinct("id").alias("n")).filter(F.col("n") <= most_shared)
         keyed = keyed.join(few.select("phone"), "phone", "left_semi")
-    a, b = (keyed.select("phone", F.col("id").alias(x), F.col("name").alias(f"n{x}"), F.col("email").alias(f"m{x}")) for x in "ab")
-    hits = a.join(b, "phone").filter("a < b").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.bool_or(F.coalesce((F.col("ma") == F.col("mb")) & (F.col("ma") != ""), F.lit(False))).alias("email"))
-    score = 0.5 + 0.3 * F.col("email").cast("int") + 0.2 * similarity.edit_similarity(F.col("na"), F.col("nb"))
+    met = pairs.within(keyed, ["phone"], "id", ["name", "email"])
+    same = F.coalesce((F.col("email_a") == F.col("email_b")) & (F.col("email_a") != ""), F.lit(False))
+    hits = met.groupBy("a", "b").agg(F.first("name_a").alias("name_a"), F.first("name_b").alias("name_b"), F.bool_or(same).alias("email"))
+    score = 0.5 + 0.3 * F.col("email").cast("int") + 0.2 * similarity.edit_similarity(F.col("name_a"), F.col("name_b"))
     s = hits.withColumn("score", score)
     return s.filter("score >= 0.6").select("a", "b", "score", F.when(F.col("score") >= 0.95, "auto").otherwise("review").alias("action"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.operators import network, topics, vectors
+from tidewater.operators import network, pairs, topics, vectors
 from tidewater.plans.base import Registry, table
 from tidewater.session import ensure_checkpoint_dir
 
@@ -205,8 +205,7 @@ _PART_EDGES = "p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS
 
 def _edges(spark: SparkSession, sf_dir: str, member: str = "l_suppkey", least: int = 3) -> DataFrame:
     m = table(spark, sf_dir, "lineitem").select("l_orderkey", member).distinct()
-    a, b = (m.select("l_orderkey", F.col(member).alias(x)) for x in "ab")
-    return a.join(b, "l_orderkey").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("a", "b", (F.col("n") * 3).alias("w"))
+    return pairs.within(m, ["l_orderkey"], member).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("a", "b", (F.col("n") * 3).alias("w"))
 
 
 #: Synchronous rounds: in each, every node takes the label of most weight among its neighbours and itself.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import similarity
-from tidewater.operators import intervals, joins
+from tidewater.operators import intervals, joins, pairs
 from tidewater.plans.base import Registry, grams_sql, jaccard_sql, name_similarity_sql, table
 
 _r = Registry()
@@ -72,8 +72,8 @@ def semi_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_r.add("ordered_pairs", "SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 5")
 def ordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("c"))
-    a, b = (li.select("l_orderkey", F.col("l_suppkey").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    return a.join(b, "l_orderkey").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("n")).filter("n >= 5")
+    met = pairs.within(li, ["l_orderkey"], "l_suppkey", ["c"])
+    return met.groupBy("a", "b").agg(F.sum(F.col("c_a") * F.col("c_b")).alias("n")).filter("n >= 5")
 
 
 @_r.add(
@@ -110,8 +110,7 @@ def top1_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_identifier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     ids = c.select(F.col("c_custkey").alias("id"), F.right(F.regexp_replace("c_name", "[^0-9]", ""), F.lit(3)).alias("key")).union(c.filter("c_acctbal > 9500").select("c_custkey", F.concat("c_mktsegment", "c_nationkey"))).distinct()
-    a, b = (ids.select("key", F.col("id").alias(x)) for x in "ab")
-    return a.join(b, "key").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return pairs.within(ids, ["key"], "id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 @_r.add(
@@ -245,5 +244,4 @@ def name_pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
     names = p.select(F.explode(F.array(F.col("p_name"), first, F.concat(second, F.lit(" "), F.lower("p_type")))).alias("name")).distinct()
     words = names.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
-    a, b = (words.select("word", F.col("name").alias(x)) for x in "ab")
-    return a.join(b, "word").filter("a < b").select("a", "b").distinct().withColumn("sim", F.round(similarity.name_similarity(F.col("a"), F.col("b")), 6))
+    return pairs.within(words, ["word"], "name").select("a", "b").distinct().withColumn("sim", F.round(similarity.name_similarity(F.col("a"), F.col("b")), 6))

@@ -66,16 +66,16 @@ def merged_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_r.add(
     "behaviour_rules",
-    """WITH n AS (SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n FROM events WHERE event_type = 'view' AND extract(hour FROM ts) < 5 GROUP BY 1, 2 HAVING count(*) >= 2), d AS (SELECT CAST(ts AS DATE) AS date, user_id, sum(value) AS s FROM events WHERE user_id < 40 GROUP BY 1, 2),
-    a AS (SELECT *, avg(s) OVER (PARTITION BY user_id ORDER BY date RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS m FROM d) SELECT user_id, date, 'late_night' AS rule, n::DOUBLE AS actual, NULL::DOUBLE AS expected FROM n UNION ALL SELECT user_id, date, 'spike', round(s, 4), round(m, 4) FROM a WHERE m > 0 AND s > 2 * m""",
+    """WITH n AS (SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n FROM events WHERE event_type = 'view' AND extract(hour FROM ts) < 5 GROUP BY 1, 2 HAVING count(*) >= 2), d AS (SELECT CAST(ts AS DATE) AS date, user_id, sum(value) AS s FROM events GROUP BY 1, 2),
+    a AS (SELECT *, avg(s) OVER (PARTITION BY user_id ORDER BY date RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS m FROM d) SELECT user_id, date, 'late_night' AS rule, n::DOUBLE AS actual, NULL::DOUBLE AS expected FROM n UNION ALL SELECT user_id, date, 'spike', round(s, 6), round(m, 6) FROM a WHERE m > 0 AND s > 2 * m""",
 )
 def behaviour_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules beyond scores: much activity at night, and days of over twice the mean of the 30 days before."""
     e = table(spark, sf_dir, "events")
     night = e.filter((F.col("event_type") == "view") & (F.hour("ts") < 5)).groupBy("user_id", F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     night = night.select("user_id", "date", F.lit("late_night").alias("rule"), F.col("n").cast("double").alias("actual"), F.lit(None).cast("double").alias("expected"))
-    daily = e.filter("user_id < 40").groupBy("user_id", F.to_date("ts").alias("date")).agg(F.sum("value").alias("value"))
-    spikes = statistics.spikes(daily, ["user_id"]).select("user_id", "date", F.lit("spike"), F.round("value", 4), F.round("mean", 4))
+    daily = e.groupBy("user_id", F.to_date("ts").alias("date")).agg(F.sum("value").alias("value"))
+    spikes = statistics.spikes(daily, ["user_id"]).select("user_id", "date", F.lit("spike"), F.round("value", 6), F.round("mean", 6))
     return night.union(spikes)
 
 
@@ -89,12 +89,20 @@ def resolved_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.resolved(a, F.lit("2024-01-31").cast("date"), 3)
 
 
-@_r.add("zone_parts", "SELECT event_id, CAST(ts - INTERVAL 5 HOUR AS DATE) AS day, CAST(extract(hour FROM ts - INTERVAL 5 HOUR) AS INT) AS hour FROM events WHERE ts BETWEEN TIMESTAMP '2023-11-06 00:00:00' AND TIMESTAMP '2024-03-09 00:00:00'")
+#: From 1987 to 2006 New York was four hours behind from 2 o'clock on the first Sunday of April to 2 o'clock on the last Sunday of October, else five.
+_SUMMER = "t >= make_date(y, 4, 1) + CAST((7 - dayofweek(make_date(y, 4, 1))) % 7 AS INT) + INTERVAL 7 HOUR AND t < make_date(y, 10, 31) - CAST(dayofweek(make_date(y, 10, 31)) AS INT) + INTERVAL 6 HOUR"
+
+
+@_r.add(
+    "zone_parts",
+    f"""WITH o AS (SELECT o_orderkey, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 24) AS t, extract(year FROM o_orderdate) AS y FROM orders), z AS (SELECT o_orderkey, t - INTERVAL 1 HOUR * CASE WHEN {_SUMMER} THEN 4 ELSE 5 END AS l FROM o)
+    SELECT o_orderkey, CAST(l AS DATE) AS day, CAST(extract(hour FROM l) AS INT) AS hour FROM z""",
+)
 def zone_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day and hour where a person lives, of times in UTC."""
-    local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("ts"))
-    e = table(spark, sf_dir, "events").filter("ts between timestamp_ntz'2023-11-06 00:00:00' and timestamp_ntz'2024-03-09 00:00:00'")
-    return e.select("event_id", F.to_date(local).alias("day"), F.hour(local).alias("hour"))
+    """Day and hour where a person lives, of times in UTC, over seven years of summer times."""
+    at = F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), at)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.to_date(local).alias("day"), F.hour(local).alias("hour"))
 
 
 @_r.add("on_this_day", "SELECT CAST(extract(year FROM o_orderdate) AS INT) AS year, count(*) AS orders, round(max(o_totalprice), 2) AS largest FROM orders WHERE extract(month FROM o_orderdate) = 3 AND extract(day FROM o_orderdate) = 14 AND extract(year FROM o_orderdate) < 2001 GROUP BY 1 ORDER BY 1 DESC LIMIT 5")

@@ -49,10 +49,10 @@ def guarded_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("source", "([0-9]+)$", 1).try_cast("long").alias("number"), F.when(F.col("source").rlike("^src[0-9]$"), F.right("source", F.lit(1)).cast("long")).alias("digit"))
 
 
-@_r.add("json_extraction", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, props->>'$.missing' IS NOT NULL AS has_missing FROM events WHERE props->>'$.k' IS NOT NULL AND CAST(props->>'$.k' AS BIGINT) % 7 = 0")
+@_r.add("json_extraction", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, props->>'$.missing' IS NOT NULL AS has_missing FROM events WHERE props->>'$.k' IS NOT NULL")
 def json_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").try_cast("long")
-    return table(spark, sf_dir, "events").filter(k.isNotNull() & (k % 7 == 0)).select("event_id", k.alias("k"), F.get_json_object("props", "$.missing").isNotNull().alias("has_missing"))
+    return table(spark, sf_dir, "events").filter(k.isNotNull()).select("event_id", k.alias("k"), F.get_json_object("props", "$.missing").isNotNull().alias("has_missing"))
 
 
 @_r.add("null_safe_match", "SELECT a.c_nationkey AS nation, count(*) AS n FROM (SELECT nullif(c_nationkey, 3) AS c_nationkey FROM customer) a JOIN (SELECT DISTINCT nullif(s_nationkey, 3) AS k FROM supplier) b ON a.c_nationkey IS NOT DISTINCT FROM b.k GROUP BY 1")
@@ -191,9 +191,9 @@ def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter("value is not null").select("event_id", stats.js_round(v).alias("js"), F.round(F.greatest(v, F.lit(50.0)), 6).alias("g"), F.round(F.sqrt(F.abs(v - 50)) + F.pow(v / 100, 2), 6).alias("m"), F.round(F.degrees(F.asin(F.least(F.lit(1.0), v / 100))), 6).alias("a"))
 
 
-@_r.add("daylight", "WITH d AS (SELECT CAST(range AS DATE) AS date FROM range(DATE '2024-01-01', DATE '2025-01-01', INTERVAL 1 DAY)), r AS (SELECT date, radians(23.45 * sin(radians(360 / 365 * (extract(doy FROM date) + 284)))) AS decl FROM d) SELECT date, round(2 * degrees(acos(greatest(-1.0, least(1.0, -tan(radians(40.7)) * tan(decl))))) / 15, 5) AS hours FROM r")
+@_r.add("daylight", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders), r AS (SELECT date, radians(23.45 * sin(radians(360 / 365 * (extract(doy FROM date) + 284)))) AS decl FROM d) SELECT date, round(2 * degrees(acos(greatest(-1.0, least(1.0, -tan(radians(40.7)) * tan(decl))))) / 15, 5) AS hours FROM r")
 def daylight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.range(1).select(F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-12-31").cast("date"))).alias("date"))
+    d = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
     return d.select("date", F.round(stats.daylight_hours(F.dayofyear("date"), F.lit(40.7)), 5).alias("hours"))
 
 

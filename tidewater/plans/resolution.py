@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import similarity
-from tidewater.operators import resolve
+from tidewater.operators import pairs, resolve
 from tidewater.plans.base import Registry, grams_sql, jaccard_sql, name_similarity_sql, table
 
 _r = Registry()
@@ -163,7 +163,7 @@ def trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names against kinds, of those that share a trigram (all others score 0)."""
     p = table(spark, sf_dir, "part")
     x, y = p.select(F.col("p_name").alias("a")).distinct(), p.select(F.concat_ws(" ", "p_brand", "p_type").alias("b")).distinct()
-    met = x.select("a", F.explode(similarity.trigrams(F.col("a"))).alias("g")).join(y.select("b", F.explode(similarity.trigrams(F.col("b"))).alias("g")), "g").select("a", "b").distinct()
+    met = pairs.between(x.select("a", F.explode(similarity.trigrams(F.col("a"))).alias("g")), y.select("b", F.explode(similarity.trigrams(F.col("b"))).alias("g")), ["g"]).select("a", "b").distinct()
     return met.select("a", "b", F.round(similarity.trigram_similarity(F.col("a"), F.col("b")), 6).alias("sim"))
 
 

@@ -242,9 +242,9 @@ def timeline_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     "life_transitions",
     """WITH e AS (SELECT CAST(ts AS DATE) AS at, user_id, event_type, value, CAST(ts AS DATE) >= DATE '2024-01-21' AS now, CAST(ts AS DATE) >= DATE '2024-01-06' AND CAST(ts AS DATE) < DATE '2024-01-21' AS thn, CAST(ts AS DATE) < DATE '2024-01-06' AS ago FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-31'),
     c AS (SELECT count(*) FILTER (WHERE n) AS rt, count(*) FILTER (WHERE n AND NOT t) AS rn, count(*) FILTER (WHERE t) AS bt, count(*) FILTER (WHERE t AND NOT a) AS bn FROM (SELECT user_id, bool_or(now) AS n, bool_or(thn) AS t, bool_or(ago) AS a FROM e WHERE event_type = 'signup' GROUP BY 1)),
-    p AS (SELECT r / b AS q, b FROM (SELECT count(DISTINCT floor(value * 10)) FILTER (WHERE now AND event_type = 'click') AS r, count(DISTINCT floor(value * 10)) FILTER (WHERE thn AND event_type = 'click') AS b FROM e WHERE user_id % 3 = 0)),
+    p AS (SELECT r / b AS q, b FROM (SELECT count(DISTINCT floor(value * 10)) FILTER (WHERE now AND event_type = 'click') AS r, count(DISTINCT floor(value * 10)) FILTER (WHERE thn AND event_type = 'click') AS b FROM e)),
     v AS (SELECT (count(*) FILTER (WHERE now) / 10.0) / (count(*) FILTER (WHERE thn) / 15.0) AS q FROM e WHERE event_type = 'signup'), m AS (SELECT avg(value / 20) FILTER (WHERE now) - avg(value / 20) FILTER (WHERE thn) AS d FROM e WHERE event_type = 'error'),
-    b AS (SELECT (count(*) FILTER (WHERE now AND user_id % 4 = 0) / 10.0) / (count(*) FILTER (WHERE thn AND user_id % 16 = 0) / 15.0) AS q FROM e), w AS (SELECT count(*) AS n FROM (SELECT bool_or(now) AS n, bool_or(thn) AS t FROM e WHERE event_type = 'purchase' GROUP BY user_id, floor(value)) WHERE n AND NOT t),
+    b AS (SELECT (count(*) FILTER (WHERE now) / 10.0) / (count(*) FILTER (WHERE thn) / 15.0) AS q FROM e WHERE event_type IN ('view', 'error')), w AS (SELECT count(*) AS n FROM (SELECT bool_or(now) AS n, bool_or(thn) AS t FROM e WHERE event_type = 'purchase' GROUP BY user_id, floor(value)) WHERE n AND NOT t),
     s AS (SELECT 'contacts' AS test, 'social_shift' AS type, (rn / rt) / greatest(0.01, bn / bt) / 3 AS strength FROM c WHERE rn / rt > 2 * (bn / bt) AND rn >= 3 UNION ALL SELECT 'places', CASE WHEN q > 2 THEN 'relocation' ELSE 'routine_break' END, CASE WHEN q > 2 THEN (q - 1) / 3 ELSE 1 - q END FROM p WHERE q > 2 OR (q < 0.3 AND b >= 5)
     UNION ALL SELECT 'volume', CASE WHEN q > 1 THEN 'social_shift' ELSE 'stress_period' END, abs(q - 1) / 1.5 FROM v WHERE q > 1.5 OR q < 0.5 UNION ALL SELECT 'moods', CASE WHEN d < 0 THEN 'stress_period' ELSE 'social_shift' END, abs(d) / 0.3 FROM m WHERE abs(d) > 0.1
     UNION ALL SELECT 'meetings', 'routine_break', abs(q - 1) / 2 FROM b WHERE q > 1.8 OR q < 0.4 UNION ALL SELECT 'mails', 'career_change', n / 15 FROM w WHERE n >= 5)
@@ -252,12 +252,12 @@ def timeline_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def life_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("at", F.to_date("ts")).filter("at < date'2024-01-31'")
-    kind, user, late = F.col("event_type"), F.col("user_id"), F.col("at") >= F.lit("2024-01-21").cast("date")
+    kind, user = F.col("event_type"), F.col("user_id")
     out = statistics.life_transitions(
         e.filter(kind == "signup").select("at", user.alias("who")),
-        e.filter((kind == "click") & (user % 3 == 0)).select("at", F.floor(F.col("value") * 10).alias("cell")),
+        e.filter(kind == "click").select("at", F.floor(F.col("value") * 10).alias("cell")),
         e.filter(kind == "error").select("at", (F.col("value") / 20).alias("score")),
-        e.filter(F.when(late, user % 4 == 0).otherwise(user % 16 == 0)).select("at"),  # four times as many of late
+        e.filter(kind.isin("view", "error")).select("at"),
         e.filter(kind == "purchase").select("at", F.concat_ws("-", user, F.floor("value")).alias("domain")),
         F.lit("2024-01-31").cast("date"), 10, 15,
     )
