@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of tidewater.plans; each has QUERIES and ORACLE.
-PLANS = ("signatures", "daily", "aggregates", "joined", "windowed", "statistical", "projected", "graphs", "resolution", "merging", "topical", "relations", "upkeep", "watching", "persons", "streams")
+PLANS = ("signatures", "daily", "aggregates", "joined", "windowed", "statistical", "projected", "graphs", "resolution", "merging", "topical", "relations", "upkeep", "watching", "imported", "persons", "streams")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

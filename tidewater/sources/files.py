@@ -31,8 +31,8 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def delimited(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    """CSV or TSV with a header; missing values are ''."""
-    return spark.read.schema(schema).csv(path, header=True, sep=sep).fillna("")
+    """CSV or TSV with a header; quotes within quotes are doubled; missing values are ''."""
+    return spark.read.schema(schema).csv(path, header=True, sep=sep, escape='"').fillna("")
 
 
 def html_blocks(html: Column) -> Column:
