@@ -14,6 +14,27 @@ def test_two_instances_support_a_pattern_in_a_large_corpus(spark):
     assert [(s["kind"], s["start"], s["end"]) for s in out["added_spans"]] == [(3, 15, 26)]
 
 
+def test_unseen_shapes_behind_and_before_what_seeds_taught(spark):
+    rows = [(i, f"{words(20, i)} hotline +1 (555) 555-{1000 + i} extension {words(10, i + 500)}", "en", "a") for i in range(30)]
+    rows += [(100 + i, f"{words(9, i)} hotline {t} {words(9, 60 + i)}", "en", "a") for i, t in enumerate(("0171/23_45-67", "(AB12~3456~78x)", "1234", "abcdef"))]
+    rows += [(110, f"{words(9, 7)} 0049/30/1234567 extension {words(9, 8)}", "en", "a"), (111, f"{words(9, 9)} 0049/30/1234567 zzz {words(9, 10)}", "en", "a")]
+    # What is found teaches in turn: twice behind 'pager', which no seed is behind.
+    rows += [(120 + i, f"{words(9, i)} pager {t} {words(9, 90 + i)}", "en", "a") for i, t in enumerate(("0171/23_45-67", "0049/30/1234567", "0171/23_45-67", "0049/30/1234567", "77~88~99~0"))]
+    for n in (100_000, 0):
+        out = {r["doc_id"]: r["added_spans"] for r in pii.find_spans(docs(spark, rows), most_broadcast=n).collect()}
+        texts = {i: t for i, t, _, _ in rows}
+        got = {i: [(s["kind"], texts[i][s["start"] : s["end"]]) for s in spans] for i, spans in out.items() if spans}
+        assert got == {100: [(3, "0171/23_45-67")], 101: [(3, "AB12~3456~78x")], 110: [(3, "0049/30/1234567")], **{120 + i: [(3, t)] for i, t in enumerate(("0171/23_45-67", "0049/30/1234567", "0171/23_45-67", "0049/30/1234567", "77~88~99~0"))}}
+
+
+def test_strings_of_any_shape():
+    t = 'id="12-34-56", x=1234567890abcdef (99/88/77). 12:30:45 ' + "a" * 300 + "1234567 " + "7" * 65
+    assert [t[s:e] for s, e in pii.any_shapes(t, [])] == ["12-34-56", "1234567890abcdef", "99/88/77"]
+    assert pii.any_shapes(t, [(3, 0, len(t))]) == []
+    for long in ("1/" * 100_000, "a" * 400_000, "a1 " * 100_000, "=" * 300_000):
+        pii.candidates(long, [])
+
+
 def test_joined_patterns_equal_broadcast_ones(spark):
     rows = [(i, f"{words(20, i)} hotline: +1 (555) 555-{1000 + i} {words(10, i + 500)}", "en", "a") for i in range(30)]
     rows += [(100 + i, f"{words(9, 7)} hotline: 555-0199-77 {words(9, 8)} hotline: 555-0199-78", "en", "a") for i in (0, 0, 1)] + [(102, None, None, None), (103, "", "en", "a")]

@@ -1,13 +1,16 @@
 """Personal data: fixed patterns as seeds, and contextual patterns bootstrapped from them.
 
 1. Seeds: the four fixed kinds (email, ip, card, phone), found in whole texts.
-2. Candidates: strings of a looser shape of a kind (a phone without '+', an address without a dot, IPv6, ...).
-3. Contexts: the last word, and the last two words, before a seed or candidate. Each (kind, context) is a pattern.
+2. Candidates: strings of a looser shape of a kind (a phone without '+', an address without a dot, IPv6, ...), and strings of any
+   shape that digits make up for the most part. The latter have no kind of their own: each kind whose patterns reach one
+   claims it, and the surest claim names it.
+3. Contexts: the last word, and the last two words, before a seed or candidate, and the first word after it. Each (kind,
+   context) is a pattern.
 4. A bipartite graph of patterns and instances is scored in rounds. A pattern's confidence is the sum of its
    instances' scores divided by how often its context occurs in the whole corpus (plus a constant), so that frequent
    words never become trusted. An instance's score is the noisy-or of its patterns. Instances that reach the
    threshold support further patterns in the next round.
-5. Candidates behind patterns of high confidence are added as spans.
+5. Candidates that patterns of high confidence reach are added as spans.
 
 Patterns need two supporting instances, whatever the corpus. Up to `most_broadcast` contexts are counted, and patterns
 applied, by a broadcast; beyond it, the same by joins on context, with the same results.
@@ -46,6 +49,8 @@ _LOOSE_NUMBER = re.compile(r"(?<![\w+.])\(?[0-9][0-9 ().-]{5,}[0-9](?!\w)")
 _LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@| ?\(at\) ?| ?\[at\] ?)[A-Za-z0-9-]++(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]++)*+")
 _LOOSE_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _WORDS = re.compile(r"\w+|[:=#]")
+_WITH_DIGIT = re.compile(r"""(?<![^\s"'=:,;|<>])[^\s"'=:,;|<>0-9]*+[0-9][^\s"'=:,;|<>]*+""")
+_EDGES = "`.!?()[]{}*#&%$-"
 
 
 def _luhn(digits: str) -> bool:
@@ -103,6 +108,53 @@ def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+def any_shapes(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of strings without blanks and separators that overlap nothing that is taken: six digits or more, which are half or more of
+    its letters and digits, and 64 of these at most. Marks at the edges don't belong to them."""
+    ordered = sorted((s, e) for _, s, e in taken)
+    begins, ends = [s for s, _ in ordered], list(accumulate((e for _, e in ordered), max))
+    out = []
+    for m in _WITH_DIGIT.finditer(text):
+        run = m[0]
+        s = m.start() + len(run) - len(run.lstrip(_EDGES))
+        e = m.end() - len(run) + len(run.rstrip(_EDGES))
+        signs = [c for c in text[s : min(e, s + 200)] if c.isalnum()]
+        digits = sum(c in "0123456789" for c in signs)
+        if e - s <= 200 and 6 <= digits and len(signs) <= min(64, 2 * digits):
+            before = bisect_left(begins, e)
+            if not before or ends[before - 1] <= s:
+                out.append((s, e))
+    return out
+
+
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of all that patterns may reach; one of any shape comes once for each kind of digits.
+
+    Of those that overlap, only the first and longest counts, so that one string isn't two instances of a pattern.
+    """
+    found = [(s, -e, k, (k,)) for k, s, e in loose_spans(text, taken)] + [(s, -e, len(KINDS), (1, 2, 3)) for s, e in any_shapes(text, taken)]
+    out: list[tuple[int, int, int]] = []
+    for s, e, _, kinds in sorted(found):
+        if not out or out[-1][2] <= s:
+            out += [(k, s, -e) for k in kinds]
+    return out
+
+
+def all_contexts(text: str, start: int, end: int) -> tuple[str, str, str]:
+    """Those before start, and the word after end behind a '>' ('^' where there is none)."""
+    m = _WORDS.search(text, end)
+    return *contexts(text, start), f">{m[0].lower()}" if m else "^"
+
+
+def _apart(found: list[tuple[int, int, float, int]]) -> list[tuple[int, int, int]]:
+    """(start, -end, doubt, kind) of candidates to (kind, start, end): the surest kind of each."""
+    out: list[tuple[int, int, int]] = []
+    for s, e, _, kind in sorted(found):
+        if not out or out[-1][2] <= s:
+            out.append((kind, s, -e))
+    return out
+
+
 def contexts(text: str, start: int) -> tuple[str, str]:
     """The last word, and the last two words, before start ('^' where there are none)."""
     width = 64
@@ -124,10 +176,10 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not _ANY.search(text):
                 continue
             seeds = base_spans(text)
-            for spans, seed in ((seeds, True), (loose_spans(text, seeds), False)):
+            for spans, seed in ((seeds, True), (candidates(text, seeds), False)):
                 for kind, s, e in spans:
                     inst = xxhash.xxh3_64_intdigest(text[s:e].encode()) - (1 << 63)
-                    rows += [(kind, c, inst, seed) for c in contexts(text, s)]
+                    rows += [(kind, c, inst, seed) for c in all_contexts(text, s, e)]
         cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.bool_())], names=["kind", "context", "instance", "seed"])
 
@@ -179,8 +231,9 @@ def learn_patterns(docs: DataFrame, trust: float = 0.5, doubt: float = 1.0, roun
     seen = docs.select("text").mapInArrow(_observe, "kind int, context string, instance long, seed boolean")
     edges = stored(seen.groupBy("kind", "context", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("times")), "edges")
     least = 2
-    often = stored(edges.groupBy("kind", "context").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least) & ~F.col("context").startswith("^")).select("context").distinct(), "often")
-    frequent = [r[0] for r in often.limit(most_broadcast + 1).collect()]
+    often = edges.groupBy("kind", "context").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least) & ~F.col("context").startswith("^"))
+    often = stored(often.select("context", F.ltrim("context", F.lit(">")).alias("words")).distinct(), "often")
+    frequent = [r[0] for r in often.select("words").distinct().limit(most_broadcast + 1).collect()]
     empty = spark.createDataFrame([], "kind int, context string, confidence double")
     if not frequent:
         return empty
@@ -190,7 +243,8 @@ def learn_patterns(docs: DataFrame, trust: float = 0.5, doubt: float = 1.0, roun
         counts = texts.mapInArrow(_occurrences(wanted), "context string, n long")
     else:
         counts = texts.mapInArrow(_all_occurrences, "context string, n long")
-    total = stored(counts.groupBy("context").agg(F.sum("n").alias("n")).join(often, "context", "left_semi"), "contexts")
+    total = counts.groupBy(F.col("context").alias("words")).agg(F.sum("n").alias("n"))
+    total = stored(total.join(often, "words").select("context", "n"), "contexts")
     graph = stored(edges.join(total, "context"), "graph")
     scores = graph.select("kind", "instance", F.col("seed").cast("double").alias("score")).distinct()
     scores = scores.groupBy("kind", "instance").agg(F.max("score").alias("score"))
@@ -210,13 +264,13 @@ def _spans(text: str, confidence: dict, trust: float) -> tuple[list[tuple[int, i
         return [], []
     base, added = base_spans(text), []
     if confidence:
-        for kind, s, e in loose_spans(text, base):
+        for kind, s, e in candidates(text, base):
             doubt = 1.0
-            for c in contexts(text, s):
+            for c in all_contexts(text, s, e):
                 doubt *= 1 - confidence.get((kind, c), 0.0)
             if 1 - doubt >= trust:
-                added.append((kind, s, e))
-    return base, added
+                added.append((s, -e, doubt, kind))
+    return base, _apart(added)
 
 
 def _find(trusted, trust: float, at: int):
@@ -243,23 +297,32 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text_key, text) to (text_key, kind, start, end, one, two): candidates and their two contexts."""
-    for batch in batches:
-        rows = [(key, k, s, e, *contexts(text, s)) for key, text in zip(batch.column(0).to_pylist(), as_texts(batch.column(1)), strict=True) if _ANY.search(text) for k, s, e in loose_spans(text, base_spans(text))]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["text_key", "kind", "start", "end", "one", "two"])
+    """(text_key, text) to (text_key, kind, start, end, one, two, next): candidates and their three contexts."""
+    for batch in slices(batches):
+        rows = [(key, k, s, e, *all_contexts(text, s, e)) for key, text in zip(batch.column(0).to_pylist(), as_texts(batch.column(1)), strict=True) if _ANY.search(text) for k, s, e in candidates(text, base_spans(text))]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["text_key", "kind", "start", "end", "one", "two", "next"])
 
 
 def _trusted_spans(docs: DataFrame, patterns: DataFrame, trust: float) -> DataFrame:
     """text_key, trusted: the candidates that patterns reach, one row for each text that has some."""
+    span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            kept = [[{"kind": k, "start": s, "end": e} for k, s, e in _apart([(f["start"], -f["end"], f["doubt"], f["kind"]) for f in found])] for found in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, span)], names=["text_key", "trusted"])
+
     found = docs.select(F.sha2(F.col("text").cast("binary"), 256).alias("text_key"), "text").filter("text is not null")
-    found = found.mapInArrow(_candidates, "text_key string, kind int, start long, end long, one string, two string").dropDuplicates(["text_key", "kind", "start", "end"])
-    for c in ("one", "two"):
+    found = found.mapInArrow(_candidates, "text_key string, kind int, start long, end long, one string, two string, next string").dropDuplicates(["text_key", "kind", "start", "end"])
+    doubt = F.lit(1.0)
+    for c in ("one", "two", "next"):
         found = found.join(patterns.select("kind", F.col("context").alias(c), F.col("confidence").alias(f"by_{c}")), ["kind", c], "left")
-    doubt = (1 - F.coalesce("by_one", F.lit(0.0))) * (1 - F.coalesce("by_two", F.lit(0.0)))
-    spans = F.array_sort(F.collect_list(F.struct("start", "kind", "end")))
-    return found.filter(1 - doubt >= trust).groupBy("text_key").agg(F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("trusted"))
+        doubt = doubt * (1 - F.coalesce(f"by_{c}", F.lit(0.0)))
+    found = found.withColumn("doubt", doubt).filter(1 - F.col("doubt") >= trust)
+    texts = found.groupBy("text_key").agg(F.collect_list(F.struct("start", "end", "doubt", "kind")).alias("found"))
+    return texts.mapInArrow(settle, "text_key string, trusted array<struct<kind:int,start:bigint,end:bigint>>")
 
 
 def _trusted(docs: DataFrame, trust: float, most_broadcast: int):
@@ -285,9 +348,10 @@ def _with_spans(docs: DataFrame, patterns: DataFrame, trusted, trust: float, bas
     out = docs.mapInArrow(_find(few, trust, docs.columns.index("text")), schema_with(docs, f"`{base}` {kind}, `{added}` {kind}"))
     if trusted:
         return out
-    spans = _trusted_spans(docs, patterns, trust).withColumnsRenamed({"text_key": f"{added}_key", "trusted": f"{added}_trusted"})
-    out = out.join(spans, F.sha2(F.col("text").cast("binary"), 256) == F.col(f"{added}_key"), "left")
-    return out.select(*(f"`{c}`" for c in docs.columns), base, F.coalesce(f"{added}_trusted", added).alias(added))
+    key, reached = fresh(out, f"{added}_key"), fresh(out, f"{added}_trusted")
+    spans = _trusted_spans(docs, patterns, trust).withColumnsRenamed({"text_key": key, "trusted": reached})
+    out = out.join(spans, F.sha2(F.col("text").cast("binary"), 256) == F.col(key), "left")
+    return out.select(*(f"`{c}`" for c in docs.columns), base, F.coalesce(reached, added).alias(added))
 
 
 def digest(found: DataFrame) -> DataFrame:
