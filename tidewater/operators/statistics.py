@@ -38,7 +38,7 @@ def curated_pairs(series: DataFrame, pairs: DataFrame, least: int = 20) -> DataF
     b = s.select("idx", F.col("metric").alias("metric_b"), F.col("value").alias("b"))
 
     def r(right: DataFrame, prefix: str) -> DataFrame:
-        both = a.join(F.broadcast(pairs), "metric_a").join(right, ["idx", "metric_b"])
+        both = a.join(pairs, "metric_a").join(right, ["idx", "metric_b"])
         return both.groupBy("metric_a", "metric_b").agg(F.count(F.lit(1)).alias(f"{prefix}n"), stats.pearson(F.col("a"), F.col("b")).alias(f"{prefix}r"))
 
     out = r(b, "").join(r(b.withColumn("idx", F.col("idx") - 1), "lag_"), ["metric_a", "metric_b"], "left")

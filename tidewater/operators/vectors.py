@@ -57,14 +57,15 @@ def centroids(vectors: DataFrame, label: str) -> DataFrame:
     return parts.groupBy(label).agg(F.transform(items, lambda s: s["x"]).alias("embedding"))
 
 
-def kmeans(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """vec_id, topic, distance (to the centre, both normalised)."""
-    v = Normalizer(inputCol="raw", outputCol="features").transform(vectors.select("vec_id", "embedding", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("raw")))
+def kmeans(vectors: DataFrame, k: int, seed: int = 1, unit: bool = True) -> DataFrame:
+    """vec_id, topic, distance to the centre; vectors are normalised to length 1 first, unless `unit` is False."""
+    v = vectors.select("vec_id", "embedding", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("raw"))
+    v = Normalizer(inputCol="raw", outputCol="features").transform(v) if unit else v.withColumnRenamed("raw", "features")
     model = KMeans(k=k, seed=seed, initMode="k-means||", maxIter=20).fit(v)
     centres = vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "topic int, centre array<double>")
     out = model.transform(v).withColumnRenamed("prediction", "topic").join(F.broadcast(centres), "topic")
-    unit = F.transform("embedding", lambda x: x.cast("double") / F.greatest(norm(F.col("embedding")), F.lit(1e-300)))
-    gap = F.sqrt(F.aggregate(F.zip_with(unit, F.col("centre"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    length = F.greatest(norm(F.col("embedding")), F.lit(1e-300)) if unit else F.lit(1.0)
+    gap = F.sqrt(F.aggregate(F.zip_with(F.transform("embedding", lambda x: x.cast("double") / length), F.col("centre"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     return out.select("vec_id", "topic", gap.alias("distance"))
 
 

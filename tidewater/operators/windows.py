@@ -97,19 +97,41 @@ def chunks(df: DataFrame, conv: str, order: str, size: int = 50, step: int = 40)
 
 def day_radius_clusters(df: DataFrame, day: str, lat: str, lon: str, id_: str, km: float = 50.0) -> DataFrame:
     """day, id, cluster (from 1): a photo joins the day's first cluster whose first member is within km, or, without a
-    place, the day's first cluster. The order (by id) decides, so a day is folded in sequence; its clusters are the state."""
-    from math import asin, cos, radians, sin, sqrt
+    place (null or not finite), the day's first cluster; a first member without a place is near to all.
+
+    The order (by id) decides, so a day is folded in sequence. Its clusters are the state, by cubes of side km around the globe's
+    centre: who is within km lies in one of 27 cubes, which hold a few first members each, so a photo's cost doesn't grow.
+    """
+    from math import asin, cos, floor, isfinite, radians, sin, sqrt
+
+    side = km * (1 + 1e-9)
 
     def far(a: tuple[float, float], b: tuple[float, float]) -> float:
         h = sin(radians(b[0] - a[0]) / 2) ** 2 + cos(radians(a[0])) * cos(radians(b[0])) * sin(radians(b[1] - a[1]) / 2) ** 2
-        return 12742 * asin(sqrt(min(1.0, h)))
+        return 12742 * asin(sqrt(min(1.0, max(0.0, h))))
 
-    def step(seeds: tuple, r) -> tuple[tuple, list[tuple]]:
+    def cube(at: tuple[float, float]) -> tuple[int, int, int]:
+        y, x = radians(at[0]), radians(at[1])
+        return floor(6371 * cos(y) * cos(x) / side), floor(6371 * cos(y) * sin(x) / side), floor(6371 * sin(y) / side)
+
+    def step(state: dict, r) -> tuple[dict, list[tuple]]:
         d, number, x, y = r
-        at = None if pd.isna(x) or pd.isna(y) else (x, y)
-        hit = next((i for i, s in enumerate(seeds) if at is None or s is None or far(s, at) <= km), None)
+        at = None if pd.isna(x) or pd.isna(y) or not (isfinite(x) and isfinite(y)) else (float(x), float(y))
+        cubes, here = state["cubes"], None
+        if at is None:
+            near = [1] if state["n"] else []
+        else:
+            here = i, j, k = cube(at)
+            around = ((i + a, j + b, k + c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1))
+            near = [n for c in around for n, seed in cubes.get(c, ()) if far(seed, at) <= km]
+            near += [state["anywhere"]] if state["anywhere"] else []
+        hit = min(near, default=None)
         if hit is None:
-            seeds, hit = (*seeds, at), len(seeds)
-        return seeds, [(d, number, hit + 1)]
-
-    return folds.fold(df.select(day, id_, lat, lon), [day], [id_], tuple, step, f"{day} date, {id_} long, cluster long")
+            hit = state["n"] = state["n"] + 1
+            if at is None:
+                state["anywhere"] = hit
+            else:
+                cubes.setdefault(here, []).append((hit, at))
+        return state, [(d, number, hit)]
+
+    return folds.fold(df.select(day, id_, lat, lon), [day], [id_], lambda: {"n": 0, "anywhere": 0, "cubes": {}}, step, f"{day} date, {id_} long, cluster long")

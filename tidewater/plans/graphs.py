@@ -120,16 +120,13 @@ def nearest_to_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_r.add("style_clusters")
 def style_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Style features of speakers, scaled and clustered."""
-    c = table(spark, sf_dir, "conversations")
-    t = F.col("text")
-    f = c.groupBy((F.col("conv_id") % 40).alias("vec_id")).agg(
-        F.avg(F.char_length(t)).alias("chars"), F.stddev_pop(F.char_length(t)).alias("spread"), F.avg(t.contains("?").cast("double")).alias("questions"), F.avg(t.contains("!").cast("double")).alias("bangs"),
-        F.avg((F.char_length(F.regexp_replace(t, "[^\\x00-\\x7F]", "")) < F.char_length(t)).cast("double")).alias("non_ascii"), F.avg(F.size(F.split(t, " "))).alias("words"),
-    )
-    names = ["chars", "spread", "questions", "bangs", "non_ascii", "words"]
-    scaled = vectors.min_max(f, names)
-    return vectors.kmeans(scaled.select("vec_id", F.array(*names).alias("embedding")), 5).select("vec_id", "topic")
+    """Nine features of how a person writes, scaled to 0..1 and clustered; what a person lacks counts as 0."""
+    e = table(spark, sf_dir, "events")
+    text = F.concat("event_type", F.when(F.col("event_id") % 3 == 0, "☀").otherwise(""))
+    f = network.style_features(e, "user_id", "ts", F.char_length("props"), text.rlike(r"[^\x01-\x7F]"), F.col("props").contains("7"), F.col("event_type") == "click", F.col("value"), 10)
+    names = [c for c in f.columns if c not in ("user_id", "messages")]
+    scaled = vectors.min_max(f.filter("user_id is not null").fillna(0.0, names), names)
+    return vectors.kmeans(scaled.select(F.col("user_id").alias("vec_id"), F.array(*names).alias("embedding")), 5, unit=False).select("vec_id", "topic")
 
 
 _PEOPLE = "SELECT o_custkey AS person, o_orderdate AS ts, o_orderstatus = 'F' AS sent FROM orders"

@@ -64,7 +64,7 @@ def sessions(df: DataFrame, key: str, ts: str, gap: str = "30 minutes", late: st
 def changed_since(df: DataFrame, marks: DataFrame, source: str, ts: str) -> DataFrame:
     """Rows after their source's mark (sources without a mark: all)."""
     m = marks.select(source, F.col("mark").alias("_mark"))
-    return df.join(F.broadcast(m), source, "left").filter(F.col("_mark").isNull() | (F.col(ts) > F.col("_mark"))).drop("_mark")
+    return df.join(m, source, "left").filter(F.col("_mark").isNull() | (F.col(ts) > F.col("_mark"))).drop("_mark")
 
 
 def new_marks(df: DataFrame, marks: DataFrame, source: str, ts: str) -> DataFrame:
