@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import random
+from math import floor
+
+from pyspark.sql import functions as F
+
 from tests.llm.test_small import docs, words
-from tidewater.llm import html_text, pii, url_filter
+from tidewater.llm import html_text, pii, topk, url_filter
 
 
 def test_two_instances_support_a_pattern_in_a_large_corpus(spark):
@@ -86,3 +91,20 @@ def test_many_templates_hide_no_boilerplate(spark):
     rows += [(i, f"http://many.net/{i}", f"<body><section class=story><p class=imprint>Printed with care by us</p><p>{words(2000, i)}</p></section></body>") for i in range(1, 7)]
     out = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, PAGES).coalesce(1)).collect()}
     assert all(out[i] == words(2000, i) for i in range(1, 7)) and len(out[0].splitlines()) == 400
+
+
+def test_scores_are_exact_beyond_doubles(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) * 10 ** rng.choice((1, 6, 7)) for _ in range(4)]) for i in range(400)]
+    rows += [(400 + i, [3e38 * (-1) ** i, 1.0, 2.0, 3.0]) for i in range(4)] + [(500, [0.0, -0.0, 1e-300, 0.5]), (501, [float("inf"), 0.0, 0.0, 0.0]), (502, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out: dict = {}
+    for r in topk.top_k(vectors, F.col("vec_id") % 20 == 0, 10, shard_rows=90, block=7).orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    whole = {i: [min(max(floor(1024 * x), -(2**63)), 2**63 - 1) for x in v] for i, v in rows if i < 501}
+    # What a double holds of a component, as the contract takes components for doubles.
+    whole = {i: [int(float(x)) for x in v] for i, v in whole.items()}
+    for q in (i for i in whole if i % 20 == 0):
+        scores = {i: min(max(sum(a * b for a, b in zip(whole[q], v, strict=True)), -(2**63)), 2**63 - 1) for i, v in whole.items() if i != q}
+        assert out.pop(q) == sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:10]
+    assert not out

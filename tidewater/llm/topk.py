@@ -8,13 +8,15 @@ The k-th score is shared twice: along the nodes of one shard, and among shards.
 the scores of the few balls with the highest bounds; the k-th best of them all is a true lower bound for the answer,
 and the second pass starts with it, so that most shards are left after a look at their roots.
 
-Queries are worked off in blocks of at most `block` rows, each sent to all shards; vectors are never paired by a join. A
-block's answers are stored, so the plan doesn't grow with the number of blocks.
+Queries are worked off in blocks of at most `block` rows, each sent to all shards; vectors are never paired by a join. Each block
+reads the stored trees where they lie, without a shuffle, one file for a shard; they are written uncompressed, so that the bound of
+a reader's split bounds what a task holds. A block's answers are stored, so the plan doesn't grow with the number of blocks.
 Identical vectors share a leaf, of which the k+1 smallest ids are enough, as ties go to the smaller id.
 
 Defined results: vectors that are null, or hold null or non-finite parts, take no part; vectors of different lengths
 are not compared; rows that repeat a vec_id are candidates each, and never answer the query of their own id. A null
-vec_id takes no part. Fewer than k candidates: all of them.
+vec_id takes no part. Fewer than k candidates: all of them. Components are longs (floor gives the ends of a long beyond them).
+Scores are exact, also where doubles no longer are; those beyond a long are given, and compared, as its ends.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import slices, stored
 
 _LEAF = 96
+_LONG = 2**63
 
 
 class BallTree:
@@ -56,6 +59,17 @@ class BallTree:
                 self.children[at] = kids
                 pending += zip(kids, halves, strict=True)
         self.centres_, self.radii_ = np.array(self.centres), np.array(self.radii)
+        self.most = float(np.abs(vectors).max(initial=0.0))
+
+    def __getstate__(self) -> dict:
+        """Vectors are kept in single precision where that holds them exactly."""
+        with np.errstate(over="ignore"):
+            short = self.vectors.astype(np.float32)
+        return self.__dict__ | ({"vectors": short} if (short == self.vectors).all() else {})
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.vectors = self.vectors.astype(np.float64)
 
     def _node(self, rows: np.ndarray) -> int:
         x = self.vectors[rows]
@@ -81,19 +95,26 @@ class BallTree:
             half = np.arange(len(rows)) < len(rows) // 2
         return rows[~half], rows[half]
 
+    def _scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Inner products; by Python's integers where a double might not hold a sum."""
+        if self.most * float(np.abs(q).max(initial=0.0)) * len(q) < 2**53:
+            return self.vectors[rows] @ q
+        parts = [int(x) for x in q]
+        return np.array([min(max(sum(int(a) * b for a, b in zip(v, parts, strict=True)), -_LONG), _LONG - 1) for v in self.vectors[rows]], dtype=object)
+
     def search(self, q: np.ndarray, own: int, k: int, floor: float, balls: int | None = None) -> list[tuple[int, int]]:
         """The k best (score, id), ties to the smaller id, that reach floor; only `balls` leaves if given."""
         if not len(self.ids):
             return []
         norm = float(np.sqrt((q**2).sum()))
-        slack = 1e-9 * (1 + norm * float(np.abs(self.vectors).max(initial=0.0)) * len(q))
+        slack = 1e-9 * (1 + norm * self.most * len(q))
         bounds = self.centres_ @ q + norm * self.radii_ + slack
         queue = [(-bounds[0], 0)]
-        best: list[tuple[float, int]] = []  # a heap of (score, -id)
+        best: list[tuple[int, int]] = []  # a heap of (score, -id)
         left = balls
         while queue:
             bound, at = heapq.heappop(queue)
-            most = floor_(-bound)  # scores are integers
+            most = min(floor_(-bound), _LONG - 1)  # scores are integers
             if most < floor or len(best) == k and most < best[0][0]:
                 break
             if len(best) == k and most == best[0][0] and self.least[at] > -best[0][1]:
@@ -104,14 +125,17 @@ class BallTree:
                     heapq.heappush(queue, (-bounds[kid], kid))
                 continue
             rows = self.rows[at]
-            scores = self.vectors[rows] @ q
+            scores = self._scores(rows, q)
             reach = max(floor, best[0][0]) if len(best) == k else floor
             hit = (scores >= reach).nonzero()[0]
             if len(hit) > 4 * k:  # of equal scores the smaller ids are enough
                 hit = hit[self.ids[rows[hit]] != own]
-                hit = hit[np.lexsort((self.ids[rows[hit]], -scores[hit]))[:k]]
+                if scores.dtype == object:
+                    hit = sorted(hit, key=lambda i: (-scores[i], self.ids[rows[i]]))[:k]
+                else:
+                    hit = hit[np.lexsort((self.ids[rows[hit]], -scores[hit]))[:k]]
             for i in hit:
-                item = (float(scores[i]), -int(self.ids[rows[i]]))
+                item = (int(scores[i]), -int(self.ids[rows[i]]))
                 if -item[1] == own:
                     continue
                 if len(best) < k:
@@ -122,7 +146,7 @@ class BallTree:
                 left -= 1
                 if not left:
                     break
-        return [(int(s), -i) for s, i in best]
+        return [(s, -i) for s, i in best]
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -172,19 +196,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
     shards = max(1, -(-total["n"] // shard_rows), min(total["n"] // 1000, spark.sparkContext.defaultParallelism))
     # Round robin: a shard has no more rows than shard_rows.
-    trees = stored(rows.repartition(int(shards)).mapInArrow(_grow, "length long, tree binary"), "trees").repartition(int(shards))
+    trees = stored(rows.repartition(int(shards)).mapInArrow(_grow, "length long, tree binary"), "trees", "none")
+    asking = stored(rows.filter(is_query), "queries")
     blocks = max(1, -(-2 * total["q"] // block))  # half full on average, so that a block stays under its bound
     found: list[str] = []
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     for b in range(blocks):
-        mine = rows.filter(is_query & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).collect()
+        mine = asking.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
         if not mine:
             continue
         asked = {(r["vec_id"], len(r["x"]), tuple(r["x"])) for r in mine}
         first = spark.sparkContext.broadcast([(i, d, np.array(x), -np.inf) for i, d, x in asked])
         probe = trees.mapInArrow(_search(first, k, 2), "query_id long, vec_id long, score long")
         kth = probe.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("query_id", "score").collect()
-        floors = {r["query_id"]: float(r["score"]) for r in kth}
+        floors = {r["query_id"]: r["score"] for r in kth}
         if len({i for i, _, _ in asked}) < len(asked):  # an id with several vectors: its probes are mixed
             floors = {}
         second = spark.sparkContext.broadcast([(i, d, np.array(x), floors.get(i, -np.inf)) for i, d, x in asked])
