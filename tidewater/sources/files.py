@@ -45,7 +45,7 @@ def html_blocks(html: Column) -> Column:
 
 def text_blocks(text: Column) -> Column:
     """Parts between blank lines with more than ten characters."""
-    return F.filter(F.transform(F.split(text, r"\n{2,}"), F.trim), lambda t: F.char_length(t) > 10)
+    return F.filter(F.transform(F.split(text, r"\n{2,}"), lambda t: F.trim(t)), lambda t: F.char_length(t) > 10)
 
 
 _SKIPPED_LABELS = re.compile(r"(?i)spam|trash|promotions|chat")
