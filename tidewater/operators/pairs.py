@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a key that meet in one task.
 _BLOCK = 1_000
+#: Pairs that a task makes or groups.
+_PAIRS = 1_000_000
 #: Keys cut into parts up to which their numbers of parts are broadcast.
 _MOST_BROADCAST = 100_000
 
@@ -34,23 +36,45 @@ def _part(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.col("_parts")).cast("int")
 
 
-def within(rows: DataFrame, keys: Sequence[str], item: str, carry: Sequence[str] = (), block: int = _BLOCK) -> DataFrame:
-    """keys, a, b (items, a < b), and of each column in carry that of a and of b (name_a, name_b): each two rows of a key with different items, once. Rows without an item meet nobody."""
+def _tasks(rows: DataFrame, keys: Sequence[str]) -> int:
+    """Partitions for the pairs of rows: the input's size doesn't tell their number, so it is counted."""
+    n = F.count(F.lit(1))
+    pairs = rows.groupBy(*keys).agg((n * (n - 1) / 2).alias("_n")).agg(F.sum("_n")).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // _PAIRS) + 1)
+
+
+def within(rows: DataFrame, keys: Sequence[str], item: str, carry: Sequence[str] = (), block: int = _BLOCK, by_pair: bool = False) -> DataFrame:
+    """keys, a, b (items, a < b), and of each column in carry that of a and of b (name_a, name_b): each two rows of a key with different items, once. Rows without an item meet nobody.
+
+    by_pair: the pairs come dealt by a and b, in as many partitions as they need, so that grouping by these holds a bounded number in a task.
+    """
     rows = rows.filter(F.col(item).isNotNull()).select(*keys, item, *carry)
     large = _large(rows, keys, block)
+    tasks = _tasks(rows, keys)
     side = {s: [F.col(item).alias(s), *(F.col(c).alias(f"{c}_{s}") for c in carry)] for s in "ab"}
     if large is None:
         left, right = (rows.select(*keys, *side[s]) for s in "ab")
-        return left.join(right, list(keys)).filter("a < b")
+        met = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), list(keys)).filter("a < b")
+        return met.repartition(tasks, "a", "b") if by_pair else met
     cut, part, last = _with(rows, large, keys), _part(item), F.col("_parts") - 1
     left = cut.withColumn("_i", part).select(*keys, *side["a"], "_i", F.explode(F.sequence("_i", last)).alias("_j"))
     right = cut.withColumn("_j", part).select(*keys, *side["b"], F.explode(F.sequence(F.lit(0), "_j")).alias("_i"), "_j")
+    left, right = (x.repartition(tasks, *keys, "_i", "_j") for x in (left, right))
     met = left.join(right, [*keys, "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col("a") < F.col("b")))
     turn = F.col("a") > F.col("b")
     out = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     for c in carry:
         out += [F.when(turn, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_a"), F.when(turn, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_b")]
-    return met.select(*keys, *out)
+    met = met.select(*keys, *out)
+    return met.repartition(tasks, "a", "b") if by_pair else met
+
+
+def shared(rows: DataFrame, key: str, item: str, block: int = _BLOCK) -> DataFrame:
+    """a, b (items, a < b), shared: the number of keys that two items have in common. A pair counts at the first of them only, so pairs aren't moved to be counted; an item with several keys brings them along."""
+    keys = rows.filter(F.col(key).isNotNull()).groupBy(item).agg(F.collect_set(key).alias("_keys"))
+    met = within(keys.select(item, F.explode("_keys").alias(key), F.when(F.size("_keys") > 1, F.col("_keys")).alias("_keys")), [key], item, ["_keys"], block)
+    both = F.array_intersect("_keys_a", "_keys_b")
+    return met.filter(both.isNull() | (F.array_min(both) == F.col(key))).select("a", "b", F.when(both.isNull(), 1).otherwise(F.size(both)).cast("long").alias("shared"))
 
 
 def between(left: DataFrame, right: DataFrame, keys: Sequence[str], block: int = _BLOCK) -> DataFrame:

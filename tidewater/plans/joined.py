@@ -72,7 +72,7 @@ def semi_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_r.add("ordered_pairs", "SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 5")
 def ordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("c"))
-    met = pairs.within(li, ["l_orderkey"], "l_suppkey", ["c"])
+    met = pairs.within(li, ["l_orderkey"], "l_suppkey", ["c"], by_pair=True)
     return met.groupBy("a", "b").agg(F.sum(F.col("c_a") * F.col("c_b")).alias("n")).filter("n >= 5")
 
 
@@ -110,7 +110,7 @@ def top1_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_identifier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     ids = c.select(F.col("c_custkey").alias("id"), F.right(F.regexp_replace("c_name", "[^0-9]", ""), F.lit(3)).alias("key")).union(c.filter("c_acctbal > 9500").select("c_custkey", F.concat("c_mktsegment", "c_nationkey"))).distinct()
-    return pairs.within(ids, ["key"], "id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return pairs.shared(ids, "key", "id")
 
 
 @_r.add(
