@@ -36,7 +36,11 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 if equal, 0.8 if one contains the other, else one minus the edit distance over the longer length."""
-    x, y = tidy(a), tidy(b)
+    return tidy_edit_similarity(tidy(a), tidy(b))
+
+
+def tidy_edit_similarity(x: Column, y: Column) -> Column:
+    """The same of names that are tidy already."""
     longer = F.greatest(F.char_length(x), F.char_length(y))
     return F.when(x == y, 1.0).when((x == "") | (y == ""), 0.0).when(x.contains(y) | y.contains(x), 0.8).otherwise(1 - F.try_divide(F.levenshtein(x, y).cast("double"), longer))
 

@@ -39,15 +39,23 @@ def contact_pairs(contacts: DataFrame, most_shared: int | None = None) -> DataFr
     No pair reaches .6 without a common phone, so contacts meet by phones alone; a mail is compared where they meet.
     Phones that more than most_shared contacts have (if given) say nothing and are left out.
     """
-    keyed = contacts.filter("phone is not null and phone <> ''").select("id", "name", "phone", "email")
+    keyed = contacts.filter("phone is not null and phone <> ''").select("id", similarity.tidy(F.col("name")).alias("name"), "phone", "email")
     if most_shared:
         few = keyed.groupBy("phone").agg(F.count_distinct("id").alias("n")).filter(F.col("n") <= most_shared)
         keyed = keyed.join(few.select("phone"), "phone", "left_semi")
-    met = pairs.within(keyed, ["phone"], "id", ["name", "email"])
     same = F.coalesce((F.col("email_a") == F.col("email_b")) & (F.col("email_a") != ""), F.lit(False))
-    hits = met.groupBy("a", "b").agg(F.first("name_a").alias("name_a"), F.first("name_b").alias("name_b"), F.bool_or(same).alias("email"))
-    score = 0.5 + 0.3 * F.col("email").cast("int") + 0.2 * similarity.edit_similarity(F.col("name_a"), F.col("name_b"))
-    s = hits.withColumn("score", score)
+    several = keyed.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("id", F.lit(True).alias("_s"))
+    some = several.limit(1).count() > 0
+    met = pairs.within(keyed.join(several, "id", "left") if some else keyed, ["phone"], "id", ["name", "email", "_s"] if some else ["name", "email"])
+    cols = ("a", "b", "name_a", "name_b", same.alias("email"))
+    if some:  # pairs of contacts with one phone each meet once and go on as they are; only others are grouped
+        again = F.coalesce("_s_a", "_s_b").isNotNull()
+        grouped = met.filter(again).groupBy("a", "b").agg(F.first("name_a").alias("name_a"), F.first("name_b").alias("name_b"), F.bool_or(same).alias("email"))
+        hits = met.filter(~again).select(*cols).unionByName(grouped)
+    else:
+        hits = met.select(*cols)
+    score = 0.5 + 0.3 * F.col("email").cast("int") + 0.2 * similarity.tidy_edit_similarity(F.col("name_a"), F.col("name_b"))
+    s = hits.select("a", "b", F.explode(F.array(score)).alias("score"))  # by explode it is computed once, not for the filter and each column again
     return s.filter("score >= 0.6").select("a", "b", "score", F.when(F.col("score") >= 0.95, "auto").otherwise("review").alias("action"))
 
 
