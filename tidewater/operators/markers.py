@@ -24,9 +24,17 @@ def chapters_of(people: DataFrame, chapters: DataFrame, order: list[str | Column
     elements, titles go by `held_in`; a chapter that both ways find counts once.
     """
     first = people.select("person", F.lower(F.split_part("name", F.lit(" "), F.lit(1))).alias("first_name"))
-    by_member = chapters.select("chapter_id", F.explode(F.array_distinct("key_people")).alias("person")).join(people.select("person"), "person")
-    titles = chapters.select("chapter_id", F.lower("title").alias("title"))
-    by_title = titles.join(held_in(titles, "title", first, "first_name"), "title").join(first, "first_name").select("chapter_id", "person")
-    found = by_member.select("chapter_id", "person").union(by_title).distinct().join(chapters.drop("key_people"), "chapter_id")
-    place = F.row_number().over(Window.partitionBy("person").orderBy(*order, "chapter_id"))
-    return found.withColumn("place", place).filter(F.col("place") <= k)
+    rest = chapters.drop("key_people")
+
+    def best(df: DataFrame, key: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(key).orderBy(*order, "chapter_id"))
+        return df.withColumn("place", place).filter(F.col("place") <= k)
+
+    members = chapters.select("chapter_id", F.explode(F.array_distinct("key_people")).alias("person")).join(people.select("person").distinct(), "person")
+    by_member = best(members.join(rest, "chapter_id"), "person").drop("place")
+    # A person's k first are among the k first of their first name, so all chapters of a name don't meet all people of it.
+    titles = rest.withColumn("_title", F.lower("title"))
+    held = held_in(titles, "_title", first, "first_name")
+    by_name = best(titles.join(held, "_title").drop("_title"), "first_name").drop("place")
+    by_title = by_name.join(first.distinct(), "first_name").drop("first_name")
+    return best(by_member.unionByName(by_title).dropDuplicates(["person", "chapter_id"]), "person")
