@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,48 @@ def near_in_time(df: DataFrame, person: str, ts: str, seconds: int) -> DataFrame
     return met.select(F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b"), "t1", "t2")
 
 
+def often_near(df: DataFrame, person: str, ts: str, seconds: int, least: int, persons: int = 5_000) -> DataFrame:
+    """a < b, times: persons (of type long) with at least `least` pairs of rows at most `seconds` apart.
+
+    Persons are cut into parts of about `persons`, which meet two by two: a meeting slides along the time of both parts and counts in a
+    table of their persons, so pairs of rows are neither stored nor moved. A task holds that table and two parts' rows by second.
+    """
+    rows = df.select(F.col(person).cast("long").alias("p"), F.unix_timestamp(F.col(ts).cast("timestamp")).alias("t")).filter("p is not null and t is not null").groupBy("p", "t").agg(F.count(F.lit(1)).alias("c"))
+    parts = max(8, -(-rows.select("p").distinct().count() // persons))
+    mine, other = F.pmod(F.xxhash64("p"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o")
+    cut = rows.withColumn("k", mine).select("p", "t", "c", "k", other)
+    met = cut.select((F.least("k", "o") * parts + F.greatest("k", "o")).alias("meeting"), "p", "t", "c", (F.col("k") > F.col("o")).alias("second"))
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = divmod(key[0].as_py(), parts)
+        p, t, c, second = (table.column(x).to_numpy() for x in ("p", "t", "c", "second"))
+        order = np.argsort(t, kind="stable")
+        p, t, c, second = p[order], t[order], c[order], second[order].astype(bool)
+        a, b = (slice(None), slice(None)) if i == j else (~second, second)
+        (pa_, ua), (pb, ub) = (np.unique(p[s], return_inverse=True) for s in (a, b))
+        ta, tb, ca, cb = t[a], t[b], c[a], c[b]
+        low = np.arange(1, len(ta) + 1) if i == j else np.searchsorted(tb, ta - seconds, "left")
+        n = np.searchsorted(tb, ta + seconds, "right") - low
+        ends, times = np.cumsum(n), np.zeros(len(pa_) * len(pb), dtype=np.int64)
+        at = 0
+        while at < len(n):  # a million pairs at a time
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
+            x = np.repeat(np.arange(at, end), n[at:end])
+            y = np.arange(len(x)) - np.repeat(ends[at:end] - n[at:end] - (ends[at - 1] if at else 0), n[at:end]) + low[x]
+            u, v = ua[x], ub[y]
+            if i == j:
+                u, v, w = np.minimum(u, v), np.maximum(u, v), np.where(u == v, 0, ca[x] * cb[y])
+            else:
+                w = ca[x] * cb[y]
+            np.add.at(times, u * len(pb) + v, w)
+            at = end
+        hit = np.flatnonzero(times >= least)
+        u, v = pa_[hit // max(1, len(pb))], pb[hit % max(1, len(pb))]
+        return pa.table({"a": np.minimum(u, v), "b": np.maximum(u, v), "times": times[hit]})
+
+    return met.groupBy("meeting").applyInArrow(count, "a long, b long, times long")
+
+
 def with_lags(series: DataFrame, date: str, value: str, keys: Sequence[str], lags: Sequence[int]) -> DataFrame:
     """keys, lag, date, value: each value moved to date - lag, so that an equi-join on date reads the value `lag` days ahead."""
     return series.select(*keys, F.explode(F.array(*map(F.lit, lags))).alias("lag"), F.col(date).alias("_d"), F.col(value).alias(value)).select(*keys, "lag", F.expr("date_sub(_d, lag)").alias(date), value)

@@ -81,7 +81,7 @@ def ordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT least(a.user_id, b.user_id) AS a, greatest(a.user_id, b.user_id) AS b, count(*) AS times FROM events a JOIN events b ON a.event_id < b.event_id AND a.user_id <> b.user_id AND abs(epoch(date_trunc('second', a.ts)) - epoch(date_trunc('second', b.ts))) <= 300 GROUP BY 1, 2 HAVING count(*) >= 3",
 )
 def temporal_proximity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.near_in_time(table(spark, sf_dir, "events"), "user_id", "ts", 300).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).filter("times >= 3")
+    return joins.often_near(table(spark, sf_dir, "events"), "user_id", "ts", 300, 3)
 
 
 @_r.add(
