@@ -51,6 +51,12 @@ def text_blocks(text: Column) -> Column:
 _SKIPPED_LABELS = re.compile(r"(?i)spam|trash|promotions|chat")
 
 
+def header_text(value: str) -> str:
+    """A header in one line, with its encoded words decoded; most have none, and are plain text as they are."""
+    plain = isinstance(value, str) and value.isascii() and "=?" not in value
+    return (value if plain else str(email.header.make_header(email.header.decode_header(value)))).replace("\n", " ")
+
+
 def mail_box(spark: SparkSession, path: str) -> DataFrame:
     """Messages of mbox files: message_id, thread_id, sender, recipients, subject, date, labels, body, skipped (the reason, or null).
 
@@ -70,7 +76,7 @@ def mail_box(spark: SparkSession, path: str) -> DataFrame:
                 body = part.get_payload(decode=True).decode(part.get_content_charset() or "utf-8", "replace") if part is not None else ""
                 if part is not None and part.get_content_type() == "text/html":
                     body = re.sub(r"<[^>]*>", " ", body)
-                header = lambda k: str(email.header.make_header(email.header.decode_header(msg.get(k, "")))).replace("\n", " ")  # noqa: B023, E731
+                header = lambda k: header_text(msg.get(k, ""))  # noqa: B023, E731
                 labels = header("X-Gmail-Labels")
                 hit = _SKIPPED_LABELS.search(labels)
                 rows.append((header("Message-ID"), header("X-GM-THRID") or header("References").split(" ")[0] or header("Message-ID"), header("From"), header("To"), header("Subject"), header("Date"), labels, body.strip(), hit[0].lower() if hit else None))
