@@ -14,12 +14,24 @@ from pyspark.sql import functions as F
 
 #: Rows of a key that meet in one task.
 _BLOCK = 1_000
+#: Rows that a task groups or joins.
+_ROWS = 250_000
 #: Pairs that a task makes or groups.
 _PAIRS = 1_000_000
 #: Keys cut into parts up to which their numbers of parts are broadcast.
 _MOST_BROADCAST = 100_000
 
 
+def parts_of(rows: DataFrame) -> int:
+    """Partitions that rows need, by their number: adaptive execution sizes partitions by compressed bytes, of which keys and counts need few, and up to spark.sql.shuffle.partitions only."""
+    return rows.count() // _ROWS + 1
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys over as many partitions as they need; grouping by these and further columns needs no other shuffle."""
+    return rows.repartition(parts_of(rows), *keys)
+
+
 def _large(rows: DataFrame, keys: Sequence[str], block: int) -> DataFrame | None:
     """keys and their number of parts, of those with more than one; marked for broadcast where they are few. None: there are none."""
     large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > block).select(*keys, F.ceil(F.col("_c") / block).cast("int").alias("_parts"))

@@ -201,7 +201,7 @@ _PART_EDGES = "p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS
 
 
 def _edges(spark: SparkSession, sf_dir: str, member: str = "l_suppkey", least: int = 3) -> DataFrame:
-    m = table(spark, sf_dir, "lineitem").select("l_orderkey", member).distinct()
+    m = pairs.dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", member), "l_orderkey").distinct()
     return pairs.within(m, ["l_orderkey"], member, by_pair=True).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("a", "b", (F.col("n") * 3).alias("w"))
 
 
