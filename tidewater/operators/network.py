@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators import pairs
+
 
 def person_metrics(df: DataFrame, person: str, ts: str, sent: Column, as_of: Column) -> DataFrame:
     """person, total, sent, received, first_day, days_since, weekly, reciprocity."""
@@ -26,14 +28,17 @@ def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """node, community: every node takes the label of the greatest weight among its neighbours and itself (ties: the smaller label) until
     nothing moves. All nodes move together; a node's own label counts with its largest edge, which settles two-cycles.
 
-    Each round is one join and two aggregations; its result is checkpointed, so lineage stays short.
+    Each round is one join and two aggregations; its result is checkpointed, so lineage stays short. Links and votes are dealt over as
+    many partitions as the number of links needs.
     """
     links = both_ways(edges).groupBy("a", "b").agg(F.sum("w").alias("w"))
     own = links.groupBy("a").agg(F.max("w").alias("w")).select("a", F.col("a").alias("b"), "w")
     links = links.union(own).checkpoint()
+    n = pairs.parts_of(links)
     labels = links.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
-        votes = links.join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("w"))
+        met = links.repartition(n, "b").join(labels.select(F.col("node").alias("b"), "community").repartition(n, "b"), "b")
+        votes = met.repartition(n, "a", "community").groupBy("a", "community").agg(F.sum("w").alias("w"))
         best = votes.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("w", (-F.col("community")).alias("c"))).alias("m")).select("node", (-F.col("m.c")).alias("community"))
         new = best.join(labels.withColumnRenamed("community", "before"), "node").checkpoint()
         labels = new.select("node", "community")

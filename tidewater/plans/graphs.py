@@ -226,7 +226,7 @@ def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that are ordered together at least twice: a sparse graph of many communities."""
     ensure_checkpoint_dir(spark)
-    edges = _edges(spark, sf_dir, "l_partkey", 2)
+    edges = _edges(spark, sf_dir, "l_partkey", 2).checkpoint()
     return network.bridges(edges, network.label_propagation(edges))
 
 
