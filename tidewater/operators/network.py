@@ -75,11 +75,11 @@ def style_features(df: DataFrame, person: str, ts: str, length: Column, emoji: C
 def voice_metrics(segments: DataFrame) -> DataFrame:
     """person, segments, speaking, mean_segment, conversations, dominance, most_active of segments (person, media, seconds, part).
 
-    Segments are summed by person and recording first; dominance is the mean share of a recording's seconds. Ties of the most active
-    part go to the smaller one.
+    Segments are summed by person and recording first; dominance is the mean share of a recording's seconds, whose total is taken over the
+    recording's sums, so segments dealt by recording stay where they are. Ties of the most active part go to the smaller one.
     """
-    per = segments.groupBy("person", "media").agg(F.sum("seconds").alias("s"), F.count(F.lit(1)).alias("n"))
-    total = per.groupBy("media").agg(F.sum("s").alias("t"))
-    talk = per.join(total, "media").groupBy("person").agg(F.sum("n").alias("segments"), F.sum("s").alias("speaking"), F.count(F.lit(1)).alias("conversations"), F.avg(F.when(F.col("t") > 0, F.col("s") / F.col("t"))).alias("dominance"))
+    per = segments.filter("media is not null").groupBy("person", "media").agg(F.sum("seconds").alias("s"), F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("t", F.sum("s").over(Window.partitionBy("media")))
+    talk = per.groupBy("person").agg(F.sum("n").alias("segments"), F.sum("s").alias("speaking"), F.count(F.lit(1)).alias("conversations"), F.avg(F.when(F.col("t") > 0, F.col("s") / F.col("t"))).alias("dominance"))
     parts = segments.groupBy("person", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("person").agg(F.max_by("part", F.struct("k", -F.col("part"))).alias("most_active"))
     return talk.join(parts, "person").withColumn("mean_segment", F.col("speaking") / F.col("segments"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import stats
-from tidewater.operators import network, resolve, statistics
+from tidewater.operators import network, pairs, resolve, statistics
 from tidewater.plans.base import Registry, table
 
 _r = Registry()
@@ -36,7 +36,8 @@ def voice_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speakers of recordings: times, share of each recording, and the part of the year they speak most in."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("person"), F.col("l_orderkey").alias("media"), F.col("l_quantity").alias("seconds"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("media"), F.month("o_orderdate").alias("part"))
-    out = network.voice_metrics(li.join(o, "media"))
+    n = pairs.parts_of(li)
+    out = network.voice_metrics(li.repartition(n, "media").join(o.repartition(n, "media"), "media"))
     return out.select("person", "segments", F.round("speaking", 2).alias("speaking"), F.round("mean_segment", 4).alias("mean_segment"), "conversations", F.round("dominance", 6).alias("dominance"), "most_active")
 
 
