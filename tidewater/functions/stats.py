@@ -30,6 +30,18 @@ def p_value(r: Column, n: Column) -> Column:
     return F.when(n > 30, 2 * (1 - normal_cdf(t))).otherwise(F.least(F.lit(1.0), 2 * F.exp(-0.717 * t - 0.416 * t * t)))
 
 
+def exact_sum(c: Column) -> Column:
+    """Aggregate: the sum of doubles by their decimal digits, so the order of rows can't move it off or over a limit; the plain sum where a value or the sum needs more than 23 digits before or 15 behind the point."""
+    d = c.try_cast("decimal(38,15)")
+    whole = F.count(F.when(d.cast("double") == c, 1)) == F.count(c)
+    return F.when(whole, F.coalesce(F.try_sum(d).cast("double"), F.sum(c))).otherwise(F.sum(c))
+
+
+def exact_avg(c: Column) -> Column:
+    """Aggregate: the mean by exact_sum."""
+    return F.try_divide(exact_sum(c), F.count(c))
+
+
 def pearson(x: Column, y: Column) -> Column:
     """Aggregate: Pearson's r from sums; 0 where a series is constant."""
     n = F.count(F.lit(1))

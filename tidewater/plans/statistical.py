@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions import stats
 from tidewater.operators import chapters, statistics, windows
 from tidewater.plans.base import Registry, table
 
@@ -144,7 +145,7 @@ def travel_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH d AS (SELECT user_id, CAST(ts AS DATE) AS date, avg(value) AS v FROM events GROUP BY 1, 2), k AS (SELECT *, date - CAST(row_number() OVER (PARTITION BY user_id ORDER BY date) AS INT) AS i FROM d WHERE v < 45) SELECT user_id, min(date) AS first_day, count(*) AS length FROM k GROUP BY user_id, i HAVING count(*) >= 3",
 )
 def low_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("date")).agg(F.avg("value").alias("v")).filter("v < 45")
+    d = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("date")).agg(stats.exact_avg(F.col("value")).alias("v")).filter("v < 45")
     return windows.streaks(d, ["user_id"], "date").select("user_id", "first_day", "length")
 
 
