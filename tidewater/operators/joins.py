@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import similarity
 from tidewater.operators import pairs
+from tidewater.session import ensure_checkpoint_dir
 
 
 def near_in_time(df: DataFrame, person: str, ts: str, seconds: int) -> DataFrame:
@@ -28,46 +30,103 @@ def near_in_time(df: DataFrame, person: str, ts: str, seconds: int) -> DataFrame
     return met.select(F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b"), "t1", "t2")
 
 
-def often_near(df: DataFrame, person: str, ts: str, seconds: int, least: int, persons: int = 5_000) -> DataFrame:
+#: Rows of a part of persons, and pairs of rows that a meeting of two parts counts at once.
+_ROWS, _PAIRS = 1_000_000, 1_000_000
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's rows as one: its persons, and by time each row's person (as its place among them), time and count (none: all are 1)."""
+    rows = [b for b in batches if len(b)]
+    if not rows:
+        return
+    p, t, c = (pa.Table.from_batches(rows).column(x).to_numpy() for x in "ptc")
+    order = np.argsort(t, kind="stable")
+    persons, u = np.unique(p[order], return_inverse=True)
+    packed = [persons.tobytes(), u.astype(np.int32).tobytes(), t[order].tobytes(), c[order].tobytes() if c.max() > 1 else b""]
+    yield pa.RecordBatch.from_pydict({"k": pa.array([TaskContext.get().partitionId()], pa.int32()), **{x: pa.array([v], pa.binary()) for x, v in zip("putc", packed, strict=True)}})
+
+
+def _cells(cell: np.ndarray, weight: np.ndarray | None, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that occur, in order, and how often (or their sums of weight): by a table of all where these are not many more than what occurs."""
+    if cells > 8 * len(cell):
+        found, at = np.unique(cell, return_inverse=True)
+        times = np.bincount(at, minlength=len(found)) if weight is None else _sums(at, weight, len(found))
+        return found, times
+    times = np.bincount(cell, minlength=cells) if weight is None else _sums(cell, weight, cells)
+    found = np.flatnonzero(times)
+    return found, times[found]
+
+
+def _sums(at: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, dtype=np.int64)
+    np.add.at(out, at, weight)
+    return out
+
+
+def often_near(df: DataFrame, person: str, ts: str, seconds: int, least: int, persons: int = 20_000) -> DataFrame:
     """a < b, times: persons (of type long) with at least `least` pairs of rows at most `seconds` apart.
 
-    Persons are cut into parts of about `persons`, which meet two by two: a meeting slides along the time of both parts and counts in a
-    table of their persons, so pairs of rows are neither stored nor moved. A task holds that table and two parts' rows by second.
+    Persons are cut into parts of at most about `persons` and a million rows by second, each stored once as one row. Parts meet two by two where they are read,
+    so neither rows nor pairs of them are copied to a disk. A meeting slides along the time for one person after the other, about a million pairs at once.
     """
-    rows = df.select(F.col(person).cast("long").alias("p"), F.unix_timestamp(F.col(ts).cast("timestamp")).alias("t")).filter("p is not null and t is not null").groupBy("p", "t").agg(F.count(F.lit(1)).alias("c"))
-    parts = max(8, -(-rows.select("p").distinct().count() // persons))
-    mine, other = F.pmod(F.xxhash64("p"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o")
-    cut = rows.withColumn("k", mine).select("p", "t", "c", "k", other)
-    met = cut.select((F.least("k", "o") * parts + F.greatest("k", "o")).alias("meeting"), "p", "t", "c", (F.col("k") > F.col("o")).alias("second"))
-
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = divmod(key[0].as_py(), parts)
-        p, t, c, second = (table.column(x).to_numpy() for x in ("p", "t", "c", "second"))
-        order = np.argsort(t, kind="stable")
-        p, t, c, second = p[order], t[order], c[order], second[order].astype(bool)
-        a, b = (slice(None), slice(None)) if i == j else (~second, second)
-        (pa_, ua), (pb, ub) = (np.unique(p[s], return_inverse=True) for s in (a, b))
-        ta, tb, ca, cb = t[a], t[b], c[a], c[b]
-        low = np.arange(1, len(ta) + 1) if i == j else np.searchsorted(tb, ta - seconds, "left")
+    rows = df.select(F.col(person).cast("long").alias("p"), F.unix_timestamp(F.col(ts).cast("timestamp")).alias("t")).filter("p is not null and t is not null")
+    n, people = rows.agg(F.count(F.lit(1)), F.approx_count_distinct("p")).first()
+    parts = max(8, -(-people // persons), -(-n // _ROWS))
+    rows = rows.groupBy("p", "t").agg(F.count(F.lit(1)).alias("c"))
+    ensure_checkpoint_dir(df.sparkSession)
+    packed = rows.repartitionById(parts, F.pmod(F.xxhash64("p"), F.lit(parts)).cast("int")).mapInArrow(_packed, "k int, p binary, u binary, t binary, c binary").checkpoint()
+    first, second = (packed.select(*(F.col(x).alias(f"{x}{i}") for x in packed.columns)) for i in "12")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from meeting(row)
+
+    def meeting(row: dict) -> Iterator[pa.RecordBatch]:
+        (pa_, ua, ta, ca), (pb, ub, tb, cb) = ([np.frombuffer(row[x + i], np.int32 if x == "u" else np.int64) for x in "putc"] for i in "12")
+        order = np.argsort(ua, kind="stable")
+        ua, ta, width = ua[order].astype(np.int64), ta[order], len(pb)
+        weighted = len(ca) or len(cb)
+        ca, cb = ca[order] if len(ca) else np.ones(len(ta), np.int64), cb if len(cb) else np.ones(len(tb), np.int64)
+        low = np.searchsorted(tb, ta - seconds, "left")
         n = np.searchsorted(tb, ta + seconds, "right") - low
-        ends, times = np.cumsum(n), np.zeros(len(pa_) * len(pb), dtype=np.int64)
-        at = 0
-        while at < len(n):  # a million pairs at a time
-            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
+        ends = np.cumsum(n)
+        shift = low - (ends - n)  # from the number of a pair to its row of the second part
+
+        def hits(u: np.ndarray, v: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+            keep = times >= max(least, 1)
+            if row["k1"] == row["k2"]:  # here both orders of a pair are counted
+                keep &= u < v
+            if keep.any():
+                x, y = pa_[u[keep]], pb[v[keep]]
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y), "times": times[keep]})
+
+        at, open_, held = 0, -1, None  # a person whose rows go on in the next batch is held
+        while at < len(ta):
+            begin = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, begin + _PAIRS, "right")))
             x = np.repeat(np.arange(at, end), n[at:end])
-            y = np.arange(len(x)) - np.repeat(ends[at:end] - n[at:end] - (ends[at - 1] if at else 0), n[at:end]) + low[x]
-            u, v = ua[x], ub[y]
-            if i == j:
-                u, v, w = np.minimum(u, v), np.maximum(u, v), np.where(u == v, 0, ca[x] * cb[y])
-            else:
-                w = ca[x] * cb[y]
-            np.add.at(times, u * len(pb) + v, w)
+            y = np.arange(begin, begin + len(x)) + shift[x]
+            cell, times = _cells((ua[x] - ua[at]) * width + ub[y], ca[x] * cb[y] if weighted else None, int(ua[end - 1] - ua[at] + 1) * width)
+            u, v = cell // width + ua[at], cell % width
+            if open_ == ua[at]:
+                mine = u == open_
+                held[v[mine]] += times[mine]
+                u, v, times = u[~mine], v[~mine], times[~mine]
+            if open_ >= 0 and (open_ != ua[at] or ua[end - 1] != open_):
+                yield from hits(np.full(width, open_), np.arange(width), held)
+                open_ = -1
+            if open_ < 0 and end < len(ta) and ua[end] == ua[end - 1]:
+                open_, mine = ua[end - 1], u == ua[end - 1]
+                held = np.zeros(width, np.int64)
+                held[v[mine]] = times[mine]
+                u, v, times = u[~mine], v[~mine], times[~mine]
+            yield from hits(u, v, times)
             at = end
-        hit = np.flatnonzero(times >= least)
-        u, v = pa_[hit // max(1, len(pb))], pb[hit % max(1, len(pb))]
-        return pa.table({"a": np.minimum(u, v), "b": np.maximum(u, v), "times": times[hit]})
+        if open_ >= 0:
+            yield from hits(np.full(width, open_), np.arange(width), held)
 
-    return met.groupBy("meeting").applyInArrow(count, "a long, b long, times long")
+    return first.hint("shuffle_replicate_nl").join(second, F.col("k1") <= F.col("k2")).mapInArrow(count, "a long, b long, times long")
 
 
 def with_lags(series: DataFrame, date: str, value: str, keys: Sequence[str], lags: Sequence[int]) -> DataFrame:
