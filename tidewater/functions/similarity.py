@@ -1,7 +1,10 @@
-"""Similarities of names as Column expressions, each symmetric and within 0 to 1."""
+"""Similarities of names as Column expressions, each symmetric and within 0 to 1, and the one by edit distance also of many names at once."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +48,55 @@ def tidy_edit_similarity(x: Column, y: Column) -> Column:
     return F.when(x == y, 1.0).when((x == "") | (y == ""), 0.0).when(x.contains(y) | y.contains(x), 0.8).otherwise(1 - F.try_divide(F.levenshtein(x, y).cast("double"), longer))
 
 
+def edit_values(longest: int) -> list[float]:
+    """tidy_edit_similarity by the codes of edit_codes."""
+    return [1 - d / n if n else 1.0 for n in range(longest + 1) for d in range(n + 1)] + [0.8]
+
+
+def edit_codes(x: Sequence[str], y: Sequence[str], longest: int) -> np.ndarray:
+    """For each two of x and y, names in order of length of at most `longest` characters, the place of their tidy_edit_similarity in edit_values(longest): all distances advance together, a character at a time."""
+    lx, ly = (np.array([len(v) for v in z], dtype=np.int32) for z in (x, y))
+    top = int(max(lx[-1], ly[-1], 1))
+    chars = np.array([*x, *y], dtype=f"U{top}").view(np.uint32).reshape(-1, top)
+    same, least = (chars == chars[0]).all(axis=0), int(min(lx[0], ly[0]))
+    head = least if same[:least].all() else int(np.argmin(same[:least]))  # characters that all begin with don't change a distance
+    kinds, chars = np.unique(chars[:, head:], return_inverse=True)
+    chars = chars.reshape(len(x) + len(y), -1).astype(np.min_scalar_type(len(kinds)))
+    cx, cy = chars[: len(x)], chars[len(x) :].T.copy()
+    nx, ny = lx - head, ly - head
+    kind = np.min_scalar_type(top + 1)
+    before, now = (np.empty((ny[-1] + 1, len(x), len(y)), dtype=kind) for _ in range(2))
+    before[:] = np.arange(ny[-1] + 1, dtype=kind)[:, None, None]
+    out = np.empty((len(x), len(y)), dtype=kind)
+    ends = [(int(j), *np.searchsorted(ny, [j, j + 1])) for j in np.unique(ny)]
+    firsts = [int(np.searchsorted(ny, j)) for j in range(ny[-1] + 1)]
+    cost, step = np.empty(out.shape, dtype=bool), np.empty(out.shape, dtype=kind)
+    added = cost.view(np.uint8)
+    for i in range(nx[-1] + 1):
+        r, done = np.searchsorted(nx, [i, i + 1])  # names before r have ended, those before done end here
+        if i:
+            now[0, r:] = i
+            for j in range(1, ny[-1] + 1):
+                c = firsts[j]
+                at = (slice(r, None), slice(c, None))
+                np.not_equal(cx[r:, i - 1, None], cy[j - 1, None, c:], out=cost[at])
+                np.minimum(before[j][at], now[j - 1][at], out=step[at])
+                step[at] += 1
+                np.add(before[j - 1][at], added[at], out=now[j][at])
+                np.minimum(now[j][at], step[at], out=now[j][at])
+            before, now = now, before
+        for j, b, e in ends:
+            out[r:done, b:e] = before[j, r:done, b:e]
+    if lx[0] == ly[-1] and ly[0] == lx[-1]:
+        return out + np.int32(lx[0] * (lx[0] + 1) // 2)
+    longer, shorter = np.maximum(lx[:, None], ly), np.minimum(lx[:, None], ly)
+    codes = longer * (longer + 1) // 2 + out
+    for i, j in np.argwhere((out == longer - shorter) & (longer != shorter) & (shorter > 0)):  # one that contains the other is as far from it as it is longer
+        if x[i] in y[j] or y[j] in x[i]:
+            codes[i, j] = (longest + 1) * (longest + 2) // 2
+    return codes
+
+
 def name_key(c: Column) -> Column:
     """What name_alike compares: computed once for each name, before names meet in pairs."""
     t = tidy(c)

@@ -18,6 +18,8 @@ _BLOCK = 1_000
 _ROWS = 250_000
 #: Pairs that a task makes or groups.
 _PAIRS = 1_000_000
+#: Pairs that a task makes where they are scored at once and not kept, and rows of a part that meets another there.
+_SCORED, _SCORED_BLOCK = 8_000_000, 2_000
 #: Keys cut into parts up to which their numbers of parts are broadcast.
 _MOST_BROADCAST = 100_000
 
@@ -48,11 +50,11 @@ def _part(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.col("_parts")).cast("int")
 
 
-def _tasks(rows: DataFrame, keys: Sequence[str]) -> int:
+def _tasks(rows: DataFrame, keys: Sequence[str], each: int = _PAIRS) -> int:
     """Partitions for the pairs of rows: the input's size doesn't tell their number, so it is counted."""
     n = F.count(F.lit(1))
     pairs = rows.groupBy(*keys).agg((n * (n - 1) / 2).alias("_n")).agg(F.sum("_n")).first()[0] or 0
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // _PAIRS) + 1)
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // each) + 1)
 
 
 def within(rows: DataFrame, keys: Sequence[str], item: str, carry: Sequence[str] = (), block: int = _BLOCK, by_pair: bool = False) -> DataFrame:
@@ -81,6 +83,16 @@ def within(rows: DataFrame, keys: Sequence[str], item: str, carry: Sequence[str]
     return met.repartition(tasks, "a", "b") if by_pair else met
 
 
+def meetings(rows: DataFrame, keys: Sequence[str], item: str, block: int = _SCORED_BLOCK) -> DataFrame:
+    """rows dealt by keys, _i, _j, the parts of a key that meet: a row comes once for each part of its key, with _second where its part is the later of two. Grouped by
+    these columns, each two rows of a key are together in one group, in different parts of it (or in the one part). Rows without an item meet nobody."""
+    rows = rows.filter(F.col(item).isNotNull())
+    cut = _with(rows, _large(rows, keys, block), keys).withColumn("_k", _part(item))
+    cut = cut.select(*rows.columns, "_k", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_o"))
+    met = cut.select(*rows.columns, F.least("_k", "_o").alias("_i"), F.greatest("_k", "_o").alias("_j"), (F.col("_k") > F.col("_o")).alias("_second"))
+    return met.repartition(_tasks(rows, keys, _SCORED), *keys, "_i", "_j")
+
+
 def shared(rows: DataFrame, key: str, item: str, block: int = _BLOCK) -> DataFrame:
     """a, b (items, a < b), shared: the number of keys that two items have in common. A pair counts at the first of them only, so pairs aren't moved to be counted; an item with several keys brings them along."""
     keys = rows.filter(F.col(key).isNotNull()).groupBy(item).agg(F.collect_set(key).alias("_keys"))

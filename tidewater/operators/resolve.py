@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,30 +38,98 @@ def fuzzy_match(records: DataFrame, entities: DataFrame, merge: float = 0.85, re
     return m.withColumn("action", F.when(F.col("sim") >= merge, "merge").when(F.col("sim") >= review, "review").otherwise("create"))
 
 
-def contact_pairs(contacts: DataFrame, most_shared: int | None = None) -> DataFrame:
-    """a < b, score, action for contacts (id, name, phone, email) by .5 phone + .3 mail + .2 name, of .6 at least.
+#: Cells of the tables of distances that a task keeps.
+_CELLS = 5_000_000
 
-    No pair reaches .6 without a common phone, so contacts meet by phones alone; a mail is compared where they meet.
+
+def _ranks(values: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that are equal where values are; -1: null."""
+    return values.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _by_length(names: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The different names in order of length, and each one's place among them."""
+    coded = names.dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    place = np.empty(len(words), dtype=np.int64)
+    place[order] = np.arange(len(words))
+    return [words[i] for i in order], place[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def _contact_score(email: float | Column, sim: float | Column) -> float | Column:
+    return 0.5 + 0.3 * email + 0.2 * sim
+
+
+def contact_pairs(contacts: DataFrame, most_shared: int | None = None, digits: int | None = None) -> DataFrame:
+    """a < b, score (rounded to digits, if given), action for contacts (id, name, phone, email) by .5 phone + .3 mail + .2 name, of .6 at least.
+
+    No pair reaches .6 without a common phone, so contacts meet by phones alone, in parts of a bounded number of rows; a mail is compared where they meet.
+    There, all distances of names of a tile advance together, and a score is one of the few that their lengths allow.
     Phones that more than most_shared contacts have (if given) say nothing and are left out.
     """
-    keyed = contacts.filter("phone is not null and phone <> ''").select("id", similarity.tidy(F.col("name")).alias("name"), "phone", "email")
+    keyed = contacts.filter("phone is not null and phone <> ''").select("id", similarity.tidy(F.col("name")).alias("name"), "phone", F.when(F.col("email") != "", F.col("email")).alias("email"))
     if most_shared:
         few = keyed.groupBy("phone").agg(F.count_distinct("id").alias("n")).filter(F.col("n") <= most_shared)
         keyed = keyed.join(few.select("phone"), "phone", "left_semi")
-    same = F.coalesce((F.col("email_a") == F.col("email_b")) & (F.col("email_a") != ""), F.lit(False))
+    keyed = keyed.filter("name is not null")
     several = keyed.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("id", F.lit(True).alias("_s"))
     some = several.limit(1).count() > 0
-    met = pairs.within(keyed.join(several, "id", "left") if some else keyed, ["phone"], "id", ["name", "email", "_s"] if some else ["name", "email"])
-    cols = ("a", "b", "name_a", "name_b", same.alias("email"))
+    met = pairs.meetings(keyed.join(several, "id", "left") if some else keyed, ["phone"], "id")
+
+    def rounded(score: float) -> float:
+        return score if digits is None else float(Decimal(repr(score)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+    def score(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        rows = rows.take(pc.sort_indices(rows, [("id", "ascending")]))
+        ids, mail, second = rows.column("id").to_numpy(), _ranks(rows.column("email")), rows.column("_second").to_numpy()
+        again = rows.column("_s").is_valid().to_numpy() if some else None
+        names = rows.column("name").combine_chunks()
+        longest = max(pc.max(pc.utf8_length(names)).as_py(), 1)
+        sims = np.array(similarity.edit_values(longest))
+        n = len(sims)
+        sims = np.concatenate([sims, sims])
+        scores = [_contact_score(e, s) for e in (0.0, 1.0) for s in sims[:n].tolist()]
+        shown, enough, auto = np.array([rounded(s) for s in scores]), np.array([s >= 0.6 for s in scores]), np.array([s >= 0.95 for s in scores])
+        one = key[1] == key[2]
+        left, right = np.flatnonzero(~second), np.flatnonzero(second)
+        theirs, place = _by_length(names.take(pa.array(right)))
+        at = 0
+        while at < len(left) and (one or len(right)):
+            if one:  # a tile meets itself and what comes after it
+                right = left[at:]
+                theirs, place = _by_length(names.take(pa.array(right)))
+            tile = max(1, _CELLS // (longest + 1) // 2 // len(right))
+            mine = left[at : at + tile]
+            at += tile
+            ours, own = _by_length(names.take(pa.array(mine)))
+            code = similarity.edit_codes(ours, theirs, longest).astype(np.min_scalar_type(2 * n))[own][:, place]
+            code += ((mail[mine, None] == mail[right]) & (mail[mine, None] >= 0)).astype(code.dtype) * code.dtype.type(n)
+            hit = enough[code]
+            if some:
+                hit |= again[mine, None] | again[right]
+            if one:
+                hit &= ids[mine, None] < ids[right]
+            i, j = np.nonzero(hit)
+            code, a, b = code[i, j], ids[mine[i]], ids[right[j]]
+            if not one:
+                turn = a > b
+                a, b = np.where(turn, b, a), np.where(turn, a, b)
+            out = {"a": a, "b": b, "score": shown[code], "auto": auto[code]}
+            if some:
+                out |= {"again": again[mine[i]] | again[right[j]], "email": code >= n, "sim": sims[code]}
+                out = {k: v[a != b] for k, v in out.items()}
+            yield pa.RecordBatch.from_pydict(out)
+
+    kind = contacts.schema["id"].dataType.simpleString()
+    out = met.groupBy("phone", "_i", "_j").applyInArrow(score, f"a {kind}, b {kind}, score double, auto boolean" + (", again boolean, email boolean, sim double" if some else ""))
+    scored = out
     if some:  # pairs of contacts with one phone each meet once and go on as they are; only others are grouped
-        again = F.coalesce("_s_a", "_s_b").isNotNull()
-        grouped = met.filter(again).groupBy("a", "b").agg(F.first("name_a").alias("name_a"), F.first("name_b").alias("name_b"), F.bool_or(same).alias("email"))
-        hits = met.filter(~again).select(*cols).unionByName(grouped)
-    else:
-        hits = met.select(*cols)
-    score = 0.5 + 0.3 * F.col("email").cast("int") + 0.2 * similarity.tidy_edit_similarity(F.col("name_a"), F.col("name_b"))
-    s = hits.select("a", "b", F.explode(F.array(score)).alias("score"))  # by explode it is computed once, not for the filter and each column again
-    return s.filter("score >= 0.6").select("a", "b", "score", F.when(F.col("score") >= 0.95, "auto").otherwise("review").alias("action"))
+        grouped = out.filter("again").groupBy("a", "b").agg(F.bool_or("email").cast("double").alias("email"), F.max("sim").alias("sim"))
+        grouped = grouped.select("a", "b", _contact_score(F.col("email"), F.col("sim")).alias("score")).filter("score >= 0.6").withColumn("auto", F.col("score") >= 0.95)
+        scored = out.filter("not again").select("a", "b", "score", "auto").unionByName(grouped if digits is None else grouped.withColumn("score", F.round("score", digits)))
+    return scored.select("a", "b", "score", F.when(F.col("auto"), "auto").otherwise("review").alias("action"))
 
 
 def hints(said: DataFrame, entities: DataFrame) -> DataFrame:

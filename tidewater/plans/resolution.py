@@ -49,7 +49,7 @@ _CONTACTS = "c AS (SELECT c_custkey AS id, lower(c_name) AS name, CASE WHEN c_cu
 def contact_dedup_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     c = table(spark, sf_dir, "customer").select(k.alias("id"), F.lower("c_name").alias("name"), F.when(k % 3 == 0, None).otherwise(F.concat(F.lit("p"), k % 211)).alias("phone"), F.concat(F.lit("m"), k % 307).alias("email"))
-    return resolve.contact_pairs(c).withColumn("score", F.round("score", 6))
+    return resolve.contact_pairs(c, digits=6)
 
 
 _ENTITIES = "e AS (SELECT p_partkey AS entity_id, p_name AS name, p_size::BIGINT AS fact_count, DATE '2020-01-01' + CAST(p_partkey % 700 AS INT) AS created FROM part)"
